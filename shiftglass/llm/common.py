@@ -56,6 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where this machine keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 # --------------------------------------------------------------------------- Arrow batches
 def slices(batches, column: str, limit: int = 2 << 20):
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes (one row at least)."""
