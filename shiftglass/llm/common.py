@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 U = np.uint64
@@ -63,6 +64,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def widened(df: DataFrame, *columns: str) -> StructType:
+    """The schema of ``df`` and further columns, each as "name type"."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(columns)).fields])
+
+
 # --------------------------------------------------------------------------- Arrow batches
 def slices(batches, column: str, limit: int = 2 << 20):
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes (one row at least)."""

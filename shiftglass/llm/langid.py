@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U, flat, mix, slices
+from .common import U, mix, slices, widened
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -111,7 +111,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     picked = docs.select(*keep, F.col(text).alias("__text"))
-    schema = picked.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = widened(picked.drop("__text"), "lang_pred string", "score double")
 
     def score(batches):
         m = shared.value

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, widened
 
 CAPACITY = 4096
 END_ID = 1
@@ -57,9 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
     ``capacity`` ids are cut into pieces of that many, the last may be shorter.
     """
     picked = docs.select(*keep, F.col(text).alias("__text"))
-    schema = picked.drop("__text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
-    if with_ids:
-        schema = schema.add("ids", "binary")
+    schema = widened(picked.drop("__text"), "piece int", "start long", "length long", "ids_crc32 long", *["ids binary"] * with_ids)
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
@@ -249,7 +247,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn("__rank", F.col("__rank") + F.col("__first"))
         .select(*found.columns, "__rank")
     )
-    schema = found.schema.add("sequence_id", "long").add("offset", "long")
+    schema = widened(found, "sequence_id long", "offset long")
 
     def place(batches):
         m = shared.value

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hpylm, langid, mixing, packing, topk, warc
+from . import hpylm, langid, linedup, mixing, packing, probminhash, progjpeg, substring, topk, warc
 from .common import Scratch, table, tokenizer_path
 
 
@@ -31,6 +31,35 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("id") % 50 == 0, 5)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document because a window of 35 words occurs elsewhere."""
+    found = substring.dedup(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
+def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and whether it stands for it."""
+    found = probminhash.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("rep").alias("kept"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines deleted from every document as later copies of repeated runs."""
+    found = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a progressive JPEG, and what is read back from it."""
+    stored = progjpeg.write_media(table(spark, sf_dir, "documents"))
+    found = progjpeg.read_media(stored, tensors=False)
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document for the target mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
@@ -53,6 +82,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hpylm_score": op1_hpylm_score,
     "op2_exact_topk": op2_exact_topk,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_probminhash": op4_probminhash,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_progressive_jpeg": op6_progressive_jpeg,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
@@ -74,6 +107,20 @@ s AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
 WHERE r <= 5""",
+    "op5_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, text IS NULL AS gone FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+r AS (
+  SELECT *, CASE WHEN lead(i, 3) OVER w IS NOT NULL THEN
+    line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w || chr(10) || lead(line, 3) OVER w END AS run
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND length(line) >= 50 AS copy1,
+    run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS copy4
+  FROM r),
+g AS (SELECT *, copy1 OR bool_or(copy4) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS dead FROM f),
+k AS (SELECT doc_id, count(*) FILTER (dead) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dead), '')) AS kept_sha256 FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.gone THEN 0 ELSE len(d.lines) END AS n_lines, k.n_removed, k.kept_sha256 FROM d JOIN k ON d.doc_id = k.doc_id""",
     "op9_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, widened
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 8 << 20
@@ -213,7 +213,7 @@ def merge(entries: DataFrame, ranges: int) -> DataFrame:
         place = pa.array(range(task << 40, (task << 40) + len(order)), pa.int64())
         yield from t.take(order).append_column("position", place).combine_chunks().to_batches()
 
-    return dealt.mapInArrow(run, entries.schema.add("position", "long"))
+    return dealt.mapInArrow(run, widened(entries, "position long"))
 
 
 def capture_index(pages: DataFrame, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
