@@ -1,10 +1,15 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftglass.llm import langid
+from shiftglass.llm import langid, linedup, mixing, packing, probminhash
+from shiftglass.llm.common import Scratch, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SCORE = 0.5
@@ -17,15 +22,44 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
-STAGES = [("language_id", identify)]
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go from the texts; documents of which no word is left go."""
+    cut = linedup.dedup(docs.select(*COLUMNS))
+    touched = F.col("n_removed") > 0
+    left = cut.where(~touched | (mixing.word_count("text") > 0))
+    return left.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every near-duplicate class."""
+    return probminhash.dedup(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    mixed = mixing.mix(docs.select(*COLUMNS).withColumn("size", mixing.word_count("text")))
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).where("copy > 0").select(*COLUMNS)
 
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in the training sequences."""
+    return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", identify),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Classification, sampling and packing can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    from shiftglass.llm.common import Scratch, table
-
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
