@@ -1,4 +1,10 @@
 """Name -> query and name -> SQL of the reference's own operators on the driver's tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .plans import rollups
+
+MODULES = (rollups,)
+
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
