@@ -10,6 +10,7 @@ broadcast; pieces are ranked within their length and look their place up by rank
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import defaultdict
 
@@ -23,6 +24,7 @@ CAPACITY = 4096
 END_ID = 1
 QUANTUM = 16
 CACHE_WORDS = 300_000
+ENCODE_AT_ONCE = 4096
 RANK_GROUP = 100_000
 
 
@@ -30,21 +32,25 @@ RANK_GROUP = 100_000
 def word_encoder(path: str):
     """A function from text to the little-endian 32-bit ids of its tokens.
 
-    The tokenizer never joins text across ASCII white space, so each word is encoded once
-    and remembered; the memory is emptied at ``CACHE_WORDS`` words.
+    The tokenizer lower-cases and never joins text across ASCII white space, so each word is
+    encoded once, in lower case unless it may hold a special token, and remembered; the memory is emptied at ``CACHE_WORDS`` words.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok, cache = Tokenizer.from_file(path), {}
 
     def encode(text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
+        raw = text.encode("utf-8", "replace")
+        words = (raw if b"<|" in raw else raw.lower()).split()
         new = list({w for w in words if w not in cache})
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = list(set(words))
-        for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(new), ENCODE_AT_ONCE):
+            some = new[i : i + ENCODE_AT_ONCE]
+            for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                cache[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join([cache[w] for w in words])
 
     return encode
@@ -62,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
 
     def cut(batches):
         encode = word_encoder(tokenizer)
-        for b in slices(batches, "__text", 1 << 22):
+        for b in slices(batches, "__text", 1 << 20):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, t in enumerate(b.column("__text").to_pylist()):
                 x = encode(t or "") + end

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import rollups
+from .plans import reports, rollups
 
-MODULES = (rollups,)
+MODULES = (rollups, reports)
 
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
