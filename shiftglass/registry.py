@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import reports, rollups
+from .plans import lists, reports, rollups
 
-MODULES = (rollups, reports)
+MODULES = (rollups, reports, lists)
 
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
