@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import lists, reports, rollups
+from .plans import lists, reports, rollups, scenes
 
-MODULES = (rollups, reports, lists)
+MODULES = (rollups, reports, lists, scenes)
 
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
