@@ -106,9 +106,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     """Columns ``keep`` with lang_pred and score, the posterior of the predicted language.
 
     Null texts, texts without a letter and an empty model give ``und`` with score 0; equal
-    posteriors go to the language first in code point order.
+    posteriors go to the language first in code point order. Kept columns of the two names
+    are replaced.
     """
     langs, matrix = model
+    keep = tuple(k for k in keep if k not in ("lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     picked = docs.select(*keep, F.col(text).alias("__text"))
     schema = widened(picked.drop("__text"), "lang_pred string", "score double")
