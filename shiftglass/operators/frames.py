@@ -202,3 +202,42 @@ def first_after(leaves: DataFrame, arrivals: DataFrame, key: str, within_s: floa
     seen = F.first(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(w)
     rows = both.withColumn("next", seen).where("kind = 0")
     return rows.select(key, "id", F.when(F.col("next") - F.col("t") <= int(within_s * 1_000_000), F.timestamp_micros("next")).alias("arrived_at"))
+
+
+def cadence(samples: DataFrame, slow_s: float = 0.4, rows: int = 9) -> DataFrame:
+    """Whether each sample is looked at: every one where the recent gaps are slow, else every second.
+
+    Also the age up to which evidence counts: ten times the median of the last ``rows`` gaps, 10 s at least.
+    """
+    w = order("track_id")
+    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6
+    found = samples.withColumn("gap", gap).withColumn("v", F.collect_list("gap").over(order("track_id", (-(rows - 1), 0)))).withColumn("m", median_of(F.col("v"))).withColumn("n", F.row_number().over(w))
+    return found.select("sample_id", "track_id", (F.coalesce(F.col("m") >= slow_s, F.lit(False)) | (F.col("n") % 2 == 1)).alias("looked_at"), F.greatest(F.lit(10.0), F.coalesce(10 * F.col("m"), F.lit(10.0))).alias("stale_s"))
+
+
+def majority_posture(samples: DataFrame, names: tuple[str, ...], rows: int = 7) -> DataFrame:
+    """The most frequent of the last ``rows`` postures; ties go to the one named first."""
+    recent = order("track_id", (-(rows - 1), 0))
+    votes = F.array(*[F.struct(F.count_if(F.col("posture_state") == p).over(recent).alias("n"), F.lit(-i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(names)])
+    return samples.select("sample_id", "track_id", F.array_max(votes)["p"].alias("posture"))
+
+
+def adopted(lost: DataFrame, new: DataFrame, within_s: float = 1.5, least: float = 0.3) -> DataFrame:
+    """New tracks that are a person lost a moment before: the lost box that overlaps most, then the smaller id.
+
+    ``lost``: frame, lost_id, lost_at, lost_box; ``new``: frame, new_id, new_at, new_box. A lost
+    person's time goes to its slot and the next, so that the join is an equality.
+    """
+    slot = lambda t: F.floor(t / within_s)
+    a = lost.withColumn("slot", F.explode(F.array(slot(F.col("lost_at")), slot(F.col("lost_at")) + 1)))
+    pairs = new.withColumn("slot", slot(F.col("new_at"))).join(a, ["frame", "slot"]).withColumn("v", g.iou(F.col("new_box"), F.col("lost_box")))
+    near = pairs.where(F.col("new_at").between(F.col("lost_at"), F.col("lost_at") + within_s) & (F.col("v") >= least))
+    return near.groupBy("frame", "new_id").agg(F.max_by("lost_id", F.struct("v", -F.col("lost_id"))).alias("lost_id"))
+
+
+def checkpoint_entries(entries: DataFrame, passes: DataFrame, key: str, within_s: float) -> DataFrame:
+    """Entries by way of a checkpoint: judged by what was seen at the last pass within the time, else at the entry itself."""
+    judged = last_before(entries, passes, key, within_s, 1.0)
+    state = passes.select(key, F.col("at").alias("passed_at"), "state").groupBy(key, "passed_at").agg(F.min("state").alias("state"))
+    found = judged.join(state, [key, "passed_at"], "left")
+    return found.select(key, "id", F.when(F.col("passed_at").isNull(), "AT_ENTRY").when(F.col("state") == "PRESENT", "COMPLIANT").when(F.col("state") == "ABSENT", "POTENTIAL_VIOLATION").otherwise("UNVERIFIABLE").alias("status"))

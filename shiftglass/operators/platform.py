@@ -99,3 +99,21 @@ def term_end(start: Column, period: Column) -> Column:
 def schedule_runs(start: Column, now: Column, step_days: Column) -> Column:
     """How many steps bring a missed schedule past ``now``: one jump, not one run each."""
     return F.when(start > now, 0).otherwise(F.floor(F.datediff(now, start) / step_days) + 1)
+
+
+def purgeable(orgs: DataFrame, today: str, grace_days: int = 30) -> DataFrame:
+    """Deleted organisations whose grace is over (their last day is the term's end, else the creation)."""
+    gone = F.coalesce("term_ends_on", "created_on")
+    return orgs.where(F.col("deleted") & (F.date_add(gone, grace_days) < F.lit(today).cast("date"))).select("org_id", gone.alias("gone_on"))
+
+
+def renewed(orgs: DataFrame, today: str, period: str = "MONTHLY") -> DataFrame:
+    """Paid plans carried on: from the running term's end, or from today where it has ended."""
+    start = F.greatest(F.coalesce("term_ends_on", F.lit(today).cast("date")), F.lit(today).cast("date"))
+    return orgs.where(F.col("plan") != "FREE").select("org_id", "plan", term_end(start, F.lit(period)).alias("term_ends_on"))
+
+
+def invitations(invites: DataFrame, orgs: DataFrame, email: str) -> DataFrame:
+    """The caller's open invitations with the organisation's name, addresses compared trimmed and in lower case."""
+    mine = invites.where(F.lower(F.trim("email")) == email.strip().lower())
+    return mine.join(orgs.where(~F.col("deleted")).select("org_id", "name"), "org_id").select("invite_id", "org_id", "name", "role")

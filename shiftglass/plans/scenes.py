@@ -70,6 +70,13 @@ ASOF = "SELECT worker_key, id, CASE WHEN t0 - passed <= INTERVAL 6 HOUR THEN pas
 AFTER = "SELECT worker_key, id, CASE WHEN nxt - t0 <= INTERVAL 6 HOUR THEN nxt END AS arrived_at FROM (SELECT e.worker_key, e.id, e.observed_at AS t0, p.observed_at AS nxt FROM (SELECT * FROM safety_events WHERE event_type = 'EXITED_ZONE') e ASOF LEFT JOIN (SELECT * FROM safety_events WHERE event_type = 'ENTERED_ZONE') p ON e.worker_key = p.worker_key AND e.observed_at <= p.observed_at)"
 
 
+def adoption(s, p):
+    """Odd persons of a frame are lost, even ones are new; times by person and frame."""
+    who, t = people(s, p), F.col("person") * 0.4 + F.col("frame") % 3 * 0.3
+    lost = who.where("person % 2 = 1").select("frame", F.col("person").alias("lost_id"), t.alias("lost_at"), F.col("bbox").alias("lost_box"))
+    return frames.adopted(lost, who.where("person % 2 = 0").select("frame", F.col("person").alias("new_id"), t.alias("new_at"), F.col("bbox").alias("new_box")), least=0.05)
+
+
 # --------------------------------------------------------------------------- evaluation inputs
 def judged(s, p):
     """Labels against a length heuristic that abstains in between."""
@@ -141,6 +148,13 @@ QUERIES = {
     "interval_union": lambda s, p: frames.union_of_spans(T(s, p).select("track_id", F.unix_micros("ts").alias("start"), (F.unix_micros("ts") + F.col("sample_id") % 7 * 1_800_000_000).alias("end")), "track_id", 60_000_000),
     "checkpoint_asof": lambda s, p: frames.last_before(exits(s, p), passes(s, p), "worker_key", 6 * 3600, 1.0),
     "required_exit": lambda s, p: frames.first_after(exits(s, p), passes(s, p), "worker_key", 6 * 3600),
+    "frame_cadence": lambda s, p: frames.cadence(T(s, p)),
+    "majority_posture": lambda s, p: frames.majority_posture(T(s, p), domain.POSTURE),
+    "track_adoption": adoption,
+    "checkpoint_decisions": lambda s, p: frames.checkpoint_entries(exits(s, p), passes(s, p).withColumn("state", domain.one_of(("PRESENT", "ABSENT", "UNVERIFIABLE"), F.col("id") % 3)), "worker_key", 6 * 3600),
+    "orgs_to_purge": lambda s, p: platform.purgeable(O(s, p), TODAY),
+    "plans_renewed": lambda s, p: platform.renewed(O(s, p), TODAY),
+    "open_invitations": lambda s, p: platform.invitations(O(s, p).select((F.col("org_id") * 10).alias("invite_id"), "org_id", F.concat(F.lit(" User"), F.col("org_id") % 5, F.lit("@Example.com ")).alias("email"), F.lit("VIEWER").alias("role")), O(s, p), "user3@example.com"),
     "plan_usage": lambda s, p: platform.plan_usage(O(s, p), TODAY),
     "attention_list": lambda s, p: platform.attention(O(s, p), TODAY),
     "org_health": lambda s, p: platform.health(O(s, p), TODAY),
@@ -201,6 +215,13 @@ m AS (SELECT *, CAST(start > max("end") OVER (PARTITION BY track_id ORDER BY sta
 n AS (SELECT *, sum(coalesce(fresh, 1)) OVER (PARTITION BY track_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m) SELECT track_id, min(start) AS start, max("end") AS "end" FROM n GROUP BY track_id, g""", "telemetry"),
     "checkpoint_asof": sql(ASOF, "safety_events"),
     "required_exit": sql(AFTER, "safety_events"),
+    "frame_cadence": sql(f"WITH g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) {w})) / 1e6 AS gap, row_number() {w} AS n FROM telemetry), m AS (SELECT *, median(gap) {rows(8)} AS m FROM g) SELECT sample_id, track_id, coalesce(m >= 0.4, false) OR n % 2 = 1 AS looked_at, greatest(10.0, coalesce(10 * m, 10.0)) AS stale_s FROM m", "telemetry"),
+    "majority_posture": sql("WITH c AS (SELECT sample_id, track_id, " + ", ".join(f"count(*) FILTER (posture_state = '{p}') {rows(6)} AS n{i}" for i, p in enumerate(domain.POSTURE)) + " FROM telemetry) SELECT sample_id, track_id, CASE greatest(n0, n1, n2, n3) " + " ".join(f"WHEN n{i} THEN '{p}'" for i, p in enumerate(domain.POSTURE)) + " END AS posture FROM c", "telemetry"),
+    "track_adoption": plain(f"{PEOPLE}, t AS (SELECT *, person * 0.4::DOUBLE + frame % 3 * 0.3::DOUBLE AS t FROM people) SELECT b.frame, b.person AS new_id, arg_max(a.person, {IOU} * 1e6 - a.person) AS lost_id FROM t a JOIN t b ON a.frame = b.frame AND a.person % 2 = 1 AND b.person % 2 = 0 AND b.t BETWEEN a.t AND a.t + 1.5 AND {IOU} >= 0.05 GROUP BY b.frame, b.person"),
+    "checkpoint_decisions": sql("SELECT a.worker_key, a.id, CASE WHEN passed_at IS NULL THEN 'AT_ENTRY' WHEN m.s = 1 THEN 'COMPLIANT' WHEN m.s = 0 THEN 'POTENTIAL_VIOLATION' ELSE 'UNVERIFIABLE' END AS status FROM (" + ASOF + ") a LEFT JOIN (SELECT worker_key, observed_at, min(CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END) AS s FROM safety_events WHERE event_type = 'ENTERED_ZONE' GROUP BY ALL) m ON a.worker_key = m.worker_key AND a.passed_at = m.observed_at", "safety_events"),
+    "orgs_to_purge": sql(f"SELECT org_id, coalesce(term_ends_on, created_on) AS gone_on FROM organisations WHERE deleted AND coalesce(term_ends_on, created_on) + 30 < DATE '{TODAY}'", "organisations"),
+    "plans_renewed": sql(f"SELECT org_id, plan, CAST(greatest(coalesce(term_ends_on, DATE '{TODAY}'), DATE '{TODAY}') + INTERVAL 1 MONTH AS DATE) AS term_ends_on FROM organisations WHERE plan <> 'FREE'", "organisations"),
+    "open_invitations": sql("SELECT org_id * 10 AS invite_id, org_id, name, 'VIEWER' AS role FROM organisations WHERE NOT deleted AND org_id % 5 = 3", "organisations"),
     "plan_usage": sql(f"WITH {PLAN}, {USE} SELECT org_id, plan_in_force, cameras, sites, seats, cameras_limit, sites_limit, seats_limit, history_days_limit, over_limit FROM us", "organisations"),
     "attention_list": sql(f"WITH {PLAN}, {USE}, {ATT} SELECT org_id, reasons, severity, score FROM att WHERE score > 0", "organisations"),
     "org_health": sql(f"WITH {PLAN}, {USE}, {ATT} SELECT org_id, greatest(0, 100 - score) AS health, CASE WHEN health >= 80 THEN 'good' WHEN health >= 40 THEN 'fair' ELSE 'poor' END AS level FROM att", "organisations"),
