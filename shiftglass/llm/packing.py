@@ -23,39 +23,86 @@ from .common import Scratch, slices, widened
 CAPACITY = 4096
 END_ID = 1
 QUANTUM = 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 ENCODE_AT_ONCE = 4096
+#: Closing punctuation that the tokenizer parts from the letters before it.
+CLOSING = b".,!?;:"
 RANK_GROUP = 100_000
 
 
 # --------------------------------------------------------------------------- pieces
 def word_encoder(path: str):
-    """A function from text to the little-endian 32-bit ids of its tokens.
+    """A function from texts to the little-endian 32-bit ids of their tokens.
 
-    The tokenizer lower-cases and never joins text across ASCII white space, so each word is
-    encoded once, in lower case unless it may hold a special token, and remembered; the memory is emptied at ``CACHE_WORDS`` words.
+    The tokenizer lower-cases, never joins text across ASCII white space, and parts letters
+    from what follows them. So each word (in lower case unless it may hold a special
+    token) is encoded once and remembered, closing punctuation apart; words of letters are
+    encoded many at a time. The memory is emptied at ``CACHE_WORDS`` words.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     tok, cache = Tokenizer.from_file(path), {}
+    bare = Tokenizer(tok.model)  # its model alone, for words that normalisation would not change
+    bare.pre_tokenizer = WhitespaceSplit()
+
+    def learn_letters(words: list[bytes]) -> None:
+        """Words that are one run of letters each, so that token i of word j says so."""
+        for i in range(0, len(words), ENCODE_AT_ONCE):
+            some = words[i : i + ENCODE_AT_ONCE]
+            e = bare.encode(b" ".join(some).decode("latin-1").translate(BYTE_NAMES), add_special_tokens=False)
+            ids, ends = np.array(e.ids, "<u4").tobytes(), np.cumsum(np.bincount(e.word_ids, minlength=len(some))) * 4
+            at = 0
+            for w, end in zip(some, ends.tolist()):
+                cache[w] = ids[at:end]
+                at = end
+
+    def learn_others(words: list[bytes]) -> None:
+        for i in range(0, len(words), ENCODE_AT_ONCE):
+            some = words[i : i + ENCODE_AT_ONCE]
+            for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                cache[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(text: str) -> bytes:
-        raw = text.encode("utf-8", "replace")
-        words = (raw if b"<|" in raw else raw.lower()).split()
-        new = list({w for w in words if w not in cache})
+    def encode(texts: list[str]) -> list[bytes]:
+        raws = [t.encode("utf-8", "replace") for t in texts]
+        lists = [(r if b"<|" in r else r.lower()).split() for r in raws]
+        new = set().union(*lists).difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list(set(words))
-        for i in range(0, len(new), ENCODE_AT_ONCE):
-            some = new[i : i + ENCODE_AT_ONCE]
-            for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+            new = set().union(*lists)
+        parted = {}
+        for w in new:
+            stem = w.rstrip(CLOSING)
+            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122:
+                parted[w] = stem
+        need = (new.difference(parted) | set(parted.values()) | {w[len(x) :] for w, x in parted.items()}).difference(cache)
+        letters = [w for w in need if plain(w)]
+        learn_letters(letters)
+        learn_others(list(need.difference(letters)))
+        for w, stem in parted.items():
+            cache[w] = cache[stem] + cache[w[len(stem) :]]
+        return [b"".join(map(cache.__getitem__, words)) for words in lists]
 
     return encode
 
 
+def _byte_names() -> dict[int, str]:
+    """Byte-level vocabularies name each byte by a printable character: itself, else those from 256 on in turn."""
+    itself = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in itself]
+    return {b: chr(256 + i) for i, b in enumerate(others) if b != 32}
+
+
+BYTE_NAMES = _byte_names()
+
+
+def plain(word: bytes) -> bool:
+    """One run of letters below U+0250 in lower case, which no normalisation changes."""
+    t = word.decode()
+    return t.isalpha() and max(t) < "\u0250" and t == t.lower()
+
+
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``keep``, piece, start, length, ids_crc32 and, if asked, ids.
 
@@ -70,8 +117,8 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
         encode = word_encoder(tokenizer)
         for b in slices(batches, "__text", 1 << 20):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, t in enumerate(b.column("__text").to_pylist()):
-                x = encode(t or "") + end
+            for i, x in enumerate(encode([t or "" for t in b.column("__text").to_pylist()])):
+                x += end
                 for k, a in enumerate(range(0, len(x), 4 * capacity)):
                     part = x[a : a + 4 * capacity]
                     row.append(i)
