@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import END_TOKEN, U, Scratch, flat, mix, pack, slices, word_hashes
 
-BATCH_TOKENS = 4 << 20
+BATCH_TOKENS = 3 << 19
 RANGE_KEYS = 1_500_000
 KEY_BITS = 39
 THETA = 1.0
@@ -49,14 +49,14 @@ def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     return (mix(keys + U((salt * 0x9E3779B97F4A7C15) % 2**64)) >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
-def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, keys: np.ndarray, d: float, theta: float, salt: int) -> np.ndarray:
-    """Tables of groups of ``c`` equal customers, the other tables of their restaurant and parent given.
+def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, keys: np.ndarray, d: float, theta: float, salts: tuple[int, ...]) -> np.ndarray:
+    """Tables of groups of ``c`` equal customers, the other tables of their restaurant and parent given; a row per salt.
 
     Up to ``EXACT`` customers the whole group is drawn from its exact conditional; larger
     groups are seated one after another, from the 64th customer on in steps of 1/64 of
     those seated, a step's new tables rounded at random around their mean.
     """
-    t = np.minimum(c, 1)
+    t = np.tile(np.minimum(c, 1), (len(salts), 1))
     small = np.flatnonzero((c > 1) & (c <= EXACT))
     table = stirling(d)
     for part in np.array_split(small[np.argsort(c[small], kind="stable")], max(1, len(small) // 50_000)):
@@ -67,19 +67,22 @@ def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, keys: np.ndarray, d: fl
         grow = np.cumsum(np.log(theta + d * (rest[part, None] + k - 1)), axis=1)
         logs = table[c[part][:, None], k] + k * np.log(p[part, None]) + grow
         weights = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
-        t[part] = 1 + (weights < uniform(keys[part], salt)[:, None] * weights[:, -1:]).sum(1)
+        for i, salt in enumerate(salts):
+            t[i, part] = 1 + (weights < uniform(keys[part], salt)[:, None] * weights[:, -1:]).sum(1)
     big = np.flatnonzero(c > EXACT)
-    if len(big):
-        n, x, size, step = 1, np.ones(len(big)), c[big].astype(np.float64), 0
-        while (live := size > n).any():
-            m = np.minimum(max(1, n // 64), size - n)
-            a = (theta + d * (rest[big] + x)) * p[big]
-            mean = np.where(live, m * a / (n - d * x + a), 0.0)
+    big = big[np.argsort(-c[big], kind="stable")]  # those still open are always the first ones
+    size, spread, chance = c[big].astype(np.float64), rest[big].astype(np.float64), p[big]
+    for i, salt in enumerate(salts if len(big) else ()):
+        x, n, step = np.ones(len(big)), 1, 0
+        while live := int(np.searchsorted(-size, -n)):
+            m = np.minimum(max(1, n // 64), size[:live] - n)
+            a = (theta + d * (spread[:live] + x[:live])) * chance[:live]
+            mean = m * a / (n - d * x[:live] + a)
             low = np.floor(mean)
             step += 1
-            x = x + low + (uniform(keys[big], salt * 100_003 + step) < mean - low)
+            x[:live] += low + (uniform(keys[big[:live]], salt * 100_003 + step) < mean - low)
             n += max(1, n // 64)
-        t[big] = np.minimum(x, size).astype(t.dtype)
+        t[i, big] = np.minimum(x, size).astype(t.dtype)
     return t
 
 
@@ -223,7 +226,7 @@ class Model:
             keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
             words, at = np.unique(np.concatenate(keys), return_inverse=True)
             seen, customers, tables, sent = (np.bincount(at, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column(n)]), len(words)).astype(np.int64) for n in ("seen", "customers", "tables", "sent"))
-            own = seat(sent, np.full(len(words), float(v)), np.full(len(words), 1 / (v + 1)), words, d, THETA, salt)
+            own = seat(sent, np.full(len(words), float(v)), np.full(len(words), 1 / (v + 1)), words, d, THETA, (salt,))[0]
             sums = pack(np.array([seen.sum(), (seen > 0).sum(), sent.sum(), own.sum(), (sent == 1).sum(), (sent == 2).sum()], np.int64))
             ends, out, part = np.cumsum([len(k) for k in keys]), [], t.column("part")[0].as_py()
             for b, k, e in zip(t.column("batch").to_pylist(), keys, ends):
@@ -259,6 +262,7 @@ class Model:
         own = np.concatenate([np.unpackbits(np.frombuffer(o.as_py(), np.uint8))[: len(r.as_py()) // 4] for o, r in zip(t.column("own"), t.column("c"))]).astype(bool)
         x.count_all, mine = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
         x.count_all[x.order], mine[x.order] = c, own
+        x.many = np.flatnonzero(x.count_all > 1)
         return mine
 
     def sample(self, sweeps: int = 2, draws: int = DRAWS) -> None:
@@ -291,7 +295,7 @@ class Model:
             x = Batch(t, ranges)
             own = answers(x, c.filter(pc.is_valid(c.column("c"))))
             w = Words(c.filter(pc.is_null(c.column("c"))), sums)
-            return table_of(Model.WORDS, report(x, t.column("batch")[0].as_py(), w.seat(x, d, number), own))
+            return table_of(Model.WORDS, report(x, t.column("batch")[0].as_py(), w.seat(x, d, number)[0], own))
 
         return run
 
@@ -321,10 +325,7 @@ class Model:
             x = Batch(t, ranges)
             answers(x, c.filter(pc.is_valid(c.column("c"))))
             w = Words(c.filter(pc.is_null(c.column("c"))), sums)
-            p = np.zeros(len(x.left))
-            for k in range(draws):
-                p += w.predict(x, w.seat(x, d, sweeps + k), d)
-            logs = np.log10(p / draws)[x.pair]
+            logs = np.log10(w.average(x, d, sweeps, draws))[x.pair]
             base = np.log10((w.seen + 0.5) / (sums["n"] + 0.5 * (sums["v"] + 1)))[x.text]
             add = lambda v: np.add.reduceat(v, x.starts)
             n = len(x.ids)
@@ -349,12 +350,26 @@ class Words:
         d, v = sums["d"], sums["v"]
         self.parent = (np.maximum(get("sent") - d * get("own_tables"), 0) + (THETA + d * sums["tables"]) / (v + 1)) / (THETA + sums["customers"])
 
-    def seat(self, x: Batch, d: float, salt: int) -> np.ndarray:
-        return seat(x.count_all, np.maximum(self.tables[x.left] - 1, 0), self.parent[x.right], x.key, d, THETA, salt)
-
-    def predict(self, x: Batch, tables: np.ndarray, d: float) -> np.ndarray:
-        new = (THETA + d * self.tables[x.left]) * self.parent[x.right]
-        return (np.maximum(x.count_all - d * tables, 0) + new) / (THETA + self.customers[x.left])
+    def seat(self, x: Batch, d: float, *salts: int) -> np.ndarray:
+        """Tables of every bigram, a row per salt; groups of one customer have no choice."""
+        many = x.many
+        t = np.tile(np.minimum(x.count_all, 1), (len(salts), 1))
+        left = x.left[many]
+        t[:, many] = seat(x.count_all[many], np.maximum(self.tables[left] - 1, 0), self.parent[x.right[many]], x.key[many], d, THETA, salts)
+        return t
+
+    def predict(self, x: Batch, tables: np.ndarray, d: float, which=slice(None)) -> np.ndarray:
+        left = x.left[which]
+        new = (THETA + d * self.tables[left]) * self.parent[x.right[which]]
+        return (np.maximum(x.count_all[which] - d * tables[which], 0) + new) / (THETA + self.customers[left])
+
+    def average(self, x: Batch, d: float, first: int, draws: int) -> np.ndarray:
+        """Mean predictive probability of every bigram over ``draws`` seatings."""
+        tables = self.seat(x, d, *range(first, first + draws))
+        p = self.predict(x, tables[0], d)
+        more = sum(self.predict(x, t, d, x.many) for t in tables[1:])
+        p[x.many] = (p[x.many] + more) / draws
+        return p
 
 
 def tally(rows):

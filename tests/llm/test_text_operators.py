@@ -85,12 +85,12 @@ def test_hpylm_beats_the_base_on_held_out_text(spark):
 def test_seatings_follow_their_conditional():
     d, theta, rest, p, n = 0.5, 1.0, 4, 0.05, 20000
     c = np.full(n, 3)
-    t = hpylm.seat(c, np.full(n, rest), np.full(n, p), np.arange(n, dtype=np.uint64), d, theta, 1)
+    t = hpylm.seat(c, np.full(n, rest), np.full(n, p), np.arange(n, dtype=np.uint64), d, theta, (1,))[0]
     # ways to seat 3 customers: S(3, t) for discount 0.5 is 0.75, 1.5, 1
     grow = lambda k: math.prod(theta + d * (rest + i) for i in range(k)) * p**k
     w = np.array([0.75 * grow(1), 1.5 * grow(2), grow(3)])
     assert np.allclose(np.bincount(t, minlength=4)[1:] / n, w / w.sum(), atol=0.015)
-    big = hpylm.seat(np.array([500, 5000]), np.array([10, 10]), np.array([0.01, 0.2]), np.array([1, 2], np.uint64), d, theta, 1)
+    big = hpylm.seat(np.array([500, 5000]), np.array([10, 10]), np.array([0.01, 0.2]), np.array([1, 2], np.uint64), d, theta, (1,))[0]
     assert (big >= 1).all() and (big <= [500, 5000]).all()
 
 
