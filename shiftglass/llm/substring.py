@@ -59,7 +59,7 @@ def windows(h: np.ndarray, sizes: np.ndarray, width: int = WIDTH, gram: int = GR
     padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(len(g) - n, np.uint64)])
     chosen = (slide(padded, span, np.maximum) == g) & (g > 0)
     starts = np.flatnonzero(inside[:n])
-    return starts, low[starts], g[chosen]
+    return starts, mix(low[starts]), mix(g[chosen])  # minima lie low; mixed, they spread over the ranges
 
 
 def bounds(parts: int) -> np.ndarray:
