@@ -23,7 +23,7 @@ from .common import Scratch, slices, widened
 CAPACITY = 4096
 END_ID = 1
 QUANTUM = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 ENCODE_AT_ONCE = 4096
 #: Closing punctuation that the tokenizer parts from the letters before it.
 CLOSING = b".,!?;:"
@@ -99,6 +99,8 @@ BYTE_NAMES = _byte_names()
 
 def plain(word: bytes) -> bool:
     """One run of letters below U+0250 in lower case, which no normalisation changes."""
+    if word.isalpha():
+        return word.islower()  # ASCII
     t = word.decode()
     return t.isalpha() and max(t) < "\u0250" and t == t.lower()
 
