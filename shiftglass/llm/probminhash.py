@@ -9,7 +9,9 @@ Equal texts are one class from the start. Bands of registers deal class represen
 into buckets; candidates are verified by the exact similarity of their whole texts, and
 linked classes are joined into components. Buckets are never expanded into all pairs at
 once: first every member meets its bucket's leader, then, for members still apart, small
-buckets try their other pairs and large ones two further leaders.
+buckets try their other pairs and large ones two further leaders. Large buckets that still
+hold several components are searched whole, in blocks: members outside the bucket's largest
+component meet all others, by a bound on the similarity first.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ ROWS = 4
 THRESHOLD = 0.8
 SMALL_BUCKET = 24
 LEADERS = 2
+BLOCK = 256
+BLOCK_BYTES = 8 << 20
+VOCABULARY = 8192
 
 
 # --------------------------------------------------------------------------- shingles
@@ -161,6 +166,85 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         roots = new.select("key", F.col("new").alias("root"))
 
 
+def bounded(left: list, right: list, threshold: float) -> np.ndarray:
+    """(i, j) of all left and right weighted sets that can be as similar as asked.
+
+    With P and Q the shares of each set's weight that lie on shared shingles, the similarity
+    is 1 / (1 / P + 1 / Q - 1) at most, and just that for sets without repeats.
+    """
+
+    def shared(sets: list, names: np.ndarray):
+        row, s = np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets]), np.concatenate([x for x, _ in sets])
+        w = np.concatenate([n / max(n.sum(), 1) for _, n in sets])
+        at = np.searchsorted(names, s)
+        ok = names[np.minimum(at, len(names) - 1)] == s
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order], w[ok][order]
+
+    names = np.intersect1d(np.concatenate([x for x, _ in left]), np.concatenate([x for x, _ in right]))
+    if not len(names):
+        return np.zeros((0, 2), np.int64)
+    a, b = shared(left, names), shared(right, names)
+    p, q = np.zeros((2, len(left), len(right)))
+    for lo in range(0, len(names), VOCABULARY):
+        dense = []
+        for (row, at, w), n in ((a, len(left)), (b, len(right))):
+            i, j = np.searchsorted(at, (lo, lo + VOCABULARY))
+            m = np.zeros((2, n, min(VOCABULARY, len(names) - lo)))
+            m[0, row[i:j], at[i:j] - lo], m[1, row[i:j], at[i:j] - lo] = w[i:j], 1
+            dense.append(m)
+        p += dense[0][0] @ dense[1][1].T
+        q += dense[0][1] @ dense[1][0].T
+    return np.argwhere((p > 0) & (p + q - p * q <= p * q / threshold + 1e-9))
+
+
+def _rest(large: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b, similarity) that join all components that any pair of one of the large buckets joins."""
+    placed = large.select("bucket", "key").join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    sized = scratch.keep(placed.join(mixed, "bucket").join(texts.select("key", "size"), "key").withColumn("minor", F.expr("root <> most")).drop("most"))
+    if sized.isEmpty():
+        return sized.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    blocks = lambda rows: F.greatest(F.ceil(F.count_if(rows) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(rows, F.col("size"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    counts = sized.groupBy("bucket").agg(blocks(F.col("minor")).alias("minors"), blocks(~F.col("minor")).alias("majors"))
+    own = F.pmod(F.xxhash64("key", "bucket"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    dealt = sized.join(counts, "bucket").withColumn("own", own)
+    # a pair of blocks is a task's: (i, j) of minors for i <= j, and (i, -1 - j) of minors with majors
+    cell = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+    after = F.transform(F.sequence("own", F.col("minors") - 1), lambda j: cell(F.col("own"), j, True, False))
+    before = F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: cell(i, F.col("own"), False, True))
+    others = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: cell(F.col("own"), -1 - j, True, False))
+    right = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: cell(i, -1 - F.col("own"), False, True))
+    cells = F.when(F.col("minor"), F.concat(after, before, others)).otherwise(right)
+    rows = dealt.select("bucket", "key", "root", F.explode(cells).alias("c")).select("bucket", "key", "root", "c.*").join(texts.select("key", "t"), "key")
+
+    def run(t: pa.Table) -> pa.Table:
+        key, root = t.column("key").to_pylist(), t.column("root").to_pylist()
+        docs, s, n = shingles(*flat(t.column("t").combine_chunks()))
+        cut = np.searchsorted(docs, np.arange(len(key) + 1))
+        sets = [(s[x:y], n[x:y]) for x, y in zip(cut, cut[1:])]
+        sides = [np.flatnonzero(np.asarray(t.column(side).combine_chunks())) for side in ("left", "right")]
+        parent: dict = {}
+
+        def top(r):
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        out = []
+        for x, y in bounded(*([sets[i] for i in side] for side in sides), threshold) if all(map(len, sides)) else ():
+            i, j = sides[0][x], sides[1][y]
+            u, v = top(root[i]), top(root[j])
+            if u != v and (found := similarity(sets[i], sets[j])) >= threshold:
+                parent[max(u, v)] = min(u, v)
+                out.append((min(key[i], key[j]), max(key[i], key[j]), found))
+        a, b, f = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(f, pa.float64())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component yet."""
     left, right = roots.select(F.col("key").alias("a"), F.col("root").alias("ra")), roots.select(F.col("key").alias("b"), F.col("root").alias("rb"))
@@ -187,7 +271,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     star = scratch.keep(dealt.where("key <> lead").select(*ordered("key", "lead")).distinct())
     needed = dealt.select("key").distinct().join(reps.select("key", "rep_id"), "key")
     whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("t"))
-    texts = scratch.keep(whole.alias("w").join(needed.alias("n"), (F.col("w.key") == F.col("n.key")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("w.key", "t").dropDuplicates(["key"]))
+    texts = scratch.keep(whole.alias("w").join(needed.alias("n"), (F.col("w.key") == F.col("n.key")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("w.key", "t", F.octet_length("t").alias("size")).dropDuplicates(["key"]))
     links = scratch.keep(_verified(star, texts, threshold))
     roots = components(links, scratch)
     small = dealt.where(F.col("n").between(3, SMALL_BUCKET)).groupBy("bucket").agg(F.collect_list("key").alias("keys"))
@@ -198,7 +282,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     more = scratch.keep(_apart(inner.distinct().join(star, ["a", "b"], "left_anti"), roots))
     late = scratch.keep(_verified(more, texts, threshold))
     if not late.isEmpty():
-        roots = components(links.unionByName(late), scratch)
+        links = links.unionByName(late)
+        roots = components(links, scratch)
+    rest = scratch.keep(_rest(large, roots, texts, threshold, scratch))
+    if not rest.isEmpty():
+        roots = components(links.unionByName(rest), scratch)
     found = reps.join(roots, "key", "left").select("key", "rep_id", F.coalesce("root", "key").alias("root"))
     heads = found.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "key")).alias("head"))
     table = found.join(heads, "root").select("key", "class_id", "rep_id", (F.col("key") == F.col("head.key")).alias("heads"))

@@ -164,6 +164,48 @@ def test_near_duplicates_match_brute_force(spark, docs, none):
     assert probminhash.classes(none).count() == 0 and probminhash.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_close_pairs_within_a_template_family_are_found(spark, monkeypatch, block):
+    """Texts of mutual similarity about 0.75, too many for a small bucket, that hold pairs of about 0.82."""
+    monkeypatch.setattr(probminhash, "BLOCK", block)
+    rng = random.Random(31)
+    base, rows = [f"t{i}" for i in range(304)], []
+
+    def edited(words, at, tag):
+        out = list(words)
+        for i in at:
+            out[i] = f"{tag}x{i}"
+        return out
+
+    for g in range(40):
+        mine = [(g + x) % 43 for x in (0, 1, 4, 11)]  # two groups share one place at most
+        one = edited(base, [7 * i + 3 for i in mine], f"g{g}")
+        rows.append((2 * g, " ".join(one)))
+        rows.append((2 * g + 1, " ".join(edited(one, [7 * i + 3 for i in rng.sample(sorted({*range(43)} - {*mine}), 6)], f"h{g}"))))
+    sets = [set(shingle_set(t)) for _, t in rows]
+    jaccard = lambda a, b: len(a & b) / len(a | b)  # noqa: E731  (no shingle occurs twice in a text)
+    near = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if jaccard(sets[a], sets[b]) >= 0.8}
+    across = [jaccard(sets[2 * a], sets[2 * b]) for a, b in itertools.combinations(range(40), 2)]
+    assert len(near) == 40 and sum(across) / len(across) > 0.74 and max(across) < 0.8
+    parent = list(range(len(rows)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for a, b in sorted(near):
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["id"]: r["class_id"] for r in probminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_bound_never_falls_below_the_similarity():
+    rng = np.random.default_rng(4)
+    sets = [(np.sort(rng.choice(40, k, False)).astype(np.uint64), rng.integers(1, 5, k)) for k in (*rng.integers(1, 40, 60), 0)]
+    for threshold in (0.2, 0.5, 0.8):
+        found = {tuple(x) for x in probminhash.bounded(sets, sets, threshold)}
+        assert {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if probminhash.similarity(a, b) >= threshold} <= found
+
+
 def test_registers_estimate_probability_jaccard():
     rng = random.Random(2)
     texts = [prose(rng, 300, [f"v{i}" for i in range(60)]), None]
