@@ -3,8 +3,11 @@
 Restaurants: one per context (the word before), all sharing one parent, the word
 restaurant, whose own parent is uniform over the vocabulary. A table in a context
 restaurant is a customer of the parent. Each sweep re-seats every (context, word) group
-given the parent's state, sends the table counts to the parent and re-seats that; the
-last sweep draws several seatings and averages their predictive probabilities.
+given the parent's state and the other tables of its context, sends the table counts to
+the parent and re-seats that, until the number of tables settles. Then several seatings
+are drawn, each context's tables are added up for every draw, and the draws' predictive
+probabilities averaged. A group's tables are not stored: tasks seat it anew through all
+sweeps from the states the parent sent.
 
 Nothing is keyed by word in the shuffles, so that no word can be hot: documents are held
 in batches of tokens, a batch asks for each of its distinct words or bigrams once, with
@@ -266,7 +269,11 @@ class Model:
         return mine
 
     def sample(self, sweeps: int = 2, draws: int = DRAWS) -> None:
-        """Gibbs sweeps, each one exchange with the parent; the first starts from one table a group."""
+        """Gibbs sweeps, each one exchange with the parent; the first starts from one table a group.
+
+        At least ``sweeps`` exchanges, and so many that the number of tables changes by no more
+        than one percent or its noise in the last; another one adds up the tables of ``draws`` seatings.
+        """
         self.count_bigrams()
         ranges, report, answers = self.ranges, self.report_free(), self.answers
         ones = self.counts.select("c").mapInArrow(tally, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
@@ -280,22 +287,45 @@ class Model:
             return table_of(Model.WORDS, report(x, t.column("batch")[0].as_py(), np.minimum(x.count_all, 1), own))
 
         asked = by.cogroup(self.counts.groupBy("batch")).applyInArrow(start, Model.WORDS)
-        self.state, sums = self.parent(asked, 0.5, 1, 0)
-        self.sums = sums
-        for sweep in range(1, sweeps):
-            asked = by.cogroup(self.both().groupBy("batch")).applyInArrow(self.sweep(sweep, report), Model.WORDS)
-            self.state, self.sums = self.parent(asked, self.sums["d"], self.sums["v"], sweep)
-        self.sweeps, self.draws = sweeps, draws
-
-    def sweep(self, number: int, report):
+        state, sums = self.parent(asked, 0.5, 1, 0)
+        self.states, self.sums, moved = [state], [sums], True
+        while len(self.states) < sweeps or moved:
+            asked = by.cogroup(self.both().groupBy("batch")).applyInArrow(self.sweep(report), Model.WORDS)
+            state, sums = self.parent(asked, self.sums[-1]["d"], self.sums[-1]["v"], len(self.states))
+            before, now = self.sums[-1]["customers"], sums["customers"]
+            moved = abs(now - before) > max(0.01 * before, 3 * math.sqrt(before))
+            self.states.append(state)
+            self.sums.append(sums)
+        self.draws = draws
+        asked = by.cogroup(self.both().groupBy("batch")).applyInArrow(self.drawn(), "part int, batch long, keys binary, tables binary")
+        self.totals = self.scratch.keep(asked.groupBy("part").applyInArrow(add_draws(draws), "batch long, part int, drawn binary"))
+
+    def sweep(self, report):
         """One sweep over a batch's groups, for tasks."""
-        ranges, answers, sums, d = self.ranges, self.answers, dict(self.sums), self.d
+        ranges, answers, sums, d = self.ranges, self.answers, list(self.sums), self.d
+
+        def run(t: pa.Table, c: pa.Table) -> pa.Table:
+            x = Batch(t, ranges)
+            own = answers(x, c.filter(pc.is_valid(c.column("c"))))
+            words, tables = replay(x, c, sums, d)
+            return table_of(Model.WORDS, report(x, t.column("batch")[0].as_py(), words.seat(x, d, len(sums), own=tables)[0], own))
+
+        return run
+
+    def drawn(self):
+        """What a batch's own bigrams add to the tables of its contexts in every draw, for tasks."""
+        ranges, answers, sums, d, draws, k = self.ranges, self.answers, list(self.sums), self.d, self.draws, self.word_ranges
 
         def run(t: pa.Table, c: pa.Table) -> pa.Table:
             x = Batch(t, ranges)
             own = answers(x, c.filter(pc.is_valid(c.column("c"))))
-            w = Words(c.filter(pc.is_null(c.column("c"))), sums)
-            return table_of(Model.WORDS, report(x, t.column("batch")[0].as_py(), w.seat(x, d, number)[0], own))
+            words, tables = replay(x, c, sums, d)
+            seated = words.seat(x, d, *range(len(sums), len(sums) + draws), own=tables)
+            n, got = len(x.words), own & (x.count_all > 0)
+            added = np.stack([np.bincount(x.left[got], one[got], n) for one in seated]).astype(np.uint32)
+            cut, batch = np.searchsorted(x.words, bounds(k)), t.column("batch")[0].as_py()
+            rows = [(p, batch, pack(x.words[lo:hi]), pack(added[:, lo:hi].T)) for p, (lo, hi) in enumerate(zip([0, *cut], [*cut, n]))]
+            return table_of("part int, batch long, keys binary, tables binary", rows)
 
         return run
 
@@ -309,8 +339,11 @@ class Model:
         return lambda *a: Model.report(Free, *a)
 
     def both(self) -> DataFrame:
-        """Answers on bigrams and words in one frame."""
-        return self.counts.unionByName(self.state.drop("sums"), allowMissingColumns=True)
+        """Answers on bigrams and, of each exchange so far, on words in one frame."""
+        found = self.counts
+        for step, state in enumerate(self.states):
+            found = found.unionByName(state.drop("sums").withColumn("step", F.lit(step)), allowMissingColumns=True)
+        return found
 
     def score(self) -> DataFrame:
         """doc_id, learn, n_tokens, n_known, train_tokens, base_score and score of every row.
@@ -318,14 +351,15 @@ class Model:
         Scores are log10 probabilities. Null and empty texts hold the end token only. With
         nothing to learn from, both models are uniform.
         """
-        ranges, answers, sums, d, sweeps, draws = self.ranges, self.answers, dict(self.sums), self.d, self.sweeps, self.draws
+        ranges, answers, states, d, draws = self.ranges, self.answers, list(self.sums), self.d, self.draws
+        sums = states[-1]
         schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
         def run(t: pa.Table, c: pa.Table) -> pa.Table:
             x = Batch(t, ranges)
             answers(x, c.filter(pc.is_valid(c.column("c"))))
-            w = Words(c.filter(pc.is_null(c.column("c"))), sums)
-            logs = np.log10(w.average(x, d, sweeps, draws))[x.pair]
+            w, tables = replay(x, c, states, d)
+            logs = np.log10(w.average(x, d, len(states), draws, tables, totals(c, draws)))[x.pair]
             base = np.log10((w.seen + 0.5) / (sums["n"] + 0.5 * (sums["v"] + 1)))[x.text]
             add = lambda v: np.add.reduceat(v, x.starts)
             n = len(x.ids)
@@ -334,7 +368,7 @@ class Model:
                 "train_tokens": pa.array(np.full(n, sums["n"], np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(logs)),
             })
 
-        return self.store.groupBy("batch").cogroup(self.both().groupBy("batch")).applyInArrow(run, schema)
+        return self.store.groupBy("batch").cogroup(self.both().unionByName(self.totals, allowMissingColumns=True).groupBy("batch")).applyInArrow(run, schema)
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -350,26 +384,51 @@ class Words:
         d, v = sums["d"], sums["v"]
         self.parent = (np.maximum(get("sent") - d * get("own_tables"), 0) + (THETA + d * sums["tables"]) / (v + 1)) / (THETA + sums["customers"])
 
-    def seat(self, x: Batch, d: float, *salts: int) -> np.ndarray:
-        """Tables of every bigram, a row per salt; groups of one customer have no choice."""
+    def seat(self, x: Batch, d: float, *salts: int, own: np.ndarray) -> np.ndarray:
+        """Tables of every bigram, a row per salt, its ``own`` ones given up; groups of one customer have no choice."""
         many = x.many
         t = np.tile(np.minimum(x.count_all, 1), (len(salts), 1))
         left = x.left[many]
-        t[:, many] = seat(x.count_all[many], np.maximum(self.tables[left] - 1, 0), self.parent[x.right[many]], x.key[many], d, THETA, salts)
+        t[:, many] = seat(x.count_all[many], np.maximum(self.tables[left] - own[many], 0), self.parent[x.right[many]], x.key[many], d, THETA, salts)
         return t
 
-    def predict(self, x: Batch, tables: np.ndarray, d: float, which=slice(None)) -> np.ndarray:
-        left = x.left[which]
-        new = (THETA + d * self.tables[left]) * self.parent[x.right[which]]
-        return (np.maximum(x.count_all[which] - d * tables[which], 0) + new) / (THETA + self.customers[left])
-
-    def average(self, x: Batch, d: float, first: int, draws: int) -> np.ndarray:
-        """Mean predictive probability of every bigram over ``draws`` seatings."""
-        tables = self.seat(x, d, *range(first, first + draws))
-        p = self.predict(x, tables[0], d)
-        more = sum(self.predict(x, t, d, x.many) for t in tables[1:])
-        p[x.many] = (p[x.many] + more) / draws
-        return p
+    def predict(self, x: Batch, tables: np.ndarray, d: float, total: np.ndarray) -> np.ndarray:
+        """Predictive probability of every bigram, ``total`` being the words' tables as contexts in the same seating."""
+        new = (THETA + d * total[x.left]) * self.parent[x.right]
+        return (np.maximum(x.count_all - d * tables, 0) + new) / (THETA + self.customers[x.left])
+
+    def average(self, x: Batch, d: float, first: int, draws: int, own: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """Mean predictive probability of every bigram over ``draws`` seatings; ``drawn`` has each one's totals."""
+        tables = self.seat(x, d, *range(first, first + draws), own=own)
+        return sum(self.predict(x, t, d, total) for t, total in zip(tables, drawn)) / draws
+
+
+def replay(x: Batch, c: pa.Table, sums: list[dict], d: float) -> tuple[Words, np.ndarray]:
+    """The last state of a batch's words, and its groups' tables then: those of all sweeps one after another."""
+    tables, words = np.minimum(x.count_all, 1), None
+    for step, s in enumerate(sums):
+        if words is not None:
+            tables = words.seat(x, d, step, own=tables)[0]
+        words = Words(c.filter(pc.equal(c.column("step"), step)), s)
+    return words, tables
+
+
+def totals(c: pa.Table, draws: int) -> np.ndarray:
+    """draws x words: tables of a batch's words as contexts."""
+    t = c.filter(pc.is_valid(c.column("drawn"))).sort_by("part")
+    return np.concatenate([np.frombuffer(r.as_py(), np.uint32) for r in t.column("drawn")]).reshape(-1, draws).T.astype(np.float64)
+
+
+def add_draws(draws: int):
+    def add(t: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(r.as_py(), np.uint64) for r in t.column("keys")]
+        words, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate([np.frombuffer(r.as_py(), np.uint32) for r in t.column("tables")]).reshape(-1, draws)
+        sums = np.stack([np.bincount(at, n[:, i], len(words)) for i in range(draws)], 1).astype(np.uint32)
+        ends, part = np.cumsum([len(k) for k in keys]), t.column("part")[0].as_py()
+        return table_of("batch long, part int, drawn binary", [(b, part, pack(sums[at[e - len(k) : e]])) for b, k, e in zip(t.column("batch").to_pylist(), keys, ends)])
+
+    return add
 
 
 def tally(rows):

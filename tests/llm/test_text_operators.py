@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,29 @@ def test_hpylm_beats_the_base_on_held_out_text(spark):
     assert r[0] / r[2] > -0.75 and r[0] > r[1] + 0.5 * r[2]  # three equal followers: log10(1/3) = -0.48
 
 
+def test_every_context_predicts_with_mass_one(spark):
+    """Over all known words and the unknown one, in contexts of few and of many tables."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    learnt = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=100)), True) for i in range(60)]
+    asked = [(100 + i, f"{u} {w}", False) for i, (u, w) in enumerate(itertools.product([*words, "unknown"], repeat=2))]
+    m = hpylm.Model(spark.createDataFrame([*learnt, *asked, (99, "", False)], "doc_id long, text string, learn boolean").coalesce(1))
+    m.sample()
+    t, c = m.store.toArrow(), m.both().unionByName(m.totals, allowMissingColumns=True).toArrow()
+    x = hpylm.Batch(t, m.ranges)
+    own = m.answers(x, c.filter(pc.is_valid(c.column("c"))))
+    w, tables = hpylm.replay(x, c, m.sums, m.d)
+    drawn = hpylm.totals(c, m.draws)
+    seated = w.seat(x, m.d, *range(len(m.sums), len(m.sums) + m.draws), own=tables)
+    m.close()
+    assert t.num_rows == 1 and own.all() and len(x.words) == 32 and len(x.key) == 32 * 32
+    assert np.array_equal(np.bincount(x.left, tables, 32), w.tables)
+    assert all(np.array_equal(np.bincount(x.left, one, 32), total) for one, total in zip(seated, drawn))
+    mass = np.bincount(x.left, w.average(x, m.d, len(m.sums), m.draws, tables, drawn))
+    assert np.allclose(mass, 1, atol=1e-9)
+    assert abs(m.sums[-1]["customers"] - m.sums[-2]["customers"]) <= max(0.01 * m.sums[-2]["customers"], 3 * math.sqrt(m.sums[-2]["customers"]))
+
+
 def test_seatings_follow_their_conditional():
     d, theta, rest, p, n = 0.5, 1.0, 4, 0.05, 20000
     c = np.full(n, 3)
