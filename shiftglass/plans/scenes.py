@@ -121,15 +121,16 @@ def org_names(s, p):
     return D(s, p).withColumn("org_id", F.col("worker_key")), E(s, p).withColumn("org_id", F.col("worker_key"))
 
 
-def _overview(s, p):
+def _overview(s, p, some="true"):
     d, e = org_names(s, p)
-    orgs = O(s, p).where("org_id < 60").select(domain.numbered("trk-", F.col("org_id")).alias("org_id"))
+    orgs = O(s, p).where(some).select(domain.numbered("trk-", F.col("org_id")).alias("org_id"))
     return platform.overview(orgs, d, e)
 
 
 QUERIES = {
     "point_in_zone": lambda s, p: frames.in_zone(people(s, p), rectangles(s)),
     "zone_head_counts": lambda s, p: frames.zone_counts(people(s, p).where("frame % 20 = 0"), rectangles(s)),
+    "zone_head_counts_all": lambda s, p: frames.zone_counts(people(s, p), rectangles(s)),
     "iou_overlaps": lambda s, p: frames.overlaps(people(s, p), 0.3),
     "clear_people": lambda s, p: frames.clear_people(people(s, p)).select("frame", "person", "clear"),
     "countable_people": lambda s, p: frames.countable(people(s, p)).select("frame", "person", "countable"),
@@ -160,7 +161,8 @@ QUERIES = {
     "org_health": lambda s, p: platform.health(O(s, p), TODAY),
     "signup_series": lambda s, p: platform.signups(O(s, p), "2024-01-20", "2024-03-15"),
     "platform_totals": lambda s, p: platform.totals(O(s, p)),
-    "platform_overview": _overview,
+    "platform_overview": lambda s, p: _overview(s, p, "org_id < 60"),
+    "platform_overview_all": _overview,
     "platform_search": lambda s, p: platform.sort(platform.search(O(s, p), " 00 ", "attention"), "newest").select("org_id", "name", "created_on"),
     "action_histogram": lambda s, p: platform.histogram(D(s, p), "rule_type"),
     "outcome_scores": lambda s, p: evaluation.outcomes(judged(s, p)),
