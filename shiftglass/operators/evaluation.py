@@ -47,12 +47,16 @@ def contingency(rows: DataFrame, conditions: dict[str, str]) -> DataFrame:
     return rows.select("truth", "reading", holds).groupBy("condition", "truth").pivot("reading", ["PRESENT", "ABSENT", "UNVERIFIABLE"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def nearest(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """Smallest Hamming distance of each 64-bit hash or its mirror image to any of a bounded ``queries`` set's opposites.
+def nearest(queries: DataFrame, store: DataFrame, block: int = 1024, store_block: int = 65_536) -> DataFrame:
+    """Smallest Hamming distance of each query's 64-bit hash or its mirror image to any row of ``store`` but its own.
 
-    ``queries`` is broadcast; it is the small, stated side.
+    Both sides are dealt into numbered blocks of bounded size; a pair of blocks is joined at a time.
     """
-    pairs = store.crossJoin(F.broadcast(queries))
+    n, m = (max(1, -(-rows.count() // size)) for rows, size in ((queries, block), (store, store_block)))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = queries.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n)).cast("int")).withColumn("sb", every(m))
+    against = store.withColumn("sb", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("qb", every(n))
+    pairs = against.join(dealt.hint("shuffle_hash"), ["qb", "sb"]).where("id <> q_id")
     d = F.least(F.bit_count(F.col("hash").bitwiseXOR(F.col("q_hash"))), F.bit_count(F.col("hash").bitwiseXOR(F.col("q_mirror"))))
     return pairs.groupBy("q_id").agg(F.min(F.struct(d.alias("d"), F.col("id").alias("id"))).alias("m")).select("q_id", F.col("m.d").cast("int").alias("distance"), F.col("m.id").alias("nearest_id"))
 

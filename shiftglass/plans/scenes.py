@@ -113,6 +113,11 @@ def nearest(s, p):
     return evaluation.nearest(h.where("id % 25 = 0").select(F.col("id").alias("q_id"), F.col("hash").alias("q_hash"), F.col("mirror").alias("q_mirror")), h.where("id % 25 <> 0"))
 
 
+def nearest_all(s, p):
+    h = hashes(s, p)
+    return evaluation.nearest(h.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("hash").alias("q_hash"), F.col("mirror").alias("q_mirror")), h)
+
+
 HASH = "h AS (SELECT vec_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:62], lambda x: CAST(x > 0 AS BIGINT))), lambda a, b: a * 2 + b) AS hash, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_reverse(embedding[1:62]), lambda x: CAST(x > 0 AS BIGINT))), lambda a, b: a * 2 + b) AS mirror FROM embeddings)"
 NEAR = "near AS (SELECT q.id AS q_id, min(least(bit_count(xor(s.hash, q.hash)), bit_count(xor(s.hash, q.mirror)))) AS distance, arg_min(s.id, least(bit_count(xor(s.hash, q.hash)), bit_count(xor(s.hash, q.mirror))) * 1000000 + s.id) AS nearest_id FROM h q JOIN h s ON q.id % 25 = 0 AND s.id % 25 <> 0 GROUP BY q.id)"
 
@@ -171,6 +176,8 @@ QUERIES = {
     "reading_contingency": lambda s, p: evaluation.contingency(readings(s, p), CONDITIONS),
     "nearest_hash": nearest,
     "near_duplicate_summary": lambda s, p: evaluation.near_summary(nearest(s, p)),
+    "nearest_hash_all": nearest_all,
+    "near_duplicate_summary_all": lambda s, p: evaluation.near_summary(nearest_all(s, p)),
     "timing_errors": lambda s, p: evaluation.timing(T(s, p).select("zone_id", ((F.col("sample_id") % 13 - 6) / 10).alias("error")), "zone_id"),
     "stage_latency": lambda s, p: evaluation.latency(T(s, p), "zone_id", "activity_score"),
     "floor_projection": lambda s, p: people(s, p).select("frame", "person", *[F.round(c, 6).alias(n) for c, n in zip(g.project(F.array(*[F.array(*map(F.lit, r)) for r in ((1.0, 0.1, 5.0), (0.2, 1.1, -3.0), (0.001, 0.0005, 1.0))]), *g.ground_point(F.col("bbox"))), "xy")]),

@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import pytest
+
+from shiftglass.operators import evaluation
 from shiftglass.plans import scenes
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,3 +33,25 @@ def test_every_organisation_has_an_overview(spark):
     got = scenes.QUERIES["platform_overview_all"](spark, SF_DIR).collect()
     assert sorted((r["org_id"], r["decisions"], r["open_alerts"], r["events"], str(r["last_decision"])) for r in got) == sorted((k, n[k], pending[k], events[k], str(last.get(k))) for k in names)
     assert any(int(k[4:]) >= 60 for k in names)
+
+
+def closest(rows, queries):
+    distance = lambda q, r: min((q["hash"] ^ r["hash"]).bit_count(), (q["mirror"] ^ r["hash"]).bit_count())
+    return sorted((q["id"], *min((distance(q, r), r["id"]) for r in rows if r["id"] != q["id"])) for q in queries)
+
+
+def test_nearest_hash_searches_every_other_row(spark):
+    rows = scenes.hashes(spark, SF_DIR).collect()
+    want = closest(rows, [r for r in rows if r["id"] % 100 == 0])
+    assert any(i % 25 == 0 for _, _, i in want)
+    assert sorted(map(tuple, scenes.QUERIES["nearest_hash_all"](spark, SF_DIR).collect())) == want
+    found = scenes.QUERIES["near_duplicate_summary_all"](spark, SF_DIR).first()
+    assert (found["n"], found["identical"], found["near"]) == (len(want), sum(d <= 0 for _, d, _ in want), sum(d <= 6 for _, d, _ in want))
+
+
+@pytest.mark.parametrize("block, store_block", [(1, 7), (5, 1000)])
+def test_nearest_by_blocks(spark, block, store_block):
+    rows = [{"id": i, "hash": (i // 2 * 2654435761) % 2**40, "mirror": (i * 40503) % 2**40} for i in range(60)]
+    h = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, hash long, mirror long")
+    got = evaluation.nearest(h.where("id % 4 = 0").toDF("q_id", "q_hash", "q_mirror"), h, block, store_block)
+    assert sorted(map(tuple, got.collect())) == closest(rows, [r for r in rows if r["id"] % 4 == 0])
