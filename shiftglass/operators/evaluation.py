@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rounding import ratio, rounded
 
@@ -74,5 +74,10 @@ def timing(errors: DataFrame, by: str) -> DataFrame:
 
 def latency(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Mean and nearest-rank 95th percentile: the element at floor(0.95 (n - 1)) of the sorted values."""
-    s = F.sort_array(F.collect_list(value))
-    return samples.groupBy(by).agg(rounded(F.avg(value), 3).alias("mean"), F.get(s, F.floor(0.95 * (F.count(value) - 1)).cast("int")).alias("p95"))
+    n = samples.groupBy(by, value).agg(F.count(value).alias("__n"))
+    up_to = F.sum("__n").over(Window.partitionBy(by).orderBy(F.col(value).asc_nulls_first()))
+    total = F.sum("__n").over(Window.partitionBy(by))
+    at = n.withColumn("__up", up_to).withColumn("__all", total)
+    p95 = at.where(F.col("__up") > F.floor(0.95 * (F.col("__all") - 1))).where(F.col("__n") > 0).groupBy(F.col(by).alias("__by")).agg(F.min(value).alias("p95"))
+    means = samples.groupBy(by).agg(rounded(F.avg(value), 3).alias("mean"))
+    return means.join(p95, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")

@@ -55,3 +55,14 @@ def test_nearest_by_blocks(spark, block, store_block):
     h = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, hash long, mirror long")
     got = evaluation.nearest(h.where("id % 4 = 0").toDF("q_id", "q_hash", "q_mirror"), h, block, store_block)
     assert sorted(map(tuple, got.collect())) == closest(rows, [r for r in rows if r["id"] % 4 == 0])
+
+
+def test_latency_collects_no_group(spark):
+    rows = [(None if i % 9 == 0 else f"z{i % 3}", None if i % 7 == 0 else float(i * 37 % 50)) for i in range(400)] + [("none", None)]
+    found = evaluation.latency(spark.createDataFrame(rows, "zone string, v double"), "zone", "v")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    want = {}
+    for z in {z for z, _ in rows}:
+        v = sorted(x for y, x in rows if y == z and x is not None)
+        want[z] = v[int(0.95 * (len(v) - 1))] if v else None
+    assert {r["zone"]: r["p95"] for r in found.collect()} == want
