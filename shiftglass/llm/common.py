@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -168,3 +168,31 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 
 def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
+
+
+# --------------------------------------------------------------------------- joins with hot keys
+HOT_KEYS = 4096
+
+
+def hot_join(left: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, spread: list[str]) -> DataFrame:
+    """``left`` with the columns of ``facts``, null where it has none of ``keys`` (null matches nothing).
+
+    ``facts`` has one row a key, and in ``n`` how many rows of ``left`` hold it, ``total`` in
+    all. Keys of over ``total`` / ``HOT_KEYS`` rows, of which there are fewer than
+    ``HOT_KEYS``, are broadcast; their rows are dealt by ``spread`` and never meet in a task.
+    """
+    more = [c for c in facts.columns if c not in keys]
+    hot = facts.where(F.col(n) * HOT_KEYS > total).select(*keys, F.struct(*more).alias("__hot"))
+    cold = facts.where(F.col(n) * HOT_KEYS <= total).select(*keys, F.struct(*more).alias("__cold"), F.lit(0).cast("long").alias("__spread"))
+    dealt = F.when(F.col("__hot").isNotNull() | F.col(keys[0]).isNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("long"))
+    both = left.join(F.broadcast(hot), keys, "left").withColumn("__spread", dealt).join(cold, [*keys, "__spread"], "left")
+    return both.select(*left.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in more])
+
+
+def numbered(df: DataFrame, order: list, name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in the order of the columns ``order``, by a range-partitioned sort and the partitions' sizes."""
+    placed = scratch.keep(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return placed.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn(name, F.col("__from") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__from")

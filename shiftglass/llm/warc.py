@@ -1,29 +1,38 @@
 """WARC archives and a globally ordered capture index by external merging.
 
 Captures of equal payload share one ``response`` record, the others are ``revisit``
-records that point to it. Every task writes its captures into archives whose records are
-in index order, so that each archive is a sorted run. Reading an archive back yields its
-records; the runs' entries are dealt by key range and each range merges its runs with a
-loser tree, which gives the capture history of all archives in order of URL key and time.
+records that point to it and hold no payload. Every task writes its captures into archives
+whose records are in index order, so that each archive is a sorted run. Reading an archive
+back yields its records; the runs' entries are dealt by key range and each range merges its
+runs with a loser tree, which gives the capture history of all archives in order of URL key
+and time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import urllib.parse
 import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, slices, widened
+from .common import Scratch, hot_join, slices, widened
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 8 << 20
 EPOCH = 1_700_000_000
+CLOCK = 1 << 32
 RANGE_ROWS = 200_000
+WINDOW = 1 << 16
+
+
+def captured_at(page_id: int | None) -> int:
+    """Pages carry no time: their id, modulo ``CLOCK``, counts as seconds from ``EPOCH`` on (a null id as 0)."""
+    return EPOCH + (page_id or 0) % CLOCK
 
 
 def url_key(url: str | None) -> str:
@@ -47,16 +56,16 @@ def uri(page_id: int) -> str:
 
 
 # --------------------------------------------------------------------------- one record
-def record(kind: str, page_id, url, at: int, payload: bytes, digest: str, refers_to) -> bytes:
+def record(kind: str, page_id, url, at: int, payload: bytes | None, size: int, digest: str, refers_to) -> bytes:
     """One gzip member. A revisit holds no payload; its size is in a header."""
     body = b""
     if kind == "response":
         body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {stamp(at)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {stamp(at)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if page_id is not None:
         head.append(f"WARC-Record-ID: {uri(page_id)}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe='%/:?#[]@!$&()*+,;=~')}")
+        head.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe='/:?#[]@!$&()*+,;=~')}")
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {uri(refers_to)}"]
     head.append(f"Content-Length: {len(body)}")
@@ -65,42 +74,52 @@ def record(kind: str, page_id, url, at: int, payload: bytes, digest: str, refers
 
 
 def records(archive: bytes):
-    """(offset, headers, block) of each record of an archive."""
-    at = 0
-    while at < len(archive):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(memoryview(archive)[at:])
-        size = len(archive) - at - len(z.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+    """(offset, headers, block) of each record of an archive; its bytes are fed to the decoder window by window."""
+    at, view = 0, memoryview(archive)
+    while at < len(view):
+        z, parts, pos = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if pos >= len(view):
+                raise ValueError(f"the record at {at} is cut off")
+            parts.append(z.decompress(view[pos : pos + WINDOW]))
+            pos = min(pos + WINDOW, len(view))
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
-            raise ValueError("not a WARC record")
+            raise ValueError(f"no WARC record at {at}")
         fields = dict(x.split(": ", 1) for x in lines[1:])
         yield at, fields, rest[: int(fields["Content-Length"])]
-        at += size
+        at = pos - len(z.unused_data)
+
+
+def place(key: str, at: int, page_id: int | None, digest: str) -> tuple:
+    """A capture's place in the index: by URL key, time, page_id (null first) and digest."""
+    return key, at, page_id is not None, page_id or 0, digest
 
 
 # --------------------------------------------------------------------------- writing
 def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload, digest, record_type and refers_to of every row.
+    """page_id, url, payload (null for revisits), payload_bytes, digest, record_type and refers_to of every row.
 
     Null html counts as empty. Among equal payloads of ``min_revisit`` bytes or more the
     largest page_id responds (all rows that carry it); a null page_id never does unless the
-    whole group is null.
+    whole group is null. A payload of very many pages is told by a broadcast of its digest.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    long_enough = F.octet_length("payload") >= min_revisit
-    keepers = rows.where(long_enough).groupBy("digest").agg(F.max("page_id").alias("__keeper"), F.count("*").alias("__n")).where("__n > 1").select(F.col("digest").alias("__digest"), "__keeper")
-    revisit = F.col("__keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__keeper"))
-    return rows.join(keepers, F.col("digest") == F.col("__digest"), "left").select(
-        "page_id", "url", "payload", "digest",
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
+    long_ones = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
+    keepers = Scratch(pages.sparkSession, "keepers").keep(long_ones.where("copies > 1"))
+    found = hot_join(rows, keepers, ["digest"], "copies", pages.count(), ["page_id", "url"])
+    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    return found.select(
+        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("__keeper")).alias("refers_to"),
+        F.when(revisit, F.col("keeper")).alias("refers_to"),
     )
 
 
 def write(found: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives (archive, content) of about ``archive_bytes`` of payload; a capture's time is its page_id in seconds."""
+    """Archives (archive, content) of about ``archive_bytes`` of payload."""
 
     def run(batches):
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -115,10 +134,10 @@ def write(found: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
 
         for b in slices(batches, "payload", archive_bytes):
             for r in b.to_pylist():
-                at = EPOCH + (r["page_id"] or 0)
-                key = (url_key(r["url"]), at, r["page_id"] or 0)
-                held.append((key, record(r["record_type"], r["page_id"], r["url"], at, r["payload"], r["digest"], r["refers_to"])))
-                size += len(r["payload"])
+                at = captured_at(r["page_id"])
+                made = record(r["record_type"], r["page_id"], r["url"], at, r["payload"], r["payload_bytes"], r["digest"], r["refers_to"])
+                held.append((place(url_key(r["url"]), at, r["page_id"], r["digest"]), made))
+                size += len(made) + len(r["payload"] or b"")
                 if size >= archive_bytes:
                     yield archive()
                     number, held, size = number + 1, [], 0
@@ -192,33 +211,44 @@ def loser_tree(runs: list[list]):
 
 
 def merge(entries: DataFrame, ranges: int) -> DataFrame:
-    """``entries`` in global order of (url_key, captured_at, page_id), with position.
+    """``entries`` in global order of (url_key, captured_at, page_id, payload_digest), with ``range`` and ``place`` in it.
 
-    ``position`` grows with that order over all rows. Each key range holds parts of many
-    runs, every one already in order.
+    Each key range holds parts of many runs, every one already in order; a key of many
+    captures is split by time and id.
     """
-    dealt = entries.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "archive", "number")
+    dealt = entries.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "payload_digest", "archive", "number")
 
     def run(batches):
         task, tables = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
         if not tables:
             return
         t = pa.Table.from_batches(tables)
-        keys = list(zip(t.column("url_key").to_pylist(), t.column("captured_at").to_pylist(), [x or 0 for x in t.column("page_id").to_pylist()]))
+        keys = [place(*x) for x in zip(*(t.column(c).to_pylist() for c in ("url_key", "captured_at", "page_id", "payload_digest")))]
         parts: dict[str, list] = {}
         for i, (name, n) in enumerate(zip(t.column("archive").to_pylist(), t.column("number").to_pylist())):
             parts.setdefault(name, []).append((n, i))
         runs = [[(keys[i], name, n, i) for n, i in sorted(part)] for name, part in sorted(parts.items())]
+        for run in runs:
+            if any(a > b for a, b in itertools.pairwise(run)):
+                raise ValueError(f"archive {run[0][1]} is not in order")
         order = pa.array([x[-1] for x in loser_tree(runs)], pa.int64())
-        place = pa.array(range(task << 40, (task << 40) + len(order)), pa.int64())
-        yield from t.take(order).append_column("position", place).combine_chunks().to_batches()
+        out = t.take(order).append_column("range", pa.array([task] * len(order), pa.int64())).append_column("place", pa.array(range(len(order)), pa.int64()))
+        yield from out.combine_chunks().to_batches()
 
-    return dealt.mapInArrow(run, widened(entries, "position long"))
+    return dealt.mapInArrow(run, widened(entries, "range long", "place long"))
 
 
 def capture_index(pages: DataFrame, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write all pages into archives, read them back and merge their index."""
+    """Write all pages into archives, read them back and merge their index.
+
+    One row per page: its record's headers, archive and offset, and ``position``, 0, 1, ...
+    in the order of the index. Any page_id, null and repeated ones included, and any URL
+    (null: the empty key) will do; an empty table gives an empty index.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     archives = scratch.keep(write(captures(pages, min_revisit), archive_bytes))
     entries = scratch.keep(read(archives))
-    return merge(entries, max(1, -(-entries.count() // RANGE_ROWS)))
+    merged = scratch.keep(merge(entries, max(1, -(-entries.count() // RANGE_ROWS))))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return merged.join(F.broadcast(sizes), "range").withColumn("position", F.col("first") + F.col("place")).drop("range", "place", "first")
