@@ -46,7 +46,7 @@ def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines deleted from every document as later copies of repeated runs."""
     found = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_copy", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the archives, by way of the merged index."""
     index = warc.capture_index(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
 
 
 QUERIES = {
@@ -110,23 +110,47 @@ WHERE r <= 5""",
     "op5_line_dedup": """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, text IS NULL AS gone FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+n AS (SELECT *, dense_rank() OVER (ORDER BY line) AS name FROM l),
+s AS (SELECT doc_id, list(name ORDER BY i) AS names FROM n GROUP BY doc_id),
 r AS (
-  SELECT *, CASE WHEN lead(i, 3) OVER w IS NOT NULL THEN
-    line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w || chr(10) || lead(line, 3) OVER w END AS run
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT *, CASE WHEN lead(i, 3) OVER w IS NOT NULL THEN [name, lead(name, 1) OVER w, lead(name, 2) OVER w, lead(name, 3) OVER w] END AS run
+  FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 f AS (
   SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND length(line) >= 50 AS copy1,
-    run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS copy4
+    run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS copy4,
+    run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS many
   FROM r),
+a AS (SELECT f.doc_id, i, copy4, names[i:] AS suffix FROM f JOIN s ON f.doc_id = s.doc_id WHERE many),
+b AS (SELECT *, lag(suffix) OVER (ORDER BY suffix, doc_id, i) AS above, lead(suffix) OVER (ORDER BY suffix, doc_id, i) AS below FROM a),
+m AS (
+  SELECT doc_id, copy4,
+    coalesce(list_position(list_transform(generate_series(1, least(len(suffix), len(above)) + 1), lambda k: k <= least(len(suffix), len(above)) AND suffix[k] = above[k]), false) - 1, 0) AS up,
+    coalesce(list_position(list_transform(generate_series(1, least(len(suffix), len(below)) + 1), lambda k: k <= least(len(suffix), len(below)) AND suffix[k] = below[k]), false) - 1, 0) AS down
+  FROM b),
+t AS (SELECT doc_id, max(greatest(up, down)) AS longest FROM m WHERE copy4 GROUP BY doc_id),
 g AS (SELECT *, copy1 OR bool_or(copy4) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS dead FROM f),
-k AS (SELECT doc_id, count(*) FILTER (dead) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dead), '')) AS kept_sha256 FROM g GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.gone THEN 0 ELSE len(d.lines) END AS n_lines, k.n_removed, k.kept_sha256 FROM d JOIN k ON d.doc_id = k.doc_id""",
-    "op9_warc": """
+e AS (SELECT *, dead AND NOT coalesce(lag(dead) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+k AS (
+  SELECT doc_id, count(*) FILTER (dead) AS n_removed, count(*) FILTER (begins) AS n_runs, max(CAST(copy1 AS INT)) AS single,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dead), '')) AS kept_sha256 FROM e GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.gone THEN 0 ELSE len(d.lines) END AS n_lines, k.n_removed, k.n_runs, greatest(coalesce(t.longest, 0), k.single) AS longest_copy, k.kept_sha256
+FROM d JOIN k ON d.doc_id = k.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op9_warc": r"""
 WITH p AS (
-  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    1700000000 + coalesce(page_id, 0) % 4294967296 AS captured_at,
+    split_part(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#', 1) AS rest
+  FROM pages),
+u AS (SELECT *, split_part(rest, '/', 1) AS host, rest[strlen(split_part(rest, '/', 1)) + 1:] AS path FROM p),
+h AS (SELECT *, lower(split_part(string_split(host, '@')[-1], ':', 1)) AS name FROM u),
+k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper,
+    CASE WHEN rest IS NULL THEN '' ELSE array_to_string(list_reverse(string_split(name, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END END AS url_key
+  FROM h)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to,
+  url_key, CAST(captured_at AS BIGINT) AS captured_at,
+  row_number() OVER (ORDER BY url_key, captured_at, page_id NULLS FIRST, payload_digest) - 1 AS position
 FROM k""",
 }

@@ -167,9 +167,27 @@ def test_archives_give_back_all_pages(spark):
     assert sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got) == sorted(want(i, u, h) for i, u, h, _ in pages)
     ordered = sorted(got, key=lambda r: r["position"])
     assert [(r["url_key"], r["captured_at"]) for r in ordered] == sorted((r["url_key"], r["captured_at"]) for r in got)
+    assert [r["position"] for r in ordered] == list(range(len(pages)))
     assert warc.capture_index(df.where("false")).count() == 0
 
 
+def test_archives_take_any_id_and_any_url(spark, monkeypatch):
+    """Ids beyond every calendar, escapes, and an order that holds across archives and key ranges."""
+    from shiftglass.llm import common
+
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    paths = ["%7e", "~b", "b", "m", "%7A%7a", "zq", "Ax", "%2525", "é", "%C3%A9", "a b", "a%20b", "", "%"]
+    pages = [(10**12 * (i % 3) + i * 7919 % 101, f"http://h.org/{paths[i % len(paths)]}" if i % 11 else None, "same " * 300 if i % 2 else str(i)) for i in range(90)]
+    pages += [(-5, "http://h.org/", "x"), (2**63 - 1, "http://h.org/", "x"), (-(2**63), "http://h.org/", "x"), (None, "http://h.org/", "x")]
+    got = warc.capture_index(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5), archive_bytes=2000).collect()
+    place = lambda i, u, h: warc.place(warc.url_key(u), warc.captured_at(i), i, hashlib.sha1((h or "").encode()).hexdigest())
+    ordered = sorted(got, key=lambda r: r["position"])
+    assert [warc.place(r["url_key"], r["captured_at"], r["page_id"], r["payload_digest"]) for r in ordered] == sorted(place(*p) for p in pages)
+    keeper = max(i for i, _, h in pages if i is not None and h.startswith("same"))
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {keeper}
+
+
 def test_loser_tree_merges_runs():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 8):

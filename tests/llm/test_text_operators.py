@@ -267,6 +267,27 @@ def test_line_dedup_matches_brute_force(spark, none):
         want[i] = (sum(dead), None if t is None else "\n".join(x for x, g in zip(lines, dead) if not g))
     assert {i: (r["n_removed"], r["text"]) for i, r in got.items()} == want
     assert linedup.dedup(none).count() == 0
+    # the longest run that starts at a copy of four lines and also starts elsewhere
+    text = {(i, k): (t or "").split("\n")[k:] for i, t in order for k in range((t or "").count("\n") + 1)}
+    shared = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    seen, longest = set(), Counter()
+    for (i, k), x in text.items():
+        if len(x) >= 4 and tuple(x[:4]) in seen:
+            longest[i] = max(longest[i], max(shared(x, y) for p, y in text.items() if p != (i, k)))
+        seen.add(tuple(x[:4]))
+    assert {i: r["longest_copy"] for i, r in got.items() if i in longest} == dict(longest) and max(longest.values()) == 39
+    assert all(r["longest_copy"] == (r["n_removed"] > 0) for i, r in got.items() if i not in longest)
+
+
+def test_line_dedup_splits_hot_lines(spark, monkeypatch):
+    from shiftglass.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    rows = [(i, "\n".join(["same"] * (i % 5 + 1) + [f"own {i % 7}"] + ["same"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["longest_copy"]) for r in linedup.dedup(df).collect()}
+    monkeypatch.setattr(common, "HOT_KEYS", 4096)
+    assert got == {r["doc_id"]: (r["n_removed"], r["longest_copy"]) for r in linedup.dedup(df).collect()} and got[59][0] > 0
 
 
 def test_line_dedup_uses_no_python(docs):
