@@ -95,17 +95,17 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+u AS MATERIALIZED (SELECT rid, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM u q JOIN u c ON q.i = c.i AND q.vec_id <> c.vec_id
+  SELECT q.rid, q.vec_id AS query_id, c.rid AS other, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM u q JOIN u c ON q.i = c.i AND q.rid <> c.rid
   WHERE q.vec_id % 50 = 0 GROUP BY ALL)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS r FROM s)
 WHERE r <= 5""",
     "op5_line_dedup": """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, text IS NULL AS gone FROM documents),

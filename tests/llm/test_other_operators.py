@@ -17,23 +17,41 @@ TEXTS = [None, "", " ", "a", "Hello, World! It's 2024 Été", "x" * 9000, "many
 
 
 # --------------------------------------------------------------------------- top-k
+def brute_topk(rows, step, k):
+    """Rows (id, vector), null ids last among equal scores; every row but the query's own is a candidate."""
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (i, v) in enumerate(good):
+        if i is not None and i % step == 0:
+            found = [(max(-topk.BOUND, min(topk.BOUND, sum(a * b for a, b in zip(v, w)))), j) for m, (j, w) in enumerate(good) if m != n and len(w) == len(v)]
+            found.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+            out += [(i, r + 1, j, s) for r, (s, j) in enumerate(found[:k])]
+    return Counter(out)
+
+
 def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(-3, 4, (120, 6)) / 8 + 0.01
-    rows = [(i, [float(x) for x in r], 1) for i, r in enumerate(v)] + [(200, None, 1), (201, [1.0, None], 1), (202, [float("nan")] * 6, 1), (203, [float("inf")] * 6, 1), (None, [1.0] * 6, 1), (204, [], 1), (5, [float(x) for x in v[5]], 1)]
-    q = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"))
-    got = topk.search(q, F.col("id") % 10 == 0, 5).collect()
-    n = np.floor(256 * v.astype(np.float32).astype(np.float64)).astype(int)
-    s = n @ n.T
-    want = {(i, r + 1, j, int(s[i, j])) for i in range(0, 120, 10) for r, j in enumerate(sorted((j for j in range(120) if j != i), key=lambda j: (-s[i, j], j))[:5])}
-    assert {tuple(r) for r in got} == want
-    assert topk.search(q.where("false"), F.col("id") % 10 == 0, 5).count() == 0
-    assert topk.search(q.where("id < 3"), F.col("id") == 0, 5).count() == 2
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6), (204, [])]
+    rows += [(5, [float(x) for x in v[5]]), (10, [float(x) for x in v[10]]), (10, [0.5] * 6), (300, [1.0, 2.0]), (301, [2.0, 1.0]), (1, [5.0] * 6)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, row int").repartition(3)
+    got = topk.search(topk.quantise(df), F.col("id") % 10 == 0, 5)
+    assert Counter(tuple(r) for r in got.collect()) == brute_topk(rows, 10, 5)
+    q = topk.quantise(df)
+    assert topk.search(q.where("false"), F.col("id") % 10 == 0, 5).count() == 0 and topk.search(q, F.col("id") < 0, 5).count() == 0
+    assert topk.search(q.where("id < 3"), F.col("id") == 0, 9).count() == 3
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 1e9]), (3, [0.1, 0.1]), (4, [1e12, 1e12]), (5, [1.3e7, -1.3e7])]
+    got = topk.search(topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.lit(True), 3).collect()
+    held = [(i, [max(-topk.LARGEST / 256, min(topk.LARGEST / 256, x)) for x in v]) for i, v in rows]
+    assert Counter(tuple(r) for r in got) == brute_topk(held, 1, 3)
 
 
 def test_topk_ties_and_groups(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_GROUP", 7)
-    monkeypatch.setattr(topk, "CANDIDATE_GROUP", 11)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 14)
+    monkeypatch.setattr(topk, "CANDIDATE_GROUP", 22)
     q = topk.quantise(spark.createDataFrame([(i, [1.0, 1.0]) for i in range(40)], "vec_id long, embedding array<double>"))
     got = topk.search(q, F.col("id") % 2 == 0, 3).collect()
     assert all(sorted(r["vec_id"] for r in got if r["query_id"] == i) == [j for j in range(4) if j != i][:3] for i in range(0, 40, 2))
