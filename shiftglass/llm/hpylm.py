@@ -2,22 +2,23 @@
 
 Restaurants: one per context (the word before), all sharing one parent, the word
 restaurant, whose own parent is uniform over the vocabulary. A table in a context
-restaurant is a customer of the parent. Each sweep re-seats every (context, word) group
-given the parent's state and the other tables of its context, sends the table counts to
-the parent and re-seats that, until the number of tables settles. Then several seatings
-are drawn, each context's tables are added up for every draw, and the draws' predictive
-probabilities averaged. A group's tables are not stored: tasks seat it anew through all
-sweeps from the states the parent sent.
+restaurant is a customer of the parent. A sweep re-seats every (context, word) group from
+its conditional, given the other tables of its context and the parent without the group's
+own customers, then re-seats the parent. All groups move at once, as in distributed Gibbs
+sampling; after a burn-in, every sweep's state of both levels is a draw, and the predictive
+probabilities of the draws are averaged.
 
 Nothing is keyed by word in the shuffles, so that no word can be hot: documents are held
-in batches of tokens, a batch asks for each of its distinct words or bigrams once, with
-its own count, as one packed array per hash range; a range answers every batch in the
-order asked. Exactly one batch owns a bigram and reports its tables to the parent. All
-seatings derive from the bigram's key, so batches agree on them and reruns repeat them.
+in batches of tokens, a batch sends each of its distinct bigrams once, with its own count,
+to hash ranges of bigrams. A range holds each bigram of the corpus once, with its customers
+and tables, and is rewritten by every sweep; it asks hash ranges of words for the totals of
+its distinct words, each once. In the end every range answers the batches in the order
+asked. All draws derive from the words' hashes, so that reruns repeat them.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
@@ -31,61 +32,128 @@ from .common import END_TOKEN, U, Scratch, flat, mix, pack, slices, word_hashes
 
 BATCH_TOKENS = 3 << 19
 RANGE_KEYS = 1_500_000
-KEY_BITS = 39
 THETA = 1.0
+BURN_IN = 4
 DRAWS = 4
-EXACT = 32
+EXACT = 256
+GRID = 64
 
 
 # --------------------------------------------------------------------------- seatings
+@functools.lru_cache(8)
 def stirling(d: float, n: int = EXACT) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers: ways to seat c customers at t tables."""
     s = np.full((n + 1, n + 1), -np.inf)
     s[0, 0] = 0.0
+    t = np.arange(1, n + 1)
     for c in range(n):
-        for t in range(1, c + 2):
-            s[c + 1, t] = np.logaddexp(s[c, t - 1], s[c, t] + math.log(c - d * t) if c > d * t and t <= c else -np.inf)
+        stay = c - d * t
+        s[c + 1, 1:] = np.logaddexp(s[c, :-1], np.where((t <= c) & (stay > 0), s[c, 1:] + np.log(np.maximum(stay, 1e-300)), -np.inf))
     return s
 
 
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers."""
+    x = np.asarray(x, np.float64)
+    shift = sum(np.log(x + i) for i in range(8))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """``stirling`` for many customers: a saddle-point value of the generating function ((1 - (1 - x)^d) / d)^t c! / t!."""
+    goal = np.log(c / t)
+    y = np.maximum((goal - math.log(d)) / (1 - d), 2 * goal / (1 - d + 1e-9) * 0.5 + 1e-9)
+    for _ in range(40):
+        a, b = np.expm1(y), np.expm1(d * y)
+        h = -np.log1p(1 / a) + (1 - d) * y + math.log(d) + np.log1p(1 / b)
+        step = (h - goal) / (1 / a + (1 - d) - d / b)
+        y = np.clip(y - step, y / 4, y * 4)
+        if np.all(np.abs(step) <= 1e-10 * (1 + y)):
+            break
+    a, b = np.expm1(y), np.expm1(d * y)
+    spread = c * (1 / a + (1 - d) - d / b) * a
+    return lgamma(c + 1.0) - lgamma(t + 1.0) + t * (-np.log1p(1 / b) - math.log(d)) + c * np.log1p(1 / a) - 0.5 * np.log(2 * math.pi * spread)
+
+
+@functools.lru_cache(8)
+def shortfall(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log(t / c^d), and what ``saddle`` lacks there: it depends on that ratio alone, and falls in a line below it."""
+    t = np.arange(1.0, EXACT // 2)
+    lacks = stirling(d)[EXACT, 1 : len(t) + 1] - saddle(np.full(len(t), float(EXACT)), t, d)
+    at = np.log(t) - d * math.log(EXACT)
+    slope = (lacks[1] - lacks[0]) / (at[1] - at[0])
+    return np.concatenate([[at[0] - 60], at]), np.concatenate([[lacks[0] - 60 * slope], lacks])
+
+
+def log_weight(t: np.ndarray, c, rest, p, e, d: float, theta: float) -> np.ndarray:
+    """Unnormalised log probability of ``t`` tables of ``c`` customers, for many customers."""
+    w = saddle(c, t, d) + np.interp(np.log(t) - d * np.log(c), *shortfall(d))
+    r = theta / d + rest
+    w = w + t * math.log(d) + lgamma(r + t) - lgamma(r)
+    return w + (t * np.log(p) if e is None else lgamma(p * e + t) - lgamma(p * e) - lgamma(e + t) + lgamma(e))
+
+
 def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     return (mix(keys + U((salt * 0x9E3779B97F4A7C15) % 2**64)) >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
-def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, keys: np.ndarray, d: float, theta: float, salts: tuple[int, ...]) -> np.ndarray:
-    """Tables of groups of ``c`` equal customers, the other tables of their restaurant and parent given; a row per salt.
+def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, keys: np.ndarray, d: float, theta: float, salt: int, e: np.ndarray | None = None) -> np.ndarray:
+    """Tables of groups of ``c`` equal customers, the other tables of their restaurant and parent given.
 
-    Up to ``EXACT`` customers the whole group is drawn from its exact conditional; larger
-    groups are seated one after another, from the 64th customer on in steps of 1/64 of
-    those seated, a step's new tables rounded at random around their mean.
+    ``p`` is the parent's probability of the group's word; with ``e``, the parent's customers
+    and strength, it grows with every table: (p e + k) / (e + k). Up to ``EXACT`` customers
+    t is drawn from the weights themselves, above from their saddle-point values around the
+    mode (log-concave in t), all of them or, if they spread over more than ``GRID``, in steps.
     """
-    t = np.tile(np.minimum(c, 1), (len(salts), 1))
-    small = np.flatnonzero((c > 1) & (c <= EXACT))
+    t = np.minimum(c, 1)
+    lows = [2 << i for i in range((EXACT).bit_length() - 1)]
     table = stirling(d)
-    for part in np.array_split(small[np.argsort(c[small], kind="stable")], max(1, len(small) // 50_000)):
-        if not len(part):
+    for lo in lows:
+        band = np.flatnonzero((c >= lo) & (c < 2 * lo) & (c <= EXACT))
+        for part in np.array_split(band, max(1, len(band) * lo >> 19)):
+            if not len(part):
+                continue
+            k = np.arange(1, int(c[part].max()) + 1)
+            logs = table[c[part][:, None], k] + np.cumsum(np.log(theta + d * (rest[part, None] + k - 1)), axis=1)
+            if e is None:
+                logs += k * np.log(p[part, None])
+            else:
+                logs += np.cumsum(np.log(((p * e)[part, None] + k - 1) / (e[part, None] + k - 1)), axis=1)
+            weights = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
+            t[part] = 1 + (weights < uniform(keys[part], salt)[:, None] * weights[:, -1:]).sum(1)
+    every = np.flatnonzero(c > EXACT)
+    for big in np.array_split(every, max(1, len(every) >> 12)):
+        if not len(big):
             continue
-        w = int(c[part].max())
-        k = np.arange(1, w + 1)
-        grow = np.cumsum(np.log(theta + d * (rest[part, None] + k - 1)), axis=1)
-        logs = table[c[part][:, None], k] + k * np.log(p[part, None]) + grow
+        n = c[big].astype(np.float64)
+        given = (rest[big], p[big], None if e is None else e[big])
+        value = lambda x, rows=slice(None): log_weight(x, n[rows], given[0][rows], given[1][rows], None if e is None else given[2][rows], d, theta)  # noqa: E731, B023
+
+        def first(low, high, holds):
+            """The smallest t from ``low`` to ``high`` that ``holds``, which it does from there on."""
+            low, high = low.copy(), high.copy()
+            while (open_ := low < high).any():
+                rows = np.flatnonzero(open_)
+                mid = np.floor((low[rows] + high[rows]) / 2)
+                ok = holds(mid, rows)
+                high[rows], low[rows] = np.where(ok, mid, high[rows]), np.where(ok, low[rows], mid + 1)
+            return low
+
+        mode = first(np.ones(len(big)), n - 1, lambda x, rows: value(x + 1, rows) <= value(x, rows))
+        least = value(mode) - 40
+        start = first(np.ones(len(big)), mode, lambda x, rows: value(x, rows) >= least[rows])
+        last = first(mode, n - 1, lambda x, rows: value(x + 1, rows) < least[rows])
+        step = np.ceil((last - start + 1) / GRID)
+        at = start[:, None] + step[:, None] * np.arange(GRID)
+        spread = lambda x: np.repeat(x, GRID)
+        centre = np.minimum(at + (step[:, None] - 1) / 2, (n - 1)[:, None])
+        logs = log_weight(centre.ravel(), spread(n), spread(given[0]), spread(given[1]), None if e is None else spread(given[2]), d, theta).reshape(at.shape)
+        logs = np.where(at <= last[:, None], logs, -np.inf)
         weights = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
-        for i, salt in enumerate(salts):
-            t[i, part] = 1 + (weights < uniform(keys[part], salt)[:, None] * weights[:, -1:]).sum(1)
-    big = np.flatnonzero(c > EXACT)
-    big = big[np.argsort(-c[big], kind="stable")]  # those still open are always the first ones
-    size, spread, chance = c[big].astype(np.float64), rest[big].astype(np.float64), p[big]
-    for i, salt in enumerate(salts if len(big) else ()):
-        x, n, step = np.ones(len(big)), 1, 0
-        while live := int(np.searchsorted(-size, -n)):
-            m = np.minimum(max(1, n // 64), size[:live] - n)
-            a = (theta + d * (spread[:live] + x[:live])) * chance[:live]
-            mean = m * a / (n - d * x[:live] + a)
-            low = np.floor(mean)
-            step += 1
-            x[:live] += low + (uniform(keys[big[:live]], salt * 100_003 + step) < mean - low)
-            n += max(1, n // 64)
-        t[i, big] = np.minimum(x, size).astype(t.dtype)
+        chosen = (weights < uniform(keys[big], salt)[:, None] * weights[:, -1:]).sum(1)
+        x = at[np.arange(len(big)), chosen] + np.floor(step * uniform(keys[big], salt + (1 << 32)))
+        t[big] = np.clip(x, 1, n).astype(t.dtype)
     return t
 
 
@@ -123,7 +191,7 @@ def batches(docs: DataFrame, text: str, doc_id: str, learn: str, batch_tokens: i
 
 
 class Batch:
-    """A batch's arrays and its distinct bigrams in key order."""
+    """A batch's arrays and its distinct bigrams in key order, cut by range."""
 
     def __init__(self, t: pa.Table, ranges: int):
         get = lambda name, kind: np.frombuffer(t.column(name)[0].as_py(), kind)
@@ -137,30 +205,32 @@ class Batch:
         code = before.astype(np.int64) * len(self.words) + self.text
         learnt = np.repeat(self.learn, self.sizes)
         code, self.pair, n = np.unique(code, return_inverse=True, return_counts=True)
-        self.count = np.bincount(self.pair[learnt], minlength=len(code))
-        self.left, self.right = code // len(self.words), code % len(self.words)
-        self.key = mix(self.words[self.left] * U(0xFF51AFD7ED558CCD) + self.words[self.right])
-        self.order = np.argsort(self.key)
-        self.parts = np.searchsorted(self.key[self.order], bounds(ranges))
+        count = np.bincount(self.pair[learnt], minlength=len(code))
+        left, right = code // len(self.words), code % len(self.words)
+        key = bigram_keys(self.words[left], self.words[right])
+        self.order = np.argsort(key, kind="stable")
+        self.count, self.left, self.right = count[self.order], left[self.order], right[self.order]
+        self.parts = cuts(key[self.order], ranges)
         self.learnt = np.bincount(self.text[learnt], minlength=len(self.words))
 
 
-def bounds(ranges: int) -> np.ndarray:
-    """First keys of equal ranges of 64-bit keys, but the first."""
-    return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+def bigram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * U(0xFF51AFD7ED558CCD) + right)
+
 
+def cuts(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of sorted 64-bit keys that equal ranges hold, none empty."""
+    at = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
+    return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip([0, *at], [*at, len(keys)])) if b > a]
 
-def short(keys: np.ndarray, part: int, ranges: int) -> bytes:
-    """Keys of one range by their ``KEY_BITS`` leading bits within it."""
-    x = (keys - U((part << 64) // ranges)) >> U(64 - KEY_BITS - (ranges - 1).bit_length())
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (KEY_BITS + 8) // 8].tobytes()
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers of a list in 2 or 4 bytes each."""
+    return pack(x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32))
 
-def unshort(raw: bytes) -> np.ndarray:
-    wide = (KEY_BITS + 8) // 8
-    out = np.zeros((len(raw) // wide, 8), np.uint8)
-    out[:, :wide] = np.frombuffer(raw, np.uint8).reshape(-1, wide)
-    return out.reshape(-1).view("<u8")
+
+def wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
 
 
 def table_of(schema: str, rows: list[tuple]) -> pa.Table:
@@ -169,270 +239,265 @@ def table_of(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(x), kinds[k]) for (_, k), x in zip(fields, zip(*rows))] if rows else [pa.array([], kinds[k]) for _, k in fields], names=[n for n, _ in fields])
 
 
+def joined(t: pa.Table, name: str, kind) -> np.ndarray:
+    """The arrays of a column's rows as one."""
+    return np.concatenate([np.frombuffer(r.as_py(), kind) for r in t.column(name)]) if len(t) else np.zeros(0, kind)
+
+
+def count32(*arrays: np.ndarray) -> tuple[bytes, ...]:
+    return tuple(pack(a.astype(np.uint32)) for a in arrays)
+
+
+# --------------------------------------------------------------------------- ranges of bigrams and of words
+ASK = "part int, batch long, words binary, left binary, right binary, n binary"
+HELD = "part int, batch long, words binary, left binary, right binary, c binary, t binary, own binary, sum binary, place binary"
+SUMS = ", a long, b long, c long, d long, e long"
+SEEN = "batch long, part int, seen binary" + SUMS
+REPORT = "word_part int, part int, keys binary, customers binary, tables binary, sent binary, own binary"
+STATE = "part int, word_part int, customers binary, tables binary, sent binary, own binary, s long, o long, ones long, twos long"
+
+
+def gather(t: pa.Table) -> pa.Table:
+    """One range's bigrams out of all batches' requests (batch null), and each batch's places among them."""
+    words = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")]
+    n = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("n")]
+    every = np.unique(np.concatenate(words))
+    code = []
+    for w, k, left, right in zip(words, n, t.column("left"), t.column("right")):
+        own = np.searchsorted(every, w)
+        code.append(own[wide(left.as_py(), len(k))] * len(every) + own[wide(right.as_py(), len(k))])
+    code, at = np.unique(np.concatenate(code), return_inverse=True)
+    c = np.bincount(at, np.concatenate(n), len(code)).astype(np.int64)
+    part, ends = t.column("part")[0].as_py(), np.cumsum([len(k) for k in n])
+    rows = [(part, None, pack(every), *count32(code // len(every), code % len(every), c, np.minimum(c, 1), np.zeros(len(every))), pack(np.zeros(len(code))), None)]
+    return table_of(HELD, rows + [(part, b, *[None] * 7, count32(at[e - len(k) : e])[0]) for b, k, e in zip(t.column("batch").to_pylist(), n, ends)])
+
+
+class Held:
+    """A range's bigrams: sorted words, places of the left and right one, customers, tables, sum of probabilities."""
+
+    def __init__(self, t: pa.Table, row: int = 0):
+        get = lambda name, kind: np.frombuffer(t.column(name)[row].as_py(), kind)
+        self.part, self.words, self.own = t.column("part")[row].as_py(), get("words", np.uint64), get("own", np.uint32).astype(np.float64)
+        self.left, self.right, self.c, self.t = (get(x, np.uint32).astype(np.int64) for x in ("left", "right", "c", "t"))
+        self.sum = get("sum", np.float64)
+
+    def row(self) -> tuple:
+        return (self.part, None, pack(self.words), *count32(self.left, self.right, self.c, self.t, self.own), pack(self.sum), None)
+
+    def report(self, word_ranges: int) -> list[tuple]:
+        n = len(self.words)
+        columns = np.bincount(self.left, self.c, n), np.bincount(self.left, self.t, n), np.bincount(self.right, self.t, n), self.own
+        return [(p, self.part, pack(self.words[a:b]), *count32(*(x[a:b] for x in columns))) for p, a, b in cuts(self.words, word_ranges)]
+
+    def take(self, answers: pa.Table, d: float, sums: dict, v: int) -> None:
+        """The words' totals in a state: customers and tables as contexts, the parent's customers and tables of them."""
+        answers = answers.sort_by("word_part")
+        self.customers, self.tables, self.sent, self.own = (joined(answers, x, np.uint32).astype(np.float64) for x in ("customers", "tables", "sent", "own"))
+        self.d, self.sums, self.base = d, sums, (THETA + sums["d"] * sums["o"]) / (v + 1)
+
+    def predict(self) -> np.ndarray:
+        """Predictive probability of every bigram."""
+        parent = (self.sent - self.sums["d"] * self.own + self.base) / (THETA + self.sums["s"])
+        return (self.c - self.d * self.t + (THETA + self.d * self.tables[self.left]) * parent[self.right]) / (THETA + self.customers[self.left])
+
+    def reseat(self, salt: int) -> None:
+        """New tables of every group of two customers or more; one customer has one table."""
+        many = np.flatnonzero(self.c > 1)
+        left, right, t = self.left[many], self.right[many], self.t[many]
+        sent = self.sent[right] - t  # the parent without the group
+        weight = sent - self.sums["d"] * np.minimum(self.own[right], sent) + self.base
+        e = THETA + self.sums["s"] - t
+        keys = bigram_keys(self.words[left], self.words[right])
+        self.t[many] = seat(self.c[many], self.tables[left] - t, weight / e, keys, self.d, THETA, salt, e)
+
+
+def add_words(salt: int, v: int, d: float, tables: float):
+    """Adds up what all ranges report of the words of one word range, and seats the parent restaurant."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
+        words, at = np.unique(np.concatenate(keys), return_inverse=True)
+        customers, down, sent = (np.bincount(at, joined(t, x, np.uint32), len(words)).astype(np.int64) for x in ("customers", "tables", "sent"))
+        before = np.zeros(len(words))
+        np.maximum.at(before, at, joined(t, "own", np.uint32))
+        own = seat(sent, np.maximum(tables - before, 0), np.full(len(words), 1 / (v + 1)), words, d, THETA, salt)
+        sums, out, ends = (int(sent.sum()), int(own.sum()), int((sent == 1).sum()), int((sent == 2).sum())), [], np.cumsum([len(k) for k in keys])
+        for part, word_part, k, e in zip(t.column("part").to_pylist(), t.column("word_part").to_pylist(), keys, ends):
+            i = at[e - len(k) : e]
+            out.append((part, word_part, *count32(customers[i], down[i], sent[i], own[i]), *(sums if not out else [None] * 4)))
+        return table_of(STATE, out)
+
+    return run
+
+
 # --------------------------------------------------------------------------- the model
 class Model:
     """Counts and seatings of the batches of one table, scored in ``score``."""
 
     def __init__(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: str = "learn", batch_tokens: int = BATCH_TOKENS):
-        spark = docs.sparkSession
-        self.spark, self.scratch = spark, Scratch(spark, "hpylm")
-        found = batches(docs, text, doc_id, learn, batch_tokens)
+        self.spark, self.scratch, self.tables = docs.sparkSession, Scratch(docs.sparkSession, "hpylm"), []
         # bucketed by batch: the answers are shuffled to the batches, never the batches themselves
-        self.buckets, self.name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"hpylm_{uuid.uuid4().hex}"
-        path = f"{self.scratch.root}/batches"
-        found.write.option("compression", "zstd").option("path", path).bucketBy(self.buckets, "batch").saveAsTable(self.name)
-        self.store = spark.table(self.name)
-        self.store.path = path
-        self.tokens = self.store.agg(F.sum("tokens")).first()[0] or 0
-        self.ranges = max(4, -(-self.tokens // RANGE_KEYS))
+        found = batches(docs, text, doc_id, learn, batch_tokens)
+        self.store = self.saved(found, max(8 * docs.rdd.getNumPartitions(), 8), "batch")
+        facts = self.store.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+        self.ranges = max(4, -(-(facts["tokens"] or 0) // RANGE_KEYS))
         self.word_ranges = max(4, self.ranges // 8)
 
-    def count_bigrams(self) -> None:
-        """Every batch's learnt counts of its bigrams, and which of them it owns."""
-        ranges = self.ranges
-        asked, answer = "part int, batch long, keys binary, n binary", "batch long, part int, c binary, own binary"
+    def saved(self, df: DataFrame, buckets: int, by: str) -> DataFrame:
+        """A table of its own in the shared folder, bucketed."""
+        name = f"hpylm_{uuid.uuid4().hex}"
+        path = f"{self.scratch.root}/{name}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(min(buckets, 1 << 14), by).saveAsTable(name)
+        out = self.spark.table(name)
+        out.name, out.path = name, path
+        self.tables.append(out)
+        return out
+
+    def forget(self, table: DataFrame) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+        self.scratch.drop(table)
+        self.tables.remove(table)
+
+    def count_words(self) -> None:
+        """N and V of the training tokens, and every batch's answer how often its words occur in them."""
+        k = self.word_ranges
 
         def ask(rows):
             for b in rows:
                 for i in range(b.num_rows):
-                    x = Batch(pa.Table.from_batches([b.slice(i, 1)]), ranges)
-                    keys, n, out = x.key[x.order], x.count[x.order].astype(np.uint32), []
-                    for p, (lo, hi) in enumerate(zip([0, *x.parts], [*x.parts, len(keys)])):
-                        out.append((p, b.column("batch")[i].as_py(), short(keys[lo:hi], p, ranges), pack(n[lo:hi])))
-                    yield from table_of(asked, out).to_batches()
-
-        def add(t: pa.Table) -> pa.Table:
-            t = t.sort_by("batch")
-            keys = [unshort(x.as_py()) for x in t.column("keys")]
-            n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("n")])
-            _, at = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(at, n).astype(np.int64)
-            first = np.full(len(c), len(at), np.int64)
-            np.minimum.at(first, at, np.arange(len(at)))
-            own = np.zeros(len(at), bool)
-            own[first] = True
-            ends = np.cumsum([len(k) for k in keys])
-            part = t.column("part")[0].as_py()
-            rows = [(b, part, pack(c[at[e - len(k) : e]].astype(np.uint32)), pack(np.packbits(own[e - len(k) : e]))) for b, k, e in zip(t.column("batch").to_pylist(), keys, ends)]
-            return table_of(answer, rows)
-
-        self.counts = self.scratch.keep(self.store.mapInArrow(ask, asked).groupBy("part").applyInArrow(add, answer))
-
-    # ---- between the batches and the parent restaurant
-    WORDS = "part int, batch long, keys binary, seen binary, customers binary, tables binary, sent binary"
-    STATE = "batch long, part int, seen binary, customers binary, tables binary, sent binary, own_tables binary, sums binary"
-
-    def parent(self, asked: DataFrame, d: float, v: int, salt: int) -> tuple[DataFrame, dict]:
-        """Adds up what all batches report of each word and seats the parent restaurant."""
+                    x, batch = Batch(pa.Table.from_batches([b.slice(i, 1)]), 1), b.column("batch")[i].as_py()
+                    yield from table_of(ASK, [(p, batch, pack(x.words[lo:hi]), None, None, count32(x.learnt[lo:hi])[0]) for p, lo, hi in cuts(x.words, k)]).to_batches()
 
         def add(t: pa.Table) -> pa.Table:
-            keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
+            keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")]
             words, at = np.unique(np.concatenate(keys), return_inverse=True)
-            seen, customers, tables, sent = (np.bincount(at, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column(n)]), len(words)).astype(np.int64) for n in ("seen", "customers", "tables", "sent"))
-            own = seat(sent, np.full(len(words), float(v)), np.full(len(words), 1 / (v + 1)), words, d, THETA, (salt,))[0]
-            sums = pack(np.array([seen.sum(), (seen > 0).sum(), sent.sum(), own.sum(), (sent == 1).sum(), (sent == 2).sum()], np.int64))
-            ends, out, part = np.cumsum([len(k) for k in keys]), [], t.column("part")[0].as_py()
-            for b, k, e in zip(t.column("batch").to_pylist(), keys, ends):
-                i = at[e - len(k) : e]
-                out.append((b, part, *(pack(x[i].astype(np.uint32)) for x in (seen, customers, tables, sent, own)), sums if not out else None))
-            return table_of(Model.STATE, out)
-
-        state = self.scratch.keep(asked.groupBy("part").applyInArrow(add, Model.STATE))
-        sums = [np.frombuffer(r[0], np.int64) for r in state.where("sums IS NOT NULL").select("sums").toLocalIterator()]
-        n, v, c, t, n1, n2 = np.sum(sums, axis=0).tolist() if sums else [0] * 6
-        return state, {"n": n, "v": v, "customers": c, "tables": t, "d": n1 / (n1 + 2 * n2) if n1 and n2 else 0.5}
-
-    def report(self, x: Batch, batch: int, tables: np.ndarray, own: np.ndarray) -> list[tuple]:
-        """Request rows of one batch: its words, their learnt counts and what its own bigrams add."""
-        n, k = len(x.words), self.word_ranges
-        got = own & (x.count_all > 0)
-        columns = [
-            x.learnt,
-            np.bincount(x.left[got], x.count_all[got], n),
-            np.bincount(x.left[got], tables[got], n),
-            np.bincount(x.right[got], tables[got], n),
-        ]
-        cut, out = np.searchsorted(x.words, bounds(k)), []
-        for p, (lo, hi) in enumerate(zip([0, *cut], [*cut, n])):
-            out.append((p, batch, pack(x.words[lo:hi]), *(pack(c[lo:hi].astype(np.uint32)) for c in columns)))
-        return out
-
-    @staticmethod
-    def answers(x: Batch, t: pa.Table) -> np.ndarray:
-        """Takes the bigram counts of a batch in; which bigrams are its own."""
-        t = t.sort_by("part")
-        c = np.concatenate([np.frombuffer(r.as_py(), np.uint32) for r in t.column("c")]).astype(np.int64)
-        own = np.concatenate([np.unpackbits(np.frombuffer(o.as_py(), np.uint8))[: len(r.as_py()) // 4] for o, r in zip(t.column("own"), t.column("c"))]).astype(bool)
-        x.count_all, mine = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
-        x.count_all[x.order], mine[x.order] = c, own
-        x.many = np.flatnonzero(x.count_all > 1)
-        return mine
-
-    def sample(self, sweeps: int = 2, draws: int = DRAWS) -> None:
-        """Gibbs sweeps, each one exchange with the parent; the first starts from one table a group.
-
-        At least ``sweeps`` exchanges, and so many that the number of tables changes by no more
-        than one percent or its noise in the last; another one adds up the tables of ``draws`` seatings.
-        """
-        self.count_bigrams()
-        ranges, report, answers = self.ranges, self.report_free(), self.answers
-        ones = self.counts.select("c").mapInArrow(tally, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
-        n1, n2 = (ones[0] or 0), (ones[1] or 0)
-        self.d = d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        by = self.store.groupBy("batch")
-
-        def start(t: pa.Table, c: pa.Table) -> pa.Table:
-            x = Batch(t, ranges)
-            own = answers(x, c)
-            return table_of(Model.WORDS, report(x, t.column("batch")[0].as_py(), np.minimum(x.count_all, 1), own))
-
-        asked = by.cogroup(self.counts.groupBy("batch")).applyInArrow(start, Model.WORDS)
-        state, sums = self.parent(asked, 0.5, 1, 0)
-        self.states, self.sums, moved = [state], [sums], True
-        while len(self.states) < sweeps or moved:
-            asked = by.cogroup(self.both().groupBy("batch")).applyInArrow(self.sweep(report), Model.WORDS)
-            state, sums = self.parent(asked, self.sums[-1]["d"], self.sums[-1]["v"], len(self.states))
-            before, now = self.sums[-1]["customers"], sums["customers"]
-            moved = abs(now - before) > max(0.01 * before, 3 * math.sqrt(before))
-            self.states.append(state)
-            self.sums.append(sums)
-        self.draws = draws
-        asked = by.cogroup(self.both().groupBy("batch")).applyInArrow(self.drawn(), "part int, batch long, keys binary, tables binary")
-        self.totals = self.scratch.keep(asked.groupBy("part").applyInArrow(add_draws(draws), "batch long, part int, drawn binary"))
-
-    def sweep(self, report):
-        """One sweep over a batch's groups, for tasks."""
-        ranges, answers, sums, d = self.ranges, self.answers, list(self.sums), self.d
-
-        def run(t: pa.Table, c: pa.Table) -> pa.Table:
-            x = Batch(t, ranges)
-            own = answers(x, c.filter(pc.is_valid(c.column("c"))))
-            words, tables = replay(x, c, sums, d)
-            return table_of(Model.WORDS, report(x, t.column("batch")[0].as_py(), words.seat(x, d, len(sums), own=tables)[0], own))
+            seen, out = np.bincount(at, joined(t, "n", np.uint32), len(words)).astype(np.int64), []
+            for batch, part, x, e in zip(t.column("batch").to_pylist(), t.column("part").to_pylist(), keys, np.cumsum([len(x) for x in keys])):
+                out.append((batch, part, count32(seen[at[e - len(x) : e]])[0], *((int(seen.sum()), int((seen > 0).sum()), 0, 0, 0) if not out else [None] * 5)))
+            return table_of(SEEN, out)
 
-        return run
+        self.seen = self.scratch.keep(self.store.mapInArrow(ask, ASK).groupBy("part").applyInArrow(add, SEEN))
+        n = self.seen.agg(F.sum("a"), F.sum("b")).first()
+        self.n, self.v = n[0] or 0, n[1] or 0
 
-    def drawn(self):
-        """What a batch's own bigrams add to the tables of its contexts in every draw, for tasks."""
-        ranges, answers, sums, d, draws, k = self.ranges, self.answers, list(self.sums), self.d, self.draws, self.word_ranges
+    def count_bigrams(self) -> None:
+        ranges = self.ranges
 
-        def run(t: pa.Table, c: pa.Table) -> pa.Table:
-            x = Batch(t, ranges)
-            own = answers(x, c.filter(pc.is_valid(c.column("c"))))
-            words, tables = replay(x, c, sums, d)
-            seated = words.seat(x, d, *range(len(sums), len(sums) + draws), own=tables)
-            n, got = len(x.words), own & (x.count_all > 0)
-            added = np.stack([np.bincount(x.left[got], one[got], n) for one in seated]).astype(np.uint32)
-            cut, batch = np.searchsorted(x.words, bounds(k)), t.column("batch")[0].as_py()
-            rows = [(p, batch, pack(x.words[lo:hi]), pack(added[:, lo:hi].T)) for p, (lo, hi) in enumerate(zip([0, *cut], [*cut, n]))]
-            return table_of("part int, batch long, keys binary, tables binary", rows)
-
-        return run
-
-    def report_free(self):
-        """``report`` without the session, for tasks."""
+        def ask(rows):
+            for b in rows:
+                for i in range(b.num_rows):
+                    x, batch, out = Batch(pa.Table.from_batches([b.slice(i, 1)]), ranges), b.column("batch")[i].as_py(), []
+                    for p, lo, hi in x.parts:
+                        mine, at = np.unique(np.concatenate([x.left[lo:hi], x.right[lo:hi]]), return_inverse=True)
+                        out.append((p, batch, pack(x.words[mine]), narrow(at[: hi - lo]), narrow(at[hi - lo :]), count32(x.count[lo:hi])[0]))
+                    yield from table_of(ASK, out).to_batches()
+
+        found = self.saved(self.store.mapInArrow(ask, ASK).groupBy("part").applyInArrow(gather, HELD), 2 * ranges, "part")
+        self.places, self.held = found.where("batch IS NOT NULL").select("part", "batch", "place"), found.where("batch IS NULL")
+        ones = self.held.select("c").mapInArrow(tally, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
+        self.d = discount(ones[0], ones[1])
+
+    def state(self, step: int) -> tuple[DataFrame, dict]:
+        """The words' totals for every range, the parent re-seated."""
         k = self.word_ranges
 
-        class Free:
-            word_ranges = k
+        def report(rows):
+            for b in rows:
+                for i in range(b.num_rows):
+                    yield from table_of(REPORT, Held(b, i).report(k)).to_batches()
+
+        last = self.sums[-1] if self.sums else {"d": 0.5, "o": float(self.v)}
+        asked = self.held.mapInArrow(report, REPORT)
+        state = self.scratch.keep(asked.groupBy("word_part").applyInArrow(add_words(step << 33, self.v, last["d"], last["o"]), STATE))
+        s, o, n1, n2 = (x or 0 for x in state.agg(*(F.sum(c) for c in ("s", "o", "ones", "twos"))).first())
+        self.sums.append({"s": s, "o": o, "d": self.sums[0]["d"] if self.sums else discount(n1, n2)})
+        # the parent's tables were seated with the discount of the first state from the second on
+        return state, self.sums[-1]
 
-        return lambda *a: Model.report(Free, *a)
+    def sample(self, burn_in: int = BURN_IN, draws: int = DRAWS) -> None:
+        """``burn_in`` sweeps from one table a group on, then ``draws`` states, one sweep apart, whose predictions are added up.
 
-    def both(self) -> DataFrame:
-        """Answers on bigrams and, of each exchange so far, on words in one frame."""
-        found = self.counts
-        for step, state in enumerate(self.states):
-            found = found.unionByName(state.drop("sums").withColumn("step", F.lit(step)), allowMissingColumns=True)
-        return found
+        A group's discount is n1 / (n1 + 2 n2) of the bigrams seen once and twice, the
+        parent's the same of its customers in the first state; strengths are ``THETA``.
+        """
+        self.count_words()
+        self.count_bigrams()
+        self.sums, self.draws = [], draws
+        for step in range(1, burn_in + draws + 1):
+            state, sums = self.state(step)
+            old, kept, moved = self.held, step > burn_in, step < burn_in + draws
+            self.held = self.saved(self.held.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(sweep(self.d, sums, self.v, step << 33, kept, moved), HELD), 2 * self.ranges, "part")
+            self.scratch.drop(state)
+            if step > 1:
+                self.forget(old)
 
     def score(self) -> DataFrame:
-        """doc_id, learn, n_tokens, n_known, train_tokens, base_score and score of every row.
+        """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row.
 
-        Scores are log10 probabilities. Null and empty texts hold the end token only. With
-        nothing to learn from, both models are uniform.
+        Scores are log10 probabilities; perplexity is 10 to the power of -score / n_tokens. Null and
+        empty texts hold the end token only. With nothing to learn from, both models are
+        uniform over the one unknown word.
         """
-        ranges, answers, states, d, draws = self.ranges, self.answers, list(self.sums), self.d, self.draws
-        sums = states[-1]
-        schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        n, v, draws, ranges = self.n, self.v, self.draws, self.ranges
+        schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+        def answer(held: pa.Table, places: pa.Table) -> pa.Table:
+            logs = np.log10(Held(held).sum / draws).astype(np.float32)
+            part = held.column("part")[0].as_py()
+            return table_of("batch long, part int, logs binary", [(b, part, pack(logs[np.frombuffer(x.as_py(), np.uint32)])) for b, x in zip(places.column("batch").to_pylist(), places.column("place"))])
 
         def run(t: pa.Table, c: pa.Table) -> pa.Table:
             x = Batch(t, ranges)
-            answers(x, c.filter(pc.is_valid(c.column("c"))))
-            w, tables = replay(x, c, states, d)
-            logs = np.log10(w.average(x, d, len(states), draws, tables, totals(c, draws)))[x.pair]
-            base = np.log10((w.seen + 0.5) / (sums["n"] + 0.5 * (sums["v"] + 1)))[x.text]
-            add = lambda v: np.add.reduceat(v, x.starts)
-            n = len(x.ids)
+            c = c.sort_by("part")
+            logs = np.empty(len(x.order))
+            logs[x.order] = joined(c.filter(pc.is_valid(c.column("logs"))), "logs", np.float32)
+            seen = joined(c.filter(pc.is_valid(c.column("seen"))), "seen", np.uint32).astype(np.int64)
+            base = np.log10((seen + 0.5) / (n + 0.5 * (v + 1)))[x.text]
+            add = lambda y: np.add.reduceat(y, x.starts)
+            score = add(logs[x.pair])
             return pa.table({
-                "doc_id": pa.array(x.ids, mask=~x.known), "learn": pa.array(x.learn), "n_tokens": pa.array(x.sizes), "n_known": pa.array(add((w.seen > 0)[x.text].astype(np.int64))),
-                "train_tokens": pa.array(np.full(n, sums["n"], np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(logs)),
+                "doc_id": pa.array(x.ids, mask=~x.known), "learn": pa.array(x.learn), "n_tokens": pa.array(x.sizes), "n_known": pa.array(add((seen > 0)[x.text].astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(x.ids), n, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(score), "perplexity": pa.array(10.0 ** (-score / x.sizes)),
             })
 
-        return self.store.groupBy("batch").cogroup(self.both().unionByName(self.totals, allowMissingColumns=True).groupBy("batch")).applyInArrow(run, schema)
+        answers = self.held.groupBy("part").cogroup(self.places.groupBy("part")).applyInArrow(answer, "batch long, part int, logs binary")
+        both = answers.unionByName(self.seen.select("batch", "part", "seen"), allowMissingColumns=True)
+        return self.store.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(run, schema)
 
     def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
+        """Drops the model's tables; nothing can be scored afterwards."""
+        for table in list(self.tables):
+            self.forget(table)
+        self.scratch.drop(self.seen)
 
-class Words:
-    """The parent's answers on a batch's words."""
 
-    def __init__(self, t: pa.Table, sums: dict):
-        t = t.sort_by("part")
-        get = lambda n: np.concatenate([np.frombuffer(r.as_py(), np.uint32) for r in t.column(n)]).astype(np.float64)
-        self.seen, self.customers, self.tables = get("seen"), get("customers"), get("tables")
-        d, v = sums["d"], sums["v"]
-        self.parent = (np.maximum(get("sent") - d * get("own_tables"), 0) + (THETA + d * sums["tables"]) / (v + 1)) / (THETA + sums["customers"])
+def discount(n1, n2) -> float:
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
-    def seat(self, x: Batch, d: float, *salts: int, own: np.ndarray) -> np.ndarray:
-        """Tables of every bigram, a row per salt, its ``own`` ones given up; groups of one customer have no choice."""
-        many = x.many
-        t = np.tile(np.minimum(x.count_all, 1), (len(salts), 1))
-        left = x.left[many]
-        t[:, many] = seat(x.count_all[many], np.maximum(self.tables[left] - own[many], 0), self.parent[x.right[many]], x.key[many], d, THETA, salts)
-        return t
 
-    def predict(self, x: Batch, tables: np.ndarray, d: float, total: np.ndarray) -> np.ndarray:
-        """Predictive probability of every bigram, ``total`` being the words' tables as contexts in the same seating."""
-        new = (THETA + d * total[x.left]) * self.parent[x.right]
-        return (np.maximum(x.count_all - d * tables, 0) + new) / (THETA + self.customers[x.left])
+def sweep(d: float, sums: dict, v: int, salt: int, kept: bool, moved: bool):
+    """Takes a state in, adds its predictions up if it is ``kept`` and re-seats the groups if they are ``moved``."""
 
-    def average(self, x: Batch, d: float, first: int, draws: int, own: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-        """Mean predictive probability of every bigram over ``draws`` seatings; ``drawn`` has each one's totals."""
-        tables = self.seat(x, d, *range(first, first + draws), own=own)
-        return sum(self.predict(x, t, d, total) for t, total in zip(tables, drawn)) / draws
+    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
+        x = Held(held)
+        x.take(answers, d, sums, v)
+        if kept:
+            x.sum = x.sum + x.predict()
+        if moved:
+            x.reseat(salt)
+        return table_of(HELD, [x.row()])
 
+    return run
 
-def replay(x: Batch, c: pa.Table, sums: list[dict], d: float) -> tuple[Words, np.ndarray]:
-    """The last state of a batch's words, and its groups' tables then: those of all sweeps one after another."""
-    tables, words = np.minimum(x.count_all, 1), None
-    for step, s in enumerate(sums):
-        if words is not None:
-            tables = words.seat(x, d, step, own=tables)[0]
-        words = Words(c.filter(pc.equal(c.column("step"), step)), s)
-    return words, tables
-
-
-def totals(c: pa.Table, draws: int) -> np.ndarray:
-    """draws x words: tables of a batch's words as contexts."""
-    t = c.filter(pc.is_valid(c.column("drawn"))).sort_by("part")
-    return np.concatenate([np.frombuffer(r.as_py(), np.uint32) for r in t.column("drawn")]).reshape(-1, draws).T.astype(np.float64)
-
-
-def add_draws(draws: int):
-    def add(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(r.as_py(), np.uint64) for r in t.column("keys")]
-        words, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([np.frombuffer(r.as_py(), np.uint32) for r in t.column("tables")]).reshape(-1, draws)
-        sums = np.stack([np.bincount(at, n[:, i], len(words)) for i in range(draws)], 1).astype(np.uint32)
-        ends, part = np.cumsum([len(k) for k in keys]), t.column("part")[0].as_py()
-        return table_of("batch long, part int, drawn binary", [(b, part, pack(sums[at[e - len(k) : e]])) for b, k, e in zip(t.column("batch").to_pylist(), keys, ends)])
 
-    return add
+def perplexity(scored: DataFrame) -> DataFrame:
+    """Perplexity of the texts learnt from and of the others, over all their tokens."""
+    return scored.groupBy("learn").agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def tally(rows):
-    """How many bigrams were learnt once and twice, as asked for."""
+    """How many bigrams were learnt once and twice."""
     for b in rows:
         c = [np.frombuffer(r.as_py(), np.uint32) for r in b.column("c")]
         yield pa.RecordBatch.from_pydict({"ones": [int(sum((x == 1).sum() for x in c))], "twos": [int(sum((x == 2).sum() for x in c))]})

@@ -22,7 +22,7 @@ def op1_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     model.sample()
     scored = Scratch(spark, "hpylm-scores").keep(model.score())
     model.close()
-    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

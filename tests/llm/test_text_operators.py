@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,39 +82,132 @@ def test_hpylm_beats_the_base_on_held_out_text(spark):
     assert r[0] / r[2] > -0.75 and r[0] > r[1] + 0.5 * r[2]  # three equal followers: log10(1/3) = -0.48
 
 
+def gibbs(texts, d0, d, theta, v, sweeps, burn, rng):
+    """Predictive probabilities p(word | context) of a sampler that moves one customer at a time, averaged over sweeps."""
+    cust = [(u, w) for t in texts for u, w in zip([t[-1], *t[:-1]], t)]
+    tables, at = {}, [None] * len(cust)  # (u, w) -> sizes of the context's tables
+    top, seats = {}, {}  # w -> sizes of the parent's tables; customers of the parent are tables
+    totals = {"c": Counter(), "t": Counter(), "s": 0, "o": 0}
+
+    def parent(w):
+        return (sum(top.get(w, [])) - d0 * len(top.get(w, [])) + (theta + d0 * totals["o"]) / (v + 1)) / (theta + totals["s"])
+
+    def sit(sizes, disc, new):
+        r = rng.random() * (sum(x - disc for x in sizes) + new)
+        for i, x in enumerate(sizes):
+            r -= x - disc
+            if r < 0:
+                sizes[i] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def leave(sizes):
+        r = rng.random() * sum(sizes)
+        for i, x in enumerate(sizes):
+            r -= x
+            if r < 0:
+                break
+        sizes[i] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            return True
+        return False
+
+    def add(u, w):
+        if sit(tables.setdefault((u, w), []), d, (theta + d * totals["t"][u]) * parent(w)):
+            totals["t"][u] += 1
+            totals["o"] += sit(top.setdefault(w, []), d0, (theta + d0 * totals["o"]) / (v + 1))
+            totals["s"] += 1
+        totals["c"][u] += 1
+
+    def remove(u, w):
+        totals["c"][u] -= 1
+        if leave(tables[u, w]):
+            totals["t"][u] -= 1
+            totals["s"] -= 1
+            totals["o"] -= leave(top[w])
+
+    for u, w in cust:
+        add(u, w)
+    words, p = sorted({w for t in texts for w in t}) + [None], Counter()
+    for sweep in range(sweeps):
+        for u, w in cust:
+            remove(u, w)
+            add(u, w)
+        for u, w in itertools.product(words, words) if sweep >= burn else ():
+            own = tables.get((u, w), [])
+            p[u, w] += (sum(own) - d * len(own) + (theta + d * totals["t"][u]) * parent(w)) / (theta + totals["c"][u]) / (sweeps - burn)
+    return p
+
+
+def test_scores_match_a_sampler_that_moves_one_customer_at_a_time(spark):
+    rng = random.Random(3)
+    follow = {f"w{i}": [f"w{(5 * i + k) % 12}" for k in (0, 1, 1, 3)] for i in range(12)}
+
+    def text(n):
+        out = [f"w{rng.randrange(12)}"]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]) if rng.random() < 0.9 else f"w{rng.randrange(12)}")
+        return out
+
+    rows = [(i, text(25), i % 5 != 0) for i in range(60)] + [(100, ["w1", "new", "w2"], False), (101, [], False)]
+    m = hpylm.Model(spark.createDataFrame([(i, " ".join(t), x) for i, t, x in rows], "doc_id long, text string, learn boolean"), batch_tokens=400)
+    m.sample(burn_in=6, draws=30)
+    got = {r["doc_id"]: r for r in m.score().collect()}
+    held = hpylm.perplexity(m.score()).where("NOT learn").first()
+    d, d0, v = m.d, m.sums[0]["d"], m.v
+    m.close()
+    p = gibbs([[*t, ""] for _, t, x in rows if x], d0, d, hpylm.THETA, v, 90, 30, random.Random(7))
+    known, off = {w for w, _ in p}, []
+    for i, t, _ in rows:
+        t = [w if w in known else None for w in [*t, ""]]
+        want = sum(math.log10(p[u, w]) for u, w in zip([t[-1], *t[:-1]], t))
+        off.append((got[i]["score"] - want) / len(t))
+        assert abs(off[-1]) < (0.03 if len(t) > 20 else 0.15), (i, got[i]["score"], want)
+        assert math.isclose(got[i]["perplexity"], 10 ** (-got[i]["score"] / len(t)))
+    assert abs(np.mean(off[:60])) < 0.01
+    mine = [got[i] for i, _, x in rows if not x]
+    assert math.isclose(held["perplexity"], 10 ** (-sum(r["score"] for r in mine) / sum(r["n_tokens"] for r in mine)))
+
+
 def test_every_context_predicts_with_mass_one(spark):
     """Over all known words and the unknown one, in contexts of few and of many tables."""
     rng = random.Random(12)
     words = [f"w{i}" for i in range(30)]
     learnt = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=100)), True) for i in range(60)]
     asked = [(100 + i, f"{u} {w}", False) for i, (u, w) in enumerate(itertools.product([*words, "unknown"], repeat=2))]
-    m = hpylm.Model(spark.createDataFrame([*learnt, *asked, (99, "", False)], "doc_id long, text string, learn boolean").coalesce(1))
+    m = hpylm.Model(spark.createDataFrame([*learnt, *asked, (99, "", False)], "doc_id long, text string, learn boolean"), batch_tokens=900)
+    m.sample(burn_in=2, draws=3)
+    mass, bigrams = Counter(), 0
+    for x in (hpylm.Held(t) for t in map(lambda r: m.held.where(F.col("part") == r).toArrow(), range(m.ranges)) if len(t)):
+        bigrams += len(x.c)
+        for u, p in zip(x.words[x.left].tolist(), x.sum.tolist()):
+            mass[u] += p / m.draws
+    m.close()
+    assert bigrams == 32 * 32 and len(mass) == 32 and np.allclose(list(mass.values()), 1, atol=1e-9)
+
+
+def test_nothing_to_learn_from(spark):
+    m = hpylm.Model(spark.createDataFrame([(1, "a b", False), (2, None, False)], "doc_id long, text string, learn boolean"))
     m.sample()
-    t, c = m.store.toArrow(), m.both().unionByName(m.totals, allowMissingColumns=True).toArrow()
-    x = hpylm.Batch(t, m.ranges)
-    own = m.answers(x, c.filter(pc.is_valid(c.column("c"))))
-    w, tables = hpylm.replay(x, c, m.sums, m.d)
-    drawn = hpylm.totals(c, m.draws)
-    seated = w.seat(x, m.d, *range(len(m.sums), len(m.sums) + m.draws), own=tables)
+    got = {r["doc_id"]: r for r in m.score().collect()}
     m.close()
-    assert t.num_rows == 1 and own.all() and len(x.words) == 32 and len(x.key) == 32 * 32
-    assert np.array_equal(np.bincount(x.left, tables, 32), w.tables)
-    assert all(np.array_equal(np.bincount(x.left, one, 32), total) for one, total in zip(seated, drawn))
-    mass = np.bincount(x.left, w.average(x, m.d, len(m.sums), m.draws, tables, drawn))
-    assert np.allclose(mass, 1, atol=1e-9)
-    assert abs(m.sums[-1]["customers"] - m.sums[-2]["customers"]) <= max(0.01 * m.sums[-2]["customers"], 3 * math.sqrt(m.sums[-2]["customers"]))
-
-
-def test_seatings_follow_their_conditional():
-    d, theta, rest, p, n = 0.5, 1.0, 4, 0.05, 20000
-    c = np.full(n, 3)
-    t = hpylm.seat(c, np.full(n, rest), np.full(n, p), np.arange(n, dtype=np.uint64), d, theta, (1,))[0]
-    # ways to seat 3 customers: S(3, t) for discount 0.5 is 0.75, 1.5, 1
-    grow = lambda k: math.prod(theta + d * (rest + i) for i in range(k)) * p**k
-    w = np.array([0.75 * grow(1), 1.5 * grow(2), grow(3)])
-    assert np.allclose(np.bincount(t, minlength=4)[1:] / n, w / w.sum(), atol=0.015)
-    big = hpylm.seat(np.array([500, 5000]), np.array([10, 10]), np.array([0.01, 0.2]), np.array([1, 2], np.uint64), d, theta, (1,))[0]
-    assert (big >= 1).all() and (big <= [500, 5000]).all()
+    assert got[1]["n_known"] == got[1]["train_tokens"] == 0 and abs(got[1]["score"]) < 1e-6 and abs(got[1]["base_score"]) < 1e-9 and got[2]["n_tokens"] == 1
+
+
+@pytest.mark.parametrize("c, rest, p, e", [(3, 4, 0.05, None), (90, 40, 0.05, 500.0), (1500, 10, 0.001, None), (1500, 1000, 0.01, None), (2000, 5000, 0.2, None), (2000, 20000, 0.02, 1e5)])
+@pytest.mark.parametrize("d", [0.3, 0.5, 0.8])
+def test_seatings_follow_their_conditional(c, rest, p, e, d):
+    """Mean and spread of the tables drawn against the weights of all numbers of tables."""
+    n, k = 8000, np.arange(1, c + 1)
+    t = hpylm.seat(np.full(n, c), np.full(n, float(rest)), np.full(n, p), np.arange(n, dtype=np.uint64), d, 1.0, 1, None if e is None else np.full(n, e))
+    logs = hpylm.stirling(d, c)[c, 1:] + np.cumsum(np.log(1 + d * (rest + k - 1))) + (k * math.log(p) if e is None else np.cumsum(np.log((p * e + k - 1) / (e + k - 1))))
+    w = np.exp(logs - logs.max())
+    w /= w.sum()
+    mean, sd = (w * k).sum(), math.sqrt((w * k * k).sum() - (w * k).sum() ** 2)
+    assert t.min() >= 1 and t.max() <= c
+    assert abs(t.mean() - mean) < 0.01 * mean + 4 * sd / math.sqrt(n) and abs(t.std() - sd) < 0.05 * sd + 0.02
 
 
 # --------------------------------------------------------------------------- substring dedup
