@@ -1,40 +1,45 @@
-"""Substring dedup with a log-structured fingerprint index.
+"""Substring dedup with a log-structured fingerprint index, batch by batch.
 
 Every window of ``WIDTH`` words is represented in the index by the smallest of its
-``GRAM``-word hashes, so equal windows meet and a run of windows shares one entry. Each
-batch of documents adds an immutable run: per hash range, its sorted distinct
-fingerprints, each marked if the batch holds it twice. A probe merge-joins a batch's
-fingerprints with the runs; a fingerprint held once in all needs no further look. The
-windows behind the others are verified by a hash of all their words. Compaction merges
-the runs of a range into one.
-
-Batches ask in packed arrays, every distinct key once, and are answered in the order
-asked; texts stay in a table bucketed by batch and are never shuffled.
+``GRAM``-word hashes, so equal windows meet and a run of windows shares one entry. A batch
+of documents is merge-joined with the sorted immutable runs of the batches before, range
+by range: keys that the history or the batch itself holds too are doubtful, and history's
+own keys that were single till then are too, from now on. Then the batch's keys are added
+as a run, and runs are compacted into one when there are ``FAN_OUT``. A second index of the
+same kind holds a hash of all words of every doubtful window and tells which windows
+really repeat. Both indexes and the batches' words lie in one folder and can be reopened.
+
+Texts are held in parts of about ``PART_WORDS`` words, one packed row each, in tables
+bucketed by part; a part asks for each of its keys once and is answered with those that
+repeat. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import U, Scratch, flat, mix, pack, ranges, run_hashes, slices, word_hashes
 
 WIDTH = 35
 GRAM = 8
-BATCH_WORDS = 2 << 20
+PART_WORDS = 2 << 20
 RANGE_KEYS = 1_000_000
-FAN_OUT = 4
+FAN_OUT = 2
+BATCHES = 3
 
-ASK = "part int, batch long, keys binary, many binary"
-RUN = "part int, generation int, keys binary, many binary"
-ANSWER = "batch long, part int, n long, many binary"
+ASK = "range int, part long, keys binary, many binary"
+RUN = "kind int, range int, keys binary, many binary"
+REPEATED = "part long, range int, keys binary"
+ADDED, CHANGED = 0, 1
 
 
 def slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -66,13 +71,13 @@ def bounds(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
 
-def requests(batch: int, keys: np.ndarray, parts: int) -> pa.Table:
-    """One row per hash range: the distinct keys in order, and which occur more than once."""
+def requests(part: int, keys: np.ndarray, parts: int) -> pa.Table:
+    """A row per hash range that holds any: the distinct keys in order, and which occur more than once."""
     keys, n = np.unique(keys, return_counts=True)
     cut = np.searchsorted(keys, bounds(parts))
-    rows = [(p, batch, pack(keys[a:b]), pack(np.packbits(n[a:b] > 1))) for p, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)]))]
-    part, at, k, m = zip(*rows)
-    return pa.table([pa.array(part, pa.int32()), pa.array(at, pa.int64()), pa.array(k, pa.binary()), pa.array(m, pa.binary())], names=["part", "batch", "keys", "many"])
+    rows = [(r, part, pack(keys[a:b]), pack(np.packbits(n[a:b] > 1))) for r, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)])) if b > a]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["range", "part", "keys", "many"])
 
 
 def unpack(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -81,93 +86,128 @@ def unpack(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def merged(keys: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs as one: each key once, marked if any run marks it or two hold it."""
-    if not keys:
+    """Sorted runs as one: each key once, marked if any run marks it or two hold it. Runs are merged two by two."""
+    runs = [(k, m) for k, m in zip(keys, many) if len(k)]
+    if not runs:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    k, m = np.concatenate(keys), np.concatenate(many)
-    order = np.argsort(k, kind="stable")  # merges the sorted runs
-    k, m = k[order], m[order]
-    first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    both = np.diff(np.append(at, len(k))) > 1
-    return k[at], (np.logical_or.reduceat(m, at) if len(at) else m) | both
+    while len(runs) > 1:
+        out = runs[len(runs) // 2 * 2 :]
+        for (a, x), (b, y) in zip(runs[::2], runs[1::2]):
+            at = np.searchsorted(a, b)
+            twice = a[np.minimum(at, len(a) - 1)] == b
+            x = x.copy()
+            x[at[twice]] = True
+            place = at[~twice] + np.arange((~twice).sum())
+            k, m = np.empty(len(a) + len(place), np.uint64), np.zeros(len(a) + len(place), bool)
+            old = np.ones(len(k), bool)
+            old[place] = False
+            k[place], m[place], k[old], m[old] = b[~twice], y[~twice], a, x
+            out.append((k, m))
+        runs = out
+    return runs[0]
+
+
+def held_in(keys: np.ndarray, index: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys a sorted run holds, and which it holds marked."""
+    if not len(index):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(index, keys), len(index) - 1)
+    found = index[at] == keys
+    return found, found & many[at]
+
+
+def row_of(kind: int, range_: int, k: np.ndarray, m: np.ndarray) -> tuple:
+    return kind, range_, pack(k), pack(np.packbits(m))
+
+
+def run_table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "range", "keys", "many"])
+
+
+def absorb(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Merge-joins the requests of one range with its runs: the run to be added, and single keys of history that now repeat."""
+    side = asked if len(asked) else held
+    k, m = merged(*unpack(asked))
+    index, many = merged(*unpack(held))
+    found, marked = held_in(k, index, many)
+    changed = k[found & ~marked]
+    number = side.column("range")[0].as_py()
+    return run_table([row_of(ADDED, number, k, m | found), row_of(CHANGED, number, changed, np.ones(len(changed), bool))])
+
+
+def compact(held: pa.Table) -> pa.Table:
+    return run_table([row_of(ADDED, held.column("range")[0].as_py(), *merged(*unpack(held)))])
+
+
+def repeated(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Of each request of one range, the keys that the runs hold marked."""
+    index, many = merged(*unpack(held))
+    rows = []
+    for part, number, key in zip(asked.column("part").to_pylist(), asked.column("range").to_pylist(), asked.column("keys")):
+        k = np.frombuffer(key.as_py(), np.uint64)
+        if (hit := held_in(k, index, many)[1]).any():
+            rows.append((part, number, pack(k[hit])))
+    kinds = (pa.int64(), pa.int32(), pa.binary())
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["part", "range", "keys"])
 
 
 class Index:
-    """Sorted runs of fingerprints in the shared folder, one generation per added batch of documents."""
+    """Sorted runs of keys in the shared folder, compacted when there are ``fan_out``."""
 
-    def __init__(self, spark, parts: int, fan_out: int = FAN_OUT):
-        self.scratch, self.parts, self.fan_out, self.runs, self.generation = Scratch(spark, "fingerprints"), parts, fan_out, [], 0
+    def __init__(self, spark: SparkSession, root: str, parts: int, fan_out: int, state: dict | None = None):
+        self.spark, self.root, self.parts, self.fan_out = spark, root, parts, fan_out
+        self.state = state or {"runs": [], "changed": [], "asks": [], "made": 0}
+
+    def _keep(self, df: DataFrame) -> str:
+        self.state["made"] += 1
+        path = f"{self.root}/{self.state['made']}"
+        df.write.option("compression", "zstd").parquet(path)
+        return path
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def add(self, asked: DataFrame) -> None:
-        """A new immutable run from the requests of a batch of documents."""
-        generation = self.generation
-
-        def run(t: pa.Table) -> pa.Table:
-            k, m = merged(*unpack(t))
-            return pa.table([t.column("part")[:1], pa.array([generation], pa.int32()), pa.array([pack(k)], pa.binary()), pa.array([pack(np.packbits(m))], pa.binary())], names=["part", "generation", "keys", "many"])
-
-        self.runs.append(self.scratch.keep(asked.groupBy("part").applyInArrow(run, RUN)))
-        self.generation += 1
-        if len(self.runs) >= self.fan_out:
-            self.compact()
-
-    def compact(self) -> None:
-        """All runs of a range as one; the old ones are dropped."""
-        if len(self.runs) < 2:
-            return
-        old, generation = self.runs, self.generation
-
-        def run(t: pa.Table) -> pa.Table:
-            k, m = merged(*unpack(t))
-            return pa.table([t.column("part")[:1], pa.array([generation], pa.int32()), pa.array([pack(k)], pa.binary()), pa.array([pack(np.packbits(m))], pa.binary())], names=["part", "generation", "keys", "many"])
-
-        every = old[0]
-        for r in old[1:]:
-            every = every.unionByName(r)
-        self.runs = [self.scratch.keep(every.groupBy("part").applyInArrow(run, RUN))]
-        self.scratch.drop(*old)
-
-    def probe(self, asked: DataFrame) -> DataFrame:
-        """For every key asked for, in order, whether the index holds it more than once."""
-        every = self.runs[0]
-        for r in self.runs[1:]:
-            every = every.unionByName(r)
-        return asked.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(answer, ANSWER)
-
-
-def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """Merge-joins the requests of one range with its runs."""
-    index, many = merged(*unpack(held))
-    keys, _ = unpack(asked)
-    hits = [np.packbits(many[np.searchsorted(index, k)]) if len(k) else np.zeros(0, np.uint8) for k in keys]
-    return pa.table(
-        [asked.column("batch"), asked.column("part"), pa.array([len(k) for k in keys], pa.int64()), pa.array([pack(x) for x in hits], pa.binary())], names=["batch", "part", "n", "many"]
-    )
+        """Joins a batch's requests with history, then makes them a run."""
+        path = self._keep(asked)
+        found = self._keep(self._read([path], ASK).groupBy("range").cogroup(self.runs().groupBy("range")).applyInArrow(absorb, RUN))
+        self.state["asks"].append(path)
+        self.state["changed"].append(found)
+        self.state["runs"].append(found)
+        if len(self.state["runs"]) >= self.fan_out:
+            self.state["runs"] = [self._keep(self.runs().groupBy("range").applyInArrow(compact, RUN))]
+
+    def runs(self) -> DataFrame:
+        return self._read(self.state["runs"], RUN).where(F.col("kind") == ADDED)
+
+    def changed(self, batch: int) -> DataFrame:
+        """Keys of the batches before that repeat since ``batch``."""
+        return self._read(self.state["changed"][batch : batch + 1], RUN).where(F.col("kind") == CHANGED)
 
+    def asks(self, batches: slice = slice(None)) -> DataFrame:
+        return self._read(self.state["asks"][batches], ASK)
 
-def answered(t: pa.Table) -> np.ndarray:
-    """The answers to a batch's distinct keys in key order."""
-    t = t.sort_by("part")
-    bits = [np.unpackbits(np.frombuffer(m.as_py(), np.uint8))[: n.as_py()] for m, n in zip(t.column("many"), t.column("n"))]
-    return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    @staticmethod
+    def repeated(asked: DataFrame, held: DataFrame) -> DataFrame:
+        return asked.groupBy("range").cogroup(held.groupBy("range")).applyInArrow(repeated, REPEATED)
 
 
-# --------------------------------------------------------------------------- documents in batches
-STORE = "batch long, generation int, words long, ids binary, known binary, text binary, offsets binary"
+# --------------------------------------------------------------------------- documents in parts
+STORE = "part long, words long, ids binary, known binary, text binary, offsets binary"
+RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def batches(docs: DataFrame, text: str, doc_id: str, generations: int, batch_words: int) -> DataFrame:
+def parts_of(docs: DataFrame, text: str, doc_id: str, batch: int, part_words: int) -> DataFrame:
     picked = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
 
     def run(source):
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def batch():
+        def part():
             ids, known, raw, sizes = (np.concatenate(x) for x in zip(*held))
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            row = [(task << 24) + number, (task + number) % generations, size, pack(ids), pack(known), pack(raw), pack(offsets)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            row = [(batch << 48) + (task << 24) + number, size, pack(ids), pack(known), pack(raw), pack(offsets)]
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in STORE.split(", ")])
 
         for b in slices(source, "t", 2 << 20):
@@ -176,17 +216,17 @@ def batches(docs: DataFrame, text: str, doc_id: str, generations: int, batch_wor
             ids = b.column("i")
             held.append((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_valid()), raw, np.diff(offs)))
             size += int(n.sum())
-            if size >= batch_words or sum(len(x[2]) for x in held) >= 16 * batch_words:
-                yield batch()
+            if size >= part_words or sum(len(x[2]) for x in held) >= 16 * part_words:
+                yield part()
                 number, held, size = number + 1, [], 0
         if held:
-            yield batch()
+            yield part()
 
     return picked.mapInArrow(run, STORE)
 
 
 def words_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets, word hashes and words per document of a batch."""
+    """Bytes, offsets, word hashes and words per document of a part."""
     raw, offsets = np.frombuffer(t.column("text")[0].as_py(), np.uint8), np.frombuffer(t.column("offsets")[0].as_py(), np.int64)
     hashes, counts = [], []
     cuts = [0, *(np.flatnonzero(np.diff(offsets[:-1] >> 21)) + 1), len(offsets) - 1]  # hashed in parts to save memory
@@ -197,79 +237,154 @@ def words_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return raw, offsets, np.concatenate(hashes), np.concatenate(counts)
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, gram: int = GRAM, generations: int = 2, batch_words: int = BATCH_WORDS, digest: bool = False) -> DataFrame:
+def keys_of(answers: pa.Table) -> np.ndarray:
+    """All keys of a part's answers, sorted."""
+    return np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers.column("keys")])) if len(answers) else np.zeros(0, np.uint64)
+
+
+def among(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    return held_in(keys, sorted_keys, np.ones(len(sorted_keys), bool))[0]
+
+
+class Corpus:
+    """All batches of documents added so far: their words and the two indexes, in one folder."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, ranges: int = 4, width: int = WIDTH, gram: int = GRAM, part_words: int = PART_WORDS, fan_out: int = FAN_OUT):
+        """Opens the corpus in ``path``, or starts one there with ``ranges`` hash ranges (for each, about 8 million words at full size)."""
+        self.spark, self.path = spark, path or Scratch(spark, "substring").root
+        saved = self._saved()
+        facts = saved or {"ranges": ranges, "width": width, "gram": gram, "part_words": part_words, "fan_out": fan_out, "stores": [], "prints": None, "windows": None}
+        self.facts, self.width, self.gram = facts, facts["width"], facts["gram"]
+        self.prints = Index(spark, f"{self.path}/prints", facts["ranges"], facts["fan_out"], facts["prints"])
+        self.windows = Index(spark, f"{self.path}/windows", 4 * facts["ranges"], facts["fan_out"], facts["windows"])
+        self.stores = [self._table(*s) for s in facts["stores"]]
+
+    def _saved(self) -> dict | None:
+        jvm = self.spark._jvm
+        log = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        if not log.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(log):
+            return None
+        return json.loads(self.spark.read.parquet(f"{self.path}/log").orderBy(F.desc("batches")).first()["facts"])
+
+    def _table(self, path: str, buckets: int) -> DataFrame:
+        name = f"substring_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({STORE}) USING parquet CLUSTERED BY (part) INTO {buckets} BUCKETS LOCATION '{path}'")
+        out = self.spark.table(name)
+        out.name = name
+        return out
+
+    def close(self) -> None:
+        """Forgets the session's names of the tables; the folder stays."""
+        for s in self.stores:
+            self.spark.sql(f"DROP TABLE IF EXISTS {s.name}")
+
+    def add(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> None:
+        """One more batch: its windows are looked up in the history and become part of it."""
+        batch, width, gram, prints, windows_ = len(self.stores), self.width, self.gram, self.prints.parts, self.windows.parts
+        path, buckets, made = f"{self.path}/store/{batch}", max(8, min(8 * docs.rdd.getNumPartitions(), 1 << 14)), f"substring_{uuid.uuid4().hex}"
+        parts_of(docs, text, doc_id, batch, self.facts["part_words"]).write.option("compression", "zstd").option("path", path).bucketBy(buckets, "part").saveAsTable(made)
+        self.spark.sql(f"DROP TABLE {made}")
+        self.facts["stores"].append((path, buckets))
+        self.stores.append(self._table(path, buckets))
+
+        def fingerprints(rows):
+            for b in rows:
+                for i in range(b.num_rows):
+                    t = pa.Table.from_batches([b.slice(i, 1)])
+                    _, _, h, n = words_of(t)
+                    yield from requests(t.column("part")[0].as_py(), windows(h, n, width, gram)[2], prints).to_batches()
+
+        def doubtful(t: pa.Table, answers: pa.Table) -> pa.Table:
+            if not len(t) or not len(answers):
+                return requests(0, np.zeros(0, np.uint64), windows_)
+            _, _, h, n = words_of(t)
+            starts, low, _ = windows(h, n, width, gram)
+            ok = among(low, keys_of(answers))
+            return requests(t.column("part")[0].as_py(), window_keys(h, starts[ok], low[ok], width), windows_)
+
+        self.prints.add(self.stores[-1].mapInArrow(fingerprints, ASK))
+        asked = None
+        for b, store in enumerate(self.stores):
+            held = self.prints.runs() if b == batch else self.prints.changed(batch)
+            found = self.prints.repeated(self.prints.asks(slice(b, b + 1)), held)
+            one = store.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(doubtful, ASK)
+            asked = one if asked is None else asked.unionByName(one)
+        self.windows.add(asked)
+        facts = self.facts | {"prints": self.prints.state, "windows": self.windows.state}
+        self.spark.createDataFrame([(batch, json.dumps(facts))], "batches int, facts string").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def results(self, digest: bool = False, since: int | None = None) -> DataFrame:
+        """doc_id, n_words, n_removed and kept of all documents.
+
+        With ``since``, only those of that batch and later ones, and earlier documents of
+        which a window repeats since then.
+        """
+        width, gram = self.width, self.gram
+        flagged = self.windows.repeated(self.windows.asks(), self.windows.runs()).withColumn("new", F.lit(False))
+        if since is not None:
+            for b in range(since, len(self.stores)):
+                late = self.windows.repeated(self.windows.asks(slice(0, b)), self.windows.changed(b)).unionByName(self.windows.repeated(self.windows.asks(slice(b, b + 1)), self.windows.runs()))
+                flagged = flagged.unionByName(late.withColumn("new", F.lit(True)))
+        found = Scratch(self.spark, "substring-found").keep(flagged)
+
+        def cut(always: bool):
+            def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+                if not len(t):
+                    return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                raw, offsets, h, n = words_of(t)
+                starts, low, _ = windows(h, n, width, gram)
+                keys, total = window_keys(h, starts, low, width), int(n.sum())
+                gone = covered(starts[among(keys, keys_of(answers.filter(pc.invert(answers.column("new")))))], width, total)
+                fresh = None if always else covered(starts[among(keys, keys_of(answers.filter(answers.column("new"))))], width, total)
+                ids, known = np.frombuffer(t.column("ids")[0].as_py(), np.int64), np.frombuffer(t.column("known")[0].as_py(), bool)
+                text, out, at = raw.tobytes(), [], 0
+                for i, ok, a, b, k in zip(ids.tolist(), known.tolist(), offsets[:-1], offsets[1:], n.tolist()):
+                    if always or fresh[at : at + k].any():
+                        words, mask = text[a:b].split(), gone[at : at + k]
+                        lost = int(mask.sum())
+                        kept = b" ".join(itertools.compress(words, (~mask).tolist()) if lost else words)
+                        out.append((i if ok else None, k, lost, hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+                    at += k
+                return pa.table([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
+
+            return run
+
+        out = None
+        for b, store in enumerate(self.stores):
+            mine = found.where(F.shiftright("part", 48) == b)
+            one = store.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(cut(since is None or b >= since), RESULT)
+            out = one if out is None else out.unionByName(one)
+        return out
+
+
+def window_keys(h: np.ndarray, starts: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """A hash of all words of the windows that start there."""
+    return mix(run_hashes(h, width)[starts] ^ low) if len(starts) else np.zeros(0, np.uint64)
+
+
+def covered(starts: np.ndarray, width: int, total: int) -> np.ndarray:
+    """Which of ``total`` words the windows cover."""
+    edge = np.bincount(starts, minlength=total + 1)[: total + 1] - np.bincount(starts + width, minlength=total + 1)[: total + 1]
+    return np.cumsum(edge)[:-1] > 0
+
+
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, part_words: int = PART_WORDS, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one blank) of every row.
 
     With ``digest``, kept holds the SHA-256 of those words in lower-case hex instead.
 
     A word goes if a window of ``width`` words that covers it also starts elsewhere, in
-    any document or its own. Null text has no words. Equal rows are separate documents.
+    any document or its own. The rows come to the index in ``batches`` batches, dealt by a
+    hash; the result is that of all at once. Null text has no words. Equal rows are
+    separate documents. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    scratch, buckets, name = Scratch(spark, "substring"), int(spark.conf.get("spark.sql.shuffle.partitions")), f"substring_{uuid.uuid4().hex}"
-    path = f"{scratch.root}/batches"
-    batches(docs, text, doc_id, generations, batch_words).write.option("compression", "zstd").option("path", path).bucketBy(buckets, "batch").saveAsTable(name)
-    store = spark.table(name)
-    total = store.agg(F.sum("words")).first()[0] or 0
-    parts = max(4, total // (8 * RANGE_KEYS))
-    verify_parts = max(4, total // (2 * RANGE_KEYS))
-
-    def fingerprints(rows):
-        for b in rows:
-            for i in range(b.num_rows):
-                t = pa.Table.from_batches([b.slice(i, 1)])
-                _, _, h, n = words_of(t)
-                yield from requests(t.column("batch")[0].as_py(), windows(h, n, width, gram)[2], parts).to_batches()
-
-    index, asks = Index(spark, parts), []
-    for g in range(generations):
-        asked = scratch.keep(store.where(F.col("generation") == g).mapInArrow(fingerprints, ASK))
-        index.add(asked)
-        asks.append(asked)
-    index.compact()
-    asked = asks[0]
-    for a in asks[1:]:
-        asked = asked.unionByName(a)
-    hits = scratch.keep(index.probe(asked))
-
-    def doubtful(t: pa.Table, c: pa.Table) -> tuple:
-        raw, offsets, h, n = words_of(t)
-        starts, prints, keys = windows(h, n, width, gram)
-        keys = np.unique(keys)
-        many = answered(c.filter(pc.equal(c.column("kind"), 0)))
-        ok = many[np.searchsorted(keys, prints)] if len(prints) else np.zeros(0, bool)
-        whole = run_hashes(h, width)
-        return raw, offsets, n, starts[ok], mix(whole[starts[ok]] ^ prints[ok])
-
-    def verify(t: pa.Table, c: pa.Table) -> pa.Table:
-        return requests(t.column("batch")[0].as_py(), doubtful(t, c)[4], verify_parts)
-
-    first = hits.withColumn("kind", F.lit(0))
-    seen = scratch.keep(store.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(verify, ASK))
-
-    def twice(t: pa.Table) -> pa.Table:
-        return answer(t, t)
-
-    both = first.unionByName(seen.groupBy("part").applyInArrow(twice, ANSWER).withColumn("kind", F.lit(1)))
-
-    def cut(t: pa.Table, c: pa.Table) -> pa.Table:
-        raw, offsets, n, starts, keys = doubtful(t, c)
-        many = answered(c.filter(pc.equal(c.column("kind"), 1)))
-        starts = starts[many[np.searchsorted(np.unique(keys), keys)]] if len(keys) else starts
-        edge = np.bincount(starts, minlength=int(n.sum()) + 1) - np.bincount(starts + width, minlength=int(n.sum()) + 1)[: int(n.sum()) + 1]
-        gone = np.cumsum(edge)[:-1] > 0
-        text, kept, removed, at = raw.tobytes(), [], [], 0
-        for a, b, k in zip(offsets[:-1], offsets[1:], n.tolist()):
-            words, mask = text[a:b].split(), gone[at : at + k]
-            lost = int(mask.sum())
-            kept.append(b" ".join(itertools.compress(words, (~mask).tolist()) if lost else words))
-            removed.append(lost)
-            at += k
-        ids, known = np.frombuffer(t.column("ids")[0].as_py(), np.int64), np.frombuffer(t.column("known")[0].as_py(), bool)
-        return pa.table([pa.array(ids, mask=~known), pa.array(n.astype(np.int64)), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() if digest else x.decode() for x in kept])], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    out = scratch.keep(store.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string"))
-    spark.sql(f"DROP TABLE {name}")
-    store.path = path
-    scratch.drop(store)
+    words = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 6
+    corpus = Corpus(docs.sparkSession, None, max(4, words // (8 * RANGE_KEYS)), width, gram, part_words)
+    dealt = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(batches))
+    for b in range(batches):
+        corpus.add(docs.where(dealt == b), text, doc_id)
+    scratch = Scratch(docs.sparkSession, "substring-out")
+    out = scratch.keep(corpus.results(digest))
+    corpus.close()
+    scratch.drop(corpus)
     return out

@@ -221,18 +221,52 @@ def brute_windows(rows, width):
         yield gone
 
 
-@pytest.mark.parametrize("width, generations", [(35, 2), (12, 3)])
-def test_substring_dedup_matches_brute_force(docs, none, width, generations):
+def wanted(rows, width):
+    return sorted((str(i), len(w), sum(g), b" ".join(x for x, y in zip(w, g) if not y).decode()) for (i, w), g in zip(rows, brute_windows([w for _, w in rows], width)))
+
+
+def told(got):
+    return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got)
+
+
+@pytest.mark.parametrize("width, batches", [(35, 1), (12, 3)])
+def test_substring_dedup_matches_brute_force(docs, none, width, batches):
     rows = [(r["doc_id"], split(r["text"])) for r in docs.collect()]
-    got = substring.dedup(docs, width=width, generations=generations, batch_words=300).collect()
-    want = sorted((str(i), len(w), sum(g), b" ".join(x for x, y in zip(w, g) if not y).decode()) for (i, w), g in zip(rows, brute_windows([w for _, w in rows], width)))
-    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+    assert told(substring.dedup(docs, width=width, batches=batches, part_words=300).collect()) == wanted(rows, width)
     assert substring.dedup(none).count() == 0
 
 
+def test_batch_by_batch_equals_all_at_once(spark, tmp_path):
+    """A reopened index tells after each batch what changes, on both sides, and ends where a single pass does."""
+    rng = random.Random(21)
+    passages = [prose(rng, 30) for _ in range(8)]
+    rows = [(i, " ".join(x for _ in range(3) for x in (prose(rng, rng.randrange(5, 25)), rng.choice(passages)))) for i in range(24)]
+    known, moved = {}, 0
+    for b in range(4):
+        mine = rows[6 * b : 6 * b + 6]
+        corpus = substring.Corpus(spark, f"file://{tmp_path}/index", width=20, part_words=120)
+        corpus.add(spark.createDataFrame(mine, "doc_id long, text string").repartition(2))
+        changes = corpus.results(since=b).collect()
+        assert len(corpus.prints.state["runs"]) == 1 and len(corpus.stores) == b + 1
+        before, known = dict(known), known | {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in changes}
+        assert {i for i, _ in mine} <= {r["doc_id"] for r in changes} and len(changes) == len({r["doc_id"] for r in changes})
+        assert sorted((str(i), *x) for i, x in known.items()) == wanted([(i, split(t)) for i, t in rows[: 6 * b + 6]], 20)
+        assert told(corpus.results().collect()) == wanted([(i, split(t)) for i, t in rows[: 6 * b + 6]], 20)
+        corpus.close()
+        moved += sum(known[i] != x for i, x in before.items())
+    assert moved > 0
+
+
 def test_runs_merge_and_compact():
     k, m = substring.merged([np.array([1, 5, 9], np.uint64), np.array([5, 7], np.uint64)], [np.array([False, False, True]), np.array([False, False])])
     assert k.tolist() == [1, 5, 7, 9] and m.tolist() == [False, True, False, True]
+    rng = np.random.default_rng(5)
+    for n in range(5):
+        keys = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(n)]
+        many = [rng.random(len(x)) < 0.2 for x in keys]
+        k, m = substring.merged(keys, many)
+        c, marked = Counter(x for r in keys for x in r.tolist()), {x for r, y in zip(keys, many) for x in r[y].tolist()}
+        assert k.tolist() == sorted(c) and m.tolist() == [c[x] > 1 or x in marked for x in sorted(c)]
 
 
 # --------------------------------------------------------------------------- near duplicates
