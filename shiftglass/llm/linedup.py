@@ -52,7 +52,8 @@ def suffixes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
     document, since nothing tells which comes first: they lose the same lines.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = docs.select(F.col(doc_id).alias("d"), _row(text, doc_id).alias("row"), F.posexplode(_lines(text)).alias("at", "line")).select("d", "row", "at", F.unhex(F.md5("line")).alias("line"), F.length("line").alias("chars"))
+    whole = docs.select(F.col(doc_id).alias("d"), _row(text, doc_id).alias("row"), _lines(text).alias("lines"))  # the row is named before its lines are told apart
+    lines = whole.select("d", "row", F.posexplode("lines").alias("at", "line")).select("d", "row", "at", F.unhex(F.md5("line")).alias("line"), F.length("line").alias("chars"))
     found = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).where("first <> last").drop("last")
     shared = scratch.keep(found.orderBy("line").withColumn("rank", F.monotonically_increasing_id()))
     total = shared.agg(F.sum("n")).first()[0] or 0
