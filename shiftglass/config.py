@@ -32,6 +32,9 @@ class Config:
     occupancy_clear: float = 0.6
     occupancy_samples: int = 3
     sample_every_s: float = 5.0
+    upright_aspect: float = 0.9
+    lying_aspect: float = 1.1
+    down_aspect: float = 1.2
 
 
 PAIRS = (("lost_grace_s", "lost_ttl_s"), ("man_down_upright", "man_down_angle"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import buckets, frames, governance, records
 from ..sources import domain
@@ -24,13 +24,26 @@ def presence(s, p):
 
 
 def occupancy(s, p):
-    heads = presence(s, p).where("zone IS NOT NULL").groupBy("session", "zone", "t").agg(F.count("*").alias("seen"), F.count_if(F.substring("worker", -1, 1) != "7").alias("clear"))
-    return run_batch(heads.withColumn("hidden", F.lit(0)), episodes.Occupancy(least=2), ["session", "zone"], ["t"], f"session string, zone string, {episodes.DECISION}")
+    frames_ = presence(s, p)
+    heads = frames_.where("zone IS NOT NULL").groupBy("session", "zone", "t").agg(F.count("*").alias("seen"), F.count_if(F.substring("worker", -1, 1) != "7").alias("clear"))
+    heads = heads.join(zone_visits.hidden(frames_), ["session", "zone", "t"], "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
+    return episodes.occupancy(heads, ["session", "zone"], least=2)
+
+
+def bodies(s, p):
+    """Tracked bodies: walking until they lie down three seconds in, some bent or with weak keypoints, some up again."""
+    w = Window.partitionBy("session", "worker").orderBy("t")
+    rows = presence(s, p).withColumn("n", F.row_number().over(w)).withColumn("kind", F.substring("worker", -1, 1).cast("int"))
+    lying = (F.col("n") > 6) & ~((F.col("kind") == 3) & (F.col("n") % 19 > 15))
+    return rows.select(
+        "session", "worker", "t", F.when(lying, 100.0).otherwise(F.col("n") * 40.0).alias("cx"), F.lit(200.0).alias("cy"), F.lit(150.0).alias("size"),
+        F.when(F.col("kind") == 5, None).when(lying, 80.0).otherwise(10.0).alias("angle"), F.when(F.col("kind") == 4, 1.0).when(lying, 1.5).otherwise(0.4).alias("aspect"),
+        ((F.col("kind") == 6) & lying).alias("legs_up"), F.lit(False).alias("collapsed"), (F.col("kind") == 8).alias("allowed"),
+    )
 
 
 def man_down(s, p):
-    rows = presence(s, p).select("session", "worker", "t", F.lit(100.0).alias("cx"), F.lit(200.0).alias("cy"), F.lit(150.0).alias("size"), F.when(F.col("zone") == "click", 80.0).otherwise(10.0).alias("angle"), F.lit(1.5).alias("aspect"), F.lit(False).alias("legs_up"), F.lit(False).alias("collapsed"), F.lit(False).alias("allowed"))
-    return run_batch(rows, episodes.ManDown(), ["session", "worker"], ["t"], f"session string, worker string, {episodes.DECISION}")
+    return episodes.man_down(bodies(s, p), ["session", "worker"])
 
 
 def entries(s, p):
@@ -43,8 +56,10 @@ def entries(s, p):
 
 def continuous(s, p):
     samples = T(s, p).withColumn("t", F.unix_micros("ts") / 1e6)
-    rows = samples.select("track_id", "t", F.when(F.col("posture_state") == "AWAY", "ABSENT").otherwise("PRESENT").alias("state"))
-    return run_batch(rows, episodes.Continuous(), ["track_id"], ["t"], f"track_id long, {episodes.DECISION}")
+    support = F.col("activity_score") / 100 + 0.5
+    looks = samples.groupBy("track_id", "t").agg(F.max("posture_state").alias("posture"), F.max(support).alias("support"))
+    state = F.when(F.col("posture").isin("AWAY", "SITTING"), "ABSENT").when(F.col("posture") == "WALKING", "PRESENT").otherwise("UNVERIFIABLE")
+    return episodes.continuous(looks.select("track_id", "t", state.alias("state"), "support", F.lit(True).alias("agrees")), ["track_id"])
 
 
 def sampled(s, p):

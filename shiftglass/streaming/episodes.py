@@ -1,12 +1,19 @@
-"""Machines for head counts, people lying still, equipment at entry and sampled telemetry."""
+"""Episodes of head counts, people lying still and missing equipment as windows; entries and sampling as machines.
+
+An episode is a stretch that a short break does not end (gaps and islands); what is said of
+it follows from its first frames at which a rule is due. Only what depends on what was
+said before is folded: flags a minute apart, entries, sampled telemetry.
+"""
 
 from __future__ import annotations
 
 import json
-import math
 from statistics import median
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
 from ..config import Config
+from ..operators.frames import median_of
 from .machine import Machine
 
 FLAG, UNSURE, FINE = "POTENTIAL_VIOLATION", "UNVERIFIABLE", "COMPLIANT"
@@ -19,148 +26,180 @@ def _decision(status: str, t: float, confidence: float, **evidence) -> dict:
 DECISION = "status string, t double, confidence double, evidence string"
 
 
-class Occupancy(Machine):
-    """Too few or too many people in a zone, by the median of a short window.
+# --------------------------------------------------------------------------- episodes as windows
+def _marked(rows: DataFrame, keys: list[str], on: Column, recover_s: float) -> DataFrame:
+    """``rows`` where ``on`` holds or that lie between such rows, with the number of their episode.
 
-    Rows: t, seen, clear, hidden (head counts of the zone in this frame). A situation must
-    last the grace time and hold in the frame that judges it; if too few of the heads were
-    clear it is said once to be untellable and then read afresh.
+    An episode goes on over stretches where ``on`` does not hold, unless one lasts ``recover_s``.
+    ``rows`` has t and part (windows never reach over a part's start).
     """
+    w = Window.partitionBy(*keys, "part").orderBy("t")
+    run = rows.withColumn("on", on).withColumn("run", F.sum((F.coalesce(F.lag("on").over(w) != F.col("on"), F.lit(True))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    off = F.min("t").over(Window.partitionBy(*keys, "part", "run"))
+    over = ~F.col("on") & (F.col("t") - off >= recover_s)
+    known = run.withColumn("over", over.cast("int")).withColumn("recovered", F.sum("over").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = F.max(F.col("on")).over(Window.partitionBy(*keys, "part", "recovered").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("begun", begun).where("begun AND over = 0").withColumn("episode", F.struct("part", "recovered")).drop("run", "over", "recovered", "begun")
 
-    KINDS = ("LONE_WORKER", "OVER_CAPACITY", "EMPTY_ZONE")
 
-    def __init__(self, least: int | None = None, most: int | None = None, flag_empty: bool | None = None, config: Config | None = None):
-        self.least, self.most, self.c = least, most, config or Config()
-        self.empty = least is not None and (flag_empty is None or flag_empty)
+def _parts(rows: DataFrame, keys: list[str], gap_s: float) -> DataFrame:
+    """Numbers the stretches of a key's rows between gaps of over ``gap_s``."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    return rows.withColumn("part", F.sum(F.coalesce(F.col("t") - F.lag("t").over(w) > gap_s, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def start(self) -> dict:
-        return {"window": [], "last": None, "open": {k: None for k in self.KINDS}, "flagged": {}}
 
-    def step(self, s: dict, row: dict) -> list[dict]:
-        t, seen, clear, hidden = row["t"], int(row["seen"]), int(row["clear"]), max(0, int(row.get("hidden") or 0))
-        c = self.c
-        if s["last"] is not None and t - s["last"] > max(5.0, 3 * c.occupancy_window_s):
-            s.update(window=[], open={k: None for k in self.KINDS})
-        w = s["window"]
-        w.append([t, seen, seen + hidden])
-        while len(w) > c.occupancy_samples and t - w[0][0] > c.occupancy_window_s:
-            w.pop(0)
-        s["last"] = t
-        if len(w) < c.occupancy_samples or (t - w[0][0] < c.occupancy_window_s / 2 and len(w) < 2 * c.occupancy_samples):
-            return []
-        typical, with_hidden = median(x[1] for x in w), median(x[2] for x in w)
-        holds = {
-            "LONE_WORKER": (self.least is not None and typical >= 1 and with_hidden < self.least, seen >= 1),
-            "OVER_CAPACITY": (self.most is not None and typical > self.most, self.most is not None and seen > self.most),
-            "EMPTY_ZONE": (self.empty and with_hidden == 0, seen == 0 and hidden == 0),
-        }
-        return [d for k in self.KINDS for d in self._episode(s, k, *holds[k], t, seen, clear, hidden)]
-
-    def _episode(self, s: dict, kind: str, holds: bool, now: bool, t: float, seen: int, clear: int, hidden: int) -> list[dict]:
-        e, c = s["open"][kind], self.c
-        if not holds:
-            if e is not None:
-                if e["gone"] is None:
-                    e["gone"] = t
-                elif t - e["gone"] >= c.recover_s:
-                    s["open"][kind] = None
-            return []
-        if e is None:
-            e = s["open"][kind] = {"since": t, "n": 0, "clear": 0, "hidden": 0, "counts": [], "judged": False, "warned": False}
-        e["gone"] = None
-        e["n"] += seen
-        e["clear"] += clear
-        e["hidden"] = max(e["hidden"], hidden)
-        e["counts"].append(seen)
-        if e["judged"] or not now or t - e["since"] < c.occupancy_grace_s:
-            return []
-        share = 1.0 if kind == "EMPTY_ZONE" else (e["clear"] / e["n"] if e["n"] else 0.0)
-        told = {"people_seen": int(round(median(e["counts"]))), "seconds": round(t - e["since"], 1), "clear_fraction": round(share, 3), "hidden_people": e["hidden"], "min_people": self.least, "max_people": self.most}
-        if share < c.occupancy_clear:
-            if e["warned"]:
-                e["judged"] = True
-                return []
-            d = _decision(UNSURE, e["since"], 0.0, outcome="CROWDED", **told)
-            e.update(warned=True, since=t, n=0, clear=0, counts=[])
-            return [d]
-        e["judged"] = True
-        last = s["flagged"].get(kind)
-        if last is not None and t - last < c.realert_after_s:
-            return []
-        s["flagged"][kind] = t
-        return [_decision(FLAG, e["since"], share, outcome=kind, **told)]
+def _spaced(flags: DataFrame, keys: list[str], at: str, apart_s: float) -> DataFrame:
+    """Of a key's few flags those that come ``apart_s`` or more after the last one kept: each depends on those before."""
+    empty = F.array().cast("array<double>")
+    kept = F.aggregate(F.array_sort(F.collect_list(F.col(at).cast("double"))), empty, lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) >= apart_s), F.concat(s, F.array(x))).otherwise(s))
+    return flags.join(flags.groupBy(*keys).agg(kept.alias("__kept")), keys).where(F.array_contains("__kept", F.col(at))).drop("__kept")
 
 
-class ManDown(Machine):
-    """A person lying still. Rows: t, cx, cy, size, angle (of the torso, null if weak), aspect, legs_up, sitting, collapsed.
+def _judged(status: str, t: Column, confidence: Column, **evidence: Column) -> list[Column]:
+    told = F.to_json(F.struct(*[v.alias(k) for k, v in sorted(evidence.items())]))
+    return [F.lit(status).alias("status"), F.round(t, 6).alias("t"), F.round(F.least(F.lit(1.0), confidence), 3).alias("confidence"), told.alias("evidence")]
 
-    Columns compute the posture; the machine measures movement over the last 0.6 s and
-    judges an episode when 60 % of its frames are clearly down for 5 s, or says once after
-    twice that time that it cannot tell.
-    """
 
-    def __init__(self, seconds: float | None = None, config: Config | None = None):
-        self.c = config or Config()
-        self.seconds = self.c.man_down_s if seconds is None else seconds
+KINDS = ("LONE_WORKER", "OVER_CAPACITY", "EMPTY_ZONE")
 
-    def start(self) -> dict:
-        return {"path": [], "last": None, "e": None}
 
-    def step(self, s: dict, row: dict) -> list[dict]:
-        t = row["t"]
-        if s["last"] is not None and t - s["last"] > self.c.lost_s:
-            s.update(path=[], e=None)
-        s["last"] = t
-        return self._judge(s, self._posture(s, row), row.get("angle"), t)
-
-    def _posture(self, s: dict, row: dict) -> str:
-        c, t, path = self.c, row["t"], s["path"]
-        path.append([t, row["cx"], row["cy"]])
-        while len(path) > 2 and t - path[0][0] > c.motion_window_s:
-            path.pop(0)
-        past = [p for p in path if t - p[0] >= c.motion_window_s / 2]
-        if not past or row["size"] <= 0 or row.get("allowed"):
-            return "UP"
-        speed = max(math.hypot(row["cx"] - x, row["cy"] - y) / max(t - p, 1e-6) for p, x, y in past) / row["size"]
-        if speed >= c.still_speed:
-            return "UP"
-        angle, aspect = row.get("angle"), row["aspect"]
-        if row.get("collapsed"):
-            return "DOWN"
-        if angle is None:
-            return "UNCLEAR" if aspect > 1.2 else "UP"
-        if angle <= c.man_down_angle or aspect < 0.9 or row.get("legs_up"):
-            return "UP"
-        return "DOWN" if aspect >= 1.1 else "UNCLEAR"
-
-    def _judge(self, s: dict, posture: str, angle: float | None, t: float) -> list[dict]:
-        e = s["e"]
-        if posture == "UP":
-            if e is not None:
-                e["n"] += 1
-                e["up"] = t if e["up"] is None else e["up"]
-                if t - e["up"] >= self.c.recover_s:
-                    s["e"] = None
-            return []
-        if e is None:
-            e = s["e"] = {"began": t, "since": t, "n": 0, "down": 0, "angles": [], "up": None, "judged": False, "warned": False}
-        e["up"] = None
-        e["n"] += 1
-        if posture == "DOWN":
-            e["down"] += 1
-            if angle is not None:
-                e["angles"].append(angle)
-        if e["judged"] or t - e["since"] < self.seconds:
-            return []
-        share = e["down"] / e["n"]
-        told = {"seconds_down": round(t - e["since"], 2), "frames": e["n"], "lying_fraction": round(share, 3), "torso_angle_deg": round(median(e["angles"]), 1) if e["angles"] else None}
-        if share >= self.c.clear_fraction:
-            e["judged"] = True
-            return [_decision(FLAG, t, share, outcome="LYING_STILL", **told)]
-        if t - e["since"] >= 2 * self.seconds and not e["warned"]:
-            e.update(warned=True, since=t, n=0, down=0)
-            return [_decision(UNSURE, t, 0.0, outcome="UNCLEAR", **told)]
-        return []
+def occupancy(heads: DataFrame, keys: list[str], least: int | None = None, most: int | None = None, flag_empty: bool | None = None, config: Config | None = None) -> DataFrame:
+    """Too few or too many people in a zone, by the median of a short window: keys, status, t, confidence, evidence.
+
+    ``heads``: keys, t, seen, clear, hidden (head counts of the zone in a frame). A situation
+    must last the grace time and hold in the frame that judges it; if too few of the heads
+    were clear it is said once to be untellable, and read afresh from then on. Flags of a
+    kind come a minute apart at least.
+    """
+    c, empty = config or Config(), least is not None and (flag_empty is None or flag_empty)
+    rows = _parts(heads.withColumn("hidden", F.greatest(F.coalesce("hidden", F.lit(0)), F.lit(0))).withColumn("ms", F.round(F.col("t") * 1000).cast("long")), keys, max(5.0, 3 * c.occupancy_window_s))
+    w = Window.partitionBy(*keys, "part").orderBy("ms")
+    by_time, by_rows = w.rangeBetween(-round(c.occupancy_window_s * 1000), 0), w.rowsBetween(1 - c.occupancy_samples, 0)
+    lately = lambda x: F.when(F.count("*").over(by_time) >= c.occupancy_samples, F.collect_list(x).over(by_time)).otherwise(F.collect_list(x).over(by_rows))
+    rows = rows.withColumn("lately", lately(F.struct("t", "seen", (F.col("seen") + F.col("hidden")).alias("inside"))))
+    n, span = F.size("lately"), F.col("t") - F.array_min(F.transform("lately", lambda x: x["t"]))
+    told = (n >= c.occupancy_samples) & ((span >= c.occupancy_window_s / 2) | (n >= 2 * c.occupancy_samples))
+    rows = rows.withColumn("typical", median_of(F.transform("lately", lambda x: x["seen"]))).withColumn("inside", median_of(F.transform("lately", lambda x: x["inside"]))).where(told)
+    off, seen = F.lit(False), F.col("seen")
+    holds = {
+        "LONE_WORKER": ((F.col("typical") >= 1) & (F.col("inside") < least) if least is not None else off, seen >= 1),
+        "OVER_CAPACITY": (F.col("typical") > most if most is not None else off, seen > most if most is not None else off),
+        "EMPTY_ZONE": (F.col("inside") == 0 if empty else off, (seen == 0) & (F.col("hidden") == 0)),
+    }
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), on.alias("holds"), now.alias("now")) for k, (on, now) in holds.items()]))
+    each = rows.withColumn("k", kinds).select("*", "k.*").drop("k", "lately", "typical", "inside")
+    by = [*keys, "kind"]
+    one = [*by, "episode"]
+    marked = _marked(each, by, F.col("holds"), c.recover_s).where("holds")
+    e = Window.partitionBy(*one)
+    first = marked.withColumn("since", F.min("t").over(e))
+    judge = lambda since: F.min(F.when(F.col("now") & (F.col("t") - since >= c.occupancy_grace_s), F.col("t"))).over(e)
+    first = first.withColumn("judged", judge(F.col("since"))).where("judged IS NOT NULL")
+    second = first.withColumn("again", judge(F.col("judged")))
+    share = F.when(F.col("kind") == "EMPTY_ZONE", 1.0).otherwise(F.coalesce(F.sum("clear") / F.nullif(F.sum("seen"), F.lit(0)), F.lit(0.0)))
+
+    def read(part: DataFrame) -> DataFrame:
+        return part.groupBy(*one, "since", "judged").agg(share.alias("share"), F.rint(median_of(F.collect_list("seen"))).cast("int").alias("people"), F.max("hidden_so_far").alias("hidden"))
+
+    so_far = F.max("hidden").over(e.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    second = second.withColumn("hidden_so_far", so_far)
+    early = read(second.where("t <= judged"))
+    unclear = early.where(F.col("share") < c.occupancy_clear)
+    late = read(second.where("t > judged AND t <= again").withColumn("since", F.col("judged")).withColumn("judged", F.col("again")))
+    late = late.join(unclear.select(*one), one, "left_semi")
+    flags = _spaced(early.where(F.col("share") >= c.occupancy_clear).unionByName(late.where(F.col("share") >= c.occupancy_clear)), by, "judged", c.realert_after_s)
+    evidence = {"people_seen": F.col("people"), "seconds": F.round(F.col("judged") - F.col("since"), 1), "clear_fraction": F.round("share", 3), "hidden_people": F.col("hidden"), "min_people": F.lit(least).cast("int"), "max_people": F.lit(most).cast("int")}
+    return flags.select(*keys, *_judged(FLAG, F.col("since"), F.col("share"), outcome=F.col("kind"), **evidence)).unionByName(unclear.select(*keys, *_judged(UNSURE, F.col("since"), F.lit(0.0), outcome=F.lit("CROWDED"), **evidence)))
+
+
+def postures(bodies: DataFrame, keys: list[str], config: Config | None = None) -> DataFrame:
+    """``bodies`` with speed (sizes a second, null without a history) and lies: UP, DOWN or UNCLEAR.
+
+    ``bodies``: keys, t, cx, cy, size, angle (of the torso, null if weak), aspect, legs_up,
+    sitting, collapsed, allowed. Speed is the farthest that any place of 0.3 to 0.6 s ago is
+    from here, by its age; at a slow frame rate the place before serves.
+    """
+    c = config or Config()
+    rows = _parts(bodies.withColumn("ms", F.round(F.col("t") * 1000).cast("long")), keys, c.lost_s)
+    w = Window.partitionBy(*keys, "part").orderBy("ms")
+    width = round(c.motion_window_s * 1000)
+    spot = F.struct("t", "cx", "cy")
+    past = F.collect_list(spot).over(w.rangeBetween(-width, -(width // 2)))
+    step = F.lag(spot).over(w)
+    alone = F.when(F.col("t") - step["t"] >= c.motion_window_s / 2, F.array(step)).otherwise(F.array())
+    rows = rows.withColumn("past", F.when(F.size(past) > 0, past).otherwise(alone))
+    pace = F.array_max(F.transform("past", lambda p: F.hypot(F.col("cx") - p["cx"], F.col("cy") - p["cy"]) / F.greatest(F.col("t") - p["t"], F.lit(1e-6))))
+    rows = rows.withColumn("speed", F.when(F.col("size") > 0, pace / F.col("size"))).drop("past", "ms")
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    flat = F.col("angle") > c.man_down_angle
+    still = F.coalesce(F.col("speed") < c.still_speed, F.lit(False)) & ~flag("allowed")
+    down = flag("collapsed") | (flat & (F.col("aspect") >= c.lying_aspect) & ~flag("legs_up"))
+    unclear = (flat & F.col("aspect").between(c.upright_aspect, c.lying_aspect) & ~flag("legs_up")) | (F.col("angle").isNull() & (F.col("aspect") > c.down_aspect))
+    return rows.withColumn("lies", F.when(~still, "UP").when(down, "DOWN").when(unclear, "UNCLEAR").otherwise("UP"))
+
+
+def man_down(bodies: DataFrame, keys: list[str], seconds: float | None = None, config: Config | None = None) -> DataFrame:
+    """People lying still: keys, status, t, confidence, evidence.
+
+    An episode is flagged at the first frame ``seconds`` after its start by which 60 % of its frames
+    are clearly down; if there is none within twice that time it is said once that it cannot be
+    told, and the episode is read afresh from then on.
+    """
+    c = config or Config()
+    seconds = c.man_down_s if seconds is None else seconds
+    one = [*keys, "episode"]
+    rows = _marked(postures(bodies, keys, c), keys, F.col("lies") != "UP", c.recover_s)
+    e = Window.partitionBy(*one)
+    so_far = lambda cond=None: F.count_if(F.lit(True) if cond is None else cond).over(e.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    judges = F.col("lies") != "UP"
+    rows = rows.withColumn("since", F.min("t").over(e)).withColumn("n", so_far()).withColumn("down", so_far(F.col("lies") == "DOWN"))
+    clear = judges & (F.col("t") - F.col("since") >= seconds) & (F.col("down") / F.col("n") >= c.clear_fraction)
+    rows = rows.withColumn("flagged", F.min(F.when(clear, F.col("t"))).over(e)).withColumn("unsure", F.min(F.when(judges & (F.col("t") - F.col("since") >= 2 * seconds), F.col("t"))).over(e))
+    told_first = F.col("flagged") <= F.coalesce(F.col("unsure"), F.col("flagged"))
+    rows = rows.withColumn("unsure", F.when(~F.coalesce(told_first, F.lit(False)), F.col("unsure"))).withColumn("flagged", F.when(told_first, F.col("flagged")))
+    later = rows.where("t > unsure").withColumn("since", F.col("unsure")).withColumn("n", so_far()).withColumn("down", so_far(F.col("lies") == "DOWN"))
+    later = later.withColumn("flagged", F.min(F.when(clear, F.col("t"))).over(e))
+
+    def read(part: DataFrame, at: str) -> DataFrame:
+        upto = part.where(F.col("t") <= F.col(at)).groupBy(*one, "since", at).agg(F.max("n").alias("n"), F.max("down").alias("down"), F.collect_list(F.when(F.col("lies") == "DOWN", F.col("angle"))).alias("angles"))
+        return upto.withColumn("share", F.col("down") / F.col("n"))
+
+    def said(found: DataFrame, at: str, status: str, outcome: str) -> DataFrame:
+        evidence = {"outcome": F.lit(outcome), "seconds_down": F.round(F.col(at) - F.col("since"), 2), "frames": F.col("n"), "lying_fraction": F.round("share", 3), "torso_angle_deg": F.round(median_of(F.col("angles")), 1)}
+        return found.select(*keys, *_judged(status, F.col(at), F.col("share") if status == FLAG else F.lit(0.0), **evidence))
+
+    flags = read(rows, "flagged").unionByName(read(later, "flagged"))
+    return said(flags, "flagged", FLAG, "LYING_STILL").unionByName(said(read(rows, "unsure"), "unsure", UNSURE, "UNCLEAR"))
+
+
+def continuous(looks: DataFrame, keys: list[str], grace_s: float | None = None, floor: float | None = None, config: Config | None = None) -> DataFrame:
+    """Equipment missing without a break: keys, status, t (the streak's start), confidence, evidence.
+
+    ``looks``: keys, t, state, support (of the absence), agrees (the newest frames too). A streak
+    is unbroken looks that are ABSENT with enough support; anything else breaks it. A streak that
+    lasts the grace time is flagged, unless the episode was (it ends when everything is surely
+    seen again) or its start lies within a minute of the last flag.
+    """
+    c = config or Config()
+    grace_s, floor = c.ppe_grace_s if grace_s is None else grace_s, c.support_floor if floor is None else floor
+    w = Window.partitionBy(*keys).orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    absent = (F.col("state") == "ABSENT") & (F.col("support") >= floor)
+    rows = looks.withColumn("absent", F.coalesce(absent, F.lit(False)))
+    rows = rows.withColumn("episode", F.sum(F.coalesce((F.col("state") == "PRESENT") & F.col("agrees"), F.lit(False)).cast("int")).over(upto))
+    rows = rows.withColumn("streak", F.sum((~F.col("absent")).cast("int")).over(upto)).where("absent")
+    s = Window.partitionBy(*keys, "streak")
+    rows = rows.withColumn("since", F.min("t").over(s))
+    due = rows.where(F.col("t") - F.col("since") >= grace_s - 1e-9)
+    first = due.groupBy(*keys, "episode", "streak", "since").agg(F.min("t").alias("at"), F.min_by("support", "t").alias("support"))
+    # which streaks are flagged depends on the flags before: a fold over the few streaks that are due
+    order = F.array_sort(F.collect_list(F.struct("at", "since", "episode")))
+    none = F.struct(F.lit(None).cast("double").alias("last"), F.lit(-1).cast("long").alias("episode"), F.array().cast("array<double>").alias("kept"))
+    take = lambda a, x: (x["episode"] != a["episode"]) & (a["last"].isNull() | (x["since"] - a["last"] >= c.realert_after_s))
+    fold = F.aggregate(order, none, lambda a, x: F.when(take(a, x), F.struct(x["at"].cast("double").alias("last"), x["episode"].cast("long").alias("episode"), F.concat(a["kept"], F.array(x["at"].cast("double"))).alias("kept"))).otherwise(a))
+    kept = first.groupBy(*keys).agg(fold["kept"].alias("kept"))
+    flags = first.join(kept, keys).where(F.array_contains("kept", F.col("at")))
+    return flags.select(*keys, *_judged(FLAG, F.col("since"), F.col("support"), run_seconds=F.round(F.col("at") - F.col("since"), 3), decided_video_time_s=F.round("at", 3)))
 
 
 class PpeEntry(Machine):
@@ -205,28 +244,32 @@ class PpeEntry(Machine):
         return [d]
 
 
-class Continuous(Machine):
-    """Equipment throughout. Rows: t, state. ABSENT unbroken for the grace time is one flag an episode, one a minute."""
+#: A fall along the line of sight, as shares of the standing measure: torso, torso against box, legs, box, feet.
+SHRUNK_TORSO, TORSO_TO_BOX, SHRUNK_LEGS, SHRUNK_BOX, SAME_FEET = 0.50, 0.80, 0.75, 0.65, 0.25
+STANDING_S, STANDING_FRAMES, STANDING_BOX = 10.0, 5, 0.85
 
-    def __init__(self, config: Config | None = None):
-        self.c = config or Config()
+
+class Standing(Machine):
+    """Whether a person is much shorter than they stood before, on the same feet. Rows: t, torso, legs, height, feet (null if weak), upright.
+
+    The standing measure is the median of the upright frames of the 10 s before the last of
+    them; which frames are, depends on the measure till then.
+    """
 
     def start(self) -> dict:
-        return {"since": None, "judged": False, "flagged": None}
+        return {"held": []}
 
     def step(self, s: dict, row: dict) -> list[dict]:
-        if row["state"] != "ABSENT":
-            s.update(since=None, judged=False)
-            return []
-        t = row["t"]
-        s["since"] = t if s["since"] is None else s["since"]
-        if s["judged"] or t - s["since"] < self.c.ppe_grace_s - 1e-9:
-            return []
-        s["judged"] = True
-        if s["flagged"] is not None and t - s["flagged"] < self.c.realert_after_s:
-            return []
-        s["flagged"] = t
-        return [_decision(FLAG, s["since"], 1.0, run_seconds=round(t - s["since"], 3))]
+        body, fallen = [row[k] for k in ("torso", "legs", "height", "feet")], False
+        if None in body or body[2] <= 0:
+            return [{"t": row["t"], "collapsed": False}]
+        usual = [median(x) for x in list(zip(*s["held"]))[1:]] if len(s["held"]) >= STANDING_FRAMES else None
+        if usual and min(usual[:3]) > 0:
+            torso, legs, box = (x / u for x, u in zip(body[:3], usual))
+            fallen = torso < min(SHRUNK_TORSO, TORSO_TO_BOX * box) and legs < SHRUNK_LEGS and box < SHRUNK_BOX and abs(body[3] - usual[3]) < SAME_FEET * usual[2]
+        if row["upright"] and not fallen and (usual is None or body[2] >= STANDING_BOX * usual[2]):
+            s["held"] = [x for x in s["held"] if row["t"] - x[0] <= STANDING_S] + [[row["t"], *body]]
+        return [{"t": row["t"], "collapsed": fallen}]
 
 
 class Sampler(Machine):

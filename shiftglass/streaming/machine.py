@@ -38,17 +38,30 @@ def _frame(key: dict, out: list[dict], names: list[str]) -> pd.DataFrame:
 
 
 def run_batch(rows: DataFrame, machine: Machine, keys: list[str], order: list[str], schema: str, close: bool = True) -> DataFrame:
-    """All rows of each key through the machine, then ``finish`` unless ``close`` is off."""
+    """All rows of each key through the machine, then ``finish`` unless ``close`` is off.
+
+    Rows come sorted and batch by batch; only the state of one key is held at a time.
+    """
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def fold(table: pa.Table) -> pa.Table:
-        rows, state, out = table.sort_by([(c, "ascending") for c in order]).to_pylist(), machine.start(), []
-        key = {k: rows[0][k] for k in keys}
-        for row in rows:
-            out += machine.step(state, row)
-        return pa.Table.from_pylist([key | x for x in out + (machine.finish(state) if close else [])], schema=kinds)
+    def fold(batches):
+        key, state = None, None
+
+        def ended() -> list[dict]:
+            return [dict(zip(keys, key)) | x for x in machine.finish(state)] if close and key is not None else []
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                mine = tuple(row[k] for k in keys)
+                if mine != key:
+                    out += ended()
+                    key, state = mine, machine.start()
+                out += [dict(zip(keys, key)) | x for x in machine.step(state, row)]
+            yield from pa.Table.from_pylist(out, schema=kinds).to_batches()
+        yield from pa.Table.from_pylist(ended(), schema=kinds).to_batches()
 
-    return rows.groupBy(*keys).applyInArrow(fold, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)
 
 
 class _Host(StatefulProcessor):

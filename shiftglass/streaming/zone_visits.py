@@ -1,157 +1,189 @@
-"""Zone visits: debounced entries and exits, losses, returns and dwell limits of one worker.
-
-A change of zone counts once it has lasted (0.7 s to enter, 1.0 s to leave) and is dated
-back to its first frame. A worker out of view for over 5 s inside a zone is lost, and after
-8 s the visit ends without a confirmed exit. Every frame of the session reaches every
-worker, seen or not: absence is measured against the session's clock.
+"""Zone visits: debounced entries and exits, losses, returns and dwell limits, as windows over presence rows.
+
+A spell is a stretch of one worker's frames in one place without an unwatched gap; it counts
+(is settled) once it has lasted the confirm time of its kind. A settled spell elsewhere than
+the one settled before is a move, dated back to the first frame of the spell or, if the
+worker was outside on the way, to the first of those frames. A gap over the time to live
+cuts a worker's frames into presences; what was open ends there as lost. Everything else
+(losses within a presence, returns, limits crossed, workers inside but out of sight) follows
+from moves and gaps. Windows are per worker; absence is read from the session's frame times
+by as-of look-ups, so that frames are never multiplied by workers.
+
+Workers of one session are independent, and what is told of a session's first part does
+not change with the rest: a stream recomputes the sessions a micro-batch touches and
+appends what is new (see ``live``).
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Config
 from ..operators.frames import median_of
 from ..vocabulary import TRANSIT
-from .machine import Machine, run_batch
 
 EPS = 1e-9
 OUTSIDE = ""
+WHO = ["session", "worker"]
 SCHEMA = "session string, worker string, event_type string, zone_id string, t double, details string"
-KEYS, ORDER = ["session", "worker"], ["t"]
-
-
-class ZoneVisits(Machine):
-    """Rows: t, zone (null outside), seen, tolerance. ``limits``: zone -> {seconds: warn fraction}."""
-
-    def __init__(self, config: Config | None = None, limits: dict[str, dict[float, float]] | None = None):
-        self.c, self.limits = config or Config(), limits or {}
-
-    def start(self) -> dict:
-        return {"here": False}
-
-    def step(self, s: dict, row: dict) -> list[dict]:
-        out: list[dict] = []
-        t, tolerance = row["t"], row.get("tolerance") or self.c.gap_tolerance_s
-        s["now"] = t
-        if s["here"]:
-            self._lose(s, t, out)
-        if row["seen"]:
-            zone = row["zone"] if row["zone"] not in (None, TRANSIT, OUTSIDE) else None
-            self._seen(s, zone, t, tolerance, out)
-        elif s["here"] and t - s["last"] > tolerance:
-            s["next"] = s["left"] = None
-        if s["here"] and s["zone"] is None and s["next"] is None and t - s["last"] > self.c.forget_after_s:
-            s["here"] = False
-        return out
-
-    def finish(self, s: dict, reason: str = "SESSION_END") -> list[dict]:
-        """Open visits end where the worker was last seen, without a confirmed exit."""
-        out: list[dict] = []
-        if s["here"] and s["zone"] is not None:
-            at = max(s["last"], s["since"])
-            self._dwell(s, at, out)
-            self._say(s, out, "EXITED_ZONE", s["zone"], at, reason=reason, unverifiable=True, dwell_s=self._stay(s, at), last_seen_s=round(at, 3))
-        s.clear()
-        s["here"] = False
-        return out
-
-    # ---- parts
-    @staticmethod
-    def _stay(s: dict, at: float) -> float:
-        return round(max(0.0, at - s["since"]), 3)
-
-    def _seen(self, s: dict, zone: str | None, t: float, tolerance: float, out: list[dict]) -> None:
-        if not s["here"]:
-            s.update(here=True, first=t, last=t, zone=None, since=None, next=None, next_at=0.0, left=None, lost=False, told=[], partial=False, same=None)
-        before, unwatched = s["last"], t - s["last"] > tolerance
-        if s["lost"]:
-            self._say(s, out, "REAPPEARED", s["zone"], t, gap_s=round(t - before, 3), last_seen_s=round(before, 3))
-            s["lost"] = False
-        if unwatched:
-            s["next"] = s["left"] = None
-        s["last"] = t
-        if zone == s["zone"]:
-            s["next"] = s["left"] = None
-        else:
-            goal = OUTSIDE if zone is None else zone
-            if s["next"] != goal:
-                if s["next"] == OUTSIDE and s["left"] is None:
-                    s["left"] = s["next_at"]
-                s["next"], s["next_at"] = goal, t
-            if t - s["next_at"] >= (self.c.exit_confirm_s if zone is None else self.c.enter_confirm_s) - EPS:
-                self._change(s, zone, out)
-        horizon = t if s["next"] is None else (s["left"] if s["left"] is not None else s["next_at"])
-        self._dwell(s, horizon, out, before if unwatched else None, t)
-
-    def _change(self, s: dict, zone: str | None, out: list[dict]) -> None:
-        at, first = s["next_at"], s["zone"] is None and s["next_at"] <= s["first"] + EPS
-        if s["zone"] is not None:
-            end = s["left"] if s["left"] is not None else at
-            self._dwell(s, end, out)
-            self._say(s, out, "EXITED_ZONE", s["zone"], end, reason="LEFT", dwell_s=self._stay(s, end), **({"first_sighting": True} if s["partial"] else {}))
-        s.update(told=[], lost=False, left=None, next=None, partial=bool(first and zone is not None), since=None if zone is None else at)
-        if zone is not None:
-            self._say(s, out, "ENTERED_ZONE", zone, at, **({"first_sighting": True} if first else {}))
-        s["zone"] = zone
-
-    def _lose(self, s: dict, t: float, out: list[dict]) -> None:
-        if s["zone"] is None:
-            return
-        gone, seen = t - s["last"], {"last_seen_s": round(s["last"], 3), "declared_at_s": round(t, 3)}
-        if not s["lost"] and gone > min(self.c.lost_grace_s, self.c.lost_ttl_s) + EPS:
-            self._say(s, out, "LOST_IN_ZONE", s["zone"], s["last"], **seen)
-            s["lost"] = True
-        if gone > self.c.lost_ttl_s + EPS:
-            self._dwell(s, s["last"], out)
-            self._say(s, out, "EXITED_ZONE", s["zone"], s["last"], reason="LOST", unverifiable=True, dwell_s=self._stay(s, s["last"]), **seen)
-            s["here"] = False
-
-    def _dwell(self, s: dict, until: float, out: list[dict], unseen_after: float | None = None, back_at: float | None = None) -> None:
-        if s["zone"] is None or s["since"] is None:
-            return
-        for limit, fraction in sorted(self.limits.get(s["zone"], {}).items()):
-            for kind, share in (("DWELL_WARNING", fraction), ("DWELL_EXCEEDED", 1.0)):
-                mark, at = f"{kind}{limit}", s["since"] + share * limit
-                if mark in s["told"] or at > until + EPS or (kind == "DWELL_WARNING" and fraction >= 1):
-                    continue
-                s["told"].append(mark)
-                more = {"warn_fraction": fraction} if kind == "DWELL_WARNING" else {}
-                if unseen_after is not None and at > unseen_after + EPS:
-                    at, more["crossed_unobserved"] = back_at, True
-                self._say(s, out, kind, s["zone"], at, limit_s=limit, **more)
-
-    @staticmethod
-    def _say(s: dict, out: list[dict], kind: str, zone: str, at: float, **details) -> None:
-        """Unless it repeats the worker's last event but for its time."""
-        text = json.dumps(details, sort_keys=True)
-        if [kind, zone, text] != s["same"]:
-            s["same"] = [kind, zone, text]
-            out.append({"event_type": kind, "zone_id": zone, "t": round(float(at), 6), "details": text})
-
-
-def timeline(frames: DataFrame, config: Config | None = None) -> DataFrame:
-    """Every session frame for every worker of the session, and the gap that a change survives.
-
-    The tolerance is 2.5 times the median of the last nine intervals between frames, at
-    least the configured one. ``frames``: session, worker, t, zone.
+
+
+def clock(frames: DataFrame, config: Config | None = None) -> DataFrame:
+    """Every session's frame times and the gap between a worker's frames that a change survives there.
+
+    It is 2.5 times the median of the last nine intervals between frames, at least the configured one.
     """
     c = config or Config()
-    times = frames.select("session", "t").distinct()
     w = Window.partitionBy("session").orderBy("t")
-    gaps = times.withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("v", F.collect_list("gap").over(w.rowsBetween(-8, 0)))
-    clock = gaps.select("session", "t", F.greatest(F.lit(c.gap_tolerance_s), F.coalesce(2.5 * median_of(F.col("v")), F.lit(0.0))).alias("tolerance"))
-    workers = frames.groupBy("session", "worker").agg(F.min("t").alias("from"))
-    every = clock.join(workers, "session").where(F.col("t") >= F.col("from")).select("session", "worker", "t", "tolerance")
-    seen = frames.select("session", "worker", "t", "zone", F.lit(True).alias("s"))
-    return every.join(seen, ["session", "worker", "t"], "left").select("session", "worker", "t", "tolerance", "zone", F.coalesce("s", F.lit(False)).alias("seen"))
+    gaps = frames.select("session", "t").distinct().withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("v", F.collect_list("gap").over(w.rowsBetween(-8, 0)))
+    return gaps.select("session", "t", F.greatest(F.lit(c.gap_tolerance_s), F.coalesce(2.5 * median_of(F.col("v")), F.lit(0.0))).alias("tolerance"))
+
 
+def _running(w, f: Column) -> Column:
+    return f.over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def placed(frames: DataFrame, times: DataFrame, config: Config | None = None) -> DataFrame:
+    """A worker's frames with gap, presence, spell (place, start, ``way``: when the way there began) and what is settled after each.
+
+    ``move`` marks the frame at which a move counts; ``home`` and ``since`` are the zone settled in and from when.
+    """
+    c = config or Config()
+    w = Window.partitionBy(*WHO).orderBy("t")
+    place = F.when(F.col("zone") == TRANSIT, OUTSIDE).otherwise(F.coalesce("zone", F.lit(OUTSIDE)))
+    rows = frames.select(*WHO, "t", place.alias("place")).join(times, ["session", "t"])
+    gap = F.col("t") - F.lag("t").over(w)
+    rows = rows.withColumn("gap", gap).withColumn("unwatched", F.coalesce(F.col("gap") > F.col("tolerance"), F.lit(True)))
+    rows = rows.withColumn("presence", _running(w, F.sum(F.coalesce(F.col("gap") > c.lost_ttl_s + EPS, F.lit(False)).cast("int"))))
+    rows = rows.withColumn("spell", _running(w, F.sum((F.col("unwatched") | (F.lag("place").over(w) != F.col("place"))).cast("int"))))
+    s = Window.partitionBy(*WHO, "spell").orderBy("t")
+    rows = rows.withColumn("start", F.first("t").over(s))
+    settled = F.col("t") - F.col("start") >= F.when(F.col("place") == OUTSIDE, c.exit_confirm_s).otherwise(c.enter_confirm_s) - EPS
+    rows = rows.withColumn("settles", settled & ~F.coalesce(F.lag(settled).over(s), F.lit(False)))
+    p = Window.partitionBy(*WHO, "presence").orderBy("t")
+    last = lambda x: F.last(F.when(F.col("settles"), x), True).over(p.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(last(F.col("place")), F.lit(OUTSIDE))).withColumn("move", F.col("settles") & (F.col("place") != F.col("before")))
+    # the way to a move: frames elsewhere since the settled zone was left, unbroken
+    breaks = F.col("unwatched") | (F.col("place") == F.col("before")) | F.coalesce(F.lag("move").over(p), F.lit(True))
+    rows = rows.withColumn("trip", _running(p, F.sum(breaks.cast("int"))))
+    trip = Window.partitionBy(*WHO, "presence", "trip").orderBy("t")
+    rows = rows.withColumn("way", F.coalesce(_running(trip, F.min(F.when(F.col("place") == OUTSIDE, F.col("start")))), F.col("start")))
+    moved = lambda x: _running(p, F.last(F.when(F.col("move"), x), True))
+    return rows.withColumn("home", F.coalesce(moved(F.col("place")), F.lit(OUTSIDE))).withColumn("since", moved(F.col("start")))
+
+
+def presences(rows: DataFrame, times: DataFrame, config: Config | None = None) -> DataFrame:
+    """First and last frame of every presence, the place settled in at its end, whether it is cut by a loss, and whether it is ``fresh``:
+    nothing was known of the worker when it began."""
+    c = config or Config()
+    ends = times.groupBy("session").agg(F.max("t").alias("ends"))
+    found = rows.groupBy(*WHO, "presence").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max_by("home", "t").alias("home"), F.max_by("since", "t").alias("since"), F.max_by(F.when(F.col("place") == F.col("home"), F.col("t")).otherwise(F.col("way")), "t").alias("told_until"))
+    w = Window.partitionBy(*WHO).orderBy("presence")
+    idle = F.col("first") - F.lag("last").over(w) > c.forget_after_s
+    fresh = F.coalesce((F.lag("home").over(w) != OUTSIDE) | idle, F.lit(True))
+    return found.join(ends, "session").withColumn("until", F.coalesce(F.lead("first").over(w), F.col("ends"))).withColumn("fresh", fresh).withColumn("lost", F.col("until") - F.col("last") > c.lost_ttl_s + EPS)
 
-def zone_events(frames: DataFrame, config: Config | None = None, limits: dict | None = None) -> DataFrame:
-    """Events of all workers over complete sessions."""
-    return run_batch(timeline(frames, config), ZoneVisits(config, limits), KEYS, ORDER, SCHEMA)
+
+def visits(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Stays: zone, entered, when each was told, exit (null while open) with reason, and whether the worker was first seen inside."""
+    w = Window.partitionBy(*WHO, "presence").orderBy("told")
+    moves = rows.where("move").select(*WHO, "presence", "place", "start", "way", F.col("t").alias("told"))
+    moves = moves.withColumn("left", F.lead("way").over(w)).withColumn("left_told", F.lead("told").over(w)).where(F.col("place") != OUTSIDE)
+    both = moves.join(known.select(*WHO, "presence", "first", "last", "told_until", "fresh", "lost"), [*WHO, "presence"])
+    return both.select(
+        *WHO, "presence", F.col("place").alias("zone_id"), F.col("start").alias("entered"), "told", (F.col("fresh") & (F.col("start") <= F.col("first") + EPS)).alias("first_sighting"),
+        F.when(F.col("left_told").isNotNull(), F.col("left")).when(F.col("lost"), F.col("last")).alias("left"), "left_told",
+        F.when(F.col("left_told").isNotNull(), "LEFT").when(F.col("lost"), "LOST").alias("reason"), "last", "told_until",
+    )
+
+
+def _next_time(asked: DataFrame, times: DataFrame, after: str, name: str, keys: list[str] = ["session"]) -> DataFrame:  # noqa: B006
+    """``asked`` with the first frame time of its session later than ``after``: one sort of both, no range join."""
+    both = asked.withColumn("__at", F.col(after) + EPS).withColumn("__asks", F.lit(True)).unionByName(times.select(*keys, F.col("t").alias("__at"), F.col("t").alias("__t")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("__at", F.desc_nulls_last("__asks")).rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn(name, F.first("__t", True).over(w)).where("__asks").drop("__at", "__asks", "__t")
+
+
+def told(**fields) -> Column:
+    """Details as JSON, keys in order, nulls left out."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in sorted(fields.items())]))
+
+
+def zone_events(frames: DataFrame, config: Config | None = None, limits: dict[str, dict[float, float]] | None = None, close: bool = True, reason: str = "SESSION_END") -> DataFrame:
+    """Events of all workers: session, worker, event_type, zone_id, t and details.
+
+    ``frames``: session, worker, t, zone (null outside). ``limits``: zone -> {seconds: warn
+    fraction}. With ``close``, what is still open at a session's end is ended there, for
+    ``reason``, without a confirmed exit. An event that only repeats the worker's last one is dropped.
+    """
+    c, seconds = config or Config(), lambda x: F.round(x, 3)
+    times = clock(frames, c)
+    rows = placed(frames, times, c)
+    known = presences(rows, times, c)
+    stays_ = visits(rows, known)
+    event = lambda kind, zone, t, details: (F.lit(kind).alias("event_type"), zone.alias("zone_id"), F.round(t, 6).alias("t"), details.alias("details"))
+    col = F.col
+
+    entered = stays_.select(*WHO, "presence", col("told").alias("when"), F.lit(5).alias("rank"), *event("ENTERED_ZONE", col("zone_id"), col("entered"), told(first_sighting=F.when(col("first_sighting"), True))))
+    stay = seconds(F.greatest(col("left") - col("entered"), F.lit(0.0)))
+    left = stays_.where("reason = 'LEFT'").select(*WHO, "presence", col("left_told").alias("when"), F.lit(4).alias("rank"), *event("EXITED_ZONE", col("zone_id"), col("left"), told(reason=col("reason"), dwell_s=stay, first_sighting=F.when(col("first_sighting"), True))))
+
+    # out of sight: gaps within a presence, and what follows its last frame
+    w = Window.partitionBy(*WHO, "presence").orderBy("t")
+    inner = rows.select(*WHO, "presence", F.lag("t").over(w).alias("last"), F.lag("home").over(w).alias("home"), col("t").alias("back"), F.lag("since").over(w).alias("since")).where(col("back") - col("last") > c.lost_grace_s + EPS)
+    outer = known.where(col("until") - col("last") > min(c.lost_grace_s, c.lost_ttl_s) + EPS).select(*WHO, "presence", "last", "home", F.lit(None).cast("double").alias("back"), "since", "lost")
+    gaps = inner.withColumn("lost", F.lit(False)).unionByName(outer).where(col("home") != OUTSIDE)
+    gaps = gaps.withColumn("grace", col("last") + c.lost_grace_s).withColumn("ttl", col("last") + c.lost_ttl_s)
+    gaps = _next_time(_next_time(gaps, times, "grace", "declared"), times, "ttl", "ended")
+    lost = gaps.select(*WHO, "presence", col("declared").alias("when"), F.lit(1).alias("rank"), *event("LOST_IN_ZONE", col("home"), col("last"), told(last_seen_s=seconds(col("last")), declared_at_s=seconds(col("declared")))))
+    back = gaps.where("back IS NOT NULL").select(*WHO, "presence", col("back").alias("when"), F.lit(2).alias("rank"), *event("REAPPEARED", col("home"), col("back"), told(gap_s=seconds(col("back") - col("last")), last_seen_s=seconds(col("last")))))
+    gone = gaps.where("lost").select(
+        *WHO, "presence", col("ended").alias("when"), F.lit(4).alias("rank"),
+        *event("EXITED_ZONE", col("home"), col("last"), told(reason=F.lit("LOST"), unverifiable=F.lit(True), dwell_s=seconds(F.greatest(col("last") - col("since"), F.lit(0.0))), last_seen_s=seconds(col("last")), declared_at_s=seconds(col("ended")))),
+    )
+    found = [entered, left, lost, back, gone]
+
+    end = F.greatest("last", "entered")
+    if close:
+        found.append(stays_.where("reason IS NULL").select(
+            *WHO, "presence", F.lit(float("inf")).alias("when"), F.lit(4).alias("rank"),
+            *event("EXITED_ZONE", col("zone_id"), end, told(reason=F.lit(reason), unverifiable=F.lit(True), dwell_s=seconds(end - col("entered")), last_seen_s=seconds(end))),
+        ))
+    marks = [(zone, float(limit), kind, share, at) for zone, of in (limits or {}).items() for limit, share in of.items() for kind, at in (("DWELL_WARNING", share * limit), ("DWELL_EXCEEDED", float(limit))) if kind == "DWELL_EXCEEDED" or share < 1]
+    if marks:
+        spark = frames.sparkSession
+        until = F.when(col("reason").isNotNull(), col("left")).otherwise(end if close else col("told_until"))
+        marked = stays_.join(F.broadcast(spark.createDataFrame(marks, "zone_id string, limit_s double, kind string, share double, after double")), "zone_id")
+        crossed = marked.withColumn("at", col("entered") + col("after")).where(col("at") <= until + EPS).select(*WHO, "presence", "zone_id", "kind", "limit_s", "share", "at")
+        seen = rows.select(*WHO, "t", "unwatched", (col("t") - col("gap")).alias("p"))
+        crossed = _next_time(crossed.withColumn("just", col("at") - 2 * EPS), seen, "just", "back", WHO).join(seen.select(*WHO, col("t").alias("back"), "unwatched", "p"), [*WHO, "back"], "left")
+        unseen = F.coalesce(col("unwatched") & (col("at") > col("p") + EPS), F.lit(False))
+        at = F.when(unseen, col("back")).otherwise(col("at"))
+        found.append(crossed.select(*WHO, "presence", at.alias("when"), F.lit(3).alias("rank"), col("kind").alias("event_type"), "zone_id", F.round(at, 6).alias("t"), told(limit_s=col("limit_s"), warn_fraction=F.when(col("kind") == "DWELL_WARNING", col("share")), crossed_unobserved=F.when(unseen, True)).alias("details")))
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    order = Window.partitionBy(*WHO, "presence").orderBy("when", "rank", "t", "event_type", "details")
+    this = F.struct("event_type", "zone_id", "details")
+    return every.withColumn("same", F.coalesce(F.lag(this).over(order) == this, F.lit(False))).where("NOT same").select(*WHO, "event_type", "zone_id", "t", "details")
+
+
+def hidden(frames: DataFrame, config: Config | None = None) -> DataFrame:
+    """session, zone, t, hidden: how many workers are settled inside a zone but not seen in a frame.
+
+    A gap lasts eight seconds at most before the visit ends, so frames and gaps meet by whole seconds.
+    """
+    c = config or Config()
+    times = clock(frames, c)
+    rows = placed(frames, times, c)
+    w = Window.partitionBy(*WHO, "presence").orderBy("t")
+    ends = times.groupBy("session").agg(F.max("t").alias("ends"))
+    gaps = rows.select(*WHO, "home", F.col("t").alias("p"), F.lead("t").over(w).alias("q")).where(F.col("home") != OUTSIDE).join(ends, "session")
+    gaps = gaps.withColumn("q", F.coalesce(F.col("q"), F.least(F.col("ends"), F.col("p") + c.lost_ttl_s) + 2 * EPS)).where("q > p")
+    second = lambda x: F.floor(x).cast("long")
+    slots = gaps.withColumn("slot", F.explode(F.sequence(second(F.col("p")), second(F.col("q")))))
+    met = slots.join(times.select("session", "t", second(F.col("t")).alias("slot")), ["session", "slot"]).where((F.col("t") > F.col("p") + EPS) & (F.col("t") < F.col("q")))
+    return met.groupBy("session", F.col("home").alias("zone"), "t").agg(F.count("*").alias("hidden"))
 
 
 def stays(events: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import json
 
-from shiftglass.streaming.episodes import Continuous, ManDown, Occupancy, PpeEntry, Sampler
+from shiftglass.streaming import episodes
+from shiftglass.streaming.episodes import PpeEntry, Sampler, Standing
+from shiftglass.streaming.machine import run_batch
 
 
 def run(m, rows, close=False):
@@ -12,55 +14,72 @@ def run(m, rows, close=False):
     return out + (m.finish(s) if close else [])
 
 
-def heads(*parts):
+def heads(name, *parts):
     rows, k = [], 0
     for seen, clear, seconds in parts:
         for _ in range(round(seconds * 10)):
-            rows.append({"t": k / 10, "seen": seen, "clear": clear, "hidden": 0})
+            rows.append((name, k / 10, seen, clear, 0))
             k += 1
     return rows
 
 
-def test_a_lone_worker_is_flagged_once_the_grace_is_over():
-    (d,) = run(Occupancy(least=2), heads((2, 2, 2), (1, 1, 12)))
-    told = json.loads(d["evidence"])
-    assert d["status"] == "POTENTIAL_VIOLATION" and told["outcome"] == "LONE_WORKER" and told["people_seen"] == 1 and told["clear_fraction"] == 1.0
-    assert abs(d["t"] - 2.1) <= 1.3
+def counted(spark, rows, **rule):
+    df = spark.createDataFrame(rows, "zone string, t double, seen int, clear int, hidden int")
+    out = {}
+    for r in sorted(episodes.occupancy(df, ["zone"], **rule).collect(), key=lambda r: r["t"]):
+        out.setdefault(r["zone"], []).append((r["status"], r["t"], r["confidence"], json.loads(r["evidence"])))
+    return out
 
 
-def test_enough_people_is_nothing():
-    assert run(Occupancy(least=2), heads((2, 2, 30))) == []
+def test_too_few_people(spark):
+    rows = heads("lone", (2, 2, 2), (1, 1, 12)) + heads("enough", (2, 2, 30)) + heads("short", (2, 2, 2), (1, 1, 8), (2, 2, 5), (1, 1, 8)) + heads("dip", (2, 2, 2), (1, 1, 6), (2, 2, 0.5), (1, 1, 6))
+    rows += heads("again", (2, 2, 2), (1, 1, 12), (2, 2, 3), (1, 1, 12), (2, 2, 40), (1, 1, 12)) + [("hid", k / 10, 1, 1, 1) for k in range(200)]
+    got = counted(spark, rows, least=2)
+    assert set(got) == {"lone", "dip", "again"}
+    ((status, t, _, why),) = got["lone"]
+    assert status == "POTENTIAL_VIOLATION" and abs(t - 2.1) <= 1.3 and why["outcome"] == "LONE_WORKER" and why["people_seen"] == 1 and why["clear_fraction"] == 1.0
+    assert len(got["dip"]) == 1 and len(got["again"]) == 2  # flags a minute apart
 
 
-def test_an_unclear_picture_is_said_once_and_read_afresh():
-    out = run(Occupancy(most=1), heads((3, 0, 12), (3, 3, 15)))
-    assert [d["status"] for d in out] == ["UNVERIFIABLE", "POTENTIAL_VIOLATION"]
-    assert out[0]["confidence"] == 0.0
+def test_an_unclear_picture_is_said_once_and_read_afresh(spark):
+    got = counted(spark, heads("a", (3, 0, 12), (3, 3, 15)) + heads("b", (3, 0, 40)), most=1)
+    assert [x[0] for x in got["a"]] == ["UNVERIFIABLE", "POTENTIAL_VIOLATION"] and got["a"][0][2] == 0.0 and got["a"][1][3]["outcome"] == "OVER_CAPACITY"
+    assert [x[0] for x in got["b"]] == ["UNVERIFIABLE"]
 
 
-def test_an_empty_zone_is_flagged_if_asked():
-    assert json.loads(run(Occupancy(least=1), heads((0, 0, 14)))[0]["evidence"])["outcome"] == "EMPTY_ZONE"
-    assert run(Occupancy(least=1, flag_empty=False), heads((0, 0, 14))) == []
+def test_an_empty_zone_is_flagged_if_asked(spark):
+    assert counted(spark, heads("a", (0, 0, 14)), least=1)["a"][0][3]["outcome"] == "EMPTY_ZONE"
+    assert counted(spark, heads("a", (0, 0, 14)), least=1, flag_empty=False) == {}
+    assert counted(spark, heads("a", (0, 0, 6)) + [("a", 20 + k / 10, 0, 0, 0) for k in range(60)], least=1) == {}  # a gap begins anew
 
 
-def body(seconds, angle, aspect, move=0.0, start=0.0):
-    return [{"t": start + k / 10, "cx": 100.0 + move * k, "cy": 50.0, "size": 150.0, "angle": angle, "aspect": aspect, "legs_up": False, "collapsed": False, "allowed": False} for k in range(round(seconds * 10))]
+def body(name, seconds, angle, aspect, move=0.0, start=0.0, legs_up=False, collapsed=False, allowed=False):
+    return [(name, start + k / 10, 100.0 + move * k, 50.0, 150.0, angle, aspect, legs_up, collapsed, allowed) for k in range(round(seconds * 10))]
 
 
-def test_lying_still_is_critical_after_five_seconds():
-    (d,) = run(ManDown(), body(8, 85.0, 1.8))
-    assert d["status"] == "POTENTIAL_VIOLATION" and 5.0 <= d["t"] <= 5.8
+def test_people_lying_still(spark):
+    rows = body("lies", 8, 85.0, 1.8) + body("moves", 8, 85.0, 1.8, move=20.0) + body("bent", 8, 85.0, 0.5) + body("stands", 8, 5.0, 0.4) + body("weak", 15, None, 1.8)
+    rows += body("legs", 8, 85.0, 1.8, legs_up=True) + body("bed", 8, 85.0, 1.8, allowed=True) + body("toward", 8, 5.0, 0.4, collapsed=True) + body("unsure", 12, 85.0, 1.0) + body("unsure", 8, 85.0, 1.8, start=12.0)
+    rows += body("rises", 4, 85.0, 1.8) + body("rises", 1.5, 5.0, 0.4, start=4.0) + body("rises", 4, 85.0, 1.8, start=5.5)
+    rows += body("blink", 3, 85.0, 1.8) + body("blink", 0.5, 5.0, 0.4, start=3.0) + body("blink", 4, 85.0, 1.8, start=3.5)
+    rows += body("gone", 4, 85.0, 1.8) + body("gone", 4, 85.0, 1.8, start=6.0)
+    df = spark.createDataFrame(rows, "who string, t double, cx double, cy double, size double, angle double, aspect double, legs_up boolean, collapsed boolean, allowed boolean")
+    got = {}
+    for r in sorted(episodes.man_down(df, ["who"]).collect(), key=lambda r: r["t"]):
+        got.setdefault(r["who"], []).append((r["status"], r["t"], r["confidence"]))
+    assert set(got) == {"lies", "weak", "toward", "unsure", "blink"}
+    assert got["lies"][0][0] == "POTENTIAL_VIOLATION" and 5.0 <= got["lies"][0][1] <= 5.8 and len(got["lies"]) == 1
+    assert [x[0] for x in got["weak"]] == ["UNVERIFIABLE"] and got["weak"][0][2] == 0.0
+    assert [x[0] for x in got["unsure"]] == ["UNVERIFIABLE", "POTENTIAL_VIOLATION"]
 
 
-def test_moving_bent_and_upright_people_are_fine():
-    assert run(ManDown(), body(8, 85.0, 1.8, move=20.0)) == []
-    assert run(ManDown(), body(8, 85.0, 0.5)) == []
-    assert run(ManDown(), body(8, 5.0, 0.4)) == []
-
-
-def test_weak_keypoints_cannot_be_told():
-    (d,) = run(ManDown(), body(15, None, 1.8))
-    assert d["status"] == "UNVERIFIABLE" and d["confidence"] == 0.0
+def test_a_fall_along_the_line_of_sight(spark):
+    stand, fall = (60.0, 80.0, 180.0, 300.0), (20.0, 30.0, 90.0, 310.0)
+    rows = [("a", k / 10, *stand, True) for k in range(20)] + [("a", 2 + k / 10, *fall, False) for k in range(150)]
+    rows += [("b", k / 10, *fall, False) for k in range(20)] + [("c", k / 10, *stand, True) for k in range(20)] + [("c", 2.0, *[x / 2 for x in stand], False)]
+    df = spark.createDataFrame(rows, "who string, t double, torso double, legs double, height double, feet double, upright boolean")
+    got = {(r["who"], r["t"]) for r in run_batch(df, Standing(), ["who"], ["t"], "who string, t double, collapsed boolean").where("collapsed").collect()}
+    assert got == {("a", 2 + k / 10) for k in range(150)}  # the measure is kept while nothing upright follows
 
 
 def look(t, state, recent=1.0):
@@ -81,10 +100,24 @@ def test_entry_outcomes():
     assert status([move(0, "ENTERED"), look(1, "ABSENT"), move(30, "ENTERED"), look(31, "ABSENT"), move(90, "ENTERED"), look(91, "ABSENT")]) == ["POTENTIAL_VIOLATION"] * 2
 
 
-def test_continuous_absence_flags_once():
-    rows = [{"t": k / 10, "state": "ABSENT" if 10 <= k < 60 else "PRESENT"} for k in range(100)]
-    (d,) = run(Continuous(), rows)
-    assert d["t"] == 1.0
+def test_continuous_absence(spark):
+    def looks(name, *parts):
+        rows, k = [], 0
+        for state, support, seconds in parts:
+            for _ in range(round(seconds * 10)):
+                rows.append((name, k / 10, state, support, True))
+                k += 1
+        return rows
+
+    rows = looks("once", ("PRESENT", 1.0, 1), ("ABSENT", 0.9, 5), ("PRESENT", 1.0, 4))
+    rows += looks("unclear between", ("ABSENT", 0.9, 4), ("UNVERIFIABLE", 0.0, 1), ("ABSENT", 0.9, 70))  # one episode
+    rows += looks("weak", ("ABSENT", 0.3, 10)) + looks("broken", ("ABSENT", 0.9, 2), (None, None, 0.1), ("ABSENT", 0.9, 2))
+    rows += looks("soon again", ("ABSENT", 0.9, 4), ("PRESENT", 1.0, 1), ("ABSENT", 0.9, 80)) + looks("later", ("ABSENT", 0.9, 4), ("PRESENT", 1.0, 60), ("ABSENT", 0.9, 4))
+    df = spark.createDataFrame(rows, "who string, t double, state string, support double, agrees boolean")
+    got = {}
+    for r in episodes.continuous(df, ["who"]).collect():
+        got.setdefault(r["who"], []).append(r["t"])
+    assert {k: sorted(v) for k, v in got.items()} == {"once": [1.0], "unclear between": [0.0], "soon again": [0.0], "later": [0.0, 64.0]}
 
 
 def test_sampling_keeps_changes_and_every_five_seconds():

@@ -1,100 +1,151 @@
-"""Walks through zones at ten frames a second, and the two hosts."""
+"""Walks through zones at ten frames a second, in one piece and as a stream."""
 
+import datetime as dt
 import json
 
 import pytest
 
-from shiftglass.streaming import machine, zone_visits
-
-
-def walk(*parts, unseen="?"):
-    """(zone, seconds) parts as rows; "-" is no zone, "?" out of view."""
+from shiftglass.streaming import live, zone_visits
+
+A_DASH = [("A" if k % 2 else "-", 0.1) for k in range(80)]
+#: (zone, seconds) parts; "-" is no zone, "?" out of view.
+WALKS = {
+    "two visits": [("-", 2), ("A", 5), ("-", 3), ("B", 4), ("-", 3)],
+    "at once": [("-", 1), ("A", 3), ("B", 3)],
+    "short B": [("A", 3), ("B", 0.5), ("A", 3)],
+    "short out": [("A", 2), ("-", 0.9), ("A", 2)],
+    "short gap": [("A", 3), ("?", 2), ("A", 3)],
+    "step out": [("A", 2), ("-", 1.1), ("A", 2)],
+    "by way of": [("A", 3), ("-", 0.5), ("B", 2)],
+    "way broken": [("A", 3), ("-", 0.5), ("?", 2), ("B", 2)],
+    "flicker": A_DASH,
+    "settled flicker": [("A", 2), *A_DASH, ("A", 2)],
+    "lost and back": [("A", 3), ("?", 6), ("A", 3)],
+    "lost": [("-", 1), ("A", 3), ("?", 9)],
+    "lost, new": [("A", 3), ("?", 9), ("A", 3)],
+    "away outside": [("A", 2), ("-", 3), ("?", 20), ("A", 2)],
+    "forgotten": [("A", 2), ("-", 3), ("?", 61), ("A", 2)],
+    "dwell": [("-", 1), ("C", 12)],
+    "dwell unseen": [("-", 1), ("C", 8.5), ("?", 4), ("C", 1)],
+    "end": [("-", 1), ("A", 3)],
+}
+LIMITS = {"C": {10.0: 0.8}}
+
+
+def walk(name):
+    """Rows of one worker, and of another one outside who is seen in every frame."""
     rows, k = [], 0
-    for zone, seconds in parts:
+    for zone, seconds in WALKS[name]:
         for _ in range(round(seconds * 10)):
-            rows.append({"t": round(k / 10, 3), "zone": None if zone in "-?" else zone, "seen": zone != unseen, "tolerance": 0.5})
+            if zone != "?":
+                rows.append((name, "w", round(k / 10, 3), None if zone == "-" else zone))
+            rows.append((name, "other", round(k / 10, 3), None))
             k += 1
     return rows
 
 
-def events(rows, limits=None, close=False):
-    m = zone_visits.ZoneVisits(limits=limits)
-    s, out = m.start(), []
-    for r in rows:
-        out += m.step(s, r)
-    out += m.finish(s) if close else []
-    return [(e["event_type"], e["zone_id"], e["t"], json.loads(e["details"])) for e in out]
+@pytest.fixture(scope="module")
+def frames(spark):
+    return spark.createDataFrame([r for n in WALKS for r in walk(n)], "session string, worker string, t double, zone string").cache()
+
+
+def told(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["session"], r["t"], -["EXITED_ZONE", "ENTERED_ZONE"].index(r["event_type"]) if "D_ZONE" in r["event_type"] and "TED" in r["event_type"] else 0, r["event_type"])):
+        assert r["worker"] == "w"
+        out.setdefault(r["session"], []).append((r["event_type"], r["zone_id"], r["t"], json.loads(r["details"])))
+    return out
+
 
+@pytest.fixture(scope="module")
+def events(frames):
+    return told(zone_visits.zone_events(frames, limits=LIMITS, close=False).collect())
 
-def short(rows, **kw):
-    return [(k, z, t) for k, z, t, _ in events(rows, **kw)]
 
+def short(found):
+    return {x[:3] for x in found}
 
-def test_two_visits_with_a_walk_between():
-    found = events(walk(("-", 2), ("A", 5), ("-", 3), ("B", 4), ("-", 3)))
-    assert [x[:3] for x in found] == [("ENTERED_ZONE", "A", 2.0), ("EXITED_ZONE", "A", 7.0), ("ENTERED_ZONE", "B", 10.0), ("EXITED_ZONE", "B", 14.0)]
-    assert found[1][3] == {"reason": "LEFT", "dwell_s": 5.0}
+
+def test_two_visits_with_a_walk_between(events):
+    found = events["two visits"]
+    assert short(found) == {("ENTERED_ZONE", "A", 2.0), ("EXITED_ZONE", "A", 7.0), ("ENTERED_ZONE", "B", 10.0), ("EXITED_ZONE", "B", 14.0)}
+    assert next(x[3] for x in found if x[:2] == ("EXITED_ZONE", "A")) == {"reason": "LEFT", "dwell_s": 5.0}
     assert not any("first_sighting" in x[3] for x in found)
 
 
-def test_from_zone_to_zone_exit_and_entry_are_at_once():
-    assert short(walk(("-", 1), ("A", 3), ("B", 3))) == [("ENTERED_ZONE", "A", 1.0), ("EXITED_ZONE", "A", 4.0), ("ENTERED_ZONE", "B", 4.0)]
+def test_from_zone_to_zone_exit_and_entry_are_at_once(events):
+    assert short(events["at once"]) == {("ENTERED_ZONE", "A", 1.0), ("EXITED_ZONE", "A", 4.0), ("ENTERED_ZONE", "B", 4.0)}
+
+
+def test_an_exit_by_way_of_outside_is_dated_to_its_first_frame(events):
+    assert ("EXITED_ZONE", "A", 3.0) in short(events["by way of"]) and ("ENTERED_ZONE", "B", 3.5) in short(events["by way of"])
+    assert {("EXITED_ZONE", "A", 5.5), ("ENTERED_ZONE", "B", 5.5)} <= short(events["way broken"])
+
+
+@pytest.mark.parametrize("name", ["short B", "short out", "short gap", "settled flicker"])
+def test_short_changes_and_gaps_do_not_count(events, name):
+    assert [x[0] for x in events[name]] == ["ENTERED_ZONE"]
 
 
-@pytest.mark.parametrize("parts", [[("A", 3), ("B", 0.5), ("A", 3)], [("A", 2), ("-", 0.9), ("A", 2)], [("A", 3), ("?", 2), ("A", 3)]])
-def test_short_changes_and_gaps_do_not_count(parts):
-    assert [x[0] for x in short(walk(*parts))] == ["ENTERED_ZONE"]
+def test_a_longer_step_out_is_an_exit(events):
+    assert short(events["step out"]) == {("ENTERED_ZONE", "A", 0.0), ("EXITED_ZONE", "A", 2.0), ("ENTERED_ZONE", "A", 3.1)}
 
 
-def test_a_longer_step_out_is_an_exit():
-    assert [x[0] for x in short(walk(("A", 2), ("-", 1.1), ("A", 2)))] == ["ENTERED_ZONE", "EXITED_ZONE", "ENTERED_ZONE"]
+def test_flicker_is_nothing(events):
+    assert "flicker" not in events
 
 
-def test_flicker_is_nothing():
-    rows = walk(*[("A" if k % 2 else "-", 0.1) for k in range(80)])
-    assert short(rows) == []
-    assert [x[0] for x in short(walk(("A", 2), *[("A" if k % 2 else "-", 0.1) for k in range(80)], ("A", 2)))] == ["ENTERED_ZONE"]
+def test_lost_and_back(events):
+    found = {x[0]: x for x in events["lost and back"]}
+    assert short(found.values()) == {("ENTERED_ZONE", "A", 0.0), ("LOST_IN_ZONE", "A", 2.9), ("REAPPEARED", "A", 9.0)} and len(events["lost and back"]) == 3
+    assert found["REAPPEARED"][3]["gap_s"] == 6.1 and found["ENTERED_ZONE"][3] == {"first_sighting": True} and found["LOST_IN_ZONE"][3]["declared_at_s"] == 8.0
 
 
-def test_lost_and_back():
-    found = events(walk(("A", 3), ("?", 6), ("A", 3)))
-    assert [x[:3] for x in found] == [("ENTERED_ZONE", "A", 0.0), ("LOST_IN_ZONE", "A", 2.9), ("REAPPEARED", "A", 9.0)]
-    assert found[2][3]["gap_s"] == 6.1
-    assert found[0][3] == {"first_sighting": True}
+def test_lost_for_good_ends_without_a_confirmed_exit(events):
+    found = {x[0]: x for x in events["lost"]}
+    assert set(found) == {"ENTERED_ZONE", "LOST_IN_ZONE", "EXITED_ZONE"} and found["EXITED_ZONE"][2] == 3.9
+    assert found["EXITED_ZONE"][3] == {"reason": "LOST", "unverifiable": True, "dwell_s": 2.9, "last_seen_s": 3.9, "declared_at_s": 12.0}
+    again = [x for x in events["lost, new"] if x[0] == "ENTERED_ZONE"]
+    assert [x[3] for x in again] == [{"first_sighting": True}] * 2
 
 
-def test_lost_for_good_ends_without_a_confirmed_exit():
-    found = events(walk(("-", 1), ("A", 3), ("?", 9)))
-    assert [x[0] for x in found] == ["ENTERED_ZONE", "LOST_IN_ZONE", "EXITED_ZONE"]
-    assert found[2][2] == 3.9 and found[2][3]["reason"] == "LOST" and found[2][3]["unverifiable"]
+def test_who_left_is_remembered_for_a_minute(events):
+    last = lambda name: [x for x in events[name] if x[0] == "ENTERED_ZONE"][-1][3]
+    assert last("away outside") == {} and last("forgotten") == {"first_sighting": True}
 
 
-def test_dwell_limits_are_told_once_when_they_are_crossed():
-    assert short(walk(("-", 1), ("A", 12)), limits={"A": {10.0: 0.8}}) == [("ENTERED_ZONE", "A", 1.0), ("DWELL_WARNING", "A", 9.0), ("DWELL_EXCEEDED", "A", 11.0)]
+def test_dwell_limits_are_told_once_when_they_are_crossed(events):
+    assert short(events["dwell"]) == {("ENTERED_ZONE", "C", 1.0), ("DWELL_WARNING", "C", 9.0), ("DWELL_EXCEEDED", "C", 11.0)}
+    found = {x[0]: x for x in events["dwell unseen"]}
+    assert found["DWELL_EXCEEDED"][2] == 13.5 and found["DWELL_EXCEEDED"][3] == {"limit_s": 10.0, "crossed_unobserved": True}
 
 
-def test_the_end_of_a_session_closes_visits():
-    found = events(walk(("-", 1), ("A", 3)), close=True)
-    assert found[-1][0] == "EXITED_ZONE" and found[-1][3]["reason"] == "SESSION_END" and found[-1][3]["unverifiable"]
+def test_the_end_of_a_session_closes_visits(frames):
+    found = told(zone_visits.zone_events(frames.where("session IN ('end', 'two visits')")).collect())
+    assert found["end"][-1][0] == "EXITED_ZONE" and found["end"][-1][3]["reason"] == "SESSION_END" and found["end"][-1][3]["unverifiable"]
+    assert len(found["two visits"]) == 4
 
 
-def test_absence_is_measured_by_the_sessions_clock(spark):
-    rows = [("s", "w", k / 10, "A") for k in range(30)] + [("s", "other", k / 10, None) for k in range(150)]
-    frames = spark.createDataFrame(rows, "session string, worker string, t double, zone string")
-    found = {(r["worker"], r["event_type"], r["t"]) for r in zone_visits.zone_events(frames).collect()}
-    assert found == {("w", "ENTERED_ZONE", 0.0), ("w", "LOST_IN_ZONE", 2.9), ("w", "EXITED_ZONE", 2.9)}
+def test_who_is_inside_but_not_seen_is_hidden(frames):
+    got = {(r["session"], r["t"]): r["hidden"] for r in zone_visits.hidden(frames).collect()}
+    assert all(got.get(("short gap", round(3 + k / 10, 1))) == 1 for k in range(20)) and ("short gap", 2.9) not in got and ("short gap", 5.0) not in got
+    assert ("lost", 11.9) in got and ("lost", 12.0) not in got and ("two visits", 8.0) not in got
 
 
-def test_stream_host_gives_the_same_rows(spark, tmp_path):
-    rows = [("s", w, r["t"], r["zone"], r["seen"], r["tolerance"]) for w in "ab" for r in walk(("-", 1), ("A", 3), ("?", 6), ("A", 2), ("-", 2))]
-    schema = "session string, worker string, t double, zone string, seen boolean, tolerance double"
-    table = spark.createDataFrame(rows, schema)
-    for i, (a, b) in enumerate(((0, 4), (4, 9), (9, 99))):
+def test_a_stream_tells_the_same_and_closes_lost_cameras(spark, frames, tmp_path):
+    names, start = ("two visits", "lost and back", "dwell", "end"), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(*r, start + dt.timedelta(seconds=r[2] + (0 if n == "end" else 5))) for n in names for r in walk(n)]
+    rows = [r if r[0] != "two visits" or r[2] < 16.9 else (*r[:4], r[4]) for r in rows]
+    table = spark.createDataFrame(rows, live.FRAME)
+    for i, (a, b) in enumerate(((0, 6), (6, 11), (11, 99))):
         table.where(f"t >= {a} AND t < {b}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    batch = machine.run_batch(table, zone_visits.ZoneVisits(), zone_visits.KEYS, zone_visits.ORDER, zone_visits.SCHEMA, close=False)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
-    out = machine.run_stream(stream, zone_visits.ZoneVisits(), zone_visits.KEYS, zone_visits.ORDER, zone_visits.SCHEMA)
-    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.read.parquet(f"{tmp_path}/out").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.collect())) and got
+    stream = spark.readStream.schema(live.FRAME).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = live.run(stream, f"{tmp_path}/out", f"{tmp_path}/cp", limits=LIMITS).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    got = told(spark.read.parquet(f"{tmp_path}/out/events").collect())
+    want = told(zone_visits.zone_events(frames.where(f"session IN {names}"), limits=LIMITS, close=False).collect())
+    end = got.pop("end")
+    assert end[-1][0] == "EXITED_ZONE" and end[-1][3]["reason"] == "CAMERA_LOST" and len(end) == 2
+    want.pop("end")
+    assert {k: sorted(map(str, v)) for k, v in got.items()} == {k: sorted(map(str, v)) for k, v in want.items()}
