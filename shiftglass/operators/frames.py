@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as g
+from ..functions.rounding import rounded
 from ..vocabulary import TRANSIT
 
 #: Where equipment is worn, as shares of a person's height or width.
@@ -42,9 +43,9 @@ def worn(people: DataFrame, items: DataFrame) -> DataFrame:
     """Each item goes to at most one person: of those in whose head or torso region it is, the one
     whose target point is nearest (then the first); a person keeps the best confidence per kind."""
     p, i = F.col("bbox"), F.col("item_box")
-    w, h = p[2] - p[0], p[3] - p[1]
+    h = F.greatest(F.lit(1.0), p[3] - p[1])
     cx, cy = g.centre(i)
-    head = (cx >= p[0] - HEAD_SLACK * w) & (cx <= p[2] + HEAD_SLACK * w) & (cy >= p[1] - HEAD_SLACK * h) & (cy <= p[1] + HEAD_BOTTOM * h)
+    head = (cx >= p[0]) & (cx <= p[2]) & (cy >= p[1] - HEAD_SLACK * h) & (cy <= p[1] + HEAD_BOTTOM * h)
     torso = (cy >= p[1] + VEST_TOP * h) & (cy <= p[1] + VEST_BOTTOM * h) & (g.containment(i, p) >= HELD)
     target = F.when(F.col("cls") == "helmet", TARGET["helmet"]).otherwise(TARGET["safety_vest"])
     near = F.pow(cx - (p[0] + p[2]) / 2, 2) + F.pow(cy - (p[1] + target * h), 2)
@@ -135,20 +136,34 @@ def gap_tolerance(samples: DataFrame, least: float = 0.5, factor: float = 2.5, r
     return gaps.select("sample_id", "track_id", F.greatest(F.lit(least), F.coalesce(factor * median_of(F.col("v")), F.lit(least))).alias("tolerance"))
 
 
-def evidence(samples: DataFrame, window: int = 30, need: int = 8, seen: float = 45.0, weak: float = 20.0, present: float = 0.60, absent: float = 0.90) -> DataFrame:
-    """PRESENT, ABSENT or UNVERIFIABLE after every sample, of the last ``need`` clear ones within the last ``window``.
+def evidence(samples: DataFrame, stale_s: float, window: int = 30, need: int = 8, seen: float = 45.0, weak: float = 20.0, present: float = 0.60, absent: float = 0.90) -> DataFrame:
+    """PRESENT, ABSENT or UNVERIFIABLE after every sample, of all clear ones among the last ``window`` that are ``stale_s`` old at most.
 
-    The score serves as confidence in percent; AWAY samples are not clear.
+    Also the shares that show the item and that show nothing, the mean confidence of the
+    first, and the share of the newest ``need`` clear samples that show it. The score serves as
+    confidence in percent; AWAY samples are not clear.
     """
-    seen_so = F.collect_list(F.struct((F.col("posture_state") != "AWAY").alias("clear"), F.col("activity_score").alias("conf"))).over(order("track_id", (-(window - 1), 0)))
-    rows = samples.withColumn("w", seen_so).withColumn("clear", F.filter("w", lambda o: o["clear"])).withColumn("last", F.slice("clear", F.greatest(F.lit(1), F.size("clear") - need + 1), need))
-    share = lambda cond: F.size(F.filter("last", cond)) / F.size("last")
-    return rows.withColumn("n", F.size("last")).select(
-        "sample_id", "track_id", F.col("n").alias("clear_frames"),
-        F.when(F.col("n") < need, "UNVERIFIABLE").when(share(lambda o: o["conf"] >= seen) >= present, "PRESENT").when(share(lambda o: o["conf"] < weak) >= absent, "ABSENT").otherwise("UNVERIFIABLE").alias("state"),
+    seen_so = F.collect_list(F.struct("ts", (F.col("posture_state") != "AWAY").alias("clear"), F.col("activity_score").alias("conf"))).over(order("track_id", (-(window - 1), 0)))
+    fresh = F.filter("w", lambda o: o["clear"] & (F.unix_micros(F.col("ts")) - F.unix_micros(o["ts"]) <= int(stale_s * 1_000_000)))
+    shows = F.filter("c", lambda o: o["conf"] >= seen)
+    rows = samples.withColumn("w", seen_so).withColumn("c", fresh).withColumn("n", F.size("c")).withColumn("shown", F.size(shows)).withColumn("empty", F.size(F.filter("c", lambda o: o["conf"] < weak)))
+    share = lambda x, n: F.when(n > 0, F.bround(x / n, 3)).otherwise(0.0)
+    total = F.aggregate(shows, F.lit(0).cast("decimal(28,8)"), lambda a, o: (a + o["conf"].cast("decimal(28,8)")).cast("decimal(28,8)"))
+    newest = F.slice("c", F.greatest(F.lit(1), F.col("n") - need + 1), need)
+    return rows.select(
+        "sample_id", "track_id", F.col("n").alias("clear_frames"), share(F.col("shown"), F.col("n")).alias("seen_fraction"), share(F.col("empty"), F.col("n")).alias("empty_fraction"),
+        F.when(F.col("shown") > 0, rounded(total.cast("double") / F.col("shown"), 3)).otherwise(0.0).alias("mean_conf"),
+        share(F.size(F.filter(newest, lambda o: o["conf"] >= seen)), F.size(newest)).alias("recent_fraction"),
+        F.when(F.col("n") < need, "UNVERIFIABLE").when(F.col("shown") / F.col("n") >= present, "PRESENT").when(F.col("empty") / F.col("n") >= absent, "ABSENT").otherwise("UNVERIFIABLE").alias("state"),
     )
 
 
+def verdicts(items: DataFrame, keys: list[str]) -> DataFrame:
+    """One verdict of all required items' states: any surely ABSENT is a violation, all PRESENT comply, else it cannot be told."""
+    states = F.collect_set("state")
+    return items.groupBy(*keys).agg(F.when(F.array_contains(states, "ABSENT"), "NON_COMPLIANT").when(F.size(states) > 1, "UNVERIFIABLE").when(F.array_contains(states, "PRESENT"), "COMPLIANT").otherwise("UNVERIFIABLE").alias("verdict"))
+
+
 def streaks(samples: DataFrame, state: str = "AWAY", least_s: float = 0.0) -> DataFrame:
     """Unbroken runs of one posture: start, end, samples (gaps and islands)."""
     w = order("track_id")
@@ -166,9 +181,42 @@ def visits(samples: DataFrame, gap_s: int = 3600) -> DataFrame:
 
 
 def dwell_decisions(found: DataFrame, limit_s: float) -> DataFrame:
-    """MAX_DWELL on visits: over the limit flags, within it complies, a single sample cannot be told."""
-    seconds = (F.unix_micros("left") - F.unix_micros("entered")) / 1e6
-    return found.select("track_id", "visit", "zone_id", F.when(F.col("samples") < 2, "UNVERIFIABLE").when(seconds > limit_s, "POTENTIAL_VIOLATION").otherwise("COMPLIANT").alias("status"))
+    """MAX_DWELL on stays (entered, left, reason, first_sighting): the limit reached is flagged at that time; of the others only those seen
+    from entry to exit comply, who was inside when first seen, was lost or still inside at the end cannot be told."""
+    entered = F.unix_micros("entered")
+    over = F.unix_micros("left") - entered >= int(limit_s * 1_000_000)
+    whole = (F.col("reason") == "LEFT") & ~F.col("first_sighting")
+    outcome = F.when(over, "EXCEEDED").when(whole, "WITHIN_LIMIT").when(F.col("reason") == "LEFT", "PARTIAL").when(F.col("reason") == "LOST", "LOST").otherwise("INCOMPLETE")
+    at = F.timestamp_micros(F.when(over, entered + int(limit_s * 1_000_000)).otherwise(entered))
+    return found.withColumn("outcome", outcome).select("track_id", "visit", "zone_id", "outcome", F.when(F.col("outcome") == "EXCEEDED", "POTENTIAL_VIOLATION").when(F.col("outcome") == "WITHIN_LIMIT", "COMPLIANT").otherwise("UNVERIFIABLE").alias("status"), at.alias("judged_at"))
+
+
+def exit_decisions(leaves: DataFrame, arrivals: DataFrame, seen: DataFrame, key: str, exit_zone: str, within_s: float, wait_s: float = 1.2, slack_s: float = 1.5) -> DataFrame:
+    """REQUIRED_EXIT: whether who left a zone came to the exit in time.
+
+    ``leaves``: key, id, at, home (exits that were seen, LEFT); ``arrivals``: key, at, zone,
+    zone_type; ``seen``: key, at. The first arrival settles it, unless it is on the way (an
+    approach or a checkpoint); back home is no decision. Without one by the deadline and
+    ``wait_s``, who was seen in the last ``slack_s`` did not reach it; anybody else cannot be told.
+    """
+    us = lambda s: int(s * 1_000_000)
+    t = F.unix_micros("at")
+    settles = arrivals.where((F.col("zone") == exit_zone) | ~F.coalesce(F.col("zone_type").isin("APPROACH", "PPE_CHECKPOINT"), F.lit(False)))
+    both = leaves.select(key, "id", t.alias("t"), "home", F.lit(0).alias("kind")).unionByName(settles.select(key, t.alias("t"), "zone", F.lit(1).alias("kind")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("t", "kind", "zone").rowsBetween(1, Window.unboundedFollowing)
+    after = F.first(F.when(F.col("kind") == 1, F.struct("t", "zone")), ignorenulls=True).over(w)
+    open_ = both.withColumn("next", after).where("kind = 0").withColumn("due", F.col("t") + us(within_s + wait_s))
+    marks = open_.select(key, "id", F.col("due").alias("s"), F.lit(1).alias("asks")).unionByName(seen.select(key, t.alias("s"), F.lit(0).alias("asks")), allowMissingColumns=True)
+    last = F.last(F.when(F.col("asks") == 0, F.col("s")), ignorenulls=True).over(Window.partitionBy(key).orderBy("s", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    viewed = marks.withColumn("last", last).where("asks = 1").select(key, "id", "last")
+    rows = open_.join(viewed, [key, "id"])
+    settled = F.coalesce(F.col("next.t") < F.col("due"), F.lit(False))
+    outcome = (
+        F.when(settled & (F.col("next.zone") == F.col("home")), None).when(settled & (F.col("next.zone") == exit_zone) & (F.col("next.t") - F.col("t") <= us(within_s)), "REACHED_EXIT")
+        .when(settled & (F.col("next.zone") == exit_zone), "REACHED_EXIT_LATE").when(settled, "OTHER_ZONE").when(F.col("due") - F.col("last") <= us(slack_s), "NOT_REACHED").otherwise("OUT_OF_VIEW")
+    )
+    status = F.when(F.col("outcome") == "REACHED_EXIT", "COMPLIANT").when(F.col("outcome") == "OUT_OF_VIEW", "UNVERIFIABLE").otherwise("POTENTIAL_VIOLATION")
+    return rows.withColumn("outcome", outcome).where("outcome IS NOT NULL").select(key, "id", "outcome", status.alias("status"), F.bround((F.when(settled, F.col("next.t")).otherwise(F.col("due")) - F.col("t")) / 1e6, 3).alias("elapsed_seconds"))
 
 
 def union_of_spans(spans: DataFrame, key: str, tolerance_us: int) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..vocabulary import ITEMS, RULE_TYPES, RULE_ZONE_TYPES, STATUSES
+from ..vocabulary import ITEMS, RULE_TYPES, RULE_ZONE_TYPES, STATUSES, ZONE_TYPES
 
 #: The roles that hold each capability.
 EVERYONE, STAFF, ADMINS = ("ADMIN", "MANAGER", "VIEWER"), ("ADMIN", "MANAGER"), ("ADMIN",)
@@ -166,8 +166,82 @@ def slug(name: Column) -> Column:
 
 
 def unique_slugs(rows: DataFrame, name: str, key: str) -> DataFrame:
-    """A slug per row; later rows of the same one get -2, -3, ..."""
-    from pyspark.sql import Window
+    """A slug per row; in order of ``key``, one that is taken gets -1, -2, ... until it is free. A name without any letter is ``org``.
 
-    n = F.row_number().over(Window.partitionBy("s").orderBy(key))
-    return rows.withColumn("s", slug(F.col(name))).withColumn("n", n).withColumn("slug", F.when(F.col("n") > 1, F.concat_ws("-", "s", F.col("n").cast("string"))).otherwise(F.col("s"))).drop("s", "n")
+    Numbers start from the row's place among equal names; only where one meets another
+    name's slug (few rows) does the later of the two take its next number, round by round.
+    """
+    own = Window.partitionBy("s").orderBy(key)
+    made = rows.withColumn("s", slug(F.col(name))).withColumn("n", F.row_number().over(own) - 1)
+    while True:
+        text = F.when(F.col("n") > 0, F.concat("s", F.lit("-"), F.col("n").cast("string"))).when(F.col("s") == "", "org").otherwise(F.col("s"))
+        made = made.withColumn("slug", text)
+        clash = made.withColumn("turn", F.row_number().over(Window.partitionBy("slug").orderBy(key))).where("turn > 1").groupBy("s").agg(F.min("n").alias("from"))
+        if clash.isEmpty():
+            return made.drop("s", "n")
+        made = made.join(clash, "s", "left").withColumn("n", F.when(F.col("n") >= F.col("from"), F.col("n") + 1).otherwise(F.col("n"))).drop("from", "slug")
+
+
+# --------------------------------------------------------------------------- rows that change
+def soft_deleted(rows: DataFrame, ids: list, now: str, off: str = "enabled") -> DataFrame:
+    """``rows`` with those of ``ids`` marked deleted and switched off; what is deleted keeps its first time."""
+    hit = F.col("id").isin(ids)
+    at = F.coalesce("deleted_at", F.when(hit, F.lit(now).cast("timestamp")))
+    return rows.withColumn("deleted_at", at).withColumn(off, F.col(off) & at.isNull())
+
+
+def stamped(old: DataFrame, new: DataFrame, actor: str, now: str, key: str = "id") -> DataFrame:
+    """``new`` with who made and changed each row: the makers of ``old`` stay, only changed rows are touched."""
+    fields = [c for c in new.columns if c != key]
+    before = old.select(F.col(key).alias("__k"), F.struct(*fields).alias("__old"), *[F.col(c).alias(f"__{c}") for c in ("created_by", "updated_by", "updated_at")])
+    both = new.join(before, F.col(key) == F.col("__k"), "left")
+    same = F.col("__old").isNotNull() & F.struct(*fields).eqNullSafe(F.col("__old"))
+    me, at = F.lit(actor), F.lit(now).cast("timestamp")
+    return both.select(*new.columns, F.when(F.col("__k").isNull(), me).otherwise(F.col("__created_by")).alias("created_by"), F.when(same, F.col("__updated_by")).otherwise(me).alias("updated_by"), F.when(same, F.col("__updated_at")).otherwise(at).alias("updated_at"))
+
+
+def without_evidence(decisions: DataFrame, now: str, days: int, batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """References of pictures older than ``days``, and the decisions without them: the references go first, then the files."""
+    old = F.col("snapshot_ref").isNotNull() & (F.col("observed_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    gone = decisions.where(old).select("id", "snapshot_ref")
+    return gone, decisions.withColumn("snapshot_ref", F.when(~F.coalesce(old, F.lit(False)), F.col("snapshot_ref")))
+
+
+def zone_changes(zones: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New or renamed zones (camera_id, zone_id, zone_name, zone_type, points) that are allowed, and the others with why.
+
+    Names are trimmed and unique on a camera whatever their case; types are known ones,
+    GENERAL if none is given; an outline has three points at least.
+    """
+    tidy = wanted.withColumn("zone_name", F.trim("zone_name")).withColumn("zone_type", F.upper(F.coalesce(F.nullif(F.trim("zone_type"), F.lit("")), F.lit("GENERAL"))))
+    taken = zones.select("camera_id", F.lower("zone_name").alias("__name"), F.col("zone_id").alias("__other"))
+    first = F.row_number().over(Window.partitionBy("camera_id", F.lower("zone_name")).orderBy("zone_id")) > 1
+    clash = tidy.alias("w").join(taken, (F.col("w.camera_id") == taken["camera_id"]) & (F.lower("zone_name") == F.col("__name")) & (F.col("zone_id") != F.col("__other"))).select("w.camera_id", "zone_id").distinct().withColumn("__taken", F.lit(True))
+    why = (
+        F.when(F.coalesce(F.length("zone_name"), F.lit(0)) == 0, "name missing").when(F.length("zone_name") > 80, "name too long").when(~F.col("zone_type").isin(*ZONE_TYPES), "unknown type")
+        .when(F.coalesce(F.size("points"), F.lit(0)) < 3, "too few points").when(F.col("__taken") | F.col("__twice"), "name taken")
+    )
+    checked = tidy.withColumn("__twice", first).join(clash, ["camera_id", "zone_id"], "left").withColumn("why", why)
+    return checked.where("why IS NULL").drop("why", "__taken", "__twice"), checked.where("why IS NOT NULL").select("camera_id", "zone_id", "why")
+
+
+def created(orgs: DataFrame, asked: DataFrame, now: str) -> dict[str, DataFrame]:
+    """What founding organisations appends (org_id, name, owner): the organisation with its slug, a site, its administrator and an audit row."""
+    at = F.lit(now).cast("timestamp")
+    new = asked.join(orgs.select("org_id"), "org_id", "left_anti")
+    every = orgs.select("org_id", "name", F.lit(0).alias("__new"), F.lit(None).cast("string").alias("owner")).unionByName(new.select("org_id", "name", F.lit(1).alias("__new"), "owner"))
+    slugs = unique_slugs(every.withColumn("__order", F.struct("__new", "org_id")), "name", "__order").where("__new = 1")
+    return {
+        "organisations": slugs.select("org_id", "name", "slug", at.alias("created_at")),
+        "sites": slugs.select("org_id", F.lit("Main site").alias("site_name")),
+        "members": slugs.select("org_id", F.col("owner").alias("user_id"), F.lit("ORG_ADMIN").alias("role")),
+        "audit": slugs.select("org_id", F.col("owner").alias("actor"), F.lit("organisation.created").alias("action"), at.alias("at")),
+    }
+
+
+#: What platform staff may see of an organisation's tables: counts and names, never footage or people.
+PLATFORM_COLUMNS = {"organisations": ("org_id", "name", "plan", "created_on", "suspended", "deleted"), "cameras": ("camera_id", "org_id", "status"), "zones": ("zone_id", "camera_id", "zone_type")}
+
+
+def platform_view(rows: DataFrame, table: str) -> DataFrame:
+    return rows.select(*[c for c in PLATFORM_COLUMNS[table] if c in rows.columns])

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: Plan limits (cameras, sites, seats, history days; none means unlimited).
 LIMITS = {"FREE": (1, 1, 3, 7), "GROWTH": (10, 5, 25, 90), "ENTERPRISE": (None, None, None, 365)}
 #: Weight and severity of each reason for attention.
-REASONS = {"suspended": (100, 3), "plan expired": (80, 2), "over its limits": (70, 2), "no cameras": (40, 1), "no members": (30, 1)}
+REASONS = {"camera_error": (100, 3), "failed_session": (80, 2), "no_zones": (70, 2), "no_cameras": (40, 1), "no_members": (30, 1)}
 #: Orders an overview can be shown in.
 SORTS = {
-    "name": ["name", "org_id"], "newest": ["-created_on", "org_id"], "oldest": ["created_on", "org_id"], "cameras": ["-cameras", "org_id"], "seats": ["-seats", "org_id"], "plan": ["plan", "org_id"], "score": ["-score", "org_id"],
+    "name": ["name", "org_id"], "newest": ["-created_on", "org_id"], "oldest": ["created_on", "org_id"], "cameras": ["-cameras", "org_id"], "seats": ["-seats", "org_id"], "plan": ["plan", "org_id"], "health": ["-score", "org_id"],
 }
 
 
@@ -20,7 +20,7 @@ def sort(rows: DataFrame, key: str) -> DataFrame:
 
 def effective_plan(today: str) -> Column:
     """The plan in force: FREE once the term has ended."""
-    return F.when(F.col("term_ends_on") < F.lit(today).cast("date"), "FREE").otherwise(F.col("plan"))
+    return F.when(F.col("term_ends_on") <= F.lit(today).cast("date"), "FREE").otherwise(F.col("plan"))
 
 
 def limit_of(plan: Column, i: int) -> Column:
@@ -37,21 +37,53 @@ def plan_usage(orgs: DataFrame, today: str) -> DataFrame:
     return orgs.select("org_id", plan.alias("plan_in_force"), "cameras", "sites", "seats", *[limit_of(plan, i).alias(f"{c}_limit") for i, c in enumerate(("cameras", "sites", "seats", "history_days"))], (over[0] | over[1] | over[2]).alias("over_limit"))
 
 
-def attention(orgs: DataFrame, today: str) -> DataFrame:
-    """Live organisations with reasons, their highest severity and summed weight; most urgent first."""
-    use = plan_usage(orgs, today).select("org_id", "over_limit")
-    cond = {"suspended": F.col("suspended"), "plan expired": F.col("term_ends_on") < F.lit(today).cast("date"), "over its limits": F.col("over_limit"), "no cameras": F.col("cameras") == 0, "no members": F.col("seats") == 0}
-    found = F.array_compact(F.array(*[F.when(cond[k], F.struct(F.lit(k).alias("reason"), F.lit(w).alias("weight"), F.lit(s).alias("severity"))) for k, (w, s) in REASONS.items()]))
-    rows = orgs.where(~F.col("deleted")).join(use, "org_id").withColumn("r", found).where(F.size("r") > 0)
+def _troubles() -> dict[str, Column]:
+    """Each reason for attention and when it holds; cameras without a zone see nothing."""
+    cameras, none = F.col("cameras"), F.lit(0)
+    return {"camera_error": F.col("cameras_in_error") > none, "failed_session": F.col("failed_sessions") > none, "no_zones": (cameras > none) & (F.col("zones") == none), "no_cameras": cameras == none, "no_members": F.col("members") == none}
+
+
+def _counted(n: Column, one: str, rest: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {one}"), F.when(n > 1, "s").otherwise(""), F.lit(rest))
+
+
+def attention(orgs: DataFrame) -> DataFrame:
+    """Live organisations with something wrong: reasons, their highest severity, summed weight."""
+    when = _troubles()
+    label = {"camera_error": _counted(F.col("cameras_in_error"), "camera", " in error"), "failed_session": _counted(F.col("failed_sessions"), "failed run", ""), "no_zones": F.lit("cameras configured but no zones drawn"), "no_cameras": F.lit("no cameras added yet"), "no_members": F.lit("no active members")}
+    found = F.array_compact(F.array(*[F.when(when[k], F.struct(label[k].alias("label"), F.lit(w).alias("weight"), F.lit(s).alias("severity"))) for k, (w, s) in REASONS.items()]))
+    rows = orgs.where(~F.col("deleted")).withColumn("r", found).where(F.size("r") > 0)
     return rows.select(
-        "org_id", F.array_join(F.transform("r", lambda x: x["reason"]), "; ").alias("reasons"), F.aggregate("r", F.lit(0), lambda s, x: F.greatest(s, x["severity"])).alias("severity"), F.aggregate("r", F.lit(0), lambda s, x: s + x["weight"]).alias("score")
+        "org_id", F.array_join(F.transform("r", lambda x: x["label"]), "; ").alias("reasons"), F.aggregate("r", F.lit(0), lambda s, x: F.greatest(s, x["severity"])).alias("severity"), F.aggregate("r", F.lit(0), lambda s, x: s + x["weight"]).alias("score")
     )
 
 
-def health(orgs: DataFrame, today: str) -> DataFrame:
-    """100 less the attention score, and a word for it."""
-    score = F.greatest(F.lit(0), 100 - F.coalesce("score", F.lit(0)))
-    return orgs.where(~F.col("deleted")).join(attention(orgs, today).select("org_id", "score"), "org_id", "left").select("org_id", score.alias("health"), F.when(score >= 80, "good").when(score >= 40, "fair").otherwise("poor").alias("level"))
+def health(orgs: DataFrame) -> DataFrame:
+    """How bad it is (the higher the worse, errors and failed runs by their number) and the one thing to say about it."""
+    when, n = _troubles(), lambda c: F.col(c)
+    score = n("cameras_in_error") * 100 + n("failed_sessions") * 80 + sum(F.when(when[k], REASONS[k][0]).otherwise(0) for k in ("no_zones", "no_cameras", "no_members"))
+    said = (("suspended", n("suspended"), F.lit("Suspended")), ("error", when["camera_error"], _counted(n("cameras_in_error"), "camera", " down")), ("error", when["failed_session"], _counted(n("failed_sessions"), "failed run", "")),
+            ("warn", when["no_zones"], F.lit("No zones drawn")), ("warn", when["no_cameras"], F.lit("No cameras")), ("warn", when["no_members"], F.lit("No members")), ("live", n("running_sessions") > 0, F.lit("Processing")))
+    level, label = F.lit("ok"), F.lit("Healthy")
+    for word, cond, text in reversed(said):
+        level, label = F.when(cond, word).otherwise(level), F.when(cond, text).otherwise(label)
+    return orgs.where(~F.col("deleted")).select("org_id", score.cast("long").alias("score"), level.alias("level"), label.alias("label"))
+
+
+def safe_cameras(cameras: DataFrame) -> DataFrame:
+    """Cameras as members see them: whether there is a stream and a calibration, neither the address nor the matrix."""
+    hidden = ("rtsp_url", "homography")
+    return cameras.select(*[c for c in cameras.columns if c not in hidden], (F.col("rtsp_url").isNotNull() & (F.trim("rtsp_url") != "")).alias("has_rtsp_url"), F.col("homography").isNotNull().alias("is_calibrated"))
+
+
+def audit(rows: DataFrame, action: str | None = None, actor: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The platform's audit rows of an action, an actor and whole days (both ends included)."""
+    for column, value in (("action", action), ("actor", actor)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    if since is not None:
+        rows = rows.where(F.col("at") >= F.lit(since).cast("timestamp"))
+    return rows if until is None else rows.where(F.col("at") < F.lit(until).cast("timestamp") + F.expr("INTERVAL 1 DAY"))
 
 
 def signups(orgs: DataFrame, since: str, until: str) -> DataFrame:
@@ -76,14 +108,14 @@ def overview(orgs: DataFrame, decisions: DataFrame, events: DataFrame) -> DataFr
     return orgs.join(d, "org_id", "left").join(e, "org_id", "left").select("org_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("decisions", "open_alerts", "events")], "last_decision")
 
 
-def search(orgs: DataFrame, text: str = "", show: str = "all", today: str = "2024-03-01") -> DataFrame:
+def search(orgs: DataFrame, text: str = "", show: str = "all") -> DataFrame:
     """Live organisations whose name holds ``text``; all, active, suspended, or in need of attention."""
     rows = orgs.where(~F.col("deleted") & F.lower("name").contains(text.lower().strip()))
     if show == "active":
         return rows.where(~F.col("suspended"))
     if show == "suspended":
         return rows.where("suspended")
-    return rows.join(attention(orgs, today).select("org_id"), "org_id", "left_semi") if show == "attention" else rows
+    return rows.join(attention(orgs).select("org_id"), "org_id", "left_semi") if show == "attention" else rows
 
 
 def histogram(rows: DataFrame, column: str, newest: int = 2000) -> DataFrame:

@@ -121,18 +121,42 @@ def not_there(new: DataFrame, old: DataFrame, key: str = "id") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- rules and retention
+#: Parameters of the built-in rules, keys in order as they are hashed.
+ENTRY_DEFAULT = '{"mode": "AT_ENTRY", "required_ppe": ["helmet", "safety_vest"]}'
+MAN_DOWN_DEFAULT = '{"lying_allowed_zone_ids": [], "min_seconds_down": 5.0}'
+
+
+def rule_key(id_: Column, source: Column, kind: Column, zone: Column, params: Column) -> Column:
+    """A rule's id, else its source, type, zone and the start of a hash of its parameters (JSON with sorted keys)."""
+    made = F.concat_ws(":", source, kind, F.coalesce(zone, F.lit("None")), F.substring(F.sha1(params), 1, 8))
+    return F.coalesce(F.nullif(id_, F.lit("")), made)
+
+
+def slug_params(rules: DataFrame, zones: DataFrame, scalars: tuple[str, ...] = ("checkpoint_zone_id", "exit_zone_id"), lists: tuple[str, ...] = ("lying_allowed_zone_ids",)) -> DataFrame:
+    """``rules`` (rule_id, scalars and lists of zone ids as maps) with the ids of ``zones`` (zone_id, slug) made slugs; unknown ids stay.
+
+    ``params`` is a map of names to zone ids, ``lists`` one of names to arrays of them.
+    """
+    refs = rules.select("rule_id", F.explode(F.concat(F.map_values("params"), F.flatten(F.map_values("lists")))).alias("zone_id")).distinct()
+    known = refs.join(zones.select("zone_id", "slug").where("slug IS NOT NULL"), "zone_id").groupBy("rule_id").agg(F.map_from_entries(F.collect_set(F.struct("zone_id", "slug"))).alias("__slugs"))
+    name = lambda v: F.coalesce(F.col("__slugs")[v], v)
+    both = rules.join(known, "rule_id", "left").withColumn("params", F.transform_values("params", lambda k, v: F.when(k.isin(*scalars), name(v)).otherwise(v)))
+    return both.withColumn("lists", F.transform_values("lists", lambda k, v: F.when(k.isin(*lists), F.transform(v, name)).otherwise(v))).drop("__slugs")
+
+
 def uncovered_defaults(zones: DataFrame, rules: DataFrame) -> DataFrame:
-    """A default rule for every checkpoint and restricted zone that no live rule covers."""
-    wants = zones.where(F.col("zone_type").isin("PPE_CHECKPOINT", "RESTRICTED"))
-    return wants.join(F.broadcast(rules.where("enabled").select("zone_id")), "zone_id", "left_anti").select(
-        F.concat(F.lit("default:PPE_ENTRY:"), "zone_id", F.lit(":"), F.substring(F.sha1(F.concat(F.lit("PPE_ENTRY"), "zone_id")), 1, 8)).alias("rule_key"), "zone_id", F.lit("PPE_ENTRY").alias("type"), F.lit("default").alias("source")
-    )
+    """The built-in entry rule for every restricted zone that has no entry rule, on or off."""
+    own = rules.where("type = 'PPE_ENTRY'").select("zone_id")
+    key = rule_key(F.lit(None).cast("string"), F.lit("default"), F.lit("PPE_ENTRY"), F.col("zone_id"), F.lit(ENTRY_DEFAULT))
+    return zones.where("zone_type = 'RESTRICTED'").join(own, "zone_id", "left_anti").select(key.alias("rule_key"), "zone_id", F.lit("PPE_ENTRY").alias("type"), F.lit("default").alias("source"))
 
 
 def session_rules(zones: DataFrame, rules: DataFrame) -> DataFrame:
-    """Live rules and the defaults of what they leave uncovered."""
+    """Live rules, the defaults of zones without an entry rule, and the built-in man-down rule unless there is an own one, on or off."""
     live = rules.where("enabled").select(F.col("rule_id").alias("rule_key"), "zone_id", "type", F.lit("rule").alias("source"))
-    return live.unionByName(uncovered_defaults(zones, rules))
+    key = rule_key(F.lit(None).cast("string"), F.lit("default"), F.lit("MAN_DOWN"), F.lit(None).cast("string"), F.lit(MAN_DOWN_DEFAULT))
+    own = rules.agg(F.count_if(F.col("type") == "MAN_DOWN").alias("own")).where("own = 0")
+    return live.unionByName(uncovered_defaults(zones, rules)).unionByName(own.select(key.alias("rule_key"), F.lit(None).cast("string").alias("zone_id"), F.lit("MAN_DOWN").alias("type"), F.lit("default").alias("source")))
 
 
 def keep_decisions(decisions: DataFrame, actions: DataFrame, now: str, days: int) -> DataFrame:

@@ -66,8 +66,9 @@ KEEP = f"""keep AS (SELECT d.* FROM decisions d WHERE NOT (observed_at < TIMESTA
 OK = """m AS (SELECT d.*, c.camera_id IS NOT NULL AND (d.zone_id IS NULL OR z.zone_id IS NOT NULL) AS ok FROM decisions d LEFT JOIN cameras c USING (camera_id) LEFT JOIN zones z ON d.zone_id = z.zone_id)"""
 S = ", ".join(SOME)
 TITLE = "array_to_string(list_transform(string_split(lower({c}), '_'), lambda w: upper(w[1]) || w[2:]), ' ')"
-UNCOVERED = "u AS (SELECT z.* FROM zones z WHERE zone_type IN ('PPE_CHECKPOINT', 'RESTRICTED') AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.enabled AND r.zone_id = z.zone_id))"
-DEFAULTS = "SELECT 'default:PPE_ENTRY:' || zone_id || ':' || left(sha1('PPE_ENTRY' || zone_id), 8) AS rule_key, zone_id, 'PPE_ENTRY' AS type, 'default' AS source FROM u"
+UNCOVERED = "u AS (SELECT z.* FROM zones z WHERE zone_type = 'RESTRICTED' AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.type = 'PPE_ENTRY' AND r.zone_id = z.zone_id))"
+DEFAULTS = f"SELECT 'default:PPE_ENTRY:' || zone_id || ':' || left(sha1('{records.ENTRY_DEFAULT}'), 8) AS rule_key, zone_id, 'PPE_ENTRY' AS type, 'default' AS source FROM u"
+MAN_DOWN = f"SELECT 'default:MAN_DOWN:None:' || left(sha1('{records.MAN_DOWN_DEFAULT}'), 8), NULL, 'MAN_DOWN', 'default' WHERE NOT EXISTS (SELECT 1 FROM rules WHERE type = 'MAN_DOWN')"
 NAMES = "coalesce(camera_name, '') AS camera, coalesce(zone_name, '') AS zone, 'Worker ' || replace(worker_key, 'trk-', '') AS worker"
 
 ORACLE_SQL = {
@@ -92,7 +93,7 @@ FROM decisions LEFT JOIN cameras USING (camera_id) LEFT JOIN zones USING (zone_i
     "known_rules": sql(f"WITH {RULES} SELECT CASE WHEN rule_id IN (SELECT rule_id FROM rules) THEN rule_id END AS rule_id, count(*) AS n FROM decisions GROUP BY 1", "decisions"),
     "idempotent_append": sql(f"SELECT {S} FROM decisions WHERE id % 3 <> 0", "decisions"),
     "uncovered_defaults": sql(f"WITH {RULES}, {UNCOVERED} {DEFAULTS}", "zones"),
-    "session_rules": sql(f"WITH {RULES}, {UNCOVERED} SELECT rule_id AS rule_key, zone_id, type, 'rule' AS source FROM rules WHERE enabled UNION ALL {DEFAULTS}", "zones"),
+    "session_rules": sql(f"WITH {RULES}, {UNCOVERED} SELECT rule_id AS rule_key, zone_id, type, 'rule' AS source FROM rules WHERE enabled UNION ALL {DEFAULTS} UNION ALL {MAN_DOWN}", "zones"),
     "retention_survivors": sql(f"WITH {KEEP} SELECT {S} FROM keep", "decisions", "actions"),
     "retention_purge_counts": sql(f"WITH {KEEP} SELECT org_id, count(*) AS purged FROM decisions WHERE id NOT IN (SELECT id FROM keep) GROUP BY 1", "decisions", "actions"),
     "retention_preview": sql(f"SELECT count(*) AS older FROM decisions WHERE observed_at < TIMESTAMP '{NOW}' - INTERVAL 365 DAY", "decisions"),

@@ -48,7 +48,7 @@ def man_down(s, p):
 
 def entries(s, p):
     samples = T(s, p).withColumn("t", F.unix_micros("ts") / 1e6)
-    seen = frames.evidence(samples).select("sample_id", "state").join(samples.select("sample_id", "track_id", "t", "zone_id"), "sample_id")
+    seen = frames.evidence(samples, 15 * 86_400.0).select("sample_id", "state").join(samples.select("sample_id", "track_id", "t", "zone_id"), "sample_id")
     looks = seen.select("track_id", "t", F.lit("EVIDENCE").alias("kind"), "state", *[F.lit(0.95).alias(c) for c in ("seen_fraction", "empty_fraction", "recent_fraction")])
     moves = seen.where("zone_id = 'click'").select("track_id", (F.col("t") - 1).alias("t"), F.lit("ENTERED").alias("kind"), F.lit(None).cast("string").alias("state"), *[F.lit(None).cast("double").alias(c) for c in ("seen_fraction", "empty_fraction", "recent_fraction")])
     return run_batch(looks.unionByName(moves), episodes.PpeEntry(), ["track_id"], ["t", "kind"], f"track_id long, {episodes.DECISION}")
@@ -89,6 +89,6 @@ ORACLE_SQL = {
     "invalid_buckets": "SELECT CAST(0 AS BIGINT) AS n",
     "reviewed_decisions": sql("WITH r AS (SELECT *, id % 40 = 1 AND status <> 'COMPLIANT' AS hit FROM decisions) SELECT CASE WHEN hit THEN 'CONFIRMED' ELSE review_state END AS review_state, CASE WHEN hit THEN 'CORRECT' ELSE review_reason END AS review_reason, count(*) AS n, count(*) FILTER (hit) AS reviewed FROM r GROUP BY 1, 2", "decisions"),
     "refused_reviews": sql("SELECT * FROM (SELECT v.id, state, CASE WHEN state = 'PENDING' THEN 'not a verdict' WHEN d.id IS NULL THEN 'not found' WHEN d.status = 'COMPLIANT' THEN 'nothing to review' END AS why FROM (SELECT id * 3 AS id, CASE WHEN id % 3 = 0 THEN 'PENDING' ELSE 'DISMISSED' END AS state FROM decisions WHERE id % 40 = 1) v LEFT JOIN decisions d ON v.id = d.id) WHERE why IS NOT NULL", "decisions"),
-    "unique_slugs": "WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM s) SELECT p_partkey, CASE WHEN n > 1 THEN s || '-' || n ELSE s END AS slug FROM n",
+    "unique_slugs": "WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM s) SELECT p_partkey, CASE WHEN n > 1 THEN s || '-' || (n - 1) ELSE s END AS slug FROM n",
     "capabilities": ROLES,
 }

@@ -53,7 +53,7 @@ IN_ZONE = "inz AS (SELECT frame, person, coalesce(arg_min(zone_id, ord), 'TRANSI
 ITEMS = "items AS (SELECT frame, person AS item, CASE WHEN person % 2 = 0 THEN 'helmet' ELSE 'safety_vest' END AS cls, (x1 + x2) / 2 + person % 5 * 6 - 12 AS cx, y1 + (y2 - y1) * CASE WHEN person % 2 = 0 THEN 0.12 ELSE 0.40 END AS cy, conf / 2 + 0.3 AS item_conf FROM people WHERE person < 6)"
 CONT = "greatest(0, least(x2, cx + 6) - greatest(x1, cx - 6)) * greatest(0, least(y2, cy + 5) - greatest(y1, cy - 5)) / (((cx + 6) - (cx - 6)) * ((cy + 5) - (cy - 5)))"
 WORN = f"""pairs AS (SELECT p.*, i.item, i.cls, i.item_conf, power(cx - (x1 + x2) / 2, 2) + power(cy - (y1 + CASE WHEN cls = 'helmet' THEN 0.12 ELSE 0.40 END * (y2 - y1)), 2) AS near FROM people p JOIN items i USING (frame)
-WHERE CASE WHEN cls = 'helmet' THEN cx BETWEEN x1 - 0.1 * (x2 - x1) AND x2 + 0.1 * (x2 - x1) AND cy BETWEEN y1 - 0.1 * (y2 - y1) AND y1 + 0.35 * (y2 - y1) ELSE cy BETWEEN y1 + 0.12 * (y2 - y1) AND y1 + 0.72 * (y2 - y1) AND {CONT} >= 0.5 END),
+WHERE CASE WHEN cls = 'helmet' THEN cx BETWEEN x1 AND x2 AND cy BETWEEN y1 - 0.1 * (y2 - y1) AND y1 + 0.35 * (y2 - y1) ELSE cy BETWEEN y1 + 0.12 * (y2 - y1) AND y1 + 0.72 * (y2 - y1) AND {CONT} >= 0.5 END),
 best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY frame, item ORDER BY near, person) = 1)"""
 
 
@@ -70,6 +70,40 @@ ASOF = "SELECT worker_key, id, CASE WHEN t0 - passed <= INTERVAL 6 HOUR THEN pas
 AFTER = "SELECT worker_key, id, CASE WHEN nxt - t0 <= INTERVAL 6 HOUR THEN nxt END AS arrived_at FROM (SELECT e.worker_key, e.id, e.observed_at AS t0, p.observed_at AS nxt FROM (SELECT * FROM safety_events WHERE event_type = 'EXITED_ZONE') e ASOF LEFT JOIN (SELECT * FROM safety_events WHERE event_type = 'ENTERED_ZONE') p ON e.worker_key = p.worker_key AND e.observed_at <= p.observed_at)"
 
 
+STALE_S = 15 * 86_400.0
+
+
+def verdicts(s, p):
+    """Helmet by the samples as they are, vest by mirrored scores: one verdict a sample."""
+    helmet = frames.evidence(T(s, p), STALE_S)
+    vest = frames.evidence(T(s, p).withColumn("activity_score", 100 - F.col("activity_score")), STALE_S, seen=60.0)
+    both = helmet.withColumn("item", F.lit("helmet")).unionByName(vest.withColumn("item", F.lit("safety_vest")))
+    return frames.verdicts(both, ["sample_id"])
+
+
+def stayed(s, p):
+    """Stays with how they ended; every fifth was inside when first seen."""
+    n = F.col("visit") + F.col("track_id")
+    return frames.visits(T(s, p), 36_000).withColumn("reason", F.when(n % 4 == 0, "LOST").when(n % 7 == 0, "SESSION_END").otherwise("LEFT")).withColumn("first_sighting", n % 5 == 0)
+
+
+def leaves(s, p):
+    out = E(s, p).where("event_type = 'EXITED_ZONE' AND get_json_object(details, '$.reason') = 'LEFT'")
+    return out.select("worker_key", "id", F.col("observed_at").alias("at"), F.col("zone_id").alias("home"))
+
+
+def arrivals(s, p):
+    """Zones of the arrivals vary within a worker, so that every outcome occurs."""
+    zone = domain.numbered("zone-", F.col("id") % 25)
+    came = E(s, p).where("event_type = 'ENTERED_ZONE'").select("worker_key", F.col("observed_at").alias("at"), F.when(F.col("id") % 3 == 0, F.col("zone_id")).otherwise(zone).alias("zone"))
+    return came.join(domain.zones(s, p).select(F.col("zone_id").alias("zone"), "zone_type"), "zone", "left")
+
+
+def exits_judged(s, p):
+    seen = E(s, p).where("event_type = 'REAPPEARED'").select("worker_key", F.col("observed_at").alias("at"))
+    return frames.exit_decisions(leaves(s, p), arrivals(s, p), seen, "worker_key", "zone-3", 172_800.0, 3_600.0, 43_200.0)
+
+
 def adoption(s, p):
     """Odd persons of a frame are lost, even ones are new; times by person and frame."""
     who, t = people(s, p), F.col("person") * 0.4 + F.col("frame") % 3 * 0.3
@@ -147,10 +181,11 @@ QUERIES = {
     "activity_score": lambda s, p: frames.activity(T(s, p)).withColumn("score", F.round("score", 5)),
     "sliding_median": lambda s, p: frames.sliding_median(T(s, p)),
     "gap_tolerance": lambda s, p: frames.gap_tolerance(T(s, p)),
-    "evidence_window": lambda s, p: frames.evidence(T(s, p)),
+    "evidence_window": lambda s, p: frames.evidence(T(s, p), STALE_S),
+    "evidence_verdicts": lambda s, p: verdicts(s, p),
     "absent_streaks": lambda s, p: frames.streaks(T(s, p)),
     "session_visits": lambda s, p: frames.visits(T(s, p)),
-    "max_dwell_decisions": lambda s, p: frames.dwell_decisions(frames.visits(T(s, p), 36_000), 3_600),
+    "max_dwell_decisions": lambda s, p: frames.dwell_decisions(stayed(s, p), 3_600),
     "interval_union": lambda s, p: frames.union_of_spans(T(s, p).select("track_id", F.unix_micros("ts").alias("start"), (F.unix_micros("ts") + F.col("sample_id") % 7 * 1_800_000_000).alias("end")), "track_id", 60_000_000),
     "checkpoint_asof": lambda s, p: frames.last_before(exits(s, p), passes(s, p), "worker_key", 6 * 3600, 1.0),
     "required_exit": lambda s, p: frames.first_after(exits(s, p), passes(s, p), "worker_key", 6 * 3600),
@@ -162,8 +197,9 @@ QUERIES = {
     "plans_renewed": lambda s, p: platform.renewed(O(s, p), TODAY),
     "open_invitations": lambda s, p: platform.invitations(O(s, p).select((F.col("org_id") * 10).alias("invite_id"), "org_id", F.concat(F.lit(" User"), F.col("org_id") % 5, F.lit("@Example.com ")).alias("email"), F.lit("VIEWER").alias("role")), O(s, p), "user3@example.com"),
     "plan_usage": lambda s, p: platform.plan_usage(O(s, p), TODAY),
-    "attention_list": lambda s, p: platform.attention(O(s, p), TODAY),
-    "org_health": lambda s, p: platform.health(O(s, p), TODAY),
+    "required_exit_decisions": lambda s, p: exits_judged(s, p),
+    "attention_list": lambda s, p: platform.attention(O(s, p)),
+    "org_health": lambda s, p: platform.health(O(s, p)),
     "signup_series": lambda s, p: platform.signups(O(s, p), "2024-01-20", "2024-03-15"),
     "platform_totals": lambda s, p: platform.totals(O(s, p)),
     "platform_overview": lambda s, p: _overview(s, p, "org_id < 60"),
@@ -191,11 +227,26 @@ US = "epoch_us"
 SHIFTS = f"sh AS (SELECT *, sum(coalesce(CAST(posture_state <> lag_p AS INTEGER), 0)) {so_far} AS shifts FROM (SELECT *, lag(posture_state) {w} AS lag_p FROM telemetry))"
 VISITS = "v0 AS (SELECT *, CAST(coalesce(lag(zone_id) " + w + " <> zone_id, true) OR epoch_us(ts) - epoch_us(lag(ts) " + w + ") > CAST({gap} AS BIGINT) * 1000000 AS INTEGER) AS fresh FROM telemetry), v1 AS (SELECT *, sum(fresh) " + so_far + " AS visit FROM v0), v AS (SELECT track_id, CAST(visit AS BIGINT) AS visit, min(zone_id) AS zone_id, min(ts) AS entered, max(ts) AS \"left\", count(*) AS samples FROM v1 GROUP BY ALL)"
 VISITS = VISITS.replace("GROUP BY ALL)", "GROUP BY track_id, visit)")
-PLAN = f"pl AS (SELECT *, CASE WHEN term_ends_on < DATE '{TODAY}' THEN 'FREE' ELSE plan END AS plan_in_force FROM organisations)"
+PLAN = f"pl AS (SELECT *, CASE WHEN term_ends_on <= DATE '{TODAY}' THEN 'FREE' ELSE plan END AS plan_in_force FROM organisations)"
 LIM = lambda i: "CASE plan_in_force " + " ".join(f"WHEN '{k}' THEN {'NULL' if v[i] is None else v[i]}" for k, v in platform.LIMITS.items()) + " END"
 USE = f"us AS (SELECT *, {LIM(0)} AS cameras_limit, {LIM(1)} AS sites_limit, {LIM(2)} AS seats_limit, {LIM(3)} AS history_days_limit, coalesce(cameras > cameras_limit, false) OR coalesce(sites > sites_limit, false) OR coalesce(seats > seats_limit, false) AS over_limit FROM pl)"
-WHY = {"suspended": "suspended", "plan expired": f"term_ends_on < DATE '{TODAY}'", "over its limits": "over_limit", "no cameras": "cameras = 0", "no members": "seats = 0"}
-ATT = "att AS (SELECT org_id, name, created_on, concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in WHY.items()) + ") AS reasons, CAST(greatest(" + ", ".join(f"CASE WHEN {c} THEN {platform.REASONS[k][1]} ELSE 0 END" for k, c in WHY.items()) + ") AS INTEGER) AS severity, CAST(" + " + ".join(f"CASE WHEN {c} THEN {platform.REASONS[k][0]} ELSE 0 END" for k, c in WHY.items()) + " AS INTEGER) AS score FROM us WHERE NOT deleted)"
+WHY = {"camera_error": "cameras_in_error > 0", "failed_session": "failed_sessions > 0", "no_zones": "cameras > 0 AND zones = 0", "no_cameras": "cameras = 0", "no_members": "members = 0"}
+PLURAL = "CASE WHEN {0} > 1 THEN 's' ELSE '' END"
+SAID = {"camera_error": f"cameras_in_error || ' camera' || {PLURAL.format('cameras_in_error')} || ' in error'", "failed_session": f"failed_sessions || ' failed run' || {PLURAL.format('failed_sessions')}", "no_zones": "'cameras configured but no zones drawn'", "no_cameras": "'no cameras added yet'", "no_members": "'no active members'"}
+ATT = "att AS (SELECT org_id, name, created_on, concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {SAID[k]} END" for k, c in WHY.items()) + ") AS reasons, CAST(greatest(" + ", ".join(f"CASE WHEN {c} THEN {platform.REASONS[k][1]} ELSE 0 END" for k, c in WHY.items()) + ") AS INTEGER) AS severity, CAST(" + " + ".join(f"CASE WHEN {c} THEN {platform.REASONS[k][0]} ELSE 0 END" for k, c in WHY.items()) + " AS INTEGER) AS score FROM organisations WHERE NOT deleted)"
+HEALTH = f"""SELECT org_id, CAST(cameras_in_error * 100 + failed_sessions * 80 + CASE WHEN cameras > 0 AND zones = 0 THEN 70 ELSE 0 END + CASE WHEN cameras = 0 THEN 40 ELSE 0 END + CASE WHEN members = 0 THEN 30 ELSE 0 END AS BIGINT) AS score,
+CASE WHEN suspended THEN 'suspended' WHEN cameras_in_error > 0 OR failed_sessions > 0 THEN 'error' WHEN (cameras > 0 AND zones = 0) OR cameras = 0 OR members = 0 THEN 'warn' WHEN running_sessions > 0 THEN 'live' ELSE 'ok' END AS level,
+CASE WHEN suspended THEN 'Suspended' WHEN cameras_in_error > 0 THEN cameras_in_error || ' camera' || {PLURAL.format('cameras_in_error')} || ' down' WHEN failed_sessions > 0 THEN failed_sessions || ' failed run' || {PLURAL.format('failed_sessions')} WHEN cameras > 0 AND zones = 0 THEN 'No zones drawn' WHEN cameras = 0 THEN 'No cameras' WHEN members = 0 THEN 'No members' WHEN running_sessions > 0 THEN 'Processing' ELSE 'Healthy' END AS label FROM organisations WHERE NOT deleted"""
+EVIDENCE = """SELECT sample_id, len(l) AS n, len(list_filter(l, lambda o: o.v >= {seen})) AS s, len(list_filter(l, lambda o: o.v < 20)) AS e, list_sum(list_transform(list_filter(l, lambda o: o.v >= {seen}), lambda o: CAST(o.v AS DECIMAL(28,8)))) AS t,
+len(list_filter(l[-8:], lambda o: o.v >= {seen})) AS r, len(l[-8:]) AS m, track_id FROM (SELECT *, list_filter(w, lambda o: o.c AND epoch_us(ts) - epoch_us(o.ts) <= 1296000000000) AS l FROM (SELECT *, list({{'c': posture_state <> 'AWAY', 'v': {score}, 'ts': ts}}) {rows} AS w FROM telemetry))"""
+STATE = "CASE WHEN n < 8 THEN 'UNVERIFIABLE' WHEN s / n >= 0.6 THEN 'PRESENT' WHEN e / n >= 0.9 THEN 'ABSENT' ELSE 'UNVERIFIABLE' END"
+EXITS = """WITH l AS (SELECT worker_key, id, observed_at AS t0, zone_id AS home, observed_at + INTERVAL 49 HOUR AS due FROM safety_events WHERE event_type = 'EXITED_ZONE' AND reason = 'LEFT'),
+a AS (SELECT e.worker_key, e.observed_at AS t0, CASE WHEN e.id % 3 = 0 THEN e.zone_id ELSE 'zone-' || (e.id % 25) END AS zone FROM safety_events e WHERE event_type = 'ENTERED_ZONE'),
+b AS (SELECT a.* FROM a LEFT JOIN zones z ON a.zone = z.zone_id WHERE a.zone = 'zone-3' OR coalesce(z.zone_type NOT IN ('APPROACH', 'PPE_CHECKPOINT'), true)),
+n AS (SELECT l.*, b.t0 AS came, b.zone FROM l LEFT JOIN b ON l.worker_key = b.worker_key AND b.t0 >= l.t0 AND b.t0 < l.due QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY b.t0 NULLS LAST, b.zone) = 1),
+v AS (SELECT n.*, (SELECT max(observed_at) FROM safety_events s WHERE s.worker_key = n.worker_key AND s.event_type = 'REAPPEARED' AND s.observed_at <= n.due) AS last FROM n),
+o AS (SELECT *, CASE WHEN zone = home THEN NULL WHEN zone = 'zone-3' AND came - t0 <= INTERVAL 48 HOUR THEN 'REACHED_EXIT' WHEN zone = 'zone-3' THEN 'REACHED_EXIT_LATE' WHEN zone IS NOT NULL THEN 'OTHER_ZONE' WHEN due - last <= INTERVAL 12 HOUR THEN 'NOT_REACHED' ELSE 'OUT_OF_VIEW' END AS outcome FROM v)
+SELECT worker_key, id, outcome, CASE outcome WHEN 'REACHED_EXIT' THEN 'COMPLIANT' WHEN 'OUT_OF_VIEW' THEN 'UNVERIFIABLE' ELSE 'POTENTIAL_VIOLATION' END AS status, round_even((epoch_us(coalesce(came, due)) - epoch_us(t0)) / 1e6, 3) AS elapsed_seconds FROM o WHERE outcome IS NOT NULL"""
 R = lambda x, n: f"CAST(round(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
 BOX = sql  # plain text without views
 plain = lambda body: "WITH " + body
@@ -214,11 +265,17 @@ ORACLE_SQL = {
     "activity_score": sql(f"WITH {SHIFTS} SELECT sample_id, track_id, round(CASE WHEN count(*) {rows(29)} < 2 THEN 50 ELSE 0.75 * least(100, (stddev_pop(floor_x * 1000) {rows(29)} + stddev_pop(floor_y * 1000) {rows(29)}) / 2 / 15 * 100) + least(25, 8.0 * shifts) END, 5) AS score FROM sh", "telemetry"),
     "sliding_median": sql(f"SELECT sample_id, track_id, median(activity_score) {rows(8)} AS median FROM telemetry", "telemetry"),
     "gap_tolerance": sql(f"WITH g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) {w})) / 1e6 AS gap FROM telemetry) SELECT sample_id, track_id, greatest(0.5, coalesce(2.5 * median(gap) {rows(8)}, 0.5)) AS tolerance FROM g", "telemetry"),
-    "evidence_window": sql(f"""WITH x AS (SELECT *, list({{'c': posture_state <> 'AWAY', 'v': activity_score}}) {rows(29)} AS w FROM telemetry), y AS (SELECT *, list_filter(w, lambda o: o.c)[-8:] AS l FROM x)
-SELECT sample_id, track_id, CAST(len(l) AS INTEGER) AS clear_frames, CASE WHEN len(l) < 8 THEN 'UNVERIFIABLE' WHEN len(list_filter(l, lambda o: o.v >= 45)) / len(l) >= 0.6 THEN 'PRESENT' WHEN len(list_filter(l, lambda o: o.v < 20)) / len(l) >= 0.9 THEN 'ABSENT' ELSE 'UNVERIFIABLE' END AS state FROM y""", "telemetry"),
+    "evidence_window": sql(f"""WITH x AS ({EVIDENCE.format(seen=45, score="activity_score", rows=rows(29))})
+SELECT sample_id, track_id, CAST(n AS INTEGER) AS clear_frames, CASE WHEN n > 0 THEN round_even(s / n, 3) ELSE 0 END AS seen_fraction, CASE WHEN n > 0 THEN round_even(e / n, 3) ELSE 0 END AS empty_fraction, CASE WHEN s > 0 THEN {R("CAST(t AS DOUBLE) / s", 3)} ELSE 0 END AS mean_conf, CASE WHEN m > 0 THEN round_even(r / m, 3) ELSE 0 END AS recent_fraction, {STATE} AS state FROM x""", "telemetry"),
+    "evidence_verdicts": sql(f"""WITH h AS ({EVIDENCE.format(seen=45, score="activity_score", rows=rows(29))}), v AS ({EVIDENCE.format(seen=60, score="100 - activity_score", rows=rows(29))}),
+i AS (SELECT sample_id, {STATE} AS state FROM h UNION ALL SELECT sample_id, {STATE} FROM v)
+SELECT sample_id, CASE WHEN bool_or(state = 'ABSENT') THEN 'NON_COMPLIANT' WHEN bool_and(state = 'PRESENT') THEN 'COMPLIANT' ELSE 'UNVERIFIABLE' END AS verdict FROM i GROUP BY 1""", "telemetry"),
     "absent_streaks": sql(f"WITH a AS (SELECT *, row_number() {w} AS n FROM telemetry), b AS (SELECT *, n - row_number() {w} AS island FROM a WHERE posture_state = 'AWAY') SELECT track_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS samples FROM b GROUP BY track_id, island", "telemetry"),
     "session_visits": sql("WITH " + VISITS.format(gap=3600) + " SELECT * FROM v", "telemetry"),
-    "max_dwell_decisions": sql("WITH " + VISITS.format(gap=36000) + " SELECT track_id, visit, zone_id, CASE WHEN samples < 2 THEN 'UNVERIFIABLE' WHEN (epoch_us(\"left\") - epoch_us(entered)) / 1e6 > 3600 THEN 'POTENTIAL_VIOLATION' ELSE 'COMPLIANT' END AS status FROM v", "telemetry"),
+    "max_dwell_decisions": sql("WITH " + VISITS.format(gap=36000) + """, r AS (SELECT *, CASE WHEN (visit + track_id) % 4 = 0 THEN 'LOST' WHEN (visit + track_id) % 7 = 0 THEN 'SESSION_END' ELSE 'LEFT' END AS reason, epoch_us("left") - epoch_us(entered) >= 3600000000 AS over FROM v),
+o AS (SELECT *, CASE WHEN over THEN 'EXCEEDED' WHEN reason = 'LEFT' AND (visit + track_id) % 5 <> 0 THEN 'WITHIN_LIMIT' WHEN reason = 'LEFT' THEN 'PARTIAL' WHEN reason = 'LOST' THEN 'LOST' ELSE 'INCOMPLETE' END AS outcome FROM r)
+SELECT track_id, visit, zone_id, outcome, CASE outcome WHEN 'EXCEEDED' THEN 'POTENTIAL_VIOLATION' WHEN 'WITHIN_LIMIT' THEN 'COMPLIANT' ELSE 'UNVERIFIABLE' END AS status, CASE WHEN over THEN entered + INTERVAL 1 HOUR ELSE entered END AS judged_at FROM o""", "telemetry"),
+    "required_exit_decisions": sql(EXITS, "safety_events", "zones"),
     "interval_union": sql("""WITH s AS (SELECT track_id, epoch_us(ts) AS start, epoch_us(ts) + sample_id % 7 * 1800000000 AS "end" FROM telemetry),
 m AS (SELECT *, CAST(start > max("end") OVER (PARTITION BY track_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 60000000 AS INTEGER) AS fresh FROM s),
 n AS (SELECT *, sum(coalesce(fresh, 1)) OVER (PARTITION BY track_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m) SELECT track_id, min(start) AS start, max("end") AS "end" FROM n GROUP BY track_id, g""", "telemetry"),
@@ -232,13 +289,13 @@ n AS (SELECT *, sum(coalesce(fresh, 1)) OVER (PARTITION BY track_id ORDER BY sta
     "plans_renewed": sql(f"SELECT org_id, plan, CAST(greatest(coalesce(term_ends_on, DATE '{TODAY}'), DATE '{TODAY}') + INTERVAL 1 MONTH AS DATE) AS term_ends_on FROM organisations WHERE plan <> 'FREE'", "organisations"),
     "open_invitations": sql("SELECT org_id * 10 AS invite_id, org_id, name, 'VIEWER' AS role FROM organisations WHERE NOT deleted AND org_id % 5 = 3", "organisations"),
     "plan_usage": sql(f"WITH {PLAN}, {USE} SELECT org_id, plan_in_force, cameras, sites, seats, cameras_limit, sites_limit, seats_limit, history_days_limit, over_limit FROM us", "organisations"),
-    "attention_list": sql(f"WITH {PLAN}, {USE}, {ATT} SELECT org_id, reasons, severity, score FROM att WHERE score > 0", "organisations"),
-    "org_health": sql(f"WITH {PLAN}, {USE}, {ATT} SELECT org_id, greatest(0, 100 - score) AS health, CASE WHEN health >= 80 THEN 'good' WHEN health >= 40 THEN 'fair' ELSE 'poor' END AS level FROM att", "organisations"),
+    "attention_list": sql(f"WITH {ATT} SELECT org_id, reasons, severity, score FROM att WHERE score > 0", "organisations"),
+    "org_health": sql(HEALTH, "organisations"),
     "signup_series": sql("SELECT CAST(t.day AS DATE) AS day, (SELECT count(*) FROM organisations WHERE created_on = t.day) AS signups, (SELECT count(*) FROM organisations WHERE created_on <= t.day) AS total FROM generate_series(DATE '2024-01-20', DATE '2024-03-15', INTERVAL 1 DAY) t(day)", "organisations"),
     "platform_totals": sql("SELECT count(*) AS organisations, count(*) FILTER (suspended) AS suspended, CAST(sum(cameras) AS BIGINT) AS cameras, CAST(sum(sites) AS BIGINT) AS sites, CAST(sum(seats) AS BIGINT) AS seats FROM organisations WHERE NOT deleted", "organisations"),
     "platform_overview": sql("""SELECT 'trk-' || org_id AS org_id, (SELECT count(*) FROM decisions d WHERE d.worker_key = 'trk-' || o.org_id) AS decisions, (SELECT count(*) FROM decisions d WHERE d.worker_key = 'trk-' || o.org_id AND review_state = 'PENDING') AS open_alerts,
 (SELECT count(*) FROM safety_events e WHERE e.worker_key = 'trk-' || o.org_id) AS events, (SELECT max(observed_at) FROM decisions d WHERE d.worker_key = 'trk-' || o.org_id) AS last_decision FROM organisations o WHERE org_id < 60""", "decisions", "safety_events", "organisations"),
-    "platform_search": sql(f"WITH {PLAN}, {USE}, {ATT} SELECT org_id, name, created_on FROM att WHERE score > 0 AND contains(lower(name), '00')", "organisations"),
+    "platform_search": sql(f"WITH {ATT} SELECT org_id, name, created_on FROM att WHERE score > 0 AND contains(lower(name), '00')", "organisations"),
     "action_histogram": sql("SELECT rule_type, count(*) AS n FROM (SELECT * FROM decisions ORDER BY observed_at DESC, id DESC LIMIT 2000) GROUP BY 1", "decisions"),
     "outcome_scores": plain(f"""{JUDGED}, c AS (SELECT count(*) AS n, count(*) FILTER (truth AND NOT verdict) AS missed, count(*) FILTER (NOT truth AND verdict) AS false_alarms, count(*) FILTER (verdict IS NULL) AS abstained, count(*) FILTER (truth) AS positives, count(*) FILTER (NOT truth) AS negatives, count(*) FILTER (truth AND verdict) AS hits FROM j),
 e AS (SELECT *, missed + false_alarms AS k, n - abstained AS m, (missed + false_alarms) / nullif(n - abstained, 0) AS r FROM c) SELECT n, missed, false_alarms, abstained, positives, negatives, hits, {R("m / nullif(n, 0)", 4)} AS coverage, {R("r", 4)} AS error_rate,

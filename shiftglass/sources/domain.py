@@ -100,7 +100,7 @@ def organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(
         k.alias("org_id"), F.col("c_name").alias("name"), one_of(("FREE", "GROWTH", "ENTERPRISE"), k % 3).alias("plan"), F.col("c_acctbal").alias("balance"),
         F.date_add(F.lit("2024-01-01").cast("date"), (k % 90).cast("int")).alias("created_on"), (k % 13 == 0).alias("suspended"), (k % 17 == 0).alias("deleted"),
-        (k % 5).alias("cameras"), (k % 4).alias("sites"), (k % 7).alias("seats"), F.when(k % 3 != 0, F.date_add(F.lit("2024-02-01").cast("date"), (k % 60).cast("int"))).alias("term_ends_on"),
+        (k % 5).alias("cameras"), (k % 4).alias("sites"), (k % 7).alias("seats"), (k % 7).alias("members"), (k % 3).alias("zones"), F.when(k % 11 == 0, k % 3 + 1).otherwise(0).alias("cameras_in_error"), F.when(k % 6 == 5, k % 4).otherwise(0).alias("failed_sessions"), (k % 2).alias("running_sessions"), F.when(k % 3 != 0, F.date_add(F.lit("2024-02-01").cast("date"), (k % 60).cast("int"))).alias("term_ends_on"),
     )
 
 
@@ -136,7 +136,7 @@ VIEWS = {
     CAST(l_shipdate AS DATE) AS created_on, CAST(l_shipdate AS DATE) + 30 AS due_on,
     CASE WHEN l_returnflag NOT IN ('A', 'N') AND l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) END AS closed_on FROM lineitem""",
     "organisations": f"""SELECT c_custkey AS org_id, c_name AS name, {_pick(('FREE', 'GROWTH', 'ENTERPRISE'), 'c_custkey % 3')} AS plan, c_acctbal AS balance,
-    DATE '2024-01-01' + CAST(c_custkey % 90 AS INTEGER) AS created_on, c_custkey % 13 = 0 AS suspended, c_custkey % 17 = 0 AS deleted, c_custkey % 5 AS cameras, c_custkey % 4 AS sites, c_custkey % 7 AS seats,
+    DATE '2024-01-01' + CAST(c_custkey % 90 AS INTEGER) AS created_on, c_custkey % 13 = 0 AS suspended, c_custkey % 17 = 0 AS deleted, c_custkey % 5 AS cameras, c_custkey % 4 AS sites, c_custkey % 7 AS seats, c_custkey % 7 AS members, c_custkey % 3 AS zones, CASE WHEN c_custkey % 11 = 0 THEN c_custkey % 3 + 1 ELSE 0 END AS cameras_in_error, CASE WHEN c_custkey % 6 = 5 THEN c_custkey % 4 ELSE 0 END AS failed_sessions, c_custkey % 2 AS running_sessions,
     CASE WHEN c_custkey % 3 <> 0 THEN DATE '2024-02-01' + CAST(c_custkey % 60 AS INTEGER) END AS term_ends_on FROM customer""",
 }
 
