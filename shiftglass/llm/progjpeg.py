@@ -35,10 +35,11 @@ ZIGZAG = _zigzag()
 UNZIGZAG = np.argsort(ZIGZAG)
 COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)], np.float32)
 
-#: Symbols by code length of the one Huffman table used for writing: the frequent ones get 5 bits, the others 9.
-FREQUENT = [0x00, *range(0x01, 0x0A), 0x11, 0x12, 0x16, 0x17, 0xF0]
-SYMBOLS = FREQUENT + [x for x in range(256) if x not in FREQUENT and (x & 15) <= 10][:240]
-LENGTHS = [5] * len(FREQUENT) + [9] * (len(SYMBOLS) - len(FREQUENT))
+#: Symbols of the one Huffman table used for writing. Halved letters have six bits, blanks and digits five, so that
+#: these get 1 and 2 bits, some others 6 and the rest 11: bytes of plain text then take little more than 8 bits.
+FREQUENT = [0x06, 0x05, 0x00, 0x07, 0x04, 0x03, 0x02, 0x01, 0x16, 0x15]
+SYMBOLS = FREQUENT + [x for x in range(256) if x not in FREQUENT and (x & 15) <= 10]
+LENGTHS = [1, 2] + [6] * 8 + [11] * (len(SYMBOLS) - len(FREQUENT))
 
 
 def huffman(lengths: list[int], symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -50,8 +50,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a progressive JPEG, and what is read back from it."""
-    stored = progjpeg.write_media(table(spark, sf_dir, "documents"))
+    """Every text as a progressive JPEG in a stored table, and what is read back from it."""
+    stored = Scratch(spark, "media").keep(progjpeg.write_media(table(spark, sf_dir, "documents")))
     found = progjpeg.read_media(stored, tensors=False)
     return found.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
