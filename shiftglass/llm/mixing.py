@@ -5,8 +5,10 @@ target / source size times on average. The whole part of that number is certain,
 fraction is an inclusion probability. The cube method's flight phase moves the
 probabilities of small chunks of documents along vectors that keep both the expected
 number of documents and of words, until at most two per chunk are undecided; those of many
-chunks meet in the next level, and the last two of a source are rounded so that its
-words come nearest to the target.
+chunks meet in the next level. In the last flight of a source some documents of all sizes
+but the largest are left open, a small landing problem: of all ways to round them the one is
+taken by which the source's words come nearest to the target. A document too large for
+those to outweigh is then met by turning a few decided ones over.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ SHARE = Fraction(3, 2)
 CAP = 2
 CHUNK = 4096
 FAN_IN = 1024
-MAX_SOURCES = 100_000
+OPEN = 12
+TURNS = 32
 
 
 def word_count(text: str = "text"):
@@ -56,14 +59,19 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: Fraction = SHA
     return out
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities after the flight phase: all 0 or 1 but for two at most.
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int = 0) -> np.ndarray:
+    """Probabilities after the flight phase: all 0 or 1 but for two at most, and ``leave`` units of all sizes but the largest that don't take part.
 
     Three undecided units at a time move along a vector that is orthogonal to (1, 1, 1) and
     to their sizes, in either direction so that expectations stay, until one is decided.
     """
     p, eps = p.tolist(), 1e-9
-    sizes, todo, draws, held = size.tolist(), iter([i for i, x in enumerate(p) if eps < x < 1 - eps]), iter(rng.random(len(p) + 8).tolist()), []
+    undecided = [i for i, x in enumerate(p) if eps < x < 1 - eps]
+    sizes, draws, held = size.tolist(), iter(rng.random(len(p) + 8).tolist()), []
+    by_size = sorted(undecided, key=lambda i: (sizes[i], i))
+    lower = by_size[: -(-9 * len(by_size) // 10)]
+    left = {lower[int(x)] for x in np.linspace(0, len(lower) - 1, min(leave, len(lower)))}
+    todo = iter([i for i in undecided if i not in left])
     while True:
         while len(held) < 3 and (i := next(todo, None)) is not None:
             held.append(i)
@@ -86,28 +94,41 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def land(p: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
-    """The last undecided units, rounded so that their words come nearest to ``want``."""
+def land(p: np.ndarray, size: np.ndarray, want: float, free: np.ndarray) -> np.ndarray:
+    """The last undecided units, rounded so that their words come nearest to ``want``; of equal ways the likeliest.
+
+    While that leaves an error, the unit is turned over (if it is ``free``, not certain)
+    that lessens it most.
+    """
     open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
-    best = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda c: (abs(float(np.dot(c, size[open_])) - want), c))
+    ways = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    chance = ways @ np.log(p[open_]) + (1 - ways) @ np.log1p(-p[open_])
+    best = ways[np.lexsort((np.arange(len(ways)), -chance, np.abs(ways @ size[open_].astype(np.float64) - want)))[0]]
     out = np.round(p)
     out[open_] = best
+    off = float(np.dot(best, size[open_])) - want
+    for _ in range(TURNS):
+        after = np.where(free, np.abs(off + np.where(out == 0, size, -size)), np.inf)
+        if abs(off) < 1 or not len(after) or after.min() >= abs(off):
+            break
+        i = int(after.argmin())
+        off += float(size[i] if out[i] == 0 else -size[i])
+        out[i] = 1 - out[i]
     return out
 
 
-def mix(docs: DataFrame, size: str = "size", source: str = "source", weights=WEIGHTS, share: Fraction = SHARE, cap: int = CAP, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, size: str = "size", source: str = "source", weights=WEIGHTS, share: Fraction = SHARE, cap: int = CAP, seed: int = 1, broadcast_sources: int = 100_000) -> DataFrame:
     """``docs`` with source_size, target, copies (times the mix takes the row) and taken.
 
     Rows without words are never taken; a row is taken ``cap`` times at most. Equal rows are
     separate documents. Reruns agree: the order within a chunk and the random stream
     depend on the rows alone. Columns of these names in ``docs`` are replaced. An empty
-    table gives an empty table.
+    table gives an empty table. Sources' facts (some 50 bytes each) are broadcast up to
+    ``broadcast_sources`` of them, joined otherwise.
     """
     docs = docs.drop("source_size", "target", "copies", "taken")
     spark = docs.sparkSession
-    rows = docs.groupBy(source).agg(F.sum(size).alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = docs.groupBy(source).agg(F.sum(size).alias("s"), F.count("*").alias("n")).collect()  # a row a source
     sizes = {r[0]: r["s"] or 0 for r in rows}
     goal = targets(sizes, weights, share, cap)
     facts = spark.createDataFrame(
@@ -115,7 +136,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", weights=WEI
         "__source string, source_size long, target double, __rate double, __chunks long",
     )
     keyed = (
-        docs.join(F.broadcast(facts), F.col(source).eqNullSafe(F.col("__source")))
+        docs.join(F.broadcast(facts) if len(rows) <= broadcast_sources else facts, F.col(source).eqNullSafe(F.col("__source")))
         .withColumn("__order", F.xxhash64(*[F.col(c) for c in docs.columns]))
         .withColumn("__base", F.when(F.col(size) > 0, F.floor("__rate")).otherwise(0).cast("long"))
         .withColumn("__p", F.when(F.col(size) > 0, F.col("__rate") - F.floor("__rate")).otherwise(0.0))
@@ -130,10 +151,10 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", weights=WEI
             group = group.take(pa.array(order))
             p, s = group.column("__p").to_numpy(), group.column(size).to_numpy()
             tag = f"{seed}|{key[0].as_py()}|{key[1].as_py()}|{len(p)}".encode()
-            q = flight(p, s, np.random.Generator(np.random.PCG64(zlib.crc32(tag))))
+            q = flight(p, s, np.random.Generator(np.random.PCG64(zlib.crc32(tag))), OPEN if last else 0)
             if last:
                 undecided = (q > 0) & (q < 1)
-                q = land(q, s, float(np.dot(q[undecided], s[undecided])))
+                q = land(q, s, float(np.dot(q[undecided], s[undecided])), (p > 0) & (p < 1))
             return group.set_column(group.schema.get_field_index("__p"), "__p", pa.array(q))
 
         return run
