@@ -19,7 +19,6 @@ from .common import U, mix, slices, widened
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 BLOCK = 1 << 12
-MAX_LANGUAGES = 512
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -57,11 +56,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[order], np.bincount(r, minlength=len(texts))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = 4096) -> tuple[list[str], np.ndarray]:
     """(languages in order, log-probability matrix of buckets x languages) of all rows with a label.
 
-    The matrix's last row holds the log priors. No rows with a label: no languages.
-    A table with more than ``MAX_LANGUAGES`` labels is refused.
+    The matrix's last row holds the log priors. No rows with a label: no languages. A
+    language takes ``BUCKETS`` cells of 4 bytes; of more labels than ``most_languages`` no
+    matrix is made.
     """
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = "l string, block int, counts binary"
@@ -87,10 +87,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
         return pa.table({"l": t.column("l")[:1], "block": t.column("block")[:1], "counts": pa.array([total.tobytes()])})
 
     found = rows.mapInArrow(count, schema).groupBy("l", "block").applyInArrow(add, schema)
-    got = found.limit((MAX_LANGUAGES + 1) * (BUCKETS // BLOCK + 1)).collect()
+    if (n := rows.agg(F.count_distinct("l")).first()[0]) > most_languages:
+        raise ValueError(f"{n} languages are more than most_languages, {most_languages}")
+    got = found.collect()
     langs = sorted({r["l"] for r in got})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     m, prior = np.zeros((BUCKETS, len(langs))), np.ones(len(langs))
     for r in got:
         x, j = np.frombuffer(r["counts"], "<i8"), langs.index(r["l"])
