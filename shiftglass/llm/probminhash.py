@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, U, Scratch, flat, mix, powers, ranges, run_hashes, slices, word_hashes
+from .common import BASE, U, Scratch, flat, hot_join, mix, powers, ranges, run_hashes, slices, word_hashes
 
 SHINGLE = 5
 REGISTERS = 64
@@ -31,6 +31,7 @@ ROWS = 4
 THRESHOLD = 0.8
 SMALL_BUCKET = 24
 LEADERS = 2
+SHARE = 256
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
 VOCABULARY = 8192
@@ -125,7 +126,11 @@ def _banded(docs: DataFrame, text: str, doc_id: str, m: int, rows: int) -> DataF
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are as similar as asked, with their similarity."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # a leader's text is copied for every SHARE of its pairs, so that no task gets them all
+    leaders = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SHARE).cast("int"))
+    dealt = hot_join(pairs, leaders, ["b"], "n", pairs.count(), ["a"]).withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    copied = texts.join(leaders, F.col("key") == F.col("b")).select("b", F.col("t").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = dealt.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(copied, ["b", "copy"]).select("a", "b", "ta", "tb")
 
     def run(source):
         known: OrderedDict = OrderedDict()
@@ -155,15 +160,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.keep(both.distinct())
-    roots = scratch.keep(both.groupBy(F.col("a").alias("key")).agg(F.least("a", F.min("b")).alias("root")))
+    roots = scratch.keep(both.groupBy(F.col("a").alias("key")).agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n")))
+    total, n = both.count(), roots.count()
     while True:
-        near = both.join(roots.select(F.col("key").alias("b"), "root"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "key").select("key", "root", F.least("root", "near").alias("new"))
-        jump = step.join(roots.select(F.col("key").alias("new"), F.col("root").alias("far")), "new").select("key", "root", F.least("new", "far").alias("new"))
+        facts = roots.select(F.col("key").alias("b"), "root", "n")
+        near = hot_join(both, facts, ["b"], "n", total, ["a"]).groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
+        step = roots.join(near, "key").select("key", "n", "root", F.least("root", "near").alias("new"))
+        heads = step.groupBy("new").agg(F.count("*").alias("held")).join(roots.select(F.col("key").alias("new"), F.col("root").alias("far")), "new")
+        jump = hot_join(step, heads, ["new"], "held", n, ["key"]).select("key", "n", "root", F.least("new", "far").alias("new"))
         new = scratch.keep(jump)
         if new.where("new <> root").isEmpty():
-            return roots
-        roots = new.select("key", F.col("new").alias("root"))
+            return roots.drop("n")
+        roots = new.select("key", "n", F.col("new").alias("root"))
 
 
 def bounded(left: list, right: list, threshold: float) -> np.ndarray:
@@ -238,7 +246,7 @@ def _rest(large: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float
             u, v = top(root[i]), top(root[j])
             if u != v and (found := similarity(sets[i], sets[j])) >= threshold:
                 parent[max(u, v)] = min(u, v)
-                out.append((min(key[i], key[j]), max(key[i], key[j]), found))
+                out.append((max(key[i], key[j]), min(key[i], key[j]), found))
         a, b, f = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(f, pa.float64())})
 
@@ -266,8 +274,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     members = reps.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
     pick = [F.min_by("key", F.xxhash64("key", "bucket", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lead"), *pick).where("n > 1")
-    dealt = scratch.keep(members.join(buckets, "bucket"))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    dealt = scratch.keep(hot_join(members, scratch.keep(buckets), ["bucket"], "n", members.count(), ["key"]).where("n IS NOT NULL"))
+    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     star = scratch.keep(dealt.where("key <> lead").select(*ordered("key", "lead")).distinct())
     needed = dealt.select("key").distinct().join(reps.select("key", "rep_id"), "key")
     whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("t"))
@@ -275,7 +283,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     links = scratch.keep(_verified(star, texts, threshold))
     roots = components(links, scratch)
     small = dealt.where(F.col("n").between(3, SMALL_BUCKET)).groupBy("bucket").agg(F.collect_list("key").alias("keys"))
-    inner = small.select("keys", F.explode("keys").alias("x")).select("x", F.explode("keys").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    inner = small.select("keys", F.explode("keys").alias("x")).select("x", F.explode("keys").alias("y")).where("x < y").select(F.col("y").alias("a"), F.col("x").alias("b"))
     large = dealt.where(F.col("n") > SMALL_BUCKET)
     for i in range(LEADERS):
         inner = inner.unionByName(large.where(f"key <> l{i}").select(*ordered("key", f"l{i}")))

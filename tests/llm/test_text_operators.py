@@ -179,11 +179,17 @@ def test_every_context_predicts_with_mass_one(spark):
     asked = [(100 + i, f"{u} {w}", False) for i, (u, w) in enumerate(itertools.product([*words, "unknown"], repeat=2))]
     m = hpylm.Model(spark.createDataFrame([*learnt, *asked, (99, "", False)], "doc_id long, text string, learn boolean"), batch_tokens=900)
     m.sample(burn_in=2, draws=3)
-    mass, bigrams = Counter(), 0
-    for x in (hpylm.Held(t) for t in map(lambda r: m.held.where(F.col("part") == r).toArrow(), range(m.ranges)) if len(t)):
-        bigrams += len(x.c)
-        for u, p in zip(x.words[x.left].tolist(), x.sum.tolist()):
-            mass[u] += p / m.draws
+    mass, bigrams, get = Counter(), 0, lambda x: hpylm.counts(x).astype(int)
+    for r in m.full.where(F.col("kind") == hpylm.FULL).collect():
+        left, right, c, mine = get(r["left"]), get(r["right"]), get(r["c"]), F.col("part") == r["part"]
+        customers = np.concatenate([get(x["customers"]) for x in m.first.where(mine).orderBy("word_part").collect()])
+        bigrams += len(c)
+        for sums, totals, groups in m.kept:
+            t, g = np.minimum(c, 1), groups.where(mine).first()
+            t[get(g["at"])] = get(g["t"])
+            p = hpylm.Totals(totals.where(mine).toArrow(), sums, m.v).predict(left, right, c, t, customers, m.d)
+            for u, x in zip(np.frombuffer(r["words"], np.uint64)[left].tolist(), p.tolist()):
+                mass[u] += x / len(m.kept)
     m.close()
     assert bigrams == 32 * 32 and len(mass) == 32 and np.allclose(list(mass.values()), 1, atol=1e-9)
 
@@ -348,6 +354,24 @@ def test_close_pairs_within_a_template_family_are_found(spark, monkeypatch, bloc
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_pairs_behind_one_heavy_shingle_are_found(spark):
+    """300 pairs of similarity 0.809 that all share one shingle of most of their weight: a bucket of 600 texts."""
+    rng, rows = random.Random(17), []
+    for g in range(300):
+        tail = [f"g{g}t{i}" for i in range(150)]
+        other = list(tail)
+        for i in range(0, 150, 10):
+            other[i] = f"x{g}t{i}"
+        rows += [(2 * g, " ".join(["same"] * 850 + tail)), (2 * g + 1, " ".join(["same"] * 850 + other))]
+    sim = brute_similarity(shingle_set(rows[0][1]), shingle_set(rows[1][1]))
+    apart = brute_similarity(shingle_set(rows[0][1]), shingle_set(rows[2][1]))
+    got = {r["id"]: r["class_id"] for r in probminhash.classes(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string")).collect()}
+    if apart >= 0.8:
+        assert set(got.values()) == {0}
+    else:
+        assert sim >= 0.8 and sum(got[2 * g + 1] == 2 * g for g in range(300)) >= 297 and all(got[2 * g] == 2 * g for g in range(300))
+
+
 def test_bound_never_falls_below_the_similarity():
     rng = np.random.default_rng(4)
     sets = [(np.sort(rng.choice(40, k, False)).astype(np.uint64), rng.integers(1, 5, k)) for k in (*rng.integers(1, 40, 60), 0)]
@@ -441,3 +465,43 @@ def test_language_id_on_held_out_texts(spark, docs, none):
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in odd if r["doc_id"] in (0, 1, 2)) and all(0 <= r["score"] <= 1 for r in odd)
     assert langid.predict(none, model).count() == 0 and langid.train(none)[0] == []
     assert {r["lang_pred"] for r in langid.predict(docs, langid.train(none)).collect()} == {"und"}
+
+
+def test_language_id_matches_a_plain_implementation(spark):
+    """Matrix and posteriors from dictionaries of character n-grams, one n-gram at a time."""
+    rng = random.Random(8)
+    texts = [(" ".join(rng.choice(["Ab", "cda", "é", "x9y", "DA"]) for _ in range(rng.randrange(1, 30))), rng.choice(["p", "q", "r"])) for _ in range(60)] + [("", "p"), (None, "q"), ("  12 ..", "r")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    langs, matrix = langid.train(df.where("doc_id % 3 > 0"))
+
+    def plain(t):
+        s = "".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in f" {(t or '').lower()} ")
+        while "  " in s:
+            s = s.replace("  ", " ")
+        return [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+        return int(langid.mix(np.array([h], np.uint64))[0]) % langid.BUCKETS
+
+    counts, docs_of = {x: Counter() for x in "pqr"}, Counter()
+    for i, (t, x) in enumerate(texts):
+        if i % 3:
+            counts[x].update(map(bucket, plain(t)))
+            docs_of[x] += 1
+    assert langs == ["p", "q", "r"]
+    logs = {x: lambda b, x=x: math.log((counts[x][b] + langid.SMOOTHING) / (sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS)) for x in langs}
+    for j, x in enumerate(langs):
+        assert all(abs(matrix[b, j] - logs[x](b)) < 1e-4 for b in [*counts[x], 0, 77])
+        assert abs(matrix[-1, j] - math.log(docs_of[x] / sum(docs_of.values()))) < 1e-5
+    for r in langid.predict(df, (langs, matrix), keep=("doc_id",)).collect():
+        t = texts[r["doc_id"]][0]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = {x: math.log(docs_of[x] / sum(docs_of.values())) + sum(map(logs[x], map(bucket, plain(t)))) for x in langs}
+        best = max(langs, key=lambda x: total[x])
+        want = 1 / sum(math.exp(total[x] - total[best]) for x in langs)
+        assert abs(r["score"] - want) < 1e-3 and (r["lang_pred"] == best or want < 0.51)
