@@ -18,6 +18,12 @@ def closed_window(samples: DataFrame, now, hours: int = 24) -> DataFrame:
     return samples.where((F.col("ts") < edge) & (F.col("ts") >= edge - F.make_interval(hours=F.lit(hours))) & F.col("org_id").isNotNull())
 
 
+def of_window(samples: DataFrame, since, until) -> DataFrame:
+    """The samples of all buckets that start within [since, until]: a range of the time column, which prunes the scan."""
+    minute = lambda x: F.date_trunc("minute", F.lit(x).cast("timestamp"))
+    return samples.where((F.col("ts") >= minute(since)) & (F.col("ts") < minute(until) + F.expr("INTERVAL 1 MINUTE")))
+
+
 def minute_buckets(samples: DataFrame) -> DataFrame:
     """One row per (org, camera, zone, minute).
 
@@ -26,8 +32,8 @@ def minute_buckets(samples: DataFrame) -> DataFrame:
     of stays is at most 60 times the highest occupancy. Rows without a track count as
     samples only, and rows without a score leave the mean alone (0 if there is none).
     """
-    rows = samples.where(F.col("ts").isNotNull()).withColumn("bucket_start", F.date_trunc("minute", "ts"))
-    # one shuffle by bucket serves all three levels: (bucket, second, track) is the finest
+    # the one shuffle, by bucket: it serves all groupings below, which hold the bucket's key
+    rows = samples.where(F.col("ts").isNotNull()).withColumn("bucket_start", F.date_trunc("minute", "ts")).repartition(*KEY)
     fine = rows.groupBy(*KEY, F.second("ts").alias("s"), "track_id").agg(
         F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"),
         *[F.count_if(F.col("posture_state") == p).alias(p.lower()) for p in ("SITTING", "STANDING", "WALKING")],

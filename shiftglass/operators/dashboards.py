@@ -8,6 +8,9 @@ from ..functions.rounding import exact_sum, ratio, rounded
 
 
 def within(buckets: DataFrame, since, until) -> DataFrame:
+    """Buckets that start in [since, until]; of a table partitioned by day only those days are read."""
+    if "day" in buckets.columns:
+        buckets = buckets.where(F.col("day").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
     return buckets.where(F.col("bucket_start").between(F.lit(since).cast("timestamp"), F.lit(until).cast("timestamp")))
 
 
@@ -19,7 +22,7 @@ def overview(buckets: DataFrame, zones: DataFrame, since, until) -> DataFrame:
         *[F.sum(f"{p}_frames").alias(p) for p in ("sitting", "standing", "walking")],
         F.max("total_dwell_seconds").alias("dwell"), F.max("bucket_start").alias("last_seen"), F.sum("sample_frames").alias("samples"),
     )
-    named = per_zone.join(F.broadcast(zones.select("zone_id", "zone_name")), "zone_id", "left")
+    named = per_zone.join(zones.select("zone_id", "zone_name"), "zone_id", "left")
     peak = F.max_by(F.struct("zone_name", "people"), F.struct("people", "zone_id"))
     total = named.agg(
         F.count("*").alias("zones_active"), F.sum("people").alias("people"), F.sum("score").alias("score"), F.sum("weight").alias("weight"),
@@ -53,7 +56,7 @@ def zone_use(buckets: DataFrame, zones: DataFrame, since, until) -> DataFrame:
         F.sum("total_dwell_seconds").cast("long").alias("seconds"), F.sum("unique_track_count").cast("long").alias("visitors"), F.max("occupancy_max").alias("peak_occupancy"),
         ratio(exact_sum(F.col("occupancy_avg")), F.count("*"), 2).alias("avg_occupancy"), F.count("*").alias("active_minutes"),
     )
-    return found.join(F.broadcast(zones.select("zone_id", "zone_name")), "zone_id", "left").select(
+    return found.join(zones.select("zone_id", "zone_name"), "zone_id", "left").select(
         "zone_id", F.coalesce("zone_name", F.lit("Unnamed zone")).alias("zone_name"), "seconds", rounded(F.col("seconds") / 60, 1).alias("minutes"), "visitors", "peak_occupancy", "avg_occupancy", "active_minutes"
     )
 

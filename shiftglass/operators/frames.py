@@ -14,29 +14,46 @@ TARGET = {"helmet": 0.12, "safety_vest": 0.40}
 
 
 def in_zone(people: DataFrame, zones: DataFrame) -> DataFrame:
-    """Every person with the first zone (by ``ord``) that holds the feet, else TRANSIT_ZONE."""
+    """Every person with the first zone (by ``ord``) of the frame's camera that holds the feet, else TRANSIT_ZONE."""
     x, y = g.ground_point(F.col("bbox"))
-    pairs = people.join(F.broadcast(zones), g.inside_polygon(x, y, F.col("polygon")), "left")
-    return pairs.groupBy("frame", "person").agg(F.coalesce(F.min_by("zone_id", "ord"), F.lit(TRANSIT)).alias("zone_id"))
+    inside = (people["camera_id"] == zones["camera_id"]) & g.inside_polygon(x, y, F.col("polygon"))
+    return people.join(zones, inside, "left").groupBy("frame", "person").agg(F.coalesce(F.min_by("zone_id", "ord"), F.lit(TRANSIT)).alias("zone_id"))
+
+
+def crowded(people: DataFrame, least: float) -> DataFrame:
+    """``people`` with crowded: another person of the frame overlaps by ``least`` IoU or more. A frame's boxes meet once, in one window."""
+    others = F.collect_list(F.struct("person", "bbox")).over(Window.partitionBy("frame"))
+    near = F.exists("__all", lambda o: (o["person"] != F.col("person")) & (g.iou(F.col("bbox"), o["bbox"]) >= least))
+    return people.withColumn("__all", others).withColumn("crowded", near).drop("__all")
 
 
 def overlaps(people: DataFrame, least: float) -> DataFrame:
     """Persons that another person of the frame overlaps by ``least`` IoU or more."""
-    other = people.select("frame", F.col("person").alias("o"), F.col("bbox").alias("ob"))
-    return people.join(other, "frame").where((F.col("person") != F.col("o")) & (g.iou(F.col("bbox"), F.col("ob")) >= least)).select("frame", "person").distinct()
+    return crowded(people, least).where("crowded").select("frame", "person").distinct()
 
 
 def clear_people(people: DataFrame, least: float = 0.30) -> DataFrame:
     """``people`` with whether each is clear enough to be judged."""
-    crowded = overlaps(people, least).withColumn("crowded", F.lit(True))
-    return people.join(crowded, ["frame", "person"], "left").withColumn("clear", g.clear_person(F.col("bbox"), F.coalesce("crowded", F.lit(False)))).drop("crowded")
+    return crowded(people, least).withColumn("clear", g.clear_person(F.col("bbox"), F.col("crowded"))).drop("crowded")
 
 
 def countable(people: DataFrame, conf: float = 0.4, height: float = 60.0, least: float = 0.3) -> DataFrame:
     """``people`` with whether each surely counts as one."""
-    crowded = overlaps(people, least).withColumn("crowded", F.lit(True))
     b = F.col("bbox")
-    return people.join(crowded, ["frame", "person"], "left").withColumn("countable", (F.col("conf") >= conf) & (b[3] - b[1] >= height) & F.col("crowded").isNull()).drop("crowded")
+    return crowded(people, least).withColumn("countable", (F.col("conf") >= conf) & (b[3] - b[1] >= height) & ~F.col("crowded")).drop("crowded")
+
+
+def wide_scenes(people: DataFrame, height: float, least: int = 3, most: int = 8, share: float = 0.30) -> DataFrame:
+    """Frames of ``least`` to ``most`` people who are each lower than ``share`` of the frame's height."""
+    b = F.col("bbox")
+    return people.groupBy("frame").agg(F.count("*").alias("people"), F.max(b[3] - b[1]).alias("tallest")).where(F.col("people").between(least, most) & (F.col("tallest") < share * height)).select("frame", "people")
+
+
+def close_ups(people: DataFrame, most: int = 10) -> DataFrame:
+    """The tallest people of every frame: whom a closer look is worth."""
+    b = F.col("bbox")
+    w = Window.partitionBy("frame").orderBy(F.desc(b[3] - b[1]), "person")
+    return people.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("frame", "person", "rank")
 
 
 def worn(people: DataFrame, items: DataFrame) -> DataFrame:
@@ -61,8 +78,8 @@ def keypoints_for(people: DataFrame, poses: DataFrame, least: float = 0.3) -> Da
 
 
 def zone_counts(people: DataFrame, zones: DataFrame) -> DataFrame:
-    """Heads per frame and zone, 0 for zones without anyone."""
-    every = people.select("frame").distinct().crossJoin(F.broadcast(zones.select("zone_id")))
+    """Heads per frame and zone of its camera, 0 for zones without anyone."""
+    every = people.select("frame", "camera_id").distinct().join(zones.select("camera_id", "zone_id"), "camera_id").select("frame", "zone_id")
     found = in_zone(people, zones).groupBy("frame", "zone_id").agg(F.count("*").alias("n"))
     return every.join(found, ["frame", "zone_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

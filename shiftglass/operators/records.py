@@ -11,8 +11,8 @@ UUID_SHAPE = "^.{8}-.{4}-.{4}-.{4}-.{12}$"
 # --------------------------------------------------------------------------- tenancy and filters
 def tenant(rows: DataFrame, caller_orgs: DataFrame, deleted_orgs: DataFrame | None = None, key: str = "org_id") -> DataFrame:
     """Rows of the caller's organisations, deleted ones left out; rows without one belong to nobody."""
-    out = rows.join(F.broadcast(caller_orgs.select(key)), key, "left_semi")
-    return out if deleted_orgs is None else out.join(F.broadcast(deleted_orgs.select(key)), key, "left_anti")
+    out = rows.join(caller_orgs.select(key), key, "left_semi")
+    return out if deleted_orgs is None else out.join(deleted_orgs.select(key), key, "left_anti")
 
 
 def where_equal(rows: DataFrame, **values) -> DataFrame:
@@ -80,7 +80,7 @@ def latest_by(rows: DataFrame, key: str, n: int) -> DataFrame:
 def audit_trail(decisions: DataFrame, events: DataFrame, zones: DataFrame, cameras: DataFrame) -> DataFrame:
     """Decisions and events in one form; in order of time, events first, by ``position`` columns (at, kind)."""
     worker = F.when(F.col("worker_key").startswith("zone-"), F.lit("Whole zone")).otherwise(F.concat(F.lit("Worker "), F.regexp_extract("worker_key", r"^trk-(\d+)$", 1)))
-    names = lambda d: d.join(F.broadcast(cameras), "camera_id", "left").join(F.broadcast(zones.select("zone_id", "zone_name")), "zone_id", "left")
+    names = lambda d: d.join(cameras, "camera_id", "left").join(zones.select("zone_id", "zone_name"), "zone_id", "left")
     verdict = F.element_at(F.create_map(*[F.lit(x) for kv in (("COMPLIANT", "Compliant"), ("POTENTIAL_VIOLATION", "Potential violation"), ("UNVERIFIABLE", "Could not verify")) for x in kv]), F.col("status"))
     common = [F.col("observed_at").alias("at"), F.coalesce("camera_name", F.lit("")).alias("camera"), F.coalesce("zone_name", F.lit("")).alias("zone"), worker.alias("worker")]
     a = names(events).select(*common, F.lit("Event").alias("record"), "id", F.initcap(F.translate("event_type", "_", " ")).alias("what"), F.lit("").alias("result"), F.lit("").alias("severity"), F.lit("").alias("review"))
@@ -104,7 +104,7 @@ def decision_payload(decisions: DataFrame) -> DataFrame:
 
 def mapped(rows: DataFrame, cameras: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose camera and zone (if any) are known, and pairs of the others with counts."""
-    known = rows.join(F.broadcast(cameras.select("camera_id", F.lit(True).alias("c"))), "camera_id", "left").join(F.broadcast(zones.select("zone_id", F.lit(True).alias("z"))), "zone_id", "left")
+    known = rows.join(cameras.select("camera_id", F.lit(True).alias("c")), "camera_id", "left").join(zones.select("zone_id", F.lit(True).alias("z")), "zone_id", "left")
     ok = F.coalesce("c", F.lit(False)) & (F.col("zone_id").isNull() | F.coalesce("z", F.lit(False)))
     rest = known.where(~ok).groupBy("camera_id", "zone_id").agg(F.count("*").alias("n"))
     return known.where(ok).drop("c", "z"), rest
@@ -112,7 +112,7 @@ def mapped(rows: DataFrame, cameras: DataFrame, zones: DataFrame) -> tuple[DataF
 
 def with_known_rules(decisions: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule ids that no longer exist become null."""
-    return decisions.join(F.broadcast(rules.select("rule_id", F.lit(True).alias("r"))), "rule_id", "left").withColumn("rule_id", F.when(F.col("r"), F.col("rule_id"))).drop("r")
+    return decisions.join(rules.select("rule_id", F.lit(True).alias("r")), "rule_id", "left").withColumn("rule_id", F.when(F.col("r"), F.col("rule_id"))).drop("r")
 
 
 def not_there(new: DataFrame, old: DataFrame, key: str = "id") -> DataFrame:

@@ -53,7 +53,7 @@ def by_rule(decisions: DataFrame) -> DataFrame:
 
 
 def named_zones(decisions: DataFrame, zones: DataFrame) -> DataFrame:
-    names = F.broadcast(zones.select("zone_id", "zone_name"))
+    names = zones.select("zone_id", "zone_name")
     return decisions.join(names, "zone_id", "left").withColumn("zone_name", F.when(F.col("zone_id").isNull(), NO_ZONE).otherwise(F.coalesce("zone_name", F.lit(GONE))))
 
 
@@ -64,7 +64,7 @@ def by_zone(decisions: DataFrame, zones: DataFrame, top: int = 100) -> DataFrame
 
 
 def by_camera(decisions: DataFrame, cameras: DataFrame, top: int = 100) -> DataFrame:
-    named = decisions.join(F.broadcast(cameras), "camera_id", "left").withColumn("camera_name", F.coalesce("camera_name", F.lit("(camera no longer available)")))
+    named = decisions.join(cameras, "camera_id", "left").withColumn("camera_name", F.coalesce("camera_name", F.lit("(camera no longer available)")))
     return named.groupBy("camera_id", "camera_name").agg(*counts(**MEASURES)).orderBy(F.desc("decisions"), "camera_id").limit(top)
 
 
@@ -108,7 +108,7 @@ def ppe(decisions: DataFrame) -> DataFrame:
 
 def stays(events: DataFrame, zones: DataFrame) -> DataFrame:
     """Exits from restricted zones with seconds and whether the whole visit was watched."""
-    inside = F.broadcast(zones.where("zone_type = 'RESTRICTED'").select("zone_id", "zone_name"))
+    inside = zones.where("zone_type = 'RESTRICTED'").select("zone_id", "zone_name")
     json = lambda k: F.get_json_object("details", f"$.{k}")
     seconds = json("dwell_s").try_cast("decimal(38,10)")
     whole = (json("reason") == "LEFT") & (F.coalesce(json("first_sighting"), F.lit("false")) != "true") & (F.coalesce(json("visit_started_in_replay"), F.lit("false")) != "true")

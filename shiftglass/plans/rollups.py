@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import buckets, dashboards
-from ..sources import domain
+from ..sources import domain, sinks
 
 SINCE, UNTIL, NOW = "2024-01-03 00:00:00", "2024-01-20 00:00:00", "2024-01-15 12:34:56"
 
@@ -14,6 +14,17 @@ def _buckets(spark: SparkSession, d: str) -> DataFrame:
     return buckets.minute_buckets(domain.telemetry(spark, d))
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The table of minute buckets that dashboards read."""
+    return sinks.stored_buckets(spark, d, lambda: _buckets(spark, d))
+
+
+def _late(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets that come again with more samples, and some of an hour later that are new."""
+    again = _buckets(spark, d).where("sample_frames >= 1 AND minute(bucket_start) % 10 = 3").withColumn("sample_frames", F.col("sample_frames") + 5)
+    return again.unionByName(again.where("minute(bucket_start) = 13").withColumn("bucket_start", F.expr("bucket_start + INTERVAL 100 DAYS")))
+
+
 def _zone_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of the telemetry's zones; one zone has none."""
     return domain.telemetry(spark, d).select("zone_id").distinct().where("zone_id <> 'error'").withColumn("zone_name", F.initcap("zone_id"))
@@ -56,11 +67,12 @@ CAST(sum(unique_track_count) AS BIGINT) AS people, {_dec(f"CAST({OCC} AS DOUBLE)
 QUERIES = {
     "minute_buckets": lambda s, d: _buckets(s, d),
     "minute_buckets_closed": lambda s, d: buckets.minute_buckets(buckets.closed_window(domain.telemetry(s, d), NOW)),
-    "dashboard_overview": lambda s, d: dashboards.overview(_buckets(s, d), _zone_names(s, d), SINCE, UNTIL),
-    "dashboard_trend_hour": lambda s, d: dashboards.trend(_buckets(s, d), SINCE, UNTIL),
-    "dashboard_trend_day": lambda s, d: dashboards.trend(_buckets(s, d), SINCE, UNTIL, "day"),
-    "dashboard_zones": lambda s, d: dashboards.zone_use(_buckets(s, d), _zone_names(s, d), SINCE, UNTIL),
-    "dashboard_coverage": lambda s, d: dashboards.coverage(_buckets(s, d)),
+    "merged_buckets": lambda s, d: sinks.merge_buckets(_buckets(s, d), _late(s, d)),
+    "dashboard_overview": lambda s, d: dashboards.overview(_stored(s, d), _zone_names(s, d), SINCE, UNTIL),
+    "dashboard_trend_hour": lambda s, d: dashboards.trend(_stored(s, d), SINCE, UNTIL),
+    "dashboard_trend_day": lambda s, d: dashboards.trend(_stored(s, d), SINCE, UNTIL, "day"),
+    "dashboard_zones": lambda s, d: dashboards.zone_use(_stored(s, d), _zone_names(s, d), SINCE, UNTIL),
+    "dashboard_coverage": lambda s, d: dashboards.coverage(_stored(s, d)),
     "zone_day_stats": lambda s, d: buckets.day_stats(_buckets(s, d), "Asia/Kolkata"),
     "floor_heatmap": lambda s, d: buckets.floor_heatmap(domain.telemetry(s, d)),
 }
@@ -69,6 +81,7 @@ PCT = "100.0 * sum({p}_frames) / nullif(sum(sitting_frames) + sum(standing_frame
 ORACLE_SQL = {
     "minute_buckets": _sql("SELECT * FROM buckets"),
     "minute_buckets_closed": _sql("SELECT * FROM buckets WHERE bucket_start < TIMESTAMP '2024-01-15 12:32:00' AND bucket_start >= TIMESTAMP '2024-01-14 12:32:00'"),
+    "merged_buckets": _sql("SELECT * REPLACE (sample_frames + CASE WHEN minute(bucket_start) % 10 = 3 THEN 5 ELSE 0 END AS sample_frames) FROM buckets UNION ALL SELECT * REPLACE (bucket_start + INTERVAL 100 DAY AS bucket_start, sample_frames + 5 AS sample_frames) FROM buckets WHERE minute(bucket_start) = 13"),
     "dashboard_overview": _sql(
         f"""SELECT count(*) > 0 AS has_data, CAST(coalesce(sum(unique_track_count), 0) AS BIGINT) AS people, count(DISTINCT zone_id) AS zones_active,
 {_dec(f"CAST({SCORE} AS DOUBLE) / nullif(sum(greatest(sample_frames, 1)), 0)", 1)} AS avg_activity,

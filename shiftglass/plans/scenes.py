@@ -14,11 +14,16 @@ TODAY = "2024-03-01"
 
 
 # --------------------------------------------------------------------------- frames out of line items
+def camera(frame):
+    """Frames come from three cameras, which look at zones of the same names."""
+    return domain.numbered("cam-", frame % 3)
+
+
 def people(s, p):
     k, u, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
     x, y, w, h = (k * 7 % 400).cast("double"), (u * 11 % 120).cast("double"), 24 + q * 2, (60 + k % 150).cast("double")
     return domain.read(s, p, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity")).select(
-        F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("person"), F.array(x, y, x + w, y + h).alias("bbox"), (0.3 + u % 60 / 100).alias("conf")
+        F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("person"), F.array(x, y, x + w, y + h).alias("bbox"), (0.3 + u % 60 / 100).alias("conf"), camera(F.col("l_orderkey")).alias("camera_id")
     )
 
 
@@ -39,7 +44,7 @@ ZONES = (("press", 1, 0, 0, 150, 200), ("gate", 2, 100, 50, 300, 320), ("walk",
 def rectangles(s):
     corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
     rows = [F.struct(F.lit(z).alias("zone_id"), F.lit(o).alias("ord"), F.array(corner(a, b), corner(c, b), corner(c, d), corner(a, d)).alias("polygon")) for z, o, a, b, c, d in ZONES]
-    return s.range(1).select(F.explode(F.array(*rows)).alias("z")).select("z.*")
+    return s.range(3).select(camera(F.col("id")).alias("camera_id"), F.explode(F.array(*rows)).alias("z")).select("camera_id", "z.*")
 
 
 PEOPLE = """people AS (SELECT l_orderkey AS frame, CAST(l_linenumber AS BIGINT) AS person, CAST(max(l_partkey) * 7 % 400 AS DOUBLE) AS x1, CAST(max(l_suppkey) * 11 % 120 AS DOUBLE) AS y1,
@@ -170,6 +175,8 @@ QUERIES = {
     "point_in_zone": lambda s, p: frames.in_zone(people(s, p), rectangles(s)),
     "zone_head_counts": lambda s, p: frames.zone_counts(people(s, p).where("frame % 20 = 0"), rectangles(s)),
     "zone_head_counts_all": lambda s, p: frames.zone_counts(people(s, p), rectangles(s)),
+    "wide_scenes": lambda s, p: frames.wide_scenes(people(s, p), 640.0),
+    "close_ups": lambda s, p: frames.close_ups(people(s, p), 3),
     "iou_overlaps": lambda s, p: frames.overlaps(people(s, p), 0.3),
     "clear_people": lambda s, p: frames.clear_people(people(s, p)).select("frame", "person", "clear"),
     "countable_people": lambda s, p: frames.countable(people(s, p)).select("frame", "person", "countable"),
@@ -254,6 +261,8 @@ plain = lambda body: "WITH " + body
 ORACLE_SQL = {
     "point_in_zone": plain(f"{PEOPLE}, {ZONE_SQL}, {IN_ZONE} SELECT * FROM inz"),
     "zone_head_counts": plain(f"{PEOPLE}, {ZONE_SQL}, {IN_ZONE} SELECT f.frame, z.zone_id, count(i.person) AS n FROM (SELECT DISTINCT frame FROM people WHERE frame % 20 = 0) f CROSS JOIN zones z LEFT JOIN inz i ON i.frame = f.frame AND i.zone_id = z.zone_id GROUP BY ALL"),
+    "wide_scenes": plain(f"{PEOPLE} SELECT frame, count(*) AS people FROM people GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8 AND max(y2 - y1) < 192"),
+    "close_ups": plain(f"{PEOPLE} SELECT frame, person, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y2 - y1 DESC, person) AS r FROM people) WHERE r <= 3"),
     "iou_overlaps": plain(f"{PEOPLE}, {CROWD} SELECT * FROM crowd"),
     "clear_people": plain(f"{PEOPLE}, {CROWD} SELECT p.frame, p.person, y2 - y1 >= 90 AND x2 - x1 >= 28 AND y1 > 3 AND c.person IS NULL AS clear FROM people p LEFT JOIN crowd c ON p.frame = c.frame AND p.person = c.person"),
     "countable_people": plain(f"{PEOPLE}, {CROWD} SELECT p.frame, p.person, conf >= 0.4 AND y2 - y1 >= 60 AND c.person IS NULL AS countable FROM people p LEFT JOIN crowd c ON p.frame = c.frame AND p.person = c.person"),

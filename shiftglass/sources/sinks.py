@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import records
 
@@ -50,3 +53,66 @@ def yolo_labels(spark: SparkSession, path: str, width: int, height: int) -> Data
     cx, cy, w, h = n(1) * width, n(2) * height, n(3) * width, n(4) * height
     lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1).alias("image"))
     return lines.where(F.size(p) >= 5).select("image", p[0].try_cast("int").alias("cls"), F.array(cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2).alias("bbox"))
+
+
+# --------------------------------------------------------------------------- stored minute buckets
+def shared_dir(spark) -> str:
+    """The folder that the cluster shares; local masters without one get their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not found:
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stored_buckets(spark, name: str, buckets) -> DataFrame:
+    """The day-partitioned table of minute buckets called ``name``, made of ``buckets()`` the first time a session asks for it.
+
+    Dashboards read it, as they would the table that the stream of buckets keeps; a window
+    on ``bucket_start`` comes with one on ``day``, so that other days are not read.
+    """
+    key = f"shiftglass.buckets.{hashlib.sha1(name.encode()).hexdigest()[:16]}"
+    path = spark.conf.get(key, None)
+    if not path:
+        path = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
+        buckets().withColumn("day", F.to_date("bucket_start")).repartition("day").write.partitionBy("day").parquet(path)
+        spark.conf.set(key, path)
+    return spark.read.parquet(path)
+
+
+def merge_buckets(target: DataFrame, changes: DataFrame, key: tuple[str, ...] = ("org_id", "camera_id", "zone_id", "bucket_start")) -> DataFrame:
+    """``target`` with the buckets of ``changes`` instead of its own of the same key, all measures replaced: a merge as one pass over both."""
+    both = target.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    measures = [c for c in target.columns if c not in key]
+    newest = both.groupBy(*key).agg(F.max_by(F.struct(*measures), F.col("__new")).alias("m"))
+    return newest.select(*key, "m.*").select(*target.columns)
+
+
+def csv_blocks(blocks: list[tuple[str, DataFrame]]) -> DataFrame:
+    """A report of several tables as one ordered list of CSV lines (block, line, text): a title, the column names, the rows, a blank line.
+
+    Cells are quoted as needed and cannot start a formula. Blocks are reports, of a few rows each.
+    """
+    out = None
+    for i, (title, df) in enumerate(blocks):
+        cell = lambda c: F.concat(F.when(c.rlike("^[=+\\-@\t\r]"), "'").otherwise(""), c)
+        quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
+        cells = F.concat_ws(",", *[F.coalesce(quoted(cell(F.col(f"`{c}`").cast("string"))), F.lit("")) for c in df.columns])
+        w = Window.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in df.columns])
+        rows = df.select(F.row_number().over(w).alias("n"), cells.alias("text"))
+        head = df.sparkSession.createDataFrame([(-1, title), (0, ",".join(df.columns))], "n int, text string")
+        block = head.unionByName(rows).unionByName(df.sparkSession.createDataFrame([(1 << 30, "")], "n int, text string")).select(F.lit(i).alias("block"), F.col("n").alias("line"), "text")
+        out = block if out is None else out.unionByName(block)
+    return out
+
+
+def json_rows(df: DataFrame, order: list, name: str, nulls: bool = True) -> DataFrame:
+    """One row: a small table as a JSON array of objects in ``order``, null fields kept as null."""
+    options = {"ignoreNullFields": str(not nulls).lower()}
+    ranked = df.withColumn("__n", F.row_number().over(Window.orderBy(*order)))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("__n", F.struct(*df.columns).alias("o")))), lambda x: x["o"])
+    return ranked.agg(F.to_json(items, options).alias(name))
