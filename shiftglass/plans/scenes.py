@@ -148,17 +148,13 @@ def hashes(s, p):
 
 
 def nearest(s, p):
-    h = hashes(s, p)
-    return evaluation.nearest(h.where("id % 25 = 0").select(F.col("id").alias("q_id"), F.col("hash").alias("q_hash"), F.col("mirror").alias("q_mirror")), h.where("id % 25 <> 0"))
-
-
-def nearest_all(s, p):
+    """Every hundredth vector against all others."""
     h = hashes(s, p)
     return evaluation.nearest(h.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("hash").alias("q_hash"), F.col("mirror").alias("q_mirror")), h)
 
 
 HASH = "h AS (SELECT vec_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:62], lambda x: CAST(x > 0 AS BIGINT))), lambda a, b: a * 2 + b) AS hash, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_reverse(embedding[1:62]), lambda x: CAST(x > 0 AS BIGINT))), lambda a, b: a * 2 + b) AS mirror FROM embeddings)"
-NEAR = "near AS (SELECT q.id AS q_id, min(least(bit_count(xor(s.hash, q.hash)), bit_count(xor(s.hash, q.mirror)))) AS distance, arg_min(s.id, least(bit_count(xor(s.hash, q.hash)), bit_count(xor(s.hash, q.mirror))) * 1000000 + s.id) AS nearest_id FROM h q JOIN h s ON q.id % 25 = 0 AND s.id % 25 <> 0 GROUP BY q.id)"
+NEAR = "near AS (SELECT q.id AS q_id, min(least(bit_count(xor(s.hash, q.hash)), bit_count(xor(s.hash, q.mirror)))) AS distance, arg_min(s.id, least(bit_count(xor(s.hash, q.hash)), bit_count(xor(s.hash, q.mirror))) * 1000000 + s.id) AS nearest_id FROM h q JOIN h s ON q.id % 100 = 0 AND s.id <> q.id GROUP BY q.id)"
 
 
 def org_names(s, p):
@@ -173,7 +169,7 @@ def _overview(s, p, some="true"):
 
 QUERIES = {
     "point_in_zone": lambda s, p: frames.in_zone(people(s, p), rectangles(s)),
-    "zone_head_counts": lambda s, p: frames.zone_counts(people(s, p).where("frame % 20 = 0"), rectangles(s)),
+    "zone_head_counts": lambda s, p: frames.zone_counts(people(s, p), rectangles(s)),
     "zone_head_counts_all": lambda s, p: frames.zone_counts(people(s, p), rectangles(s)),
     "wide_scenes": lambda s, p: frames.wide_scenes(people(s, p), 640.0),
     "close_ups": lambda s, p: frames.close_ups(people(s, p), 3),
@@ -209,7 +205,7 @@ QUERIES = {
     "org_health": lambda s, p: platform.health(O(s, p)),
     "signup_series": lambda s, p: platform.signups(O(s, p), "2024-01-20", "2024-03-15"),
     "platform_totals": lambda s, p: platform.totals(O(s, p)),
-    "platform_overview": lambda s, p: _overview(s, p, "org_id < 60"),
+    "platform_overview": _overview,
     "platform_overview_all": _overview,
     "platform_search": lambda s, p: platform.sort(platform.search(O(s, p), " 00 ", "attention"), "newest").select("org_id", "name", "created_on"),
     "action_histogram": lambda s, p: platform.histogram(D(s, p), "rule_type"),
@@ -219,8 +215,8 @@ QUERIES = {
     "reading_contingency": lambda s, p: evaluation.contingency(readings(s, p), CONDITIONS),
     "nearest_hash": nearest,
     "near_duplicate_summary": lambda s, p: evaluation.near_summary(nearest(s, p)),
-    "nearest_hash_all": nearest_all,
-    "near_duplicate_summary_all": lambda s, p: evaluation.near_summary(nearest_all(s, p)),
+    "nearest_hash_all": nearest,
+    "near_duplicate_summary_all": lambda s, p: evaluation.near_summary(nearest(s, p)),
     "timing_errors": lambda s, p: evaluation.timing(T(s, p).select("zone_id", ((F.col("sample_id") % 13 - 6) / 10).alias("error")), "zone_id"),
     "stage_latency": lambda s, p: evaluation.latency(T(s, p), "zone_id", "activity_score"),
     "floor_projection": lambda s, p: people(s, p).select("frame", "person", *[F.round(c, 6).alias(n) for c, n in zip(g.project(F.array(*[F.array(*map(F.lit, r)) for r in ((1.0, 0.1, 5.0), (0.2, 1.1, -3.0), (0.001, 0.0005, 1.0))]), *g.ground_point(F.col("bbox"))), "xy")]),
@@ -260,7 +256,7 @@ plain = lambda body: "WITH " + body
 
 ORACLE_SQL = {
     "point_in_zone": plain(f"{PEOPLE}, {ZONE_SQL}, {IN_ZONE} SELECT * FROM inz"),
-    "zone_head_counts": plain(f"{PEOPLE}, {ZONE_SQL}, {IN_ZONE} SELECT f.frame, z.zone_id, count(i.person) AS n FROM (SELECT DISTINCT frame FROM people WHERE frame % 20 = 0) f CROSS JOIN zones z LEFT JOIN inz i ON i.frame = f.frame AND i.zone_id = z.zone_id GROUP BY ALL"),
+    "zone_head_counts": plain(f"{PEOPLE}, {ZONE_SQL}, {IN_ZONE} SELECT f.frame, z.zone_id, count(i.person) AS n FROM (SELECT DISTINCT frame FROM people) f CROSS JOIN zones z LEFT JOIN inz i ON i.frame = f.frame AND i.zone_id = z.zone_id GROUP BY ALL"),
     "wide_scenes": plain(f"{PEOPLE} SELECT frame, count(*) AS people FROM people GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8 AND max(y2 - y1) < 192"),
     "close_ups": plain(f"{PEOPLE} SELECT frame, person, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y2 - y1 DESC, person) AS r FROM people) WHERE r <= 3"),
     "iou_overlaps": plain(f"{PEOPLE}, {CROWD} SELECT * FROM crowd"),
@@ -302,8 +298,8 @@ n AS (SELECT *, sum(coalesce(fresh, 1)) OVER (PARTITION BY track_id ORDER BY sta
     "org_health": sql(HEALTH, "organisations"),
     "signup_series": sql("SELECT CAST(t.day AS DATE) AS day, (SELECT count(*) FROM organisations WHERE created_on = t.day) AS signups, (SELECT count(*) FROM organisations WHERE created_on <= t.day) AS total FROM generate_series(DATE '2024-01-20', DATE '2024-03-15', INTERVAL 1 DAY) t(day)", "organisations"),
     "platform_totals": sql("SELECT count(*) AS organisations, count(*) FILTER (suspended) AS suspended, CAST(sum(cameras) AS BIGINT) AS cameras, CAST(sum(sites) AS BIGINT) AS sites, CAST(sum(seats) AS BIGINT) AS seats FROM organisations WHERE NOT deleted", "organisations"),
-    "platform_overview": sql("""SELECT 'trk-' || org_id AS org_id, (SELECT count(*) FROM decisions d WHERE d.worker_key = 'trk-' || o.org_id) AS decisions, (SELECT count(*) FROM decisions d WHERE d.worker_key = 'trk-' || o.org_id AND review_state = 'PENDING') AS open_alerts,
-(SELECT count(*) FROM safety_events e WHERE e.worker_key = 'trk-' || o.org_id) AS events, (SELECT max(observed_at) FROM decisions d WHERE d.worker_key = 'trk-' || o.org_id) AS last_decision FROM organisations o WHERE org_id < 60""", "decisions", "safety_events", "organisations"),
+    "platform_overview": sql("""WITH d AS (SELECT worker_key, count(*) AS decisions, count(*) FILTER (review_state = 'PENDING') AS open_alerts, max(observed_at) AS last_decision FROM decisions GROUP BY 1), e AS (SELECT worker_key, count(*) AS events FROM safety_events GROUP BY 1)
+SELECT 'trk-' || org_id AS org_id, coalesce(decisions, 0) AS decisions, coalesce(open_alerts, 0) AS open_alerts, coalesce(events, 0) AS events, last_decision FROM organisations o LEFT JOIN d ON d.worker_key = 'trk-' || o.org_id LEFT JOIN e ON e.worker_key = 'trk-' || o.org_id""", "decisions", "safety_events", "organisations"),
     "platform_search": sql(f"WITH {ATT} SELECT org_id, name, created_on FROM att WHERE score > 0 AND contains(lower(name), '00')", "organisations"),
     "action_histogram": sql("SELECT rule_type, count(*) AS n FROM (SELECT * FROM decisions ORDER BY observed_at DESC, id DESC LIMIT 2000) GROUP BY 1", "decisions"),
     "outcome_scores": plain(f"""{JUDGED}, c AS (SELECT count(*) AS n, count(*) FILTER (truth AND NOT verdict) AS missed, count(*) FILTER (NOT truth AND verdict) AS false_alarms, count(*) FILTER (verdict IS NULL) AS abstained, count(*) FILTER (truth) AS positives, count(*) FILTER (NOT truth) AS negatives, count(*) FILTER (truth AND verdict) AS hits FROM j),
@@ -321,3 +317,6 @@ c AS ({" UNION ALL ".join(f"SELECT '{k}' AS condition, * FROM r WHERE {v}" for k
     "stage_latency": sql(f"SELECT zone_id, {R('avg(activity_score)', 3)} AS mean, list_sort(list(activity_score))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95 FROM telemetry GROUP BY 1", "telemetry"),
     "floor_projection": plain(f"{PEOPLE}, q AS (SELECT frame, person, (x1 + x2) / 2 AS gx, y2 AS gy FROM people) SELECT frame, person, round((gx + 0.1 * gy + 5) / (0.001 * gx + 0.0005 * gy + 1), 6) AS x, round((0.2 * gx + 1.1 * gy - 3) / (0.001 * gx + 0.0005 * gy + 1), 6) AS y FROM q"),
 }
+for _name in ("zone_head_counts", "platform_overview", "nearest_hash", "near_duplicate_summary"):
+    ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name]
+
