@@ -91,4 +91,9 @@ ORACLE_SQL = {
     "refused_reviews": sql("SELECT * FROM (SELECT v.id, state, CASE WHEN state = 'PENDING' THEN 'not a verdict' WHEN d.id IS NULL THEN 'not found' WHEN d.status = 'COMPLIANT' THEN 'nothing to review' END AS why FROM (SELECT id * 3 AS id, CASE WHEN id % 3 = 0 THEN 'PENDING' ELSE 'DISMISSED' END AS state FROM decisions WHERE id % 40 = 1) v LEFT JOIN decisions d ON v.id = d.id) WHERE why IS NOT NULL", "decisions"),
     "unique_slugs": "WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM s) SELECT p_partkey, CASE WHEN n > 1 THEN s || '-' || (n - 1) ELSE s END AS slug FROM n",
     "capabilities": ROLES,
+    "sampled_telemetry": f"""WITH RECURSIVE telemetry AS ({domain.VIEWS["telemetry"]}), r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ts, sample_id) AS n FROM telemetry),
+w AS (SELECT track_id, n, sample_id, true AS kept, ts AS at, posture_state AS posture FROM r WHERE n = 1
+UNION ALL SELECT track_id, n, sample_id, kept, CASE WHEN kept THEN ts ELSE last END, CASE WHEN kept THEN posture_state ELSE posture END
+FROM (SELECT r.*, w.at AS last, w.posture, r.posture_state <> w.posture OR epoch_us(r.ts) - epoch_us(w.at) >= 5000000 AS kept FROM w JOIN r ON r.track_id = w.track_id AND r.n = w.n + 1))
+SELECT track_id, sample_id FROM w WHERE kept""",
 }
