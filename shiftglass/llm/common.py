@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs: it waits for the driver's collector, which may not run for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

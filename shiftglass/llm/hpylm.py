@@ -10,10 +10,11 @@ probabilities of the draws are averaged.
 
 Nothing is keyed by word in the shuffles, so that no word can be hot: documents are held
 in batches of tokens, a batch sends each of its distinct bigrams once, with its own count,
-to hash ranges of bigrams. A range holds each bigram of the corpus once, with its customers
-and tables, and is rewritten by every sweep; it asks hash ranges of words for the totals of
-its distinct words, each once. In the end every range answers the batches in the order
-asked. All draws derive from the words' hashes, so that reruns repeat them.
+to hash ranges of bigrams. A range holds each bigram of the corpus once. Those of one customer
+have one table for good; a sweep reads and rewrites the others only, and exchanges tables
+with hash ranges of words, which know each range's words from its first report. In the end
+every range adds up the draws and answers the batches in the order asked. All draws derive
+from the bigrams' places, so that reruns repeat them.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import END_TOKEN, U, Scratch, flat, mix, pack, slices, word_hashes
+from .common import END_TOKEN, U, Scratch, flat, freed, mix, pack, slices, word_hashes
 
-BATCH_TOKENS = 3 << 19
-RANGE_KEYS = 1_500_000
+BATCH_TOKENS = 1 << 20
+RANGE_KEYS = 2_000_000
 THETA = 1.0
-BURN_IN = 4
+BURN_IN = 3
 DRAWS = 4
 EXACT = 256
 GRID = 64
@@ -191,7 +192,7 @@ def batches(docs: DataFrame, text: str, doc_id: str, learn: str, batch_tokens: i
 
 
 class Batch:
-    """A batch's arrays and its distinct bigrams in key order, cut by range."""
+    """A batch's arrays and its distinct bigrams by range of their keys and, within, by words."""
 
     def __init__(self, t: pa.Table, ranges: int):
         get = lambda name, kind: np.frombuffer(t.column(name)[0].as_py(), kind)
@@ -207,10 +208,11 @@ class Batch:
         code, self.pair, n = np.unique(code, return_inverse=True, return_counts=True)
         count = np.bincount(self.pair[learnt], minlength=len(code))
         left, right = code // len(self.words), code % len(self.words)
-        key = bigram_keys(self.words[left], self.words[right])
-        self.order = np.argsort(key, kind="stable")
+        place = np.searchsorted(bounds(ranges), bigram_keys(self.words[left], self.words[right]), side="right")
+        self.order = np.argsort(place, kind="stable")
         self.count, self.left, self.right = count[self.order], left[self.order], right[self.order]
-        self.parts = cuts(key[self.order], ranges)
+        at = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=ranges))]).tolist()
+        self.parts = [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
         self.learnt = np.bincount(self.text[learnt], minlength=len(self.words))
 
 
@@ -218,12 +220,26 @@ def bigram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * U(0xFF51AFD7ED558CCD) + right)
 
 
+def bounds(ranges: int) -> np.ndarray:
+    """First keys of equal ranges of 64-bit keys, but the first."""
+    return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+
+
 def cuts(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     """(range, from, to) of sorted 64-bit keys that equal ranges hold, none empty."""
-    at = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
+    at = np.searchsorted(keys, bounds(ranges))
     return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip([0, *at], [*at, len(keys)])) if b > a]
 
 
+def rising(x: np.ndarray) -> bytes:
+    """Numbers in order, by their differences."""
+    return count32(np.diff(x, prepend=0))[0]
+
+
+def risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(counts(raw), dtype=np.int64)
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Numbers of a list in 2 or 4 bytes each."""
     return pack(x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32))
@@ -241,91 +257,124 @@ def table_of(schema: str, rows: list[tuple]) -> pa.Table:
 
 def joined(t: pa.Table, name: str, kind) -> np.ndarray:
     """The arrays of a column's rows as one."""
-    return np.concatenate([np.frombuffer(r.as_py(), kind) for r in t.column(name)]) if len(t) else np.zeros(0, kind)
+    return np.concatenate([counts(r.as_py()) if kind is np.uint32 else np.frombuffer(r.as_py(), kind) for r in t.column(name)]) if len(t) else np.zeros(0, kind)
 
 
 def count32(*arrays: np.ndarray) -> tuple[bytes, ...]:
-    return tuple(pack(a.astype(np.uint32)) for a in arrays)
+    """Counts, most of them small, packed: their number, then 4 bytes each, compressed."""
+    return tuple(len(a).to_bytes(8, "little") + pa.compress(pack(a.astype(np.uint32)), codec="zstd", asbytes=True) for a in arrays)
+
+
+def counts(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), np.uint32)
 
 
 # --------------------------------------------------------------------------- ranges of bigrams and of words
 ASK = "part int, batch long, words binary, left binary, right binary, n binary"
-HELD = "part int, batch long, words binary, left binary, right binary, c binary, t binary, own binary, sum binary, place binary"
-SUMS = ", a long, b long, c long, d long, e long"
-SEEN = "batch long, part int, seen binary" + SUMS
-REPORT = "word_part int, part int, keys binary, customers binary, tables binary, sent binary, own binary"
-STATE = "part int, word_part int, customers binary, tables binary, sent binary, own binary, s long, o long, ones long, twos long"
+HELD = "kind int, part int, batch long, left binary, right binary, c binary, t binary, at binary, down binary, sent binary, place binary, word_part int, keys binary"
+FULL, PLACE, MANY, REPORT = range(4)
+SEEN = "batch long, part int, seen binary, a long, b long"
+STATE = "part int, word_part int, customers binary, tables binary, sent binary, own binary, place binary, s long, o long, ones long, twos long"
+
+
+def held_table(rows: list[dict]) -> pa.Table:
+    names = [x.split()[0] for x in HELD.split(", ")]
+    return table_of(HELD, [tuple(r.get(n) for n in names) for r in rows])
 
 
-def gather(t: pa.Table) -> pa.Table:
-    """One range's bigrams out of all batches' requests (batch null), and each batch's places among them."""
+def gather(t: pa.Table, word_ranges: int) -> pa.Table:
+    """One range's bigrams out of all batches' requests, each batch's places among them, those of many customers, and the first report."""
     words = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")]
-    n = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("n")]
+    n = [counts(x.as_py()) for x in t.column("n")]
     every = np.unique(np.concatenate(words))
     code = []
     for w, k, left, right in zip(words, n, t.column("left"), t.column("right")):
         own = np.searchsorted(every, w)
-        code.append(own[wide(left.as_py(), len(k))] * len(every) + own[wide(right.as_py(), len(k))])
+        code.append(own[risen(left.as_py())] * len(every) + own[wide(right.as_py(), len(k))])
     code, at = np.unique(np.concatenate(code), return_inverse=True)
     c = np.bincount(at, np.concatenate(n), len(code)).astype(np.int64)
-    part, ends = t.column("part")[0].as_py(), np.cumsum([len(k) for k in n])
-    rows = [(part, None, pack(every), *count32(code // len(every), code % len(every), c, np.minimum(c, 1), np.zeros(len(every))), pack(np.zeros(len(code))), None)]
-    return table_of(HELD, rows + [(part, b, *[None] * 7, count32(at[e - len(k) : e])[0]) for b, k, e in zip(t.column("batch").to_pylist(), n, ends)])
-
-
-class Held:
-    """A range's bigrams: sorted words, places of the left and right one, customers, tables, sum of probabilities."""
-
-    def __init__(self, t: pa.Table, row: int = 0):
-        get = lambda name, kind: np.frombuffer(t.column(name)[row].as_py(), kind)
-        self.part, self.words, self.own = t.column("part")[row].as_py(), get("words", np.uint64), get("own", np.uint32).astype(np.float64)
-        self.left, self.right, self.c, self.t = (get(x, np.uint32).astype(np.int64) for x in ("left", "right", "c", "t"))
-        self.sum = get("sum", np.float64)
-
-    def row(self) -> tuple:
-        return (self.part, None, pack(self.words), *count32(self.left, self.right, self.c, self.t, self.own), pack(self.sum), None)
-
-    def report(self, word_ranges: int) -> list[tuple]:
-        n = len(self.words)
-        columns = np.bincount(self.left, self.c, n), np.bincount(self.left, self.t, n), np.bincount(self.right, self.t, n), self.own
-        return [(p, self.part, pack(self.words[a:b]), *count32(*(x[a:b] for x in columns))) for p, a, b in cuts(self.words, word_ranges)]
-
-    def take(self, answers: pa.Table, d: float, sums: dict, v: int) -> None:
-        """The words' totals in a state: customers and tables as contexts, the parent's customers and tables of them."""
+    part, left, right, one, many = t.column("part")[0].as_py(), code // len(every), code % len(every), c == 1, np.flatnonzero(c > 1)
+    cut, count = cuts(every, word_ranges), lambda side: np.bincount(side[one], minlength=len(every))
+    groups = Many(part, many, left[many], right[many], c[many], np.ones(len(many), np.int64), count(left), count(right), cut)
+    customers = np.bincount(left, c, len(every))
+    rows = [{"kind": FULL, "part": part, **dict(zip(("left", "right", "c"), count32(left, right, c)))}]
+    rows += [{"kind": PLACE, "part": part, "batch": b, "place": rising(at[e - len(k) : e])} for b, k, e in zip(t.column("batch").to_pylist(), n, np.cumsum([len(k) for k in n]))]
+    return held_table(rows + groups.rows([{"keys": pack(every[a:b]), "c": count32(customers[a:b])[0]} for _, a, b in cut]))
+
+
+class Many:
+    """A range's bigrams of two customers or more: places among all, words, customers and tables; per word the tables of all others."""
+
+    def __init__(self, part: int, at, left, right, c, t, down, sent, cut):
+        self.part, self.at, self.left, self.right, self.c, self.t, self.down, self.sent, self.cut = part, at, left, right, c, t, down, sent, cut
+
+    @staticmethod
+    def read(t: pa.Table) -> "Many":
+        get = lambda name: counts(t.column(name)[0].as_py()).astype(np.int64)
+        cut = [tuple(x) for x in get("keys").reshape(-1, 3).tolist()]
+        return Many(t.column("part")[0].as_py(), *(get(x) for x in ("at", "left", "right", "c", "t", "down", "sent")), cut)
+
+    def rows(self, first: list[dict] | None = None) -> list[dict]:
+        """The groups as a row, and for each range of words a report of the tables in their restaurants and of them; the ``first`` one tells the words."""
+        n = len(self.down)
+        down, sent = self.down + np.bincount(self.left, self.t, n), self.sent + np.bincount(self.right, self.t, n)
+        names = ("at", "left", "right", "c", "t", "down", "sent", "keys")
+        mine = {"kind": MANY, "part": self.part, **dict(zip(names, count32(self.at, self.left, self.right, self.c, self.t, self.down, self.sent, np.array(self.cut).reshape(-1))))}
+        return [mine, *({"kind": REPORT, "part": self.part, "word_part": p, **(first[i] if first else {}), **dict(zip(("down", "sent"), count32(down[a:b], sent[a:b])))} for i, (p, a, b) in enumerate(self.cut))]
+
+    def reseat(self, x: "Totals", d: float, salt: int) -> None:
+        """New tables of every group."""
+        sent = x.sent[self.right] - self.t  # the parent without the group
+        weight = sent - x.sums["d"] * np.minimum(x.own[self.right], sent) + x.base
+        e = THETA + x.sums["s"] - self.t
+        keys = mix((self.at + (self.part << 36)).astype(np.uint64))
+        self.t = seat(self.c, x.tables[self.left] - self.t, weight / e, keys, d, THETA, salt, e)
+
+
+class Totals:
+    """A range's words in one state: tables as contexts, the parent's customers and tables of them."""
+
+    def __init__(self, answers: pa.Table, sums: dict, v: int):
         answers = answers.sort_by("word_part")
-        self.customers, self.tables, self.sent, self.own = (joined(answers, x, np.uint32).astype(np.float64) for x in ("customers", "tables", "sent", "own"))
-        self.d, self.sums, self.base = d, sums, (THETA + sums["d"] * sums["o"]) / (v + 1)
+        self.tables, self.sent, self.own = (joined(answers, x, np.uint32).astype(np.float64) for x in ("tables", "sent", "own"))
+        self.sums, self.base = sums, (THETA + sums["d"] * sums["o"]) / (v + 1)
 
-    def predict(self) -> np.ndarray:
+    def predict(self, left, right, c, t, customers, d: float) -> np.ndarray:
         """Predictive probability of every bigram."""
         parent = (self.sent - self.sums["d"] * self.own + self.base) / (THETA + self.sums["s"])
-        return (self.c - self.d * self.t + (THETA + self.d * self.tables[self.left]) * parent[self.right]) / (THETA + self.customers[self.left])
-
-    def reseat(self, salt: int) -> None:
-        """New tables of every group of two customers or more; one customer has one table."""
-        many = np.flatnonzero(self.c > 1)
-        left, right, t = self.left[many], self.right[many], self.t[many]
-        sent = self.sent[right] - t  # the parent without the group
-        weight = sent - self.sums["d"] * np.minimum(self.own[right], sent) + self.base
-        e = THETA + self.sums["s"] - t
-        keys = bigram_keys(self.words[left], self.words[right])
-        self.t[many] = seat(self.c[many], self.tables[left] - t, weight / e, keys, self.d, THETA, salt, e)
+        return (c - d * t + (THETA + d * self.tables[left]) * parent[right]) / (THETA + customers[left])
 
 
 def add_words(salt: int, v: int, d: float, tables: float):
-    """Adds up what all ranges report of the words of one word range, and seats the parent restaurant."""
-
-    def run(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
-        words, at = np.unique(np.concatenate(keys), return_inverse=True)
-        customers, down, sent = (np.bincount(at, joined(t, x, np.uint32), len(words)).astype(np.int64) for x in ("customers", "tables", "sent"))
-        before = np.zeros(len(words))
-        np.maximum.at(before, at, joined(t, "own", np.uint32))
-        own = seat(sent, np.maximum(tables - before, 0), np.full(len(words), 1 / (v + 1)), words, d, THETA, salt)
-        sums, out, ends = (int(sent.sum()), int(own.sum()), int((sent == 1).sum()), int((sent == 2).sum())), [], np.cumsum([len(k) for k in keys])
-        for part, word_part, k, e in zip(t.column("part").to_pylist(), t.column("word_part").to_pylist(), keys, ends):
-            i = at[e - len(k) : e]
-            out.append((part, word_part, *count32(customers[i], down[i], sent[i], own[i]), *(sums if not out else [None] * 4)))
+    """Adds up what all ranges report of the words of one word range, and seats the parent restaurant.
+
+    The first report tells the words. What is kept of it are each range's places among the
+    sorted words and, in the row without a part, the parent's tables of all of them.
+    """
+
+    def run(t: pa.Table, known: pa.Table | None = None) -> pa.Table:
+        number, own = (t if len(t) else known).column("word_part")[0].as_py(), None
+        if known is None:
+            told = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
+            words, at = np.unique(np.concatenate(told), return_inverse=True)
+            n, ends = len(words), np.cumsum([len(x) for x in told])
+            places = [at[e - len(x) : e] for x, e in zip(told, ends)]
+            customers = np.bincount(at, joined(t, "c", np.uint32), n)
+            before = np.zeros(n)
+        else:
+            own = t.filter(pc.is_null(t.column("part")))
+            t = t.filter(pc.is_valid(t.column("part")))
+            by_part = {p: counts(x.as_py()) for p, x in zip(known.column("part").to_pylist(), known.column("place"))}
+            places = [by_part[p] for p in t.column("part").to_pylist()]
+            before = joined(own, "sent", np.uint32).astype(np.float64)
+            n, at = len(before), np.concatenate(places)
+        down, sent = (np.bincount(at, joined(t, x, np.uint32), n).astype(np.int64) for x in ("down", "sent"))
+        own = seat(sent, np.maximum(tables - before, 0), np.full(n, 1 / (v + 1)), np.arange(n, dtype=np.uint64) + U(number << 36), d, THETA, salt)
+        out = [(None, number, None, None, None, *count32(own), None, int(sent.sum()), int(own.sum()), int((sent == 1).sum()), int((sent == 2).sum()))]
+        for part, i in zip(t.column("part").to_pylist(), places):
+            first = count32(customers[i], i) if known is None else (None, None)
+            out.append((part, number, first[0], *count32(down[i], sent[i], own[i]), first[1], *[None] * 4))
         return table_of(STATE, out)
 
     return run
@@ -374,7 +423,7 @@ class Model:
             words, at = np.unique(np.concatenate(keys), return_inverse=True)
             seen, out = np.bincount(at, joined(t, "n", np.uint32), len(words)).astype(np.int64), []
             for batch, part, x, e in zip(t.column("batch").to_pylist(), t.column("part").to_pylist(), keys, np.cumsum([len(x) for x in keys])):
-                out.append((batch, part, count32(seen[at[e - len(x) : e]])[0], *((int(seen.sum()), int((seen > 0).sum()), 0, 0, 0) if not out else [None] * 5)))
+                out.append((batch, part, count32(seen[at[e - len(x) : e]])[0], *((int(seen.sum()), int((seen > 0).sum())) if not out else [None] * 2)))
             return table_of(SEEN, out)
 
         self.seen = self.scratch.keep(self.store.mapInArrow(ask, ASK).groupBy("part").applyInArrow(add, SEEN))
@@ -382,7 +431,7 @@ class Model:
         self.n, self.v = n[0] or 0, n[1] or 0
 
     def count_bigrams(self) -> None:
-        ranges = self.ranges
+        ranges, k = self.ranges, self.word_ranges
 
         def ask(rows):
             for b in rows:
@@ -390,47 +439,63 @@ class Model:
                     x, batch, out = Batch(pa.Table.from_batches([b.slice(i, 1)]), ranges), b.column("batch")[i].as_py(), []
                     for p, lo, hi in x.parts:
                         mine, at = np.unique(np.concatenate([x.left[lo:hi], x.right[lo:hi]]), return_inverse=True)
-                        out.append((p, batch, pack(x.words[mine]), narrow(at[: hi - lo]), narrow(at[hi - lo :]), count32(x.count[lo:hi])[0]))
+                        out.append((p, batch, pack(x.words[mine]), rising(at[: hi - lo]), narrow(at[hi - lo :]), count32(x.count[lo:hi])[0]))
                     yield from table_of(ASK, out).to_batches()
 
-        found = self.saved(self.store.mapInArrow(ask, ASK).groupBy("part").applyInArrow(gather, HELD), 2 * ranges, "part")
-        self.places, self.held = found.where("batch IS NOT NULL").select("part", "batch", "place"), found.where("batch IS NULL")
-        ones = self.held.select("c").mapInArrow(tally, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
+        found = self.saved(self.store.mapInArrow(ask, ASK).groupBy("part").applyInArrow(lambda t: gather(t, k), HELD), 2 * ranges, "part")
+        self.full = found.where(F.col("kind").isin(FULL, PLACE)).select("kind", "part", "batch", "left", "right", "c", "place")
+        self.words_told = found.where(F.col("kind") == REPORT).select("part", "word_part", "keys")
+        self.held = found.where(F.col("kind").isin(MANY, REPORT))
+        self.many = found.where(F.col("kind") == MANY).select("part", "at")
+        ones = self.full.where(F.col("kind") == FULL).select("c").mapInArrow(tally, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
         self.d = discount(ones[0], ones[1])
 
     def state(self, step: int) -> tuple[DataFrame, dict]:
         """The words' totals for every range, the parent re-seated."""
-        k = self.word_ranges
-
-        def report(rows):
-            for b in rows:
-                for i in range(b.num_rows):
-                    yield from table_of(REPORT, Held(b, i).report(k)).to_batches()
-
         last = self.sums[-1] if self.sums else {"d": 0.5, "o": float(self.v)}
-        asked = self.held.mapInArrow(report, REPORT)
-        state = self.scratch.keep(asked.groupBy("word_part").applyInArrow(add_words(step << 33, self.v, last["d"], last["o"]), STATE))
+        add = add_words(step << 33, self.v, last["d"], last["o"])
+        asked = self.held.where(F.col("kind") == REPORT).select("word_part", "part", "keys", "c", "down", "sent")
+        if not self.sums:
+            state = self.saved(asked.groupBy("word_part").applyInArrow(lambda t: add(t), STATE), 2 * self.word_ranges, "word_part")
+            self.words = state.where("part IS NOT NULL").select("word_part", "part", "place")
+        else:
+            held = self.own.select("word_part", F.col("part"), F.col("own").alias("sent"))
+            both = asked.drop("keys", "c").unionByName(held, allowMissingColumns=True)
+            state = self.scratch.keep(both.groupBy("word_part").cogroup(self.words.groupBy("word_part")).applyInArrow(lambda t, known: add(t, known), STATE))
+        self.own = state.where("part IS NULL")
         s, o, n1, n2 = (x or 0 for x in state.agg(*(F.sum(c) for c in ("s", "o", "ones", "twos"))).first())
         self.sums.append({"s": s, "o": o, "d": self.sums[0]["d"] if self.sums else discount(n1, n2)})
         # the parent's tables were seated with the discount of the first state from the second on
         return state, self.sums[-1]
 
+    def groups(self) -> DataFrame:
+        return self.held.where(F.col("kind") == MANY).select("part", "at", "left", "right", "c", "t", "down", "sent", "keys")
+
     def sample(self, burn_in: int = BURN_IN, draws: int = DRAWS) -> None:
-        """``burn_in`` sweeps from one table a group on, then ``draws`` states, one sweep apart, whose predictions are added up.
+        """``burn_in`` sweeps from one table a group on, then ``draws`` states, one sweep apart, which are kept.
 
         A group's discount is n1 / (n1 + 2 n2) of the bigrams seen once and twice, the
         parent's the same of its customers in the first state; strengths are ``THETA``.
         """
         self.count_words()
         self.count_bigrams()
-        self.sums, self.draws = [], draws
+        freed(self.spark)
+        self.sums, self.kept = [], []
         for step in range(1, burn_in + draws + 1):
             state, sums = self.state(step)
-            old, kept, moved = self.held, step > burn_in, step < burn_in + draws
-            self.held = self.saved(self.held.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(sweep(self.d, sums, self.v, step << 33, kept, moved), HELD), 2 * self.ranges, "part")
-            self.scratch.drop(state)
-            if step > 1:
-                self.forget(old)
+            answers = state.where("part IS NOT NULL").select("part", "word_part", "customers", "tables", "sent", "own")
+            if step == 1:
+                self.first = answers.select("part", "word_part", "customers")
+            if step > burn_in:
+                at = F.lit(len(self.kept)).alias("draw")
+                mine = self.scratch.keep(self.groups().select("part", "t"))
+                self.kept.append((sums, answers.drop("customers").select("*", at), mine.select("part", at, "t")))
+            if step < burn_in + draws:
+                old, run = self.held, sweep(self.d, sums, self.v, step << 33)
+                self.held = self.saved(self.groups().groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, HELD), 2 * self.ranges, "part")
+                if step > 1:
+                    self.forget(old)
+            freed(self.spark)
 
     def score(self) -> DataFrame:
         """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row.
@@ -439,13 +504,21 @@ class Model:
         empty texts hold the end token only. With nothing to learn from, both models are
         uniform over the one unknown word.
         """
-        n, v, draws, ranges = self.n, self.v, self.draws, self.ranges
+        n, v, d, ranges, sums = self.n, self.v, self.d, self.ranges, [x for x, _, _ in self.kept]
         schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
-        def answer(held: pa.Table, places: pa.Table) -> pa.Table:
-            logs = np.log10(Held(held).sum / draws).astype(np.float32)
-            part = held.column("part")[0].as_py()
-            return table_of("batch long, part int, logs binary", [(b, part, pack(logs[np.frombuffer(x.as_py(), np.uint32)])) for b, x in zip(places.column("batch").to_pylist(), places.column("place"))])
+        def answer(held: pa.Table, states: pa.Table) -> pa.Table:
+            full, places = held.filter(pc.equal(held.column("kind"), FULL)), held.filter(pc.equal(held.column("kind"), PLACE))
+            left, right, c = (joined(full, x, np.uint32).astype(np.int64) for x in ("left", "right", "c"))
+            first = states.filter(pc.is_valid(states.column("customers"))).sort_by("word_part")
+            customers, p = joined(first, "customers", np.uint32).astype(np.float64), 0.0
+            many = joined(states.filter(pc.is_valid(states.column("at"))), "at", np.uint32)
+            for i, s in enumerate(sums):
+                mine, t = states.filter(pc.fill_null(pc.equal(states.column("draw"), i), False)), np.minimum(c, 1)
+                t[many] = joined(mine.filter(pc.is_valid(mine.column("t"))), "t", np.uint32)
+                p = p + Totals(mine.filter(pc.is_valid(mine.column("tables"))), s, v).predict(left, right, c, t, customers, d) / len(sums)
+            logs, part = np.log10(p).astype(np.float32), full.column("part")[0].as_py()
+            return table_of("batch long, part int, logs binary", [(b, part, pack(logs[risen(x.as_py())])) for b, x in zip(places.column("batch").to_pylist(), places.column("place"))])
 
         def run(t: pa.Table, c: pa.Table) -> pa.Table:
             x = Batch(t, ranges)
@@ -461,7 +534,10 @@ class Model:
                 "train_tokens": pa.array(np.full(len(x.ids), n, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(score), "perplexity": pa.array(10.0 ** (-score / x.sizes)),
             })
 
-        answers = self.held.groupBy("part").cogroup(self.places.groupBy("part")).applyInArrow(answer, "batch long, part int, logs binary")
+        states = self.first.unionByName(self.many, allowMissingColumns=True)
+        for _, totals, groups in self.kept:
+            states = states.unionByName(totals, allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)
+        answers = self.full.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(answer, "batch long, part int, logs binary")
         both = answers.unionByName(self.seen.select("batch", "part", "seen"), allowMissingColumns=True)
         return self.store.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(run, schema)
 
@@ -476,17 +552,13 @@ def discount(n1, n2) -> float:
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
-def sweep(d: float, sums: dict, v: int, salt: int, kept: bool, moved: bool):
-    """Takes a state in, adds its predictions up if it is ``kept`` and re-seats the groups if they are ``moved``."""
+def sweep(d: float, sums: dict, v: int, salt: int):
+    """Re-seats a range's groups, given a state."""
 
-    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
-        x = Held(held)
-        x.take(answers, d, sums, v)
-        if kept:
-            x.sum = x.sum + x.predict()
-        if moved:
-            x.reseat(salt)
-        return table_of(HELD, [x.row()])
+    def run(groups: pa.Table, answers: pa.Table) -> pa.Table:
+        x = Many.read(groups)
+        x.reseat(Totals(answers, sums, v), d, salt)
+        return held_table(x.rows())
 
     return run
 
@@ -499,5 +571,5 @@ def perplexity(scored: DataFrame) -> DataFrame:
 def tally(rows):
     """How many bigrams were learnt once and twice."""
     for b in rows:
-        c = [np.frombuffer(r.as_py(), np.uint32) for r in b.column("c")]
+        c = [counts(r.as_py()) for r in b.column("c")]
         yield pa.RecordBatch.from_pydict({"ones": [int(sum((x == 1).sum() for x in c))], "twos": [int(sum((x == 2).sum() for x in c))]})

@@ -186,9 +186,10 @@ def test_every_context_predicts_with_mass_one(spark):
         bigrams += len(c)
         for sums, totals, groups in m.kept:
             t, g = np.minimum(c, 1), groups.where(mine).first()
-            t[get(g["at"])] = get(g["t"])
+            t[get(m.many.where(mine).first()["at"])] = get(g["t"])
             p = hpylm.Totals(totals.where(mine).toArrow(), sums, m.v).predict(left, right, c, t, customers, m.d)
-            for u, x in zip(np.frombuffer(r["words"], np.uint64)[left].tolist(), p.tolist()):
+            words_ = np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in m.words_told.where(mine).orderBy("word_part").collect()])
+            for u, x in zip(words_[left].tolist(), p.tolist()):
                 mass[u] += x / len(m.kept)
     m.close()
     assert bigrams == 32 * 32 and len(mass) == 32 and np.allclose(list(mass.values()), 1, atol=1e-9)
