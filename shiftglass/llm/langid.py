@@ -19,41 +19,39 @@ from .common import U, mix, slices, widened
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 BLOCK = 1 << 12
+STEP = 1 << 18
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all character n-grams of the texts, and how many each text has.
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts and the text of each.
 
-    Letters are lower-cased, any run of other characters counts as one blank, and a text
+    Letters are lower-cased, any run of other ASCII characters counts as one blank, and a text
     starts and ends with a blank.
     """
-    points, sizes = [], []
-    for t in texts:
-        p = np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        points.append(p)
-        sizes.append(len(p))
-    sizes = np.array(sizes, np.int64)
+    points = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     p = np.concatenate(points) if points else np.zeros(0, np.uint32)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(points), dtype=np.int32), [len(x) for x in points])
     plain = (p < 128) & ~((p >= 97) & (p <= 122))
-    p = np.where(plain, np.uint32(32), p)
-    keep = ~(plain & np.concatenate([[False], plain[:-1] & (row[1:] == row[:-1])])) if len(p) else plain
-    p, row = p[keep].astype(np.uint64), row[keep]
-    found, rows, h = [], [], np.zeros(len(p), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        h = h[: len(p) - n + 1] * U(0x100000001B3) + p[n - 1 :] + U(1)
-        if n in ORDERS and len(h):
-            ok = row[: len(h)] == row[n - 1 :]
-            found.append((mix(h[ok]) % U(BUCKETS)).astype(np.int32))
-            rows.append(row[: len(h)][ok])
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    g, r = np.concatenate(found), np.concatenate(rows)
-    order = np.argsort(r, kind="stable")
-    return g[order], np.bincount(r, minlength=len(texts))
+    again = np.zeros(len(p), bool)
+    again[1:] = plain[1:] & plain[:-1] & (row[1:] == row[:-1])
+    return np.where(plain, np.uint32(32), p)[~again], row[~again]
+
+
+def grams(texts: list[str], step: int = STEP):
+    """(buckets, texts) of all character n-grams, for at most ``step`` places at a time; a text's n-grams of an order come in order."""
+    p, row = letters(texts)
+    for i in range(0, len(p), step):
+        h = np.zeros(min(step, len(p) - i), np.uint64)
+        for n in range(1, max(ORDERS) + 1):
+            h = h[: len(p) - i - n + 1]
+            h = h * U(0x100000001B3) + p[i + n - 1 : i + n - 1 + len(h)].astype(np.uint64) + U(1)
+            if n in ORDERS and len(h):
+                r = row[i : i + len(h)]
+                ok = r == row[i + n - 1 : i + n - 1 + len(h)]
+                yield (mix(h[ok]) % U(BUCKETS)).astype(np.int64), r[ok]
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = 4096) -> tuple[list[str], np.ndarray]:
@@ -69,14 +67,15 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_lang
     def count(batches):
         total: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for b in slices(batches, "t", 1 << 20):
+        for b in slices(batches, "t", 1 << 19):
             labels, texts = b.column("l").to_pylist(), b.column("t").to_pylist()
-            g, n = grams(texts)
             names = sorted(set(labels))
             at = np.array([names.index(x) for x in labels])
-            m = np.bincount(np.repeat(at, n) * BUCKETS + g, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+            for g, r in grams(texts):
+                m = np.bincount(at[r] * BUCKETS + g, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+                for i, x in enumerate(names):
+                    total[x] = total.get(x, 0) + m[i]
             for i, x in enumerate(names):
-                total[x] = total.get(x, 0) + m[i]
                 docs[x] = docs.get(x, 0) + int((at == i).sum())
         for x, m in total.items():
             k = BUCKETS // BLOCK
@@ -117,13 +116,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     def score(batches):
         m = shared.value
-        for b in slices(batches, "__text", 1 << 20):
+        for b in slices(batches, "__text", 1 << 19):
             texts = [x if x is not None and LETTER.search(x) else None for x in b.column("__text").to_pylist()]
             known = np.array([x is not None for x in texts]) & bool(langs)
             names, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             if known.any():
-                g, n = grams([x for x, k in zip(texts, known) if k])
-                total = np.add.reduceat(m[g], np.cumsum(n) - n, axis=0, dtype=np.float64) + m[-1]
+                total = np.tile(m[-1].astype(np.float64), (int(known.sum()), 1))
+                for g, r in grams([x for x, k in zip(texts, known) if k]):
+                    if len(g):
+                        first = np.flatnonzero(np.diff(r, prepend=-1))
+                        total[r[first]] += np.add.reduceat(m[g], first, axis=0, dtype=np.float64)
                 best = total.argmax(1)
                 names[known] = np.array(langs, object)[best]
                 score[known] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
