@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hpylm, langid, linedup, mixing, packing, probminhash, progjpeg, substring, topk, warc
+from . import convtrie, hpylm, langid, linedup, mixing, mixpack, packing, phrases, probminhash, progjpeg, substring, topk, warc
 from .common import Scratch, table, tokenizer_path
 
 
@@ -79,6 +79,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in mixed sequences of 2048 tokens."""
+    return mixpack.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best-scoring phrases of two or three words of every language."""
+    return phrases.mine(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the rebuilt conversations."""
+    return convtrie.trie(convtrie.rebuilt(convtrie.turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_hpylm_score": op1_hpylm_score,
     "op2_exact_topk": op2_exact_topk,
@@ -90,6 +105,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_mixture_packing": op11_mixture_packing,
+    "op12_collocations": op12_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,4 +171,51 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   url_key, CAST(captured_at AS BIGINT) AS captured_at,
   row_number() OVER (ORDER BY url_key, captured_at, page_id NULLS FIRST, payload_digest) - 1 AS position
 FROM k""",
+    "op12_collocations": r"""
+WITH p AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang, string_split(trim(regexp_replace(raw, '[\x20\x09]+', ' ', 'g')), ' ') AS w, count(*) AS m
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS raw FROM documents)
+  WHERE regexp_matches(raw, '[^\x20\x09]') GROUP BY ALL),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase, m
+  FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, CAST(sum(m) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+s AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, phrase, max(f) AS over FROM (SELECT lang, f, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+t AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE coalesce(100 * o.over < 50 * a, true))
+SELECT t.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))) % 4 AS h
+  FROM t),
+q AS (SELECT h.conv_id, list_concat(coalesce(b.own[:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM q),
+v AS MATERIALIZED (
+  SELECT path[:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256 FROM m GROUP BY ALL),
+c AS (SELECT node[:depth - 1] AS node, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (
+  SELECT v.*, coalesce(c.n_children, 0) AS n_children,
+    (n_convs - 1) * CASE WHEN v.depth = 0 THEN 0 ELSE len(regexp_extract_all(v.node[v.depth].t, '[^\x20\x09-\x0D]+')) END AS own
+  FROM v LEFT JOIN c ON c.node = v.node),
+s AS (
+  SELECT node[:k] AS node, sum(own) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT node, own, n_children, unnest(range(0, depth + 1)) AS k FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN s ON s.node = w.node LEFT JOIN v u ON w.depth > 0 AND u.node = w.node[:w.depth - 1]""",
 }
