@@ -19,6 +19,7 @@ class Config:
     realert_after_s: float = 60.0
     exit_slack_s: float = 1.5
     support_floor: float = 0.6
+    ppe_presence_fraction: float = 0.6
     still_speed: float = 0.15
     man_down_angle: float = 60.0
     man_down_upright: float = 45.0

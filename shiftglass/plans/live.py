@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..operators import buckets, frames, governance, records
 from ..sources import domain
 from ..sources.domain import sql
-from ..streaming import episodes, zone_visits
+from ..streaming import episodes, equipment, zone_visits
 from ..streaming.machine import run_batch
 
 T, D = domain.telemetry, domain.decisions
@@ -46,20 +46,33 @@ def man_down(s, p):
     return episodes.man_down(bodies(s, p), ["session", "worker"])
 
 
+def looks(s, p):
+    """Two items looked at in every frame; what is seen changes by worker and every few seconds."""
+    phase, kind = F.floor(F.col("t") / 4), F.substring("worker", -1, 1).cast("int")
+    rows = presence(s, p).select("session", "worker", "t", F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.lit(k).alias("k")) for k, n in enumerate(("helmet", "safety_vest"))])).alias("i")).select("session", "worker", "t", "i.*")
+    turn = F.pmod(phase + kind * (F.col("k") + 1), F.lit(7))
+    return rows.select(
+        "session", "worker", "t", "item", F.when(turn < 3, "PRESENT").when((turn == 3) | (kind == 4), "ABSENT").otherwise("UNVERIFIABLE").alias("state"),
+        (0.5 + turn / 12).alias("seen_fraction"), (0.55 + kind / 20).alias("empty_fraction"), F.when(F.col("k") == 1, (turn + 2) / 4).alias("recent_fraction"),
+    )
+
+
+def stayed(s, p):
+    """Stays in a zone as (session, worker, zone_id, entered, left, reason, ends): unbroken stretches of presence there."""
+    w = Window.partitionBy("session", "worker").orderBy("t")
+    rows = presence(s, p).withColumn("new", ~F.coalesce(F.lag("zone").over(w).eqNullSafe(F.col("zone")) & (F.col("t") - F.lag("t").over(w) <= 0.5), F.lit(False)))
+    rows = rows.withColumn("stay", F.sum(F.col("new").cast("int")).over(w)).withColumn("ends", F.max("t").over(Window.partitionBy("session")))
+    stays = rows.where("zone IS NOT NULL").groupBy("session", "worker", "stay").agg(F.first("zone").alias("zone_id"), F.min("t").alias("entered"), F.max("t").alias("last"), F.first("ends").alias("ends"))
+    return stays.select("session", "worker", "zone_id", "entered", F.when(F.col("last") < F.col("ends"), F.col("last") + 0.5).alias("left"), F.when(F.floor("entered") % 2 == 0, "LOST").otherwise("LEFT").alias("reason"), "ends")
+
+
 def entries(s, p):
-    samples = T(s, p).withColumn("t", F.unix_micros("ts") / 1e6)
-    seen = frames.evidence(samples, 15 * 86_400.0).select("sample_id", "state").join(samples.select("sample_id", "track_id", "t", "zone_id"), "sample_id")
-    looks = seen.select("track_id", "t", F.lit("EVIDENCE").alias("kind"), "state", *[F.lit(0.95).alias(c) for c in ("seen_fraction", "empty_fraction", "recent_fraction")])
-    moves = seen.where("zone_id = 'click'").select("track_id", (F.col("t") - 1).alias("t"), F.lit("ENTERED").alias("kind"), F.lit(None).cast("string").alias("state"), *[F.lit(None).cast("double").alias(c) for c in ("seen_fraction", "empty_fraction", "recent_fraction")])
-    return run_batch(looks.unionByName(moves), episodes.PpeEntry(), ["track_id"], ["t", "kind"], f"track_id long, {episodes.DECISION}")
+    return equipment.entry_decisions(stayed(s, p).drop("zone_id"), looks(s, p), ["session", "worker"])
 
 
 def continuous(s, p):
-    samples = T(s, p).withColumn("t", F.unix_micros("ts") / 1e6)
-    support = F.col("activity_score") / 100 + 0.5
-    looks = samples.groupBy("track_id", "t").agg(F.max("posture_state").alias("posture"), F.max(support).alias("support"))
-    state = F.when(F.col("posture").isin("AWAY", "SITTING"), "ABSENT").when(F.col("posture") == "WALKING", "PRESENT").otherwise("UNVERIFIABLE")
-    return episodes.continuous(looks.select("track_id", "t", state.alias("state"), "support", F.lit(True).alias("agrees")), ["track_id"])
+    one = looks(s, p).where("item = 'helmet'").select("session", "worker", "t", "state", F.col("empty_fraction").alias("support"), (F.col("seen_fraction") > 0.6).alias("agrees"))
+    return equipment.continuous(one, ["session", "worker"], grace_s=1.5)
 
 
 def sampled(s, p):

@@ -16,7 +16,7 @@ def _buckets(spark: SparkSession, d: str) -> DataFrame:
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """The table of minute buckets that dashboards read."""
-    return sinks.stored_buckets(spark, d, lambda: _buckets(spark, d))
+    return sinks.stored_buckets(spark, f"{d}/events.parquet", lambda: _buckets(spark, d))
 
 
 def _late(spark: SparkSession, d: str) -> DataFrame:
@@ -26,8 +26,8 @@ def _late(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _zone_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names of the telemetry's zones; one zone has none."""
-    return domain.telemetry(spark, d).select("zone_id").distinct().where("zone_id <> 'error'").withColumn("zone_name", F.initcap("zone_id"))
+    """Names of the zones that have buckets; one zone has none."""
+    return _stored(spark, d).select("zone_id").distinct().where("zone_id <> 'error'").withColumn("zone_name", F.initcap("zone_id"))
 
 
 NAMES_SQL = "zone_names AS (SELECT DISTINCT event_type AS zone_id, upper(event_type[1]) || event_type[2:] AS zone_name FROM events WHERE event_type <> 'error')"

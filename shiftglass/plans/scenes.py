@@ -170,7 +170,6 @@ def _overview(s, p, some="true"):
 QUERIES = {
     "point_in_zone": lambda s, p: frames.in_zone(people(s, p), rectangles(s)),
     "zone_head_counts": lambda s, p: frames.zone_counts(people(s, p), rectangles(s)),
-    "zone_head_counts_all": lambda s, p: frames.zone_counts(people(s, p), rectangles(s)),
     "wide_scenes": lambda s, p: frames.wide_scenes(people(s, p), 640.0),
     "close_ups": lambda s, p: frames.close_ups(people(s, p), 3),
     "iou_overlaps": lambda s, p: frames.overlaps(people(s, p), 0.3),
@@ -206,7 +205,6 @@ QUERIES = {
     "signup_series": lambda s, p: platform.signups(O(s, p), "2024-01-20", "2024-03-15"),
     "platform_totals": lambda s, p: platform.totals(O(s, p)),
     "platform_overview": _overview,
-    "platform_overview_all": _overview,
     "platform_search": lambda s, p: platform.sort(platform.search(O(s, p), " 00 ", "attention"), "newest").select("org_id", "name", "created_on"),
     "action_histogram": lambda s, p: platform.histogram(D(s, p), "rule_type"),
     "outcome_scores": lambda s, p: evaluation.outcomes(judged(s, p)),
@@ -215,8 +213,6 @@ QUERIES = {
     "reading_contingency": lambda s, p: evaluation.contingency(readings(s, p), CONDITIONS),
     "nearest_hash": nearest,
     "near_duplicate_summary": lambda s, p: evaluation.near_summary(nearest(s, p)),
-    "nearest_hash_all": nearest,
-    "near_duplicate_summary_all": lambda s, p: evaluation.near_summary(nearest(s, p)),
     "timing_errors": lambda s, p: evaluation.timing(T(s, p).select("zone_id", ((F.col("sample_id") % 13 - 6) / 10).alias("error")), "zone_id"),
     "stage_latency": lambda s, p: evaluation.latency(T(s, p), "zone_id", "activity_score"),
     "floor_projection": lambda s, p: people(s, p).select("frame", "person", *[F.round(c, 6).alias(n) for c, n in zip(g.project(F.array(*[F.array(*map(F.lit, r)) for r in ((1.0, 0.1, 5.0), (0.2, 1.1, -3.0), (0.001, 0.0005, 1.0))]), *g.ground_point(F.col("bbox"))), "xy")]),
@@ -317,6 +313,3 @@ c AS ({" UNION ALL ".join(f"SELECT '{k}' AS condition, * FROM r WHERE {v}" for k
     "stage_latency": sql(f"SELECT zone_id, {R('avg(activity_score)', 3)} AS mean, list_sort(list(activity_score))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95 FROM telemetry GROUP BY 1", "telemetry"),
     "floor_projection": plain(f"{PEOPLE}, q AS (SELECT frame, person, (x1 + x2) / 2 AS gx, y2 AS gy FROM people) SELECT frame, person, round((gx + 0.1 * gy + 5) / (0.001 * gx + 0.0005 * gy + 1), 6) AS x, round((0.2 * gx + 1.1 * gy - 3) / (0.001 * gx + 0.0005 * gy + 1), 6) AS y FROM q"),
 }
-for _name in ("zone_head_counts", "platform_overview", "nearest_hash", "near_duplicate_summary"):
-    ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name]
-

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import governance, platform
 from ..sources import domain
 from ..sources.domain import sql
 from ..streaming import session
+from . import live
 
 NOW = "1998-06-01 00:00:00"
 D, E, O = domain.decisions, domain.safety_events, domain.organisations
@@ -24,6 +25,22 @@ def replayed(s, p):
     return session.replayed(session.generations(shown(s, p)), 10.0).select("session", "n", "generation", "replay")
 
 
+def footage(s, p):
+    """Every session's frames as they are shown: most of it once, then back to see what was skipped and some minutes again."""
+    times = live.presence(s, p).select("session", "t").distinct()
+    minute = F.floor(F.col("t") / 60)
+    skipped = minute % 7 == 3
+    twice = times.where(~skipped).withColumn("turn", F.lit(0)).unionByName(times.where(skipped | (minute % 3 == 1)).withColumn("turn", F.lit(1)))
+    return twice.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("turn", "t")).cast("long")).select("session", "n", "t")
+
+
+def told(s, p):
+    frames = footage(s, p)
+    shown = lambda df: df.join(frames, ["session", "t"]).drop("t")
+    seen = shown(live.presence(s, p).withColumn("clear", F.substring("worker", -1, 1) != "7"))
+    return session.records(frames, seen, shown(live.looks(s, p)), shown(live.bodies(s, p)), fps=2.0, dwell={"click": 5.0}, entry=["view", "purchase"], least=2)
+
+
 def changed(s, p):
     old = O(s, p).select(F.col("org_id").alias("id"), "name", "plan", F.lit("ann").alias("created_by"), F.lit("ann").alias("updated_by"), F.lit("1998-01-01").cast("timestamp").alias("updated_at")).where("id % 4 <> 0")
     new = O(s, p).select(F.col("org_id").alias("id"), "name", F.when(F.col("org_id") % 3 == 1, "FREE").otherwise(F.col("plan")).alias("plan"))
@@ -41,6 +58,7 @@ def cameras(s, p):
 
 QUERIES = {
     "replayed_frames": replayed,
+    "session_records": told,
     "played_frames": lambda s, p: session.skipped(domain.read(s, p, "events").select(F.col("event_id").alias("frame")), 2.5),
     "stamped_rows": lambda s, p: changed(s, p).select("id", "plan", "created_by", "updated_by", "updated_at"),
     "purged_evidence": lambda s, p: governance.without_evidence(D(s, p), NOW, 60)[0],

@@ -55,33 +55,68 @@ def yolo_labels(spark: SparkSession, path: str, width: int, height: int) -> Data
     return lines.where(F.size(p) >= 5).select("image", p[0].try_cast("int").alias("cls"), F.array(cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2).alias("bbox"))
 
 
-# --------------------------------------------------------------------------- stored minute buckets
+# --------------------------------------------------------------------------- shared folder, stored minute buckets
 def shared_dir(spark) -> str:
-    """The folder that the cluster shares; local masters without one get their own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares (``spark.checkpoint.dir``); local masters without one get their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("shiftglass.shared", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.conf.set("shiftglass.shared", found)
     return found.rstrip("/")
 
 
-def stored_buckets(spark, name: str, buckets) -> DataFrame:
-    """The day-partitioned table of minute buckets called ``name``, made of ``buckets()`` the first time a session asks for it.
-
-    Dashboards read it, as they would the table that the stream of buckets keeps; a window
-    on ``bucket_start`` comes with one on ``day``, so that other days are not read.
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts its lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def version_of(spark, path: str) -> str:
+    """A digest of the files under ``path``: their names, sizes and times of change. It is another one after any write."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen, files = hashlib.sha1(path.encode()), fs.listFiles(p, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    for line in sorted(found):
+        seen.update(line.encode())
+    return seen.hexdigest()[:16]
+
+
+def stored_buckets(spark, source: str, buckets, folder: str | None = None) -> DataFrame:
+    """The day-partitioned table of minute buckets of the rows at ``source``, made by ``buckets()`` where it is missing.
+
+    The table lies in the shared folder, and a pointer file named after the version of its
+    source tells where: every session that sees the same files reads the same table, and
+    changed files make a new one, so that no dashboard shows what is no longer there. The
+    pointer is put in place by one rename after the table is whole; a build that is cut off,
+    or made twice at once, leaves a folder that nobody reads. A window on ``bucket_start``
+    comes with one on ``day``, so that other days are not read.
     """
-    key = f"shiftglass.buckets.{hashlib.sha1(name.encode()).hexdigest()[:16]}"
-    path = spark.conf.get(key, None)
-    if not path:
-        path = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
-        buckets().withColumn("day", F.to_date("bucket_start")).repartition("day").write.partitionBy("day").parquet(path)
-        spark.conf.set(key, path)
-    return spark.read.parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = folder or shared_dir(spark)
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/buckets-{version_of(spark, source)}.path")
+    fs = pointer.getFileSystem(conf)
+    if not fs.exists(pointer):
+        made = f"buckets-{uuid.uuid4().hex}"
+        buckets().withColumn("day", F.to_date("bucket_start")).repartition("day").write.partitionBy("day").parquet(f"{root}/{made}")
+        draft = jvm.org.apache.hadoop.fs.Path(f"{root}/{made}.path")
+        out = fs.create(draft, True)
+        out.writeUTF(made)
+        out.close()
+        fs.rename(draft, pointer)
+    told = fs.open(pointer)
+    name = told.readUTF()
+    told.close()
+    return spark.read.parquet(f"{root}/{name}")
 
 
 def merge_buckets(target: DataFrame, changes: DataFrame, key: tuple[str, ...] = ("org_id", "camera_id", "zone_id", "bucket_start")) -> DataFrame:

@@ -1,28 +1,21 @@
-"""Episodes of head counts, people lying still and missing equipment as windows; entries and sampling as machines.
+"""Episodes of head counts and people lying still as windows; sampling as a machine.
 
 An episode is a stretch that a short break does not end (gaps and islands); what is said of
 it follows from its first frames at which a rule is due. Only what depends on what was
-said before is folded: flags a minute apart, entries, sampled telemetry.
+said before is folded: flags a minute apart, sampled telemetry.
 """
 
 from __future__ import annotations
 
-import json
-from statistics import median
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Config
 from ..operators.frames import median_of
+from ..sources.sinks import kept_table
 from .machine import Machine
 
 FLAG, UNSURE, FINE = "POTENTIAL_VIOLATION", "UNVERIFIABLE", "COMPLIANT"
 
-
-def _decision(status: str, t: float, confidence: float, **evidence) -> dict:
-    return {"status": status, "t": round(float(t), 6), "confidence": 0.0 if status == UNSURE else round(min(1.0, confidence), 3), "evidence": json.dumps(evidence, sort_keys=True)}
-
-
 DECISION = "status string, t double, confidence double, evidence string"
 
 
@@ -60,11 +53,16 @@ def _judged(status: str, t: Column, confidence: Column, **evidence: Column) -> l
     return [F.lit(status).alias("status"), F.round(t, 6).alias("t"), F.round(F.least(F.lit(1.0), confidence), 3).alias("confidence"), told.alias("evidence")]
 
 
+def _at(t: Column) -> Column:
+    """When a decision fell, beside the time it is about."""
+    return F.round(t, 6).alias("decided")
+
+
 KINDS = ("LONE_WORKER", "OVER_CAPACITY", "EMPTY_ZONE")
 
 
 def occupancy(heads: DataFrame, keys: list[str], least: int | None = None, most: int | None = None, flag_empty: bool | None = None, config: Config | None = None) -> DataFrame:
-    """Too few or too many people in a zone, by the median of a short window: keys, status, t, confidence, evidence.
+    """Too few or too many people in a zone, by the median of a short window: keys, status, t, confidence, evidence, decided.
 
     ``heads``: keys, t, seen, clear, hidden (head counts of the zone in a frame). A situation
     must last the grace time and hold in the frame that judges it; if too few of the heads
@@ -109,7 +107,7 @@ def occupancy(heads: DataFrame, keys: list[str], least: int | None = None, most:
     late = late.join(unclear.select(*one), one, "left_semi")
     flags = _spaced(early.where(F.col("share") >= c.occupancy_clear).unionByName(late.where(F.col("share") >= c.occupancy_clear)), by, "judged", c.realert_after_s)
     evidence = {"people_seen": F.col("people"), "seconds": F.round(F.col("judged") - F.col("since"), 1), "clear_fraction": F.round("share", 3), "hidden_people": F.col("hidden"), "min_people": F.lit(least).cast("int"), "max_people": F.lit(most).cast("int")}
-    return flags.select(*keys, *_judged(FLAG, F.col("since"), F.col("share"), outcome=F.col("kind"), **evidence)).unionByName(unclear.select(*keys, *_judged(UNSURE, F.col("since"), F.lit(0.0), outcome=F.lit("CROWDED"), **evidence)))
+    return flags.select(*keys, *_judged(FLAG, F.col("since"), F.col("share"), outcome=F.col("kind"), **evidence), _at(F.col("judged"))).unionByName(unclear.select(*keys, *_judged(UNSURE, F.col("since"), F.lit(0.0), outcome=F.lit("CROWDED"), **evidence), _at(F.col("judged"))))
 
 
 def postures(bodies: DataFrame, keys: list[str], config: Config | None = None) -> DataFrame:
@@ -139,7 +137,7 @@ def postures(bodies: DataFrame, keys: list[str], config: Config | None = None) -
 
 
 def man_down(bodies: DataFrame, keys: list[str], seconds: float | None = None, config: Config | None = None) -> DataFrame:
-    """People lying still: keys, status, t, confidence, evidence.
+    """People lying still: keys, status, t, confidence, evidence, decided.
 
     An episode is flagged at the first frame ``seconds`` after its start by which 60 % of its frames
     are clearly down; if there is none within twice that time it is said once that it cannot be
@@ -166,110 +164,50 @@ def man_down(bodies: DataFrame, keys: list[str], seconds: float | None = None, c
 
     def said(found: DataFrame, at: str, status: str, outcome: str) -> DataFrame:
         evidence = {"outcome": F.lit(outcome), "seconds_down": F.round(F.col(at) - F.col("since"), 2), "frames": F.col("n"), "lying_fraction": F.round("share", 3), "torso_angle_deg": F.round(median_of(F.col("angles")), 1)}
-        return found.select(*keys, *_judged(status, F.col(at), F.col("share") if status == FLAG else F.lit(0.0), **evidence))
+        return found.select(*keys, *_judged(status, F.col(at), F.col("share") if status == FLAG else F.lit(0.0), **evidence), _at(F.col(at)))
 
     flags = read(rows, "flagged").unionByName(read(later, "flagged"))
     return said(flags, "flagged", FLAG, "LYING_STILL").unionByName(said(read(rows, "unsure"), "unsure", UNSURE, "UNCLEAR"))
 
 
-def continuous(looks: DataFrame, keys: list[str], grace_s: float | None = None, floor: float | None = None, config: Config | None = None) -> DataFrame:
-    """Equipment missing without a break: keys, status, t (the streak's start), confidence, evidence.
-
-    ``looks``: keys, t, state, support (of the absence), agrees (the newest frames too). A streak
-    is unbroken looks that are ABSENT with enough support; anything else breaks it. A streak that
-    lasts the grace time is flagged, unless the episode was (it ends when everything is surely
-    seen again) or its start lies within a minute of the last flag.
-    """
-    c = config or Config()
-    grace_s, floor = c.ppe_grace_s if grace_s is None else grace_s, c.support_floor if floor is None else floor
-    w = Window.partitionBy(*keys).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    absent = (F.col("state") == "ABSENT") & (F.col("support") >= floor)
-    rows = looks.withColumn("absent", F.coalesce(absent, F.lit(False)))
-    rows = rows.withColumn("episode", F.sum(F.coalesce((F.col("state") == "PRESENT") & F.col("agrees"), F.lit(False)).cast("int")).over(upto))
-    rows = rows.withColumn("streak", F.sum((~F.col("absent")).cast("int")).over(upto)).where("absent")
-    s = Window.partitionBy(*keys, "streak")
-    rows = rows.withColumn("since", F.min("t").over(s))
-    due = rows.where(F.col("t") - F.col("since") >= grace_s - 1e-9)
-    first = due.groupBy(*keys, "episode", "streak", "since").agg(F.min("t").alias("at"), F.min_by("support", "t").alias("support"))
-    # which streaks are flagged depends on the flags before: a fold over the few streaks that are due
-    order = F.array_sort(F.collect_list(F.struct("at", "since", "episode")))
-    none = F.struct(F.lit(None).cast("double").alias("last"), F.lit(-1).cast("long").alias("episode"), F.array().cast("array<double>").alias("kept"))
-    take = lambda a, x: (x["episode"] != a["episode"]) & (a["last"].isNull() | (x["since"] - a["last"] >= c.realert_after_s))
-    fold = F.aggregate(order, none, lambda a, x: F.when(take(a, x), F.struct(x["at"].cast("double").alias("last"), x["episode"].cast("long").alias("episode"), F.concat(a["kept"], F.array(x["at"].cast("double"))).alias("kept"))).otherwise(a))
-    kept = first.groupBy(*keys).agg(fold["kept"].alias("kept"))
-    flags = first.join(kept, keys).where(F.array_contains("kept", F.col("at")))
-    return flags.select(*keys, *_judged(FLAG, F.col("since"), F.col("support"), run_seconds=F.round(F.col("at") - F.col("since"), 3), decided_video_time_s=F.round("at", 3)))
-
-
-class PpeEntry(Machine):
-    """Equipment at entry. Rows: t, kind (ENTERED, EXITED or EVIDENCE), state, seen_fraction, empty_fraction, recent_fraction.
-
-    An entry waits for evidence up to 4 s: an item surely absent is flagged, all surely
-    present and also in the newest frames complies, anything else cannot be told, as cannot
-    an exit before. After a claim the worker's entries of the next 60 s pass unjudged.
-    """
-
-    def __init__(self, config: Config | None = None):
-        self.c = config or Config()
-
-    def start(self) -> dict:
-        return {"entered": None, "claimed": None}
-
-    def step(self, s: dict, row: dict) -> list[dict]:
-        t, kind = row["t"], row["kind"]
-        if kind == "ENTERED":
-            quiet = s["claimed"] is not None and t - s["claimed"] < self.c.realert_after_s
-            s["entered"] = None if quiet else t
-            return []
-        if s["entered"] is None:
-            return []
-        if kind == "EXITED":
-            return self._end(s, t, UNSURE, 0.0, "left before it could be judged")
-        late = t - s["entered"] >= self.c.evidence_wait_s - 1e-9
-        if row["state"] == "ABSENT" and row["empty_fraction"] >= self.c.support_floor:
-            return self._end(s, t, FLAG, row["empty_fraction"], "not worn")
-        if row["state"] == "PRESENT" and row["seen_fraction"] >= self.c.support_floor and (row["recent_fraction"] is None or row["recent_fraction"] >= self.c.support_floor):
-            return self._end(s, t, FINE, row["seen_fraction"], "worn")
-        return self._end(s, t, UNSURE, 0.0, "could not be told in time") if late else []
-
-    def finish(self, s: dict) -> list[dict]:
-        return [] if s["entered"] is None else self._end(s, s["entered"], UNSURE, 0.0, "the session ended")
-
-    def _end(self, s: dict, t: float, status: str, support: float, why: str) -> list[dict]:
-        d = _decision(status, t, support, why=why, entered_video_time_s=round(s["entered"], 3), waited_seconds=round(t - s["entered"], 3))
-        if status != UNSURE:
-            s["claimed"] = s["entered"]
-        s["entered"] = None
-        return [d]
-
-
 #: A fall along the line of sight, as shares of the standing measure: torso, torso against box, legs, box, feet.
 SHRUNK_TORSO, TORSO_TO_BOX, SHRUNK_LEGS, SHRUNK_BOX, SAME_FEET = 0.50, 0.80, 0.75, 0.65, 0.25
 STANDING_S, STANDING_FRAMES, STANDING_BOX = 10.0, 5, 0.85
+MEASURED = ("torso", "legs", "height", "feet")
 
 
-class Standing(Machine):
-    """Whether a person is much shorter than they stood before, on the same feet. Rows: t, torso, legs, height, feet (null if weak), upright.
+def collapsed(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """``bodies`` with collapsed: much shorter than the person stood before, on the same feet.
 
-    The standing measure is the median of the upright frames of the 10 s before the last of
-    them; which frames are, depends on the measure till then.
+    ``bodies``: keys, t, torso, legs, height, feet (null if weak) and upright. The standing
+    measure at a frame is the median, field by field, of the reference frames of the 10 s up
+    to the last one before it. Reference frames are upright, not collapsed and not short
+    against the measure so far: a fixed point, reached by marking all upright frames and
+    taking back those that fail until none does. Every round settles at least the first
+    frames still wrong, so it ends; it takes one round more than falls that were marked.
     """
-
-    def start(self) -> dict:
-        return {"held": []}
-
-    def step(self, s: dict, row: dict) -> list[dict]:
-        body, fallen = [row[k] for k in ("torso", "legs", "height", "feet")], False
-        if None in body or body[2] <= 0:
-            return [{"t": row["t"], "collapsed": False}]
-        usual = [median(x) for x in list(zip(*s["held"]))[1:]] if len(s["held"]) >= STANDING_FRAMES else None
-        if usual and min(usual[:3]) > 0:
-            torso, legs, box = (x / u for x, u in zip(body[:3], usual))
-            fallen = torso < min(SHRUNK_TORSO, TORSO_TO_BOX * box) and legs < SHRUNK_LEGS and box < SHRUNK_BOX and abs(body[3] - usual[3]) < SAME_FEET * usual[2]
-        if row["upright"] and not fallen and (usual is None or body[2] >= STANDING_BOX * usual[2]):
-            s["held"] = [x for x in s["held"] if row["t"] - x[0] <= STANDING_S] + [[row["t"], *body]]
-        return [{"t": row["t"], "collapsed": fallen}]
+    w = Window.partitionBy(*keys).orderBy("ms")
+    middle_of = lambda c: median_of(F.transform("lately", lambda x: x[c].cast("double"))).alias(c)
+    whole = F.coalesce(F.least(*[F.col(c).isNotNull().cast("int") for c in MEASURED]) == 1, F.lit(False)) & (F.col("height") > 0)
+    rows = bodies.withColumn("ms", F.round(F.col("t") * 1000).cast("long")).withColumn("able", whole & F.col("upright")).withColumn("marked", whole & F.col("upright"))
+    while True:
+        lately = F.collect_list(F.when(F.col("marked"), F.struct(*MEASURED))).over(w.rangeBetween(-round(STANDING_S * 1000), 0))
+        middle = F.struct(*map(middle_of, MEASURED))
+        measured = rows.withColumn("lately", F.when(F.col("marked"), lately))
+        measured = measured.withColumn("now", F.when(F.col("marked"), F.struct((F.size("lately") >= STANDING_FRAMES).alias("told"), middle.alias("usual"))))
+        last = F.last("now", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        seen = measured.withColumn("last", last).withColumn("u", F.when(F.col("last.told"), F.col("last.usual"))).drop("lately", "now", "last")
+        share = lambda c: F.when(F.least("u.torso", "u.legs", "u.height") > 0, F.col(c) / F.col(f"u.{c}"))
+        fallen = (
+            (share("torso") < F.least(F.lit(SHRUNK_TORSO), TORSO_TO_BOX * share("height"))) & (share("legs") < SHRUNK_LEGS)
+            & (share("height") < SHRUNK_BOX) & (F.abs(F.col("feet") - F.col("u.feet")) < SAME_FEET * F.col("u.height"))
+        )
+        judged = seen.withColumn("collapsed", whole & F.coalesce(fallen, F.lit(False)))
+        holds = F.col("able") & ~F.col("collapsed") & F.coalesce(F.col("height") >= STANDING_BOX * F.col("u.height"), F.lit(True))
+        judged = kept_table(judged.withColumn("holds", holds).drop("u"))
+        if judged.where("holds <> marked").isEmpty():
+            return judged.drop("ms", "able", "marked", "holds")
+        rows = judged.withColumn("marked", F.col("holds")).drop("holds", "collapsed")
 
 
 class Sampler(Machine):

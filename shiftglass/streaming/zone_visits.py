@@ -116,9 +116,18 @@ def zone_events(frames: DataFrame, config: Config | None = None, limits: dict[st
     fraction}. With ``close``, what is still open at a session's end is ended there, for
     ``reason``, without a confirmed exit. An event that only repeats the worker's last one is dropped.
     """
+    return zone_records(frames, config, limits, close, reason).select(*WHO, "event_type", "zone_id", "t", "details")
+
+
+def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[str, dict[float, float]] | None = None, close: bool = True, reason: str = "SESSION_END",
+                 reasons: DataFrame | None = None, tracked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``zone_events`` with when and rank: at what time an event is told (infinity: at the end) and its order there.
+
+    ``reasons`` (session, why) says why a session ended, where it is not ``reason``; ``tracked``
+    is what ``track`` gives for the same frames.
+    """
     c, seconds = config or Config(), lambda x: F.round(x, 3)
-    times = clock(frames, c)
-    rows = placed(frames, times, c)
+    times, rows = tracked or track(frames, c)
     known = presences(rows, times, c)
     stays_ = visits(rows, known)
     event = lambda kind, zone, t, details: (F.lit(kind).alias("event_type"), zone.alias("zone_id"), F.round(t, 6).alias("t"), details.alias("details"))
@@ -145,9 +154,11 @@ def zone_events(frames: DataFrame, config: Config | None = None, limits: dict[st
 
     end = F.greatest("last", "entered")
     if close:
-        found.append(stays_.where("reason IS NULL").select(
+        left_open = stays_.where("reason IS NULL")
+        left_open = left_open.withColumn("why", F.lit(reason)) if reasons is None else left_open.join(reasons, "session", "left").withColumn("why", F.coalesce("why", F.lit(reason)))
+        found.append(left_open.select(
             *WHO, "presence", F.lit(float("inf")).alias("when"), F.lit(4).alias("rank"),
-            *event("EXITED_ZONE", col("zone_id"), end, told(reason=F.lit(reason), unverifiable=F.lit(True), dwell_s=seconds(end - col("entered")), last_seen_s=seconds(end))),
+            *event("EXITED_ZONE", col("zone_id"), end, told(reason=col("why"), unverifiable=F.lit(True), dwell_s=seconds(end - col("entered")), last_seen_s=seconds(end))),
         ))
     marks = [(zone, float(limit), kind, share, at) for zone, of in (limits or {}).items() for limit, share in of.items() for kind, at in (("DWELL_WARNING", share * limit), ("DWELL_EXCEEDED", float(limit))) if kind == "DWELL_EXCEEDED" or share < 1]
     if marks:
@@ -165,17 +176,16 @@ def zone_events(frames: DataFrame, config: Config | None = None, limits: dict[st
         every = every.unionByName(x)
     order = Window.partitionBy(*WHO, "presence").orderBy("when", "rank", "t", "event_type", "details")
     this = F.struct("event_type", "zone_id", "details")
-    return every.withColumn("same", F.coalesce(F.lag(this).over(order) == this, F.lit(False))).where("NOT same").select(*WHO, "event_type", "zone_id", "t", "details")
+    return every.withColumn("same", F.coalesce(F.lag(this).over(order) == this, F.lit(False))).where("NOT same").select(*WHO, "when", "rank", "event_type", "zone_id", "t", "details")
 
 
-def hidden(frames: DataFrame, config: Config | None = None) -> DataFrame:
+def hidden(frames: DataFrame, config: Config | None = None, tracked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """session, zone, t, hidden: how many workers are settled inside a zone but not seen in a frame.
 
     A gap lasts eight seconds at most before the visit ends, so frames and gaps meet by whole seconds.
     """
     c = config or Config()
-    times = clock(frames, c)
-    rows = placed(frames, times, c)
+    times, rows = tracked or track(frames, c)
     w = Window.partitionBy(*WHO, "presence").orderBy("t")
     ends = times.groupBy("session").agg(F.max("t").alias("ends"))
     gaps = rows.select(*WHO, "home", F.col("t").alias("p"), F.lead("t").over(w).alias("q")).where(F.col("home") != OUTSIDE).join(ends, "session")
@@ -186,6 +196,14 @@ def hidden(frames: DataFrame, config: Config | None = None) -> DataFrame:
     return met.groupBy("session", F.col("home").alias("zone"), "t").agg(F.count("*").alias("hidden"))
 
 
+def track(frames: DataFrame, config: Config | None = None, times: DataFrame | None = None, keep=None) -> tuple[DataFrame, DataFrame]:
+    """The ``clock`` of the frames and the frames ``placed``. ``times`` (session, t) are all frames' times, where some show nobody;
+    ``keep`` stores both, for those who read them more than once."""
+    c, keep = config or Config(), keep or (lambda df: df)
+    clocked = keep(clock(frames if times is None else times, c))
+    return clocked, keep(placed(frames, clocked, c))
+
+
 def stays(events: DataFrame) -> DataFrame:
     """Visits out of events: entry, exit, how it ended and whether its length is whole."""
     w = Window.partitionBy("session", "worker").orderBy("t", F.desc("event_type"))

@@ -2,9 +2,12 @@
 
 import json
 
-from shiftglass.streaming import episodes
-from shiftglass.streaming.episodes import PpeEntry, Sampler, Standing
-from shiftglass.streaming.machine import run_batch
+import random
+from statistics import median
+
+from shiftglass.config import Config
+from shiftglass.streaming import episodes, equipment
+from shiftglass.streaming.episodes import Sampler
 
 
 def run(m, rows, close=False):
@@ -78,26 +81,111 @@ def test_a_fall_along_the_line_of_sight(spark):
     rows = [("a", k / 10, *stand, True) for k in range(20)] + [("a", 2 + k / 10, *fall, False) for k in range(150)]
     rows += [("b", k / 10, *fall, False) for k in range(20)] + [("c", k / 10, *stand, True) for k in range(20)] + [("c", 2.0, *[x / 2 for x in stand], False)]
     df = spark.createDataFrame(rows, "who string, t double, torso double, legs double, height double, feet double, upright boolean")
-    got = {(r["who"], r["t"]) for r in run_batch(df, Standing(), ["who"], ["t"], "who string, t double, collapsed boolean").where("collapsed").collect()}
+    got = {(r["who"], r["t"]) for r in episodes.collapsed(df, ["who"]).where("collapsed").collect()}
     assert got == {("a", 2 + k / 10) for k in range(150)}  # the measure is kept while nothing upright follows
 
 
-def look(t, state, recent=1.0):
-    return {"t": t, "kind": "EVIDENCE", "state": state, "seen_fraction": 0.95, "empty_fraction": 0.95, "recent_fraction": recent}
-
-
-def move(t, kind):
-    return {"t": t, "kind": kind, "state": None, "seen_fraction": None, "empty_fraction": None, "recent_fraction": None}
-
-
-def test_entry_outcomes():
-    status = lambda rows, **kw: [d["status"] for d in run(PpeEntry(), rows, **kw)]
-    assert status([move(0, "ENTERED"), look(0.5, "ABSENT")]) == ["POTENTIAL_VIOLATION"]
-    assert status([move(0, "ENTERED"), look(0.5, "PRESENT")]) == ["COMPLIANT"]
-    assert status([move(0, "ENTERED"), look(0.5, "PRESENT", 0.1), look(4.0, "PRESENT", 0.1)]) == ["UNVERIFIABLE"]
-    assert status([move(0, "ENTERED"), look(1, "UNVERIFIABLE"), move(2, "EXITED")]) == ["UNVERIFIABLE"]
-    assert status([move(0, "ENTERED")], close=True) == ["UNVERIFIABLE"]
-    assert status([move(0, "ENTERED"), look(1, "ABSENT"), move(30, "ENTERED"), look(31, "ABSENT"), move(90, "ENTERED"), look(91, "ABSENT")]) == ["POTENTIAL_VIOLATION"] * 2
+def test_the_standing_measure_frame_by_frame(spark):
+    """A walk over the frames that keeps the last ten seconds of reference frames gives the same."""
+    rng = random.Random(2)
+    rows, want = [], []
+    for who in range(12):
+        held, scale = [], 1.0
+        for k in range(90):
+            if rng.random() < 0.08:
+                scale = rng.choice([1.0, 1.0, 0.9, 0.7, 0.5, 0.3])
+            t, body = k * rng.choice([0.2, 0.4]) + who if k % 30 else k * 0.5 + who, None
+            t = round(max(t, rows[-1][1] + 0.1) if k and rows else t, 3)
+            if rng.random() < 0.95:
+                body = (60 * scale * rng.uniform(0.8, 1.1), 80 * scale * rng.uniform(0.8, 1.1), 180 * rng.choice([scale, scale**0.5]), 300 + rng.uniform(-30, 30))
+            upright = rng.random() < 0.7
+            fallen = False
+            if body:
+                usual = [median(x[i] for x in held) for i in range(1, 5)] if len(held) >= 5 else None
+                if usual:
+                    torso, legs, box = (body[i] / usual[i] for i in range(3))
+                    fallen = torso < 0.5 and torso < 0.8 * box and legs < 0.75 and box < 0.65 and abs(body[3] - usual[3]) < 0.25 * usual[2]
+                if upright and not fallen and not (usual and body[2] < 0.85 * usual[2]):
+                    held = [x for x in held if t - x[0] <= 10 + 1e-9] + [(t, *body)]
+            rows.append((who, t, *(body or (None,) * 4), upright))
+            want.append((who, t, fallen))
+    df = spark.createDataFrame(rows, "who int, t double, torso double, legs double, height double, feet double, upright boolean")
+    got = sorted((r["who"], r["t"], r["collapsed"]) for r in episodes.collapsed(df, ["who"]).collect())
+    assert got == sorted(want) and 5 < sum(x[2] for x in want)
+    assert episodes.collapsed(df.where("false"), ["who"]).count() == 0
+
+
+VISIT = "who string, entered double, left double, reason string, ends double"
+LOOK = "who string, t double, item string, state string, seen_fraction double, empty_fraction double, recent_fraction double"
+
+
+def looked(who, t, state, recent=1.0, item="helmet", support=0.95):
+    return (who, float(t), item, state, support, support, recent)
+
+
+def test_entry_outcomes(spark):
+    cases = {
+        "bare": ([(0, None)], [looked("", 0.5, "ABSENT")], ["POTENTIAL_VIOLATION"]),
+        "worn": ([(0, None)], [looked("", 0.5, "PRESENT")], ["COMPLIANT"]),
+        "at once": ([(1, None)], [looked("", 1, "PRESENT")], ["COMPLIANT"]),
+        "newest differ": ([(0, None)], [looked("", 0.5, "PRESENT", 0.1), looked("", 4, "PRESENT", 0.1)], ["UNVERIFIABLE"]),
+        "left": ([(0, 2)], [looked("", 1, "UNVERIFIABLE"), looked("", 2, "ABSENT")], ["UNVERIFIABLE"]),
+        "no looks": ([(0, None)], [], ["UNVERIFIABLE"]),
+        "weak, then sure": ([(0, None)], [looked("", 1, "ABSENT", support=0.5), looked("", 2, "ABSENT")], ["POTENTIAL_VIOLATION"]),
+        "weak to the end": ([(0, None)], [looked("", t, "ABSENT", support=0.5) for t in (1, 3, 5)], ["UNVERIFIABLE"]),
+        "one of two": ([(0, None)], [looked("", 1, "PRESENT"), looked("", 1, "ABSENT", item="safety_vest")], ["POTENTIAL_VIOLATION"]),
+        "one unclear": ([(0, None)], [looked("", t, "PRESENT") for t in (1, 4)] + [looked("", t, "UNVERIFIABLE", item="safety_vest") for t in (1, 4)], ["UNVERIFIABLE"]),
+        "late claim": ([(0, None)], [looked("", 4.5, "PRESENT")], ["COMPLIANT"]),
+        "soon again": ([(0, 10), (30, 40), (90, None)], [looked("", t, "ABSENT") for t in (1, 31, 91)], ["POTENTIAL_VIOLATION"] * 2),
+        "unsure, again": ([(0, 1), (30, 40)], [looked("", 31, "ABSENT")], ["UNVERIFIABLE", "POTENTIAL_VIOLATION"]),
+    }
+    visits = [(k, float(a), None if b is None else float(b), "LEFT", 100.0) for k, (v, _, _) in cases.items() for a, b in v]
+    looks = [(k, *x[1:]) for k, (_, v, _) in cases.items() for x in v]
+    got = {}
+    for r in equipment.entry_decisions(spark.createDataFrame(visits, VISIT), spark.createDataFrame(looks, LOOK), ["who"]).orderBy("t").collect():
+        got.setdefault(r["who"], []).append((r["status"], json.loads(r["evidence"])["why"], r["decided"]))
+    assert {k: [x[0] for x in v] for k, v in got.items()} == {k: v[2] for k, v in cases.items()}
+    assert got["one of two"] == [("POTENTIAL_VIOLATION", "no hi-vis vest seen", 1.0)] and got["worn"][0][1] == "hard hat seen" and got["left"][0][1:] == ("left before it could be judged", 2.0)
+    assert got["one unclear"][0][1] == "could not be told in time (safety_vest: not seen clearly enough)" and got["newest differ"][0][1] == "could not be told in time (helmet: not in the newest frames)"
+    assert got["weak to the end"][0][1:] == ("too little support for a claim", 5.0) and got["no looks"][0][1:] == ("the footage ended", 100.0)
+
+
+def test_entries_frame_by_frame(spark):
+    """Random looks: a walk over each worker's visits and frames says the same."""
+    rng, c = random.Random(6), Config()
+    visits, looks, want = [], [], []
+    for who in map(str, range(25)):
+        t, ends, mine = 0.0, 300.0, []
+        while t < ends - 20:
+            entered = round(t + rng.choice([1, 5, 20]), 1)
+            left = round(entered + rng.choice([0.5, 3, 6, 20]), 1)
+            mine.append((entered, left if left < ends else None))
+            t = left
+        frames = {round(x / 2, 1): [(i, rng.choice(["PRESENT", "ABSENT", "UNVERIFIABLE"]), rng.choice([0.5, 0.7, 0.9]), rng.choice([0.5, 0.7]), rng.choice([None, 0.4, 0.8])) for i in ("helmet", "safety_vest")] for x in range(600) if rng.random() < 0.5}
+        visits += [(who, a, b, "LEFT", ends) for a, b in mine]
+        looks += [(who, x, *v) for x, two in frames.items() for v in two]
+        claimed = None
+        for a, b in mine:
+            if claimed is not None and a - claimed < c.realert_after_s:
+                continue
+            said = ("UNVERIFIABLE", b if b is not None else ends)
+            for x in sorted(frames):
+                if x < a or (b is not None and x >= b):
+                    continue
+                absent = [v[3] for v in frames[x] if v[1] == "ABSENT"]
+                if absent and min(absent) >= 0.6:
+                    said = ("POTENTIAL_VIOLATION", x)
+                elif not absent and all(v[1] == "PRESENT" and (v[4] is None or v[4] >= 0.6) for v in frames[x]) and min(v[2] for v in frames[x]) >= 0.6:
+                    said = ("COMPLIANT", x)
+                elif x - a < 4 - 1e-9:
+                    continue
+                else:
+                    said = ("UNVERIFIABLE", x)
+                break
+            want.append((who, a, *said))
+            claimed = a if said[0] != "UNVERIFIABLE" else claimed
+    got = equipment.entry_decisions(spark.createDataFrame(visits, VISIT), spark.createDataFrame(looks, LOOK).repartition(3), ["who"]).collect()
+    assert sorted((r["who"], r["t"], r["status"], r["decided"]) for r in got) == sorted(want) and len({w[2] for w in want}) == 3
 
 
 def test_continuous_absence(spark):
@@ -113,11 +201,13 @@ def test_continuous_absence(spark):
     rows += looks("unclear between", ("ABSENT", 0.9, 4), ("UNVERIFIABLE", 0.0, 1), ("ABSENT", 0.9, 70))  # one episode
     rows += looks("weak", ("ABSENT", 0.3, 10)) + looks("broken", ("ABSENT", 0.9, 2), (None, None, 0.1), ("ABSENT", 0.9, 2))
     rows += looks("soon again", ("ABSENT", 0.9, 4), ("PRESENT", 1.0, 1), ("ABSENT", 0.9, 80)) + looks("later", ("ABSENT", 0.9, 4), ("PRESENT", 1.0, 60), ("ABSENT", 0.9, 4))
+    rows += [(w, t + (3600 if t > 2 else 0), *x) for w, t, *x in looks("out of view", ("ABSENT", 0.9, 4))]
+    rows += [(w, t + (1 if t > 1.05 else 0), *x) for w, t, *x in looks("away a moment", ("ABSENT", 0.9, 5))]
     df = spark.createDataFrame(rows, "who string, t double, state string, support double, agrees boolean")
     got = {}
-    for r in episodes.continuous(df, ["who"]).collect():
+    for r in equipment.continuous(df, ["who"]).collect():
         got.setdefault(r["who"], []).append(r["t"])
-    assert {k: sorted(v) for k, v in got.items()} == {"once": [1.0], "unclear between": [0.0], "soon again": [0.0], "later": [0.0, 64.0]}
+    assert {k: sorted(v) for k, v in got.items()} == {"once": [1.0], "unclear between": [0.0], "soon again": [0.0], "later": [0.0, 64.0], "away a moment": [2.1]}
 
 
 def test_sampling_keeps_changes_and_every_five_seconds():

@@ -23,16 +23,6 @@ def test_a_jump_back_begins_anew_and_what_was_shown_is_replay(spark):
     assert [r["reset"] for r in session.generations(arrived, 5.0).orderBy("n").collect()] == [None, None, "CAMERA_LOST", None]
 
 
-def test_records_come_in_order_and_not_from_replayed_frames(spark):
-    shown = spark.createDataFrame([("s", 0, 0.0, False), ("s", 1, 1.0, False), ("s", 2, 2.0, True)], "session string, n int, t double, replay boolean")
-    events = spark.createDataFrame([("s", 0.9, "entered"), ("s", 1.5, "again")], "session string, t double, what string")
-    decisions = spark.createDataFrame([("s", 0.5, "OCCUPANCY", "lone"), ("s", 0.95, "MAN_DOWN", "lies"), ("s", 0.7, "COMPLIANCE", "vest")], "session string, t double, stage string, what string")
-    got = session.said(events, decisions, shown).orderBy("place").collect()
-    assert [r["what"] for r in got] == ["entered", "vest", "lies", "lone"]
-    stays = spark.createDataFrame([("s", 1.0), ("s", 2.0)], "session string, entered double")
-    assert {r["entered"]: r["visit_started_in_replay"] for r in session.in_replay(stays, shown).collect()} == {1.0: False, 2.0: True}
-
-
 def test_speed_and_failures(spark):
     df = spark.range(9).withColumnRenamed("id", "frame")
     assert [r["frame"] for r in session.skipped(df, 2.0).orderBy("frame").collect()] == [0, 2, 4, 6, 8]
@@ -93,9 +83,18 @@ def test_bent_and_lying_bodies(spark):
 
     rows = [("lies", pose((100, 100), (40, 105), (170, 100)), [30.0, 80.0, 180.0, 120.0]), ("bends", pose((100, 100), (50, 90), (100, 180)), [40.0, 60.0, 120.0, 190.0]), ("stands", pose((100, 100), (100, 40), (100, 180)), [80.0, 20.0, 120.0, 190.0])]
     df = spark.createDataFrame(rows, "who string, kp array<struct<x:double,y:double,conf:double>>, box array<double>")
-    got = {r["who"]: (r["s"], r["l"]) for r in df.select("who", geometry.body_state(F.col("kp"), F.col("box")).alias("s"), geometry.legs_upright(F.col("kp")).alias("l")).collect()}
+    shaped = df.withColumn("shape", geometry.body_shape(F.col("kp"), F.col("box")))
+    got = {r["who"]: (r["s"], r["l"]) for r in shaped.select("who", geometry.posture_note(F.col("shape")).alias("s"), geometry.on_feet(F.col("shape")).alias("l")).collect()}
     assert got == {"lies": ("LYING", False), "bends": ("BENDING", True), "stands": (None, True)}
-    assert df.where("who = 'stands'").select(geometry.body_lengths(F.col("kp"), F.col("box")).alias("b")).first()["b"].asDict() == {"torso": 60.0, "legs": 80.0, "height": 170.0, "feet": 180.0}
+    stands = shaped.where("who = 'stands'").select("shape", geometry.standing(F.col("shape")).alias("up")).first()
+    assert stands["up"] and {k: stands["shape"][k] for k in ("lean", "torso", "legs", "height", "feet", "splay", "drop")} == {"lean": 0.0, "torso": 60.0, "legs": 80.0, "height": 170.0, "feet": 180.0, "splay": 0.0, "drop": 80.0}
+    knees = [(0.0, 0.0, 0.0)] * 17
+    for i, q in ((5, (100, 40)), (6, (100, 40)), (11, (100, 100)), (12, (100, 100)), (13, (100, 125)), (14, (100, 125))):
+        knees[i] = (*map(float, q), 0.9)
+    kp = "who string, kp array<struct<x:double,y:double,conf:double>>, box array<double>"
+    few = spark.createDataFrame([("knees", knees, [60.0, 20.0, 140.0, 190.0]), ("none", [(0.0, 0.0, 0.0)] * 17, [60.0, 20.0, 140.0, 20.0])], kp).withColumn("s", geometry.body_shape(F.col("kp"), F.col("box")))
+    got = {r["who"]: r for r in few.select("who", "s", geometry.on_feet(F.col("s")).alias("l"), geometry.standing(F.col("s")).alias("up"), geometry.posture_note(F.col("s")).alias("n")).collect()}
+    assert got["knees"]["l"] is False and got["knees"]["s"]["legs"] is None and got["none"]["l"] is None and not got["none"]["up"] and got["none"]["n"] is None and got["none"]["s"]["height"] is None
 
 
 def test_slugs_meet_each_other(spark):

@@ -18,7 +18,7 @@ def test_every_frame_has_head_counts(spark):
         inside = [z for z, _, a, b, c, d in scenes.ZONES if a < x < c and b < y < d]
         if inside:
             want[r["frame"], inside[0]] += 1
-    got = scenes.QUERIES["zone_head_counts_all"](spark, SF_DIR).collect()
+    got = scenes.QUERIES["zone_head_counts"](spark, SF_DIR).collect()
     assert {(r["frame"], r["zone_id"]): r["n"] for r in got} == dict(want) and len(got) == len(want)
 
 
@@ -30,7 +30,7 @@ def test_every_organisation_has_an_overview(spark):
     for r in found:
         last[r["worker_key"]] = max(last.get(r["worker_key"], r["observed_at"]), r["observed_at"])
     names = [f"trk-{r['org_id']}" for r in orgs]
-    got = scenes.QUERIES["platform_overview_all"](spark, SF_DIR).collect()
+    got = scenes.QUERIES["platform_overview"](spark, SF_DIR).collect()
     assert sorted((r["org_id"], r["decisions"], r["open_alerts"], r["events"], str(r["last_decision"])) for r in got) == sorted((k, n[k], pending[k], events[k], str(last.get(k))) for k in names)
     assert any(int(k[4:]) >= 60 for k in names)
 
@@ -44,8 +44,8 @@ def test_nearest_hash_searches_every_other_row(spark):
     rows = scenes.hashes(spark, SF_DIR).collect()
     want = closest(rows, [r for r in rows if r["id"] % 100 == 0])
     assert any(i % 25 == 0 for _, _, i in want)
-    assert sorted(map(tuple, scenes.QUERIES["nearest_hash_all"](spark, SF_DIR).collect())) == want
-    found = scenes.QUERIES["near_duplicate_summary_all"](spark, SF_DIR).first()
+    assert sorted(map(tuple, scenes.QUERIES["nearest_hash"](spark, SF_DIR).collect())) == want
+    found = scenes.QUERIES["near_duplicate_summary"](spark, SF_DIR).first()
     assert (found["n"], found["identical"], found["near"]) == (len(want), sum(d <= 0 for _, d, _ in want), sum(d <= 6 for _, d, _ in want))
 
 
