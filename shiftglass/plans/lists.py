@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import records
 from ..sources import domain
 from ..sources.domain import sql
+from ..streaming import sync
 
 NOW = "1998-06-01 00:00:00"
 
@@ -33,6 +34,14 @@ def _trail(s, p):
     return records.audit_trail(window(D(s, p), "1998-01-01", "1998-04-01"), window(E(s, p), "2024-01-05", "2024-01-12"), Z(s, p), C(s, p))
 
 
+def _purged(s, p):
+    """Local decisions, two of three synced within forty days: how many stay and go, by organisation."""
+    synced = F.when(F.col("id") % 3 > 0, F.col("observed_at") + F.make_interval(days=(F.col("id") % 40).cast("int")))
+    stays, goes = sync.purged(D(s, p).select("id", "org_id", F.col("observed_at").alias("created_at"), synced.alias("synced_at")), NOW, 7, 900)
+    both = stays.withColumn("goes", F.lit(False)).unionByName(goes.withColumn("goes", F.lit(True)))
+    return both.groupBy("org_id", "goes").agg(F.count("*").alias("n"), F.min("created_at").alias("first"))
+
+
 QUERIES = {
     "tenant_filter": lambda s, p: records.tenant(D(s, p), callers(s, p)).groupBy("org_id", "status").agg(F.count("*").alias("n")),
     "tenant_without_deleted": lambda s, p: records.tenant(D(s, p), D(s, p).select("org_id").distinct(), callers(s, p)).select(*SOME),
@@ -53,6 +62,7 @@ QUERIES = {
     "session_rules": lambda s, p: records.session_rules(Z(s, p), rules(s, p)),
     "retention_survivors": lambda s, p: records.keep_decisions(D(s, p), A(s, p), NOW, 90).select(*SOME),
     "retention_purge_counts": lambda s, p: records.purge_counts(D(s, p), A(s, p), NOW, 90),
+    "purged_local": _purged,
     "retention_preview": lambda s, p: D(s, p).where(F.col("observed_at") < F.lit(NOW).cast("timestamp") - F.make_dt_interval(F.lit(365))).agg(F.count("*").alias("older")),
     "status_tally": lambda s, p: D(s, p).groupBy("status").agg(F.count("*").alias("n")),
     "review_queue": lambda s, p: records.page(records.where_equal(D(s, p), review_state="PENDING"), 25, 0).select(*SOME),
@@ -96,6 +106,9 @@ FROM decisions LEFT JOIN cameras USING (camera_id) LEFT JOIN zones USING (zone_i
     "session_rules": sql(f"WITH {RULES}, {UNCOVERED} SELECT rule_id AS rule_key, zone_id, type, 'rule' AS source FROM rules WHERE enabled UNION ALL {DEFAULTS} UNION ALL {MAN_DOWN}", "zones"),
     "retention_survivors": sql(f"WITH {KEEP} SELECT {S} FROM keep", "decisions", "actions"),
     "retention_purge_counts": sql(f"WITH {KEEP} SELECT org_id, count(*) AS purged FROM decisions WHERE id NOT IN (SELECT id FROM keep) GROUP BY 1", "decisions", "actions"),
+    "purged_local": sql(f"""SELECT org_id, goes, count(*) AS n, min(created_at) AS first FROM (
+SELECT org_id, observed_at AS created_at, coalesce(synced_at < TIMESTAMP '{NOW}' - INTERVAL 7 DAY OR (synced_at IS NULL AND observed_at < TIMESTAMP '{NOW}' - INTERVAL 900 DAY), false) AS goes
+FROM (SELECT *, CASE WHEN id % 3 > 0 THEN observed_at + to_days(CAST(id % 40 AS INTEGER)) END AS synced_at FROM decisions)) GROUP BY ALL""", "decisions"),
     "retention_preview": sql(f"SELECT count(*) AS older FROM decisions WHERE observed_at < TIMESTAMP '{NOW}' - INTERVAL 365 DAY", "decisions"),
     "status_tally": sql("SELECT status, count(*) AS n FROM decisions GROUP BY 1", "decisions"),
     "review_queue": sql(f"SELECT {S} FROM decisions WHERE review_state = 'PENDING' ORDER BY observed_at DESC, id DESC LIMIT 25", "decisions"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import buckets, dashboards
 from ..sources import domain, sinks
+from ..streaming import sync
 
 SINCE, UNTIL, NOW = "2024-01-03 00:00:00", "2024-01-20 00:00:00", "2024-01-15 12:34:56"
 
@@ -30,6 +31,26 @@ def _zone_names(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, d).select("zone_id").distinct().where("zone_id <> 'error'").withColumn("zone_name", F.initcap("zone_id"))
 
 
+SYNCED = "2024-02-01 00:00:00"
+
+
+def _versioned(spark: SparkSession, d: str) -> DataFrame:
+    """The local bucket table: organisations with ids of the target's shape, two of three minutes sent; then late changes, and some rows again as they were."""
+    org = F.concat(F.lit("00000000-0000-0000-0000-00000000000"), F.substring("org_id", -1, 1))
+    now = _buckets(spark, d).withColumn("org_id", F.when(F.col("zone_id") == "error", F.col("org_id")).otherwise(org))
+    table = now.withColumn("version", F.lit(1).cast("long")).withColumn("synced_at", F.when(F.minute("bucket_start") % 3 > 0, F.lit(SYNCED).cast("timestamp")))
+    late = now.where("minute(bucket_start) % 10 = 3")
+    changes = late.withColumn("sample_frames", F.col("sample_frames") + F.when(F.col("sample_frames") % 2 == 0, 5).otherwise(0)).unionByName(late.where("minute(bucket_start) = 13").withColumn("bucket_start", F.expr("bucket_start + INTERVAL 100 DAYS")))
+    return sync.upserted(table, changes)
+
+
+def _stamped(spark: SparkSession, d: str) -> DataFrame:
+    """What was unsynced has been sent, but for one camera's rows; some changed in between."""
+    table = _versioned(spark, d)
+    sent = sync.unsynced(table).where("camera_id <> 'cam-1'").withColumn("version", F.col("version") - F.when(F.col("unique_track_count") % 5 == 0, 1).otherwise(0))
+    return sync.stamped(table, sent, "2024-03-01 00:00:00")
+
+
 NAMES_SQL = "zone_names AS (SELECT DISTINCT event_type AS zone_id, upper(event_type[1]) || event_type[2:] AS zone_name FROM events WHERE event_type <> 'error')"
 BUCKETS_SQL = """rows_ AS (SELECT *, date_trunc('minute', ts) AS bucket_start, date_trunc('second', ts) AS s FROM telemetry WHERE ts IS NOT NULL),
 sec AS (SELECT org_id, camera_id, zone_id, bucket_start, s, count(DISTINCT track_id) AS people FROM rows_ GROUP BY ALL),
@@ -45,8 +66,8 @@ buckets AS (SELECT cnt.org_id, cnt.camera_id, cnt.zone_id, cnt.bucket_start, CAS
   FROM cnt JOIN occ USING (org_id, camera_id, zone_id, bucket_start) LEFT JOIN st USING (org_id, camera_id, zone_id, bucket_start))"""
 
 
-def _sql(body: str, names: bool = False) -> str:
-    return domain.sql(f"WITH {BUCKETS_SQL}{', ' + NAMES_SQL if names else ''} {body}", "telemetry")
+def _sql(body: str, names: bool = False, more: str = "") -> str:
+    return domain.sql(f"WITH {BUCKETS_SQL}{', ' + NAMES_SQL if names else ''}{', ' + more if more else ''} {body}", "telemetry")
 
 
 def _dec(x: str, n: int) -> str:
@@ -68,6 +89,9 @@ QUERIES = {
     "minute_buckets": lambda s, d: _buckets(s, d),
     "minute_buckets_closed": lambda s, d: buckets.minute_buckets(buckets.closed_window(domain.telemetry(s, d), NOW)),
     "merged_buckets": lambda s, d: sinks.merge_buckets(_buckets(s, d), _late(s, d)),
+    "versioned_buckets": _versioned,
+    "unsynced_buckets": lambda s, d: sync.unsynced(_versioned(s, d)),
+    "stamped_buckets": lambda s, d: _stamped(s, d).select(*sync.KEY, "version", "synced_at"),
     "dashboard_overview": lambda s, d: dashboards.overview(_stored(s, d), _zone_names(s, d), SINCE, UNTIL),
     "dashboard_trend_hour": lambda s, d: dashboards.trend(_stored(s, d), SINCE, UNTIL),
     "dashboard_trend_day": lambda s, d: dashboards.trend(_stored(s, d), SINCE, UNTIL, "day"),
@@ -77,11 +101,20 @@ QUERIES = {
     "floor_heatmap": lambda s, d: buckets.floor_heatmap(domain.telemetry(s, d)),
 }
 
+VERSIONED = """orgs AS (SELECT * REPLACE (CASE WHEN zone_id = 'error' THEN org_id ELSE '00000000-0000-0000-0000-00000000000' || right(org_id, 1) END AS org_id) FROM buckets),
+versioned AS (SELECT * REPLACE (CAST(sample_frames + CASE WHEN hit THEN 5 ELSE 0 END AS INTEGER) AS sample_frames) EXCLUDE (hit), CAST(CASE WHEN hit THEN 2 ELSE 1 END AS BIGINT) AS version,
+  CASE WHEN NOT hit AND minute(bucket_start) % 3 > 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS synced_at FROM (SELECT *, minute(bucket_start) % 10 = 3 AND sample_frames % 2 = 0 AS hit FROM orgs)
+  UNION ALL SELECT * REPLACE (bucket_start + INTERVAL 100 DAY AS bucket_start), CAST(1 AS BIGINT), NULL FROM orgs WHERE minute(bucket_start) = 13)"""
+UNSENT = "synced_at IS NULL AND zone_id <> 'error'"
 PCT = "100.0 * sum({p}_frames) / nullif(sum(sitting_frames) + sum(standing_frames) + sum(walking_frames), 0)"
 ORACLE_SQL = {
     "minute_buckets": _sql("SELECT * FROM buckets"),
     "minute_buckets_closed": _sql("SELECT * FROM buckets WHERE bucket_start < TIMESTAMP '2024-01-15 12:32:00' AND bucket_start >= TIMESTAMP '2024-01-14 12:32:00'"),
     "merged_buckets": _sql("SELECT * REPLACE (sample_frames + CASE WHEN minute(bucket_start) % 10 = 3 THEN 5 ELSE 0 END AS sample_frames) FROM buckets UNION ALL SELECT * REPLACE (bucket_start + INTERVAL 100 DAY AS bucket_start, sample_frames + 5 AS sample_frames) FROM buckets WHERE minute(bucket_start) = 13"),
+    "versioned_buckets": _sql("SELECT * FROM versioned", more=VERSIONED),
+    "unsynced_buckets": _sql(f"SELECT * FROM versioned WHERE {UNSENT}", more=VERSIONED),
+    "stamped_buckets": _sql(f"""SELECT org_id, camera_id, zone_id, bucket_start, version,
+CASE WHEN {UNSENT} AND camera_id <> 'cam-1' AND unique_track_count % 5 <> 0 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE synced_at END AS synced_at FROM versioned""", more=VERSIONED),
     "dashboard_overview": _sql(
         f"""SELECT count(*) > 0 AS has_data, CAST(coalesce(sum(unique_track_count), 0) AS BIGINT) AS people, count(DISTINCT zone_id) AS zones_active,
 {_dec(f"CAST({SCORE} AS DOUBLE) / nullif(sum(greatest(sample_frames, 1)), 0)", 1)} AS avg_activity,

@@ -2,9 +2,13 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from shiftglass.config import Config
 from shiftglass.streaming import live, zone_visits
 
 A_DASH = [("A" if k % 2 else "-", 0.1) for k in range(80)]
@@ -132,20 +136,105 @@ def test_who_is_inside_but_not_seen_is_hidden(frames):
     assert ("lost", 11.9) in got and ("lost", 12.0) not in got and ("two visits", 8.0) not in got
 
 
-def test_a_stream_tells_the_same_and_closes_lost_cameras(spark, frames, tmp_path):
-    names, start = ("two visits", "lost and back", "dwell", "end"), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-    rows = [(*r, start + dt.timedelta(seconds=r[2] + (0 if n == "end" else 5))) for n in names for r in walk(n)]
-    rows = [r if r[0] != "two visits" or r[2] < 16.9 else (*r[:4], r[4]) for r in rows]
+def by_hand(rows, limits=None, reason=None):
+    """The rows of a session, frame by frame, in this process."""
+    session, workers, out = live.Session(Config(), limits), {}, []
+    times = sorted({r[2] for r in rows})
+    at = {}
+    for _, w, t, z in rows:
+        if w is not None:
+            at.setdefault(t, {})[w] = z or ""
+    for t in times:
+        out += session.frame(t, at.get(t, {}), workers)
+    return out + (session.close(workers, reason) if reason else [])
+
+
+def same(got, want):
+    key = lambda x: (x[0], x[3], x[1], str(x))
+    flat = lambda rows: sorted(((w, e, z, t, json.dumps(json.loads(d), sort_keys=True)) for w, e, z, t, d in rows), key=key)
+    assert flat(got) == flat(want)
+
+
+def test_frame_by_frame_is_the_same_as_windows(frames):
+    want = {name: [] for name in WALKS}
+    for r in zone_visits.zone_events(frames, limits=LIMITS, reason="CAMERA_LOST").collect():
+        want[r["session"]].append((r["worker"], r["event_type"], r["zone_id"], r["t"], r["details"]))
+    for name in WALKS:
+        same(by_hand(walk(name), LIMITS, "CAMERA_LOST"), want[name])
+
+
+def test_random_walks_frame_by_frame(spark):
+    """Forty sessions of random places, gaps and frame rates: windows over all rows and one pass over the frames agree."""
+    rng, rows = random.Random(3), []
+    for s in range(40):
+        t, at = 0.0, {w: ("A", 0.0) for w in "uvw"}
+        step = rng.choice([0.1, 0.2, 0.5])
+        while t < 90:
+            for w in at:
+                if t >= at[w][1]:
+                    at[w] = (rng.choice(["A", "B", "C", "-", "?", "C"]), t + rng.choice([0.3, 0.8, 1.2, 3, 6, 9, 14, 70 if s % 5 == 0 else 2]))
+                if at[w][0] != "?":
+                    rows.append((f"s{s}", w, round(t, 3), None if at[w][0] == "-" else at[w][0]))
+            rows.append((f"s{s}", "eye", round(t, 3), None))
+            t += step * rng.choice([1, 1, 1, 1, 2, 4])
+    df = spark.createDataFrame(rows, "session string, worker string, t double, zone string").repartition(4)
+    limits = {"A": {5.0: 0.8}, "C": {2.0: 0.5, 6.0: 1.0}}
+    want = {}
+    for r in zone_visits.zone_events(df, limits=limits).collect():
+        want.setdefault(r["session"], []).append((r["worker"], r["event_type"], r["zone_id"], r["t"], r["details"]))
+    for s in range(40):
+        same(by_hand([r for r in rows if r[0] == f"s{s}"], limits, "SESSION_END"), want[f"s{s}"])
+
+
+START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def drained(stream, path, **how):
+    query = live.run(stream, f"{path}/out", f"{path}/cp", limits=LIMITS, **how).trigger(availableNow=True).start()
+    assert query.awaitTermination(300) and query.exception() is None
+    return query
+
+
+def test_a_stream_tells_the_same_and_timers_close_lost_cameras(spark, frames, tmp_path):
+    names = ("two visits", "lost and back", "dwell", "end")
+    rows = [(*r, START + dt.timedelta(seconds=r[2] + (0 if n == "end" else 3))) for n in names for r in walk(n)]
+    rows += [("later", None, float(k), None, START + dt.timedelta(seconds=k)) for k in range(40)]
     table = spark.createDataFrame(rows, live.FRAME)
     for i, (a, b) in enumerate(((0, 6), (6, 11), (11, 99))):
-        table.where(f"t >= {a} AND t < {b}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        table.where(f"t >= {a} AND t < {b}").orderBy(F.rand(i)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(live.FRAME).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    query = live.run(stream, f"{tmp_path}/out", f"{tmp_path}/cp", limits=LIMITS).trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    assert query.exception() is None
-    got = told(spark.read.parquet(f"{tmp_path}/out/events").collect())
-    want = told(zone_visits.zone_events(frames.where(f"session IN {names}"), limits=LIMITS, close=False).collect())
-    end = got.pop("end")
-    assert end[-1][0] == "EXITED_ZONE" and end[-1][3]["reason"] == "CAMERA_LOST" and len(end) == 2
-    want.pop("end")
-    assert {k: sorted(map(str, v)) for k, v in got.items()} == {k: sorted(map(str, v)) for k, v in want.items()}
+    drained(stream, tmp_path)
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out/events").collect():
+        got.setdefault(r["session"], []).append((r["worker"], r["event_type"], r["zone_id"], r["t"], r["details"]))
+    # every session but the last fell silent, and its timer ended it with no row of its own
+    for n in names:
+        same(got[n], by_hand(walk(n), LIMITS, "CAMERA_LOST"))
+    assert "later" not in got and sorted(x[1] for x in got["end"]) == ["ENTERED_ZONE", "EXITED_ZONE"]
+
+
+def test_state_does_not_grow_with_a_session(spark, tmp_path):
+    """Ten batches of one session in which workers come and go: rows of state stay those of the workers in view."""
+    rows = [("s", f"w{k // 100}", round(k / 10, 1), "A" if k % 100 < 60 else None, START + dt.timedelta(seconds=k / 10)) for k in range(6000)]
+    for i in range(10):
+        spark.createDataFrame(rows[i * 600 : i * 600 + 600], live.FRAME).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(live.FRAME).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = drained(stream, tmp_path)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["numInputRows"]]
+    assert len(states) == 10 and max(states[3:]) <= max(states[1:4]) + 2
+    assert spark.read.parquet(f"{tmp_path}/out/events").where("event_type = 'ENTERED_ZONE'").count() == 60
+
+
+def test_the_wall_clock_closes_a_session_without_any_row(spark, tmp_path):
+    rows = [(*r, START) for r in walk("end")]
+    spark.createDataFrame(rows, live.FRAME).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    query = live.run(spark.readStream.schema(live.FRAME).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/cp", lost_s=1.0, by_clock=True).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            events = spark.read.schema(zone_visits.SCHEMA).parquet(f"{tmp_path}/out/events").collect() if any((tmp_path / "out" / "events").glob("*.parquet")) else []
+            if any("CAMERA_LOST" in r["details"] for r in events):
+                break
+    finally:
+        query.stop()
+    assert [r["event_type"] for r in sorted(events, key=lambda r: r["t"])] == ["ENTERED_ZONE", "EXITED_ZONE"] and query.exception() is None
