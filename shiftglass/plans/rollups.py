@@ -102,7 +102,7 @@ QUERIES = {
 }
 
 VERSIONED = """orgs AS (SELECT * REPLACE (CASE WHEN zone_id = 'error' THEN org_id ELSE '00000000-0000-0000-0000-00000000000' || right(org_id, 1) END AS org_id) FROM buckets),
-versioned AS (SELECT * REPLACE (CAST(sample_frames + CASE WHEN hit THEN 5 ELSE 0 END AS INTEGER) AS sample_frames) EXCLUDE (hit), CAST(CASE WHEN hit THEN 2 ELSE 1 END AS BIGINT) AS version,
+versioned AS (SELECT * EXCLUDE (hit) REPLACE (CAST(sample_frames + CASE WHEN hit THEN 5 ELSE 0 END AS INTEGER) AS sample_frames), CAST(CASE WHEN hit THEN 2 ELSE 1 END AS BIGINT) AS version,
   CASE WHEN NOT hit AND minute(bucket_start) % 3 > 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS synced_at FROM (SELECT *, minute(bucket_start) % 10 = 3 AND sample_frames % 2 = 0 AS hit FROM orgs)
   UNION ALL SELECT * REPLACE (bucket_start + INTERVAL 100 DAY AS bucket_start), CAST(1 AS BIGINT), NULL FROM orgs WHERE minute(bucket_start) = 13)"""
 UNSENT = "synced_at IS NULL AND zone_id <> 'error'"
