@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import END_TOKEN, U, Scratch, flat, freed, mix, pack, slices, word_hashes
 
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 3 << 19
 RANGE_KEYS = 2_000_000
 THETA = 1.0
 BURN_IN = 3
@@ -478,6 +478,7 @@ class Model:
         parent's the same of its customers in the first state; strengths are ``THETA``.
         """
         self.count_words()
+        freed(self.spark)
         self.count_bigrams()
         freed(self.spark)
         self.sums, self.kept = [], []
