@@ -6,7 +6,7 @@ insufficient evidence is a result of its own and never counts as either side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rounding import ratio, rounded
 from ..vocabulary import PPE_RULES
@@ -161,6 +161,91 @@ def summary(decisions: DataFrame) -> DataFrame:
     ).withColumn("confirmed_share_of_reviewed", ratio(F.col("confirmed"), F.col("confirmed") + F.col("dismissed"), 3))
 
 
+#: Counters of every section of the document, by the fields they fill there.
+_REVIEWED = {"flagged": FLAG, "confirmed": f"{FLAG} AND {YES}", "dismissed": f"{FLAG} AND {NO}", "pending": f"{FLAG} AND {OPEN}", "could_not_verify": UNSURE}
+_HEADLINE = {
+    "decisions": "true", "compliant": FINE, "flagged_by_system": FLAG, "insufficient_evidence": UNSURE, "confirmed": f"{FLAG} AND {YES}", "dismissed": f"{FLAG} AND {NO}", "pending": f"{FLAG} AND {OPEN}",
+    "insufficient_confirmed": f"{UNSURE} AND {YES}", "insufficient_dismissed": f"{UNSURE} AND {NO}",
+}
+_PPE = {"flagged": FLAG, "missing_helmet": f"{FLAG} AND helmet", "missing_vest": f"{FLAG} AND vest", "missing_both": f"{FLAG} AND helmet AND vest", "could_not_verify": UNSURE, "compliant": FINE}
+_OCCUPANCY = {f"{n}_{k}": f"{FLAG} AND outcome = '{n.upper()}' AND {c}" for n in ("lone_worker", "over_capacity") for k, c in (("flagged", "true"), ("confirmed", YES), ("dismissed", NO), ("pending", OPEN))} | {"could_not_verify": UNSURE}
+_RULES = {"ppe": (PPE_RULES, _PPE), "man_down": (("MAN_DOWN",), _REVIEWED), "occupancy": (("OCCUPANCY",), _OCCUPANCY)}
+_COUNTS = {"decisions": "decisions", "compliant": "compliant", "flagged": "flagged_by_system", "insufficient_evidence": "insufficient_evidence", "confirmed": "confirmed", "dismissed": "dismissed", "pending": "pending"}
+_SETS = ("rule_type", "zone_id", "zone", "camera_id", "camera", "hour", "day", "state", "reason")
+
+
+def document(decisions: DataFrame, events: DataFrame, actions: DataFrame, zones: DataFrame, cameras: DataFrame, since: str, until: str, tz: str, today: str, top: int = 100, top_stays: int = 50) -> DataFrame:
+    """One row, doc: the whole report of a window as one JSON object with null fields kept.
+
+    Decisions are read once: every section is a grouping set of one aggregation, and the
+    groups (one a rule, zone, camera, hour, day and review reason; zones and cameras up to
+    ``top``, most flags first) are put together by one more. Events and actions are read
+    once each. Hours and days without decisions count 0; an empty window has zeros, empty
+    arrays and null rates.
+    """
+    at = lambda c: F.from_utc_timestamp(c, tz)
+    named = named_zones(decisions, zones).join(cameras, "camera_id", "left")
+    rows = named.select(
+        "status", "review_state", "rule_type", "zone_id", F.col("zone_name").alias("zone"), "camera_id", F.coalesce("camera_name", F.lit("(camera no longer available)")).alias("camera"),
+        F.hour(at("observed_at")).alias("hour"), F.to_date(at("observed_at")).alias("day"), F.when(F.expr(f"{YES} OR {NO}"), F.col("review_state")).alias("state"), F.coalesce("review_reason", F.lit("NONE")).alias("reason"),
+        (item_state("helmet") == "ABSENT").alias("helmet"), (item_state("safety_vest") == "ABSENT").alias("vest"), F.get_json_object("evidence", "$.outcome").alias("outcome"), F.col("rule_type").alias("rule"),
+    )
+    measures = counts(**_HEADLINE)
+    for part, (rules, fields) in _RULES.items():
+        kinds = ", ".join(f"'{r}'" for r in rules)
+        measures += counts(**{f"{part}_{k}": f"rule IN ({kinds}) AND {c}" for k, c in fields.items()})
+    sets = [[], ["rule_type"], ["zone_id", "zone"], ["camera_id", "camera"], ["hour"], ["day"], ["state", "reason"]]
+    found = rows.groupingSets([[F.col(c) for c in s] for s in sets], *_SETS).agg(F.grouping_id().alias("g"), *measures)
+    bit = {c: 1 << (len(_SETS) - 1 - i) for i, c in enumerate(_SETS)}
+    which = {tuple(s): sum(b for c, b in bit.items() if c not in s) for s in sets}
+    part = F.coalesce(*[F.when(F.col("g") == g, F.lit(s[0] if s else "all")) for s, g in which.items()])
+    # the first zones and cameras; other sections are whole
+    order = Window.partitionBy("part").orderBy(F.desc("flagged_by_system"), F.desc("decisions"), F.coalesce("zone", "camera"), F.coalesce("zone_id", "camera_id"))
+    found = found.withColumn("part", part).withColumn("place", F.row_number().over(order)).where((F.col("place") <= top) | ~F.col("part").isin("zone_id", "camera_id"))
+
+    one = lambda value: F.first(F.when(F.col("part") == "all", value), ignorenulls=True)
+    zero = lambda names: F.struct(*[F.lit(0).cast("long").alias(k) for k in names])
+    fields = lambda names: F.struct(*[F.col(v).alias(k) for k, v in names.items()])
+
+    def array(name: str, keys: list[Column], value: Column, cond: Column | None = None) -> Column:
+        here = F.col("part") == name if cond is None else (F.col("part") == name) & cond
+        return F.transform(F.array_sort(F.collect_list(F.when(here, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], value.alias("o"))))), lambda x: x["o"])
+
+    listed = lambda *names: F.struct(*[F.col(c) for c in names], *[F.col(v).alias(k) for k, v in _COUNTS.items()])
+    most = [-F.col("flagged_by_system"), -F.col("decisions")]
+    start, end = F.to_date(at(F.lit(since).cast("timestamp"))), F.to_date(at(F.lit(until).cast("timestamp") - F.expr("INTERVAL '0.000001' SECOND")))
+    by = lambda name, value: F.map_from_entries(F.collect_list(F.when(F.col("part") == name, F.struct(F.col(name), value))))
+    hour, day = {"decisions": "decisions", "flagged": "flagged_by_system"}, {"decisions": "decisions", "compliant": "compliant", "flagged": "flagged_by_system", "insufficient": "insufficient_evidence"}
+    put = found.groupBy().agg(
+        F.coalesce(one(fields(dict(zip(_HEADLINE, _HEADLINE)))), zero(_HEADLINE)).alias("head"),
+        *[F.coalesce(one(fields({k: f"{p}_{k}" for k in f})), zero(f)).alias(p) for p, (_, f) in _RULES.items()],
+        array("state", [F.col("state"), -F.col("decisions"), F.col("reason")], F.struct("state", "reason", F.col("decisions").alias("count")), F.col("state").isNotNull()).alias("review_reasons"),
+        array("rule_type", [*most, F.col("rule_type")], listed("rule_type")).alias("by_rule"), array("zone_id", [F.col("place")], listed("zone")).alias("by_zone"), array("camera_id", [F.col("place")], listed("camera")).alias("by_camera"),
+        by("hour", fields(hour)).alias("hours"), by("day", fields(day)).alias("days"),
+    )
+    filled = lambda steps, known, names, key: F.transform(steps, lambda k: F.struct(k.alias(key), *[F.coalesce(F.col(known)[k][n], F.lit(0)).alias(n) for n in names]))
+    h = F.col("head")
+    head = F.struct(
+        F.lit(since).alias("since"), F.lit(until).alias("until"), F.lit(tz).alias("time_zone"), *[h[k].alias(k) for k in _HEADLINE],
+        ratio(h["compliant"], h["compliant"] + h["flagged_by_system"], 4).alias("compliance_rate"), ratio(h["insufficient_evidence"], h["decisions"], 4).alias("unverifiable_rate"),
+        ratio(h["confirmed"], h["confirmed"] + h["dismissed"], 3).alias("confirmed_share_of_reviewed"),
+    )
+    judged = put.select(head.alias("headline"), "review_reasons", "by_rule", "by_zone", "by_camera", filled(F.sequence(F.lit(0), F.lit(23)), "hours", hour, "hour").alias("by_hour"), filled(F.sequence(start, end), "days", day, "day").alias("by_day"), *_RULES)
+
+    spent = stays(events, zones).groupingSets([[], [F.col("zone_id"), F.col("zone_name")]], "zone_id", "zone_name").agg(F.grouping_id().alias("g"), *_stay_measures())
+    names = [c for c in spent.columns if c not in ("zone_id", "zone_name", "g")]
+    spent = spent.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc_nulls_last("longest_seen_seconds"), "zone_id"))).withColumn("part", F.when(F.col("g") == 0, "zone").otherwise("all"))
+    none = F.struct(*[(F.lit(0).cast("long") if c.startswith("visits") else F.lit(None).cast("boolean" if c.endswith("complete") else "double")).alias(c) for c in names])
+    timed = spent.where(f"place <= {int(top_stays)}").groupBy().agg(F.coalesce(one(F.struct(*names)), none).alias("zone_time"), array("zone", [F.col("place")], F.struct("zone_name", *names)).alias("zone_time_by_zone"))
+    recorded = events.agg(F.count("*").alias("events_recorded"))
+    acted = corrective_actions(actions, since, until, today)
+    acted = acted.select(F.struct(*acted.columns).alias("actions"))
+    sections = [*judged.columns, "zone_time", "zone_time_by_zone", "events_recorded", "actions"]
+    parts = judged.unionByName(timed, allowMissingColumns=True).unionByName(recorded, allowMissingColumns=True).unionByName(acted, allowMissingColumns=True)
+    whole = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in sections])
+    return whole.select(F.to_json(F.struct(*sections), {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def report(decisions: DataFrame, events: DataFrame, actions: DataFrame, zones: DataFrame, cameras: DataFrame, org: str, since: str, until: str, tz: str, today: str) -> dict[str, DataFrame]:
     """All parts for one tenant and window, over one cached scan of its decisions and events."""
     d, e = window(decisions, org, since, until).persist(), window(events, org, since, until).persist()

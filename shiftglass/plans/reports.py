@@ -36,6 +36,7 @@ QUERIES = {
     "report_man_down": lambda s, p: report.man_down(d(s, p)),
     "report_occupancy": lambda s, p: report.occupancy(d(s, p)),
     "report_actions": lambda s, p: report.corrective_actions(domain.actions(s, p).where(F.col("org_id") == ORG), SINCE, UNTIL, TODAY),
+    "safety_report": lambda s, p: report.document(d(s, p), e(s, p), domain.actions(s, p).where(F.col("org_id") == ORG), domain.zones(s, p), domain.cameras(s, p), SINCE, UNTIL, TZ, TODAY),
     "safety_summary_headline": lambda s, p: report.summary(d(s, p)),
     "safety_summary_by_zone": lambda s, p: report.by_zone(d(s, p), domain.zones(s, p), 50),
 }
@@ -97,3 +98,30 @@ SELECT *, {rnd("confirmed / nullif(confirmed + dismissed, 0)", 3)} AS confirmed_
     ),
     "safety_summary_by_zone": q(f"WITH {D}, {NAMED} " + ZONE_SQL.format(m=MEASURES, k=50), "decisions", "zones"),
 }
+
+LISTED = "'decisions': decisions, 'compliant': compliant, 'flagged': flagged, 'insufficient_evidence': insufficient, 'confirmed': confirmed, 'dismissed': dismissed, 'pending': pending"
+HEAD = ", ".join(f"'{c}': {c}" for c in ("decisions", "compliant", "flagged_by_system", "insufficient_evidence", "confirmed", "dismissed", "pending", "insufficient_confirmed", "insufficient_dismissed", "compliance_rate", "unverifiable_rate", "confirmed_share_of_reviewed"))
+STAYED = ", ".join(f"'{c}': {c}" for c in ("visits_timed", "visits_partial", "visits_not_timed", "average_seconds", "max_seconds", "partial_max_seconds", "longest_seen_seconds", "longest_seen_is_complete"))
+
+
+def _objects(name: str, fields: str, order: str) -> str:
+    return f"(SELECT coalesce(list({{{fields}}} ORDER BY {order}), []) FROM ({ORACLE_SQL[name]}))"
+
+
+def _object(name: str, fields: str = "") -> str:
+    return f"(SELECT {'{' + fields + '}' if fields else 't'} FROM ({ORACLE_SQL[name]}) t)"
+
+
+MOST = "flagged DESC, decisions DESC"
+ORACLE_SQL["safety_report"] = f"""SELECT to_json({{
+'headline': {_object("report_headline", f"'since': '{SINCE}', 'until': '{UNTIL}', 'time_zone': '{TZ}', {HEAD}")},
+'review_reasons': {_objects("report_review_reasons", "'state': state, 'reason': reason, 'count': n", "state, n DESC, reason")},
+'by_rule': {_objects("report_by_rule", f"'rule_type': rule_type, {LISTED}", f"{MOST}, rule_type")},
+'by_zone': {_objects("report_by_zone", f"'zone': zone_name, {LISTED}", f"{MOST}, zone_name, zone_id")},
+'by_camera': {_objects("report_by_camera", f"'camera': camera_name, {LISTED}", f"{MOST}, camera_name, camera_id")},
+'by_hour': {_objects("report_by_hour", "'hour': hour, 'decisions': decisions, 'flagged': flagged", "hour")},
+'by_day': {_objects("report_by_day", "'day': day, 'decisions': decisions, 'compliant': compliant, 'flagged': flagged, 'insufficient': insufficient", "day")},
+'ppe': {_object("report_ppe")}, 'man_down': {_object("report_man_down")}, 'occupancy': {_object("report_occupancy")},
+'zone_time': {_object("report_zone_time", STAYED)}, 'zone_time_by_zone': {_objects("report_zone_time_by_zone", f"'zone_name': zone_name, {STAYED}", "longest_seen_seconds DESC NULLS LAST, zone_id")},
+'events_recorded': {_object("report_headline", "'n': events_recorded").replace("SELECT {'n': events_recorded}", "SELECT events_recorded")}, 'actions': {_object("report_actions")}
+}})::VARCHAR AS doc"""
