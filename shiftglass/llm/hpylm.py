@@ -481,9 +481,12 @@ class Model:
         freed(self.spark)
         self.count_bigrams()
         freed(self.spark)
-        self.sums, self.kept = [], []
+        self.sums, self.kept, passed = [], [], None
         for step in range(1, burn_in + draws + 1):
             state, sums = self.state(step)
+            if passed is not None:
+                self.scratch.drop(passed)  # the states of the burn-in but the first are read by the next one only
+            passed = state if 1 < step <= burn_in else None
             answers = state.where("part IS NOT NULL").select("part", "word_part", "customers", "tables", "sent", "own")
             if step == 1:
                 self.first = answers.select("part", "word_part", "customers")
@@ -496,6 +499,8 @@ class Model:
                 self.held = self.saved(self.groups().groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, HELD), 2 * self.ranges, "part")
                 if step > 1:
                     self.forget(old)
+            elif step > 1:
+                self.forget(self.held)  # what the last draw holds of it is kept apart
             freed(self.spark)
 
     def score(self) -> DataFrame:
