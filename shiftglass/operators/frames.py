@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import geometry as g
+from ..functions import crops, geometry as g
 from ..functions.rounding import rounded
 from ..vocabulary import TRANSIT
 
@@ -97,6 +97,28 @@ def match_truth(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> D
     return ordered.select("image", "cls", F.explode(F.aggregate("s", empty, step)).alias("m")).select("image", "cls", "m.pred", "m.truth")
 
 
+def found_close_up(people: DataFrame, found: DataFrame, width: int, height: int, below: float = crops.SMALL) -> DataFrame:
+    """Detections of the windows around small people, in frame pixels: frame, person, cls, box, conf.
+
+    ``people``: frame, person, bbox; ``found``: frame, person, cls, box (in the window's
+    picture), conf. What lies in no window is left out.
+    """
+    shown = people.where(crops.wants_close_up(F.col("bbox"), below)).withColumn("win", crops.window(F.col("bbox"), width, height)).where("win IS NOT NULL").withColumn("picture", crops.scaled(F.col("win")))
+    both = found.join(shown.select("frame", "person", "win", "picture"), ["frame", "person"])
+    return both.select("frame", "person", "cls", crops.to_frame(F.col("box"), F.col("win"), F.col("picture")).alias("box"), "conf")
+
+
+def once_each(found: DataFrame, least: float = 0.5) -> DataFrame:
+    """``found`` (frame, cls, box, conf, ...) without what windows that overlap show again: of a class in a frame, surest first, a box that meets a
+    kept one by ``least`` or more goes. The order decides: a fold over one frame's boxes inside an expression."""
+    others = [c for c in found.columns if c not in ("frame", "cls")]
+    rows = found.groupBy("frame", "cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("__sure"), *others))).alias("rows"))
+    # indexes of the kept ones, so that the fold carries no rows
+    meets = lambda acc, r: F.exists(acc, lambda k: g.iou(F.get("rows", k)["box"], F.get("rows", r)["box"]) >= least)
+    kept = F.aggregate(F.sequence(F.lit(0), F.size("rows") - 1), F.array().cast("array<int>"), lambda acc, r: F.when(meets(acc, r), acc).otherwise(F.concat(acc, F.array(r.cast("int")))))
+    return rows.withColumn("kept", kept).select("frame", "cls", F.explode(F.transform("kept", lambda k: F.get("rows", k))).alias("r")).select("frame", "cls", *[f"r.{c}" for c in others]).select(*found.columns)
+
+
 # --------------------------------------------------------------------------- ordered state over samples
 def order(key: str, rows: tuple[int, int] | None = None):
     w = Window.partitionBy(key).orderBy("ts", "sample_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
+from ..functions import crops, geometry as g, posture
 from ..operators import evaluation, frames, platform
 from ..sources import domain
 from ..sources.domain import sql
@@ -38,6 +38,63 @@ def poses(s, p):
     return people(s, p).where("person % 3 <> 0").select("frame", n.alias("pose"), F.array(b[0] + n * 3, b[1], b[2] + n * 3, b[3]).alias("pose_box"))
 
 
+def skeletons(s, p):
+    """Synthetic poses in the people's boxes: legs hang, point at the camera or fold; some joints are not seen; some move."""
+    k, f = F.col("person") * 7 + F.col("frame"), F.col("frame")
+    b = F.col("bbox")
+    w, h, cx = b[2] - b[0], b[3] - b[1], (b[0] + b[2]) / 2
+    seen = lambda i: F.when((k + i) % 9 == 0, 0.1).otherwise(0.9)
+    thigh, side, shin = F.pmod(k, F.lit(6)) * 0.055, F.pmod(k, F.lit(5)) * 0.09, 0.05 + F.pmod(f, F.lit(4)) * 0.07
+    sh, hip = b[1] + 0.18 * h, b[1] + 0.48 * h
+    knee = hip + thigh * h
+    step = F.pmod(f, F.lit(3)) * 0.12 * w
+    at = lambda x, y, i: F.struct(x.alias("x"), y.alias("y"), seen(i).alias("conf"))
+    pairs = {5: (cx - 0.2 * w, cx + 0.2 * w, sh, sh), 11: (cx - 0.12 * w, cx + 0.12 * w, hip, hip), 13: (cx - 0.12 * w + side * w, cx + 0.12 * w + side * w, knee, knee + 0.02 * h), 15: (cx - 0.12 * w - step, cx + 0.12 * w + step, knee + shin * h, knee + shin * h)}
+    points = {}
+    for i, (x1, x2, y1, y2) in pairs.items():
+        points |= {i: at(x1, y1, i), i + 1: at(x2, y2, i + 1)}
+    none = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("conf"))
+    return people(s, p).select("frame", "person", "bbox", F.array(*[points.get(i, none) for i in range(17)]).alias("keypoints"), F.pmod(f, F.lit(7)).cast("double").alias("speed"))
+
+
+def postures(s, p):
+    judged = skeletons(s, p).withColumn("p", posture.posture(F.col("keypoints"), F.col("bbox"), F.col("speed")))
+    return judged.select("frame", "person", "p.*")
+
+
+FRAME_SIZE = (640, 360)
+
+
+def windows(s, p):
+    """Windows of small people, the picture's size, and a box that goes there and back."""
+    found = people(s, p).where(crops.wants_close_up(F.col("bbox"), 150.0)).withColumn("win", crops.window(F.col("bbox"), *FRAME_SIZE)).where("win IS NOT NULL").withColumn("picture", crops.scaled(F.col("win")))
+    back = crops.to_frame(crops.to_picture(F.col("bbox"), F.col("win"), F.col("picture")), F.col("win"), F.col("picture"))
+    parts = [F.col("win")[i].cast("long").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return found.select("frame", "person", *parts, F.col("picture.width").cast("long").alias("width"), F.col("picture.height").cast("long").alias("height"), F.round(back[0], 6).alias("back_x"), F.round(back[3], 6).alias("back_y"))
+
+
+def close_up_boxes(s, p):
+    """A helmet in the upper part of every small person's picture; people stand close, so that windows show one helmet twice."""
+    small = people(s, p).where(crops.wants_close_up(F.col("bbox"), 150.0)).withColumn("win", crops.window(F.col("bbox"), *FRAME_SIZE)).where("win IS NOT NULL").withColumn("picture", crops.scaled(F.col("win")))
+    w, h = F.col("picture.width"), F.col("picture.height")
+    return small.select("frame", "person", F.lit("helmet").alias("cls"), F.array(w * 0.3, h * 0.1, w * 0.7, h * 0.5).alias("box"), F.round(0.3 + F.col("conf") / 2 + F.col("person") / 1000, 6).alias("conf"))
+
+
+def close_up_finds(s, p):
+    found = frames.once_each(frames.found_close_up(people(s, p), close_up_boxes(s, p), *FRAME_SIZE, below=150.0), 0.3)
+    return found.select("frame", "person", F.round("conf", 6).alias("conf"), F.round(F.col("box")[0], 4).alias("x1"), F.round(F.col("box")[3], 4).alias("y2"))
+
+
+def truths(s, p):
+    """Labelled boxes of a frame, and predictions moved against them, some twice."""
+    b, k = F.col("bbox"), F.col("person") + F.col("frame")
+    known = people(s, p).select(F.col("frame").alias("image"), (k % 2).alias("cls"), F.col("person").alias("truth"), b.alias("true_box"))
+    move = lambda d: F.array(b[0] + d, b[1] + d / 2, b[2] + d, b[3] + d / 2)
+    twice = F.explode(F.array(F.struct(F.lit(0).alias("n"), move((k % 5) * 4.0).alias("box")), F.struct(F.lit(1).alias("n"), move((k % 4) * 9.0).alias("box"))))
+    guessed = people(s, p).select(F.col("frame").alias("image"), (k % 2).alias("cls"), "person", "conf", twice.alias("g")).select("image", "cls", (F.col("person") * 2 + F.col("g.n")).alias("pred"), (F.col("conf") - F.col("g.n") * 0.1 + F.col("person") / 1000).alias("conf"), F.col("g.box").alias("pred_box"))
+    return guessed, known
+
+
 ZONES = (("press", 1, 0, 0, 150, 200), ("gate", 2, 100, 50, 300, 320), ("walk", 3, 250, 100, 420, 260))
 
 
@@ -168,6 +225,10 @@ def _overview(s, p, some="true"):
 
 
 QUERIES = {
+    "postures": postures,
+    "crop_windows": windows,
+    "close_up_finds": close_up_finds,
+    "truth_matches": lambda s, p: frames.match_truth(*truths(s, p)),
     "point_in_zone": lambda s, p: frames.in_zone(people(s, p), rectangles(s)),
     "zone_head_counts": lambda s, p: frames.zone_counts(people(s, p), rectangles(s)),
     "wide_scenes": lambda s, p: frames.wide_scenes(people(s, p), 640.0),
@@ -313,3 +374,60 @@ c AS ({" UNION ALL ".join(f"SELECT '{k}' AS condition, * FROM r WHERE {v}" for k
     "stage_latency": sql(f"SELECT zone_id, {R('avg(activity_score)', 3)} AS mean, list_sort(list(activity_score))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95 FROM telemetry GROUP BY 1", "telemetry"),
     "floor_projection": plain(f"{PEOPLE}, q AS (SELECT frame, person, (x1 + x2) / 2 AS gx, y2 AS gy FROM people) SELECT frame, person, round((gx + 0.1 * gy + 5) / (0.001 * gx + 0.0005 * gy + 1), 6) AS x, round((0.2 * gx + 1.1 * gy - 3) / (0.001 * gx + 0.0005 * gy + 1), 6) AS y FROM q"),
 }
+
+
+def _angle(a: str, b: str, c: str) -> str:
+    ux, uy, vx, vy = (f"({p}{x} - {b}{x})" for p, x in ((a, "x"), (a, "y"), (c, "x"), (c, "y")))
+    size = f"sqrt({ux} * {ux} + {uy} * {uy}) * sqrt({vx} * {vx} + {vy} * {vy})"
+    return f"CASE WHEN {a}x IS NOT NULL AND {b}x IS NOT NULL AND {c}x IS NOT NULL THEN coalesce(degrees(acos(greatest(-1, least(1, ({ux} * {vx} + {uy} * {vy}) / nullif({size}, 0))))), 0) END"
+
+
+def _joint(name: str, i: int, x: str, y: str) -> str:
+    return f"CASE WHEN (k + {i}) % 9 <> 0 THEN {x} END AS {name}x, CASE WHEN (k + {i}) % 9 <> 0 THEN {y} END AS {name}y"
+
+
+_MID = ", ".join(f"coalesce((l{n}{c} + r{n}{c}) / 2, l{n}{c}, r{n}{c}) AS m{n}{c}" for n in "shka" for c in "xy")
+#: From the rules in words: how folded joints, thigh drop, span and box speak for sitting (s) or standing (t).
+_SITS = """5 * knee_bent + 4.5 * hip_bent + CASE WHEN hips = 0 AND mh <= 128 THEN 4 ELSE 0 END + 4 * thigh_short + CASE WHEN span < 0.55 AND NOT coalesce(tall, false) THEN 2.5 ELSE 0 END
+ + CASE WHEN fold <= 125 THEN 6 ELSE 0 END + CASE WHEN drop_ <= 0.30 THEN 8 WHEN drop_ < 0.55 THEN 2 ELSE 0 END + CASE WHEN blind AND box < 1.35 THEN 1.5 ELSE 0 END"""
+_STANDS = """1.0 * knee_open + 0.8 * hip_open + CASE WHEN hips = 0 AND mh >= 148 THEN 0.8 ELSE 0 END + CASE WHEN coalesce(tall, false) THEN 3 ELSE 0 END + CASE WHEN drop_ >= 0.55 THEN 7 ELSE 0 END + CASE WHEN blind AND box >= 1.65 THEN 1.5 ELSE 0 END"""
+ORACLE_SQL["postures"] = f"""WITH {PEOPLE}, b AS (SELECT *, person * 7 + frame AS k, frame AS f, x2 - x1 AS w, y2 - y1 AS h, (x1 + x2) / 2 AS cx FROM people),
+c AS (SELECT *, y1 + 0.18 * h AS sh, y1 + 0.48 * h AS hip, y1 + 0.48 * h + k % 6 * 0.055 * h AS knee, k % 5 * 0.09 AS side, 0.05 + f % 4 * 0.07 AS shin, f % 3 * 0.12 * w AS step FROM b),
+j AS (SELECT frame, person, f, w, h, {_joint("ls", 5, "cx - 0.2 * w", "sh")}, {_joint("rs", 6, "cx + 0.2 * w", "sh")}, {_joint("lh", 11, "cx - 0.12 * w", "hip")}, {_joint("rh", 12, "cx + 0.12 * w", "hip")},
+ {_joint("lk", 13, "cx - 0.12 * w + side * w", "knee")}, {_joint("rk", 14, "cx + 0.12 * w + side * w", "knee + 0.02 * h")}, {_joint("la", 15, "cx - 0.12 * w - step", "knee + shin * h")}, {_joint("ra", 16, "cx + 0.12 * w + step", "knee + shin * h")} FROM c),
+m AS (SELECT *, {_MID} FROM j),
+a AS (SELECT *, {_angle("lh", "lk", "la")} AS lka, {_angle("rh", "rk", "ra")} AS rka, {_angle("ls", "lh", "lk")} AS lha, {_angle("rs", "rh", "rk")} AS rha, {_angle("mh", "mk", "ma")} AS mk, {_angle("ms", "mh", "mk")} AS mh FROM m),
+v AS (SELECT *, [x FOR x IN [lka, rka] IF x IS NOT NULL] AS knees0, [x FOR x IN [lha, rha] IF x IS NOT NULL] AS hips0, abs(may - msy) / greatest(h, 1) AS span, greatest(h, 1) / greatest(w, 1) AS box,
+ CASE WHEN sqrt((msx - mhx) * (msx - mhx) + (msy - mhy) * (msy - mhy)) > 8 THEN (mky - mhy) / sqrt((msx - mhx) * (msx - mhx) + (msy - mhy) * (msy - mhy)) END AS drop_,
+ [x FOR x IN [CASE WHEN abs(lhy - lsy) > 10 THEN abs(lky - lhy) / abs(lhy - lsy) END, CASE WHEN abs(rhy - rsy) > 10 THEN abs(rky - rhy) / abs(rhy - rsy) END] IF x IS NOT NULL] AS thighs FROM a),
+u AS (SELECT *, CASE WHEN len(knees0) > 0 THEN knees0 WHEN mk IS NOT NULL THEN [mk] ELSE [] END AS knees, len(hips0) AS hips, mhx IS NULL AND (mkx IS NULL OR max_ IS NULL) AS blind FROM (SELECT *, max AS max_ FROM (SELECT * RENAME (max AS max) FROM v))),
+n AS (SELECT *, len([x FOR x IN knees IF x <= 138]) AS knee_bent, len([x FOR x IN knees IF x >= 155]) AS knee_open, len([x FOR x IN hips0 IF x <= 128]) AS hip_bent, len([x FOR x IN hips0 IF x >= 148]) AS hip_open, len([x FOR x IN thighs IF x < 0.8]) AS thigh_short,
+ len(knees) > 0 AND len([x FOR x IN knees IF x < 155]) = 0 AND span >= 0.70 AS tall, coalesce(list_max(hips0), mh) AS fold FROM u),
+s AS (SELECT *, {_SITS} AS sits, {_STANDS} AS stands, coalesce(abs(lax - rax), abs(lkx - rkx), 0) / greatest(10, coalesce(sqrt((lsx - rsx) * (lsx - rsx) + (lsy - rsy) * (lsy - rsy)), greatest(w, 1) * 0.4)) AS stride FROM n)
+SELECT frame, person, CASE WHEN (mhx IS NULL AND mkx IS NULL AND max_ IS NULL) OR (sits = 0 AND stands = 0) THEN 'UNKNOWN' WHEN sits > stands THEN 'SITTING'
+ WHEN f % 7 >= 4.5 AND (stride > 0.52 OR (coalesce(abs(lka - rka), 0) > 30 AND stride > 0.35)) AND coalesce(mk >= 142, true) AND coalesce(mh >= 138, true) THEN 'WALKING' ELSE 'STANDING' END AS posture,
+ round(CAST(sits AS DOUBLE), 3) AS sits, round(CAST(stands AS DOUBLE), 3) AS stands FROM s""".replace("(SELECT *, max AS max_ FROM (SELECT * RENAME (max AS max) FROM v))", "(SELECT *, max AS max_ FROM v)")
+_WIN = f"""{PEOPLE}, r AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM people WHERE y2 - y1 > 0 AND y2 - y1 < 150),
+e AS (SELECT *, greatest(0, x1 - 0.3 * w) AS a, greatest(0, y1 - 0.2 * h) AS b, least({FRAME_SIZE[0]}, x2 + 0.3 * w) AS c, least({FRAME_SIZE[1]}, y2 + 0.08 * h) AS d FROM r),
+i AS (SELECT *, round_even(a, 0) AS wa, round_even(b, 0) AS wb, round_even(c, 0) AS wc, round_even(d, 0) AS wd FROM e WHERE w > 1 AND h > 1 AND c - a >= 2 AND d - b >= 2),
+z AS (SELECT *, least(4, 640 / (wd - wb), 1280 / greatest(wc - wa, wd - wb)) AS zoom FROM i),
+win AS (SELECT *, CASE WHEN abs(zoom - 1) <= 0.02 THEN wc - wa ELSE greatest(1, round_even((wc - wa) * zoom, 0)) END AS pw, CASE WHEN abs(zoom - 1) <= 0.02 THEN wd - wb ELSE greatest(1, round_even((wd - wb) * zoom, 0)) END AS ph FROM z)"""
+ORACLE_SQL["crop_windows"] = f"""WITH {_WIN} SELECT frame, person, CAST(wa AS BIGINT) AS x0, CAST(wb AS BIGINT) AS y0, CAST(wc AS BIGINT) AS x1, CAST(wd AS BIGINT) AS y1, CAST(pw AS BIGINT) AS width, CAST(ph AS BIGINT) AS height, round(win.x1, 6) AS back_x, round(win.y2, 6) AS back_y FROM win"""
+#: The greedy choice, one box a step: the surest of the rest stays and takes away what it meets.
+ORACLE_SQL["close_up_finds"] = f"""WITH RECURSIVE {_WIN},
+q AS (SELECT frame, person, round(0.3 + conf / 2 + person / 1000, 6) AS conf, wa + 0.3 * (wc - wa) AS x1, wb + 0.1 * (wd - wb) AS y1, wa + 0.7 * (wc - wa) AS x2, wb + 0.5 * (wd - wb) AS y2 FROM win),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, person) AS n FROM q),
+x AS (SELECT a.frame, a.n AS a, b.n AS b FROM o a JOIN o b ON a.frame = b.frame AND a.n < b.n AND {IOU} >= 0.3),
+t AS (SELECT frame, CAST(1 AS BIGINT) AS n, CAST([1] AS BIGINT[]) AS kept FROM o WHERE n = 1
+ UNION ALL SELECT t.frame, t.n + 1, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.frame = t.frame AND x.b = t.n + 1 AND list_contains(t.kept, x.a)) THEN t.kept ELSE list_append(t.kept, t.n + 1) END FROM t JOIN o ON o.frame = t.frame AND o.n = t.n + 1),
+f AS (SELECT frame, arg_max(kept, n) AS kept FROM t GROUP BY frame)
+SELECT o.frame, o.person, o.conf, round(o.x1, 4) AS x1, round(o.y2, 4) AS y2 FROM o JOIN f ON f.frame = o.frame AND list_contains(f.kept, o.n)"""
+ORACLE_SQL["truth_matches"] = f"""WITH RECURSIVE {PEOPLE}, k AS (SELECT *, (person + frame) % 2 AS cls, person + frame AS k FROM people),
+g AS (SELECT frame, cls, person * 2 + n AS pred, conf - n * 0.1 + person / 1000 AS conf, x1 + d AS x1, y1 + d / 2 AS y1, x2 + d AS x2, y2 + d / 2 AS y2 FROM (SELECT *, CASE WHEN n = 0 THEN k % 5 * 4.0 ELSE k % 4 * 9.0 END AS d FROM k, (SELECT unnest([0, 1]) AS n))),
+c AS (SELECT a.frame, a.cls, a.pred, a.conf, b.person AS truth, {IOU} AS v FROM g a JOIN k b ON a.frame = b.frame AND a.cls = b.cls),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame, cls ORDER BY conf DESC, pred, v DESC, truth) AS n FROM c WHERE v >= 0.5),
+t AS (SELECT frame, cls, n, [pred] AS preds, [truth] AS truths FROM o WHERE n = 1
+ UNION ALL SELECT t.frame, t.cls, t.n + 1, CASE WHEN list_contains(t.preds, o.pred) OR list_contains(t.truths, o.truth) THEN t.preds ELSE list_append(t.preds, o.pred) END, CASE WHEN list_contains(t.preds, o.pred) OR list_contains(t.truths, o.truth) THEN t.truths ELSE list_append(t.truths, o.truth) END
+ FROM t JOIN o ON o.frame = t.frame AND o.cls = t.cls AND o.n = t.n + 1),
+f AS (SELECT frame, cls, arg_max(preds, n) AS p, arg_max(truths, n) AS q FROM t GROUP BY frame, cls)
+SELECT frame AS image, cls, unnest(p) AS pred, unnest(q) AS truth FROM f"""
