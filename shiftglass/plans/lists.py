@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..operators import records, upkeep
 from ..sources import domain
 from ..sources.domain import sql
 from ..streaming import sync
@@ -42,6 +42,25 @@ def _purged(s, p):
     return both.groupBy("org_id", "goes").agg(F.count("*").alias("n"), F.min("created_at").alias("first"))
 
 
+def _purge_counts(s, p):
+    """Sessions (orders) of deleted customers and the findings (line items) of these, in the order in which they go."""
+    orgs = domain.organisations(s, p)
+    tables = {
+        "organisations": orgs, "sessions": domain.read(s, p, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("org_id")),
+        "findings": domain.read(s, p, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("n")),
+    }
+    links = {"findings": ("sessions", "session_id", "session_id"), "sessions": ("organisations", "org_id", "org_id")}
+    counts, _ = upkeep.purge(tables, links, "organisations", orgs.where("deleted"), "org_id")
+    return counts
+
+
+def _due(s, p):
+    """Customers' weekly and monthly reports that are due on a day, also of those that missed some."""
+    k = F.col("org_id")
+    rows = domain.organisations(s, p).select("org_id", F.when(k % 5 == 0, "OFF").when(k % 5 < 3, "WEEKLY").otherwise("MONTHLY").alias("schedule"), (F.col("created_on").cast("timestamp") + F.make_interval(hours=(k % 24).cast("int"))).alias("next_at"), "plan", "deleted")
+    return upkeep.due_reports(rows, "2024-03-15 12:00:00")
+
+
 QUERIES = {
     "tenant_filter": lambda s, p: records.tenant(D(s, p), callers(s, p)).groupBy("org_id", "status").agg(F.count("*").alias("n")),
     "tenant_without_deleted": lambda s, p: records.tenant(D(s, p), D(s, p).select("org_id").distinct(), callers(s, p)).select(*SOME),
@@ -63,6 +82,9 @@ QUERIES = {
     "retention_survivors": lambda s, p: records.keep_decisions(D(s, p), A(s, p), NOW, 90).select(*SOME),
     "retention_purge_counts": lambda s, p: records.purge_counts(D(s, p), A(s, p), NOW, 90),
     "purged_local": _purged,
+    "org_purge_counts": _purge_counts,
+    "org_purge_audit": lambda s, p: upkeep.purge_audit(domain.organisations(s, p).where("deleted"), "org_id", "name"),
+    "due_reports": _due,
     "retention_preview": lambda s, p: D(s, p).where(F.col("observed_at") < F.lit(NOW).cast("timestamp") - F.make_dt_interval(F.lit(365))).agg(F.count("*").alias("older")),
     "status_tally": lambda s, p: D(s, p).groupBy("status").agg(F.count("*").alias("n")),
     "review_queue": lambda s, p: records.page(records.where_equal(D(s, p), review_state="PENDING"), 25, 0).select(*SOME),
@@ -106,6 +128,14 @@ FROM decisions LEFT JOIN cameras USING (camera_id) LEFT JOIN zones USING (zone_i
     "session_rules": sql(f"WITH {RULES}, {UNCOVERED} SELECT rule_id AS rule_key, zone_id, type, 'rule' AS source FROM rules WHERE enabled UNION ALL {DEFAULTS} UNION ALL {MAN_DOWN}", "zones"),
     "retention_survivors": sql(f"WITH {KEEP} SELECT {S} FROM keep", "decisions", "actions"),
     "retention_purge_counts": sql(f"WITH {KEEP} SELECT org_id, count(*) AS purged FROM decisions WHERE id NOT IN (SELECT id FROM keep) GROUP BY 1", "decisions", "actions"),
+    "org_purge_counts": sql("""WITH s AS (SELECT o_orderkey, deleted FROM orders LEFT JOIN organisations ON org_id = o_custkey), f AS (SELECT coalesce(deleted, false) AS deleted FROM lineitem LEFT JOIN s ON o_orderkey = l_orderkey)
+SELECT 1 AS step, 'findings' AS "table", count(*) FILTER (deleted) AS purged, count(*) FILTER (NOT deleted) AS kept FROM f UNION ALL SELECT 2, 'sessions', count(*) FILTER (coalesce(deleted, false)), count(*) FILTER (NOT coalesce(deleted, false)) FROM s
+UNION ALL SELECT 3, 'organisations', count(*) FILTER (deleted), count(*) FILTER (NOT deleted) FROM organisations""", "organisations"),
+    "org_purge_audit": sql("SELECT count(*) AS purged, list(org_id ORDER BY org_id, name) AS ids, list(name ORDER BY org_id, name) AS names FROM organisations WHERE deleted", "organisations"),
+    "due_reports": f"""WITH RECURSIVE organisations AS ({domain.VIEWS["organisations"]}), d AS (SELECT org_id, plan, CASE WHEN org_id % 5 < 3 THEN 'WEEKLY' ELSE 'MONTHLY' END AS schedule, CAST(created_on AS TIMESTAMP) + to_hours(org_id % 24) AS due FROM organisations WHERE NOT deleted AND org_id % 5 > 0 AND CAST(created_on AS TIMESTAMP) + to_hours(org_id % 24) <= TIMESTAMP '2024-03-15 12:00:00'),
+t AS (SELECT org_id, schedule, CASE WHEN schedule = 'WEEKLY' THEN due + INTERVAL 7 DAY ELSE due + INTERVAL 1 MONTH END AS due FROM d UNION ALL SELECT org_id, schedule, CASE WHEN schedule = 'WEEKLY' THEN due + INTERVAL 7 DAY ELSE due + INTERVAL 1 MONTH END FROM t WHERE due <= TIMESTAMP '2024-03-15 12:00:00'),
+n AS (SELECT org_id, max(due) AS next_at FROM t GROUP BY org_id), b AS (SELECT *, CASE WHEN schedule = 'WEEKLY' THEN due - INTERVAL 7 DAY ELSE due - INTERVAL 1 MONTH END AS since FROM d)
+SELECT b.org_id, since, due AS until, plan <> 'FREE' AS made, 'Scheduled ' || lower(schedule) || ' safety report, ' || strftime(since, '%-d %b') || ' to ' || strftime(due, '%-d %b %Y') AS title, next_at FROM b JOIN n USING (org_id)""",
     "purged_local": sql(f"""SELECT org_id, goes, count(*) AS n, min(created_at) AS first FROM (
 SELECT org_id, observed_at AS created_at, coalesce(synced_at < TIMESTAMP '{NOW}' - INTERVAL 7 DAY OR (synced_at IS NULL AND observed_at < TIMESTAMP '{NOW}' - INTERVAL 900 DAY), false) AS goes
 FROM (SELECT *, CASE WHEN id % 3 > 0 THEN observed_at + to_days(CAST(id % 40 AS INTEGER)) END AS synced_at FROM decisions)) GROUP BY ALL""", "decisions"),

@@ -110,3 +110,89 @@ UNION ALL SELECT track_id, n, sample_id, kept, CASE WHEN kept THEN ts ELSE last
 FROM (SELECT r.*, w.at AS last, w.posture, r.posture_state <> w.posture OR epoch_us(r.ts) - epoch_us(w.at) >= 5000000 AS kept FROM w JOIN r ON r.track_id = w.track_id AND r.n = w.n + 1))
 SELECT track_id, sample_id FROM w WHERE kept""",
 }
+
+
+# --------------------------------------------------------------------------- oracles of the equipment rules
+PRESENCE = """pres AS (SELECT camera_id || '/' || strftime(ts, '%Y%m%d%H') AS session, 'trk-' || track_id AS worker, (half + k) / 2 AS t, min(zone) AS zone
+ FROM (SELECT *, floor((epoch_us(ts) % 3600000000) / 1000000.0 * 2) AS half, CASE WHEN zone_id <> 'error' THEN zone_id END AS zone, unnest(range(0, CAST(least(floor(activity_score / 4), 24) AS BIGINT) + 1)) AS k FROM telemetry) GROUP BY ALL)"""
+LOOKS = """seen AS (SELECT session, worker, t, CAST(right(worker, 1) AS INTEGER) AS kind, k, CASE WHEN k = 0 THEN 'helmet' ELSE 'safety_vest' END AS item, (CAST(floor(t / 4) AS BIGINT) + CAST(right(worker, 1) AS INTEGER) * (k + 1)) % 7 AS turn FROM pres, (SELECT unnest([0, 1]) AS k)),
+looks AS (SELECT session, worker, t, item, CASE WHEN turn < 3 THEN 'PRESENT' WHEN turn = 3 OR kind = 4 THEN 'ABSENT' ELSE 'UNVERIFIABLE' END AS state, 0.5 + turn / 12 AS seen_fraction, 0.55 + kind / 20 AS empty_fraction, CASE WHEN k = 1 THEN (turn + 2) / 4 END AS recent_fraction FROM seen)"""
+#: Which of a worker's due streaks are flagged is a walk over them, in order.
+ORACLE_SQL["ppe_continuous_decisions"] = f"""WITH RECURSIVE telemetry AS ({domain.VIEWS["telemetry"]}), {PRESENCE}, {LOOKS},
+a AS (SELECT *, state = 'ABSENT' AND empty_fraction >= 0.6 AS absent, coalesce(t - lag(t) OVER w > 0.5 + 1e-9, false) AS away FROM looks WHERE item = 'helmet' WINDOW w AS (PARTITION BY session, worker ORDER BY t)),
+r AS (SELECT *, count(*) FILTER (state = 'PRESENT' AND seen_fraction > 0.6) OVER w AS episode, sum(CAST(NOT absent AS INT) + CAST(away AS INT)) OVER w AS streak FROM a WINDOW w AS (PARTITION BY session, worker ORDER BY t)),
+s AS (SELECT *, min(t) OVER (PARTITION BY session, worker, streak) AS since FROM r WHERE absent),
+d AS (SELECT session, worker, episode, since, min(t) AS due, arg_min(empty_fraction, t) AS support FROM s WHERE t - since >= 1.5 - 1e-9 GROUP BY session, worker, episode, streak, since),
+n AS (SELECT *, row_number() OVER (PARTITION BY session, worker ORDER BY due, since, episode) AS n FROM d),
+f AS (SELECT session, worker, n, true AS kept, due AS last, episode AS flagged FROM n WHERE n = 1
+ UNION ALL SELECT session, worker, n, ok, CASE WHEN ok THEN due ELSE last END, CASE WHEN ok THEN episode ELSE flagged END FROM (SELECT n.*, f.last, f.flagged, n.episode <> f.flagged AND n.since - f.last >= 60 AS ok FROM f JOIN n ON n.session = f.session AND n.worker = f.worker AND n.n = f.n + 1))
+SELECT n.session, n.worker, 'POTENTIAL_VIOLATION' AS status, round(since, 6) AS t, round(least(1, support), 3) AS confidence, to_json({{'decided_video_time_s': round(due, 3), 'run_seconds': round(due - since, 3)}})::VARCHAR AS evidence, round(due, 6) AS decided
+FROM n JOIN f ON f.session = n.session AND f.worker = n.worker AND f.n = n.n AND f.kept"""
+#: Visits and looks meet by a range join; the first look that decides, else the first four seconds on, else how the visit ended.
+ORACLE_SQL["ppe_entry_decisions"] = f"""WITH RECURSIVE telemetry AS ({domain.VIEWS["telemetry"]}), {PRESENCE}, {LOOKS},
+p AS (SELECT *, NOT coalesce(lag(zone) OVER w IS NOT DISTINCT FROM zone AND t - lag(t) OVER w <= 0.5, false) AS new FROM pres WINDOW w AS (PARTITION BY session, worker ORDER BY t)),
+q AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY session, worker ORDER BY t) AS stay, max(t) OVER (PARTITION BY session) AS ends FROM p),
+v AS (SELECT session, worker, min(t) AS entered, CASE WHEN max(t) < any_value(ends) THEN max(t) + 0.5 END AS left_at, CASE WHEN floor(min(t)) % 2 = 0 THEN 'LOST' ELSE 'LEFT' END AS reason, any_value(ends) AS ends FROM q WHERE zone IS NOT NULL GROUP BY session, worker, stay),
+g AS (SELECT session, worker, t, coalesce(list(item ORDER BY item) FILTER (state = 'ABSENT'), []) AS missing, bool_and(state = 'PRESENT') AS worn, bool_and(coalesce(recent_fraction >= 0.6, true)) AS agree, min(empty_fraction) FILTER (state = 'ABSENT') AS gap, min(seen_fraction) AS support,
+  string_agg(item || CASE WHEN state = 'PRESENT' AND recent_fraction < 0.6 THEN ': not in the newest frames' WHEN state = 'UNVERIFIABLE' THEN ': not seen clearly enough' END, '; ' ORDER BY item) AS doubt FROM looks GROUP BY ALL),
+h AS (SELECT *, CASE WHEN len(missing) > 0 AND gap >= 0.6 THEN 'POTENTIAL_VIOLATION' WHEN len(missing) = 0 AND worn AND agree AND support >= 0.6 THEN 'COMPLIANT' END AS says FROM g),
+m AS (SELECT v.*, h.t, h.says, h.missing, h.gap, h.support, h.doubt FROM v LEFT JOIN h ON h.session = v.session AND h.worker = v.worker AND h.t >= entered AND (left_at IS NULL OR h.t < left_at)),
+c AS (SELECT session, worker, entered, left_at, reason, ends, min(t) FILTER (says IS NOT NULL) AS claim, min(t) FILTER (t - entered >= 4 - 1e-9) AS late FROM m GROUP BY ALL),
+o AS (SELECT c.*, claim IS NOT NULL AND claim <= coalesce(late, claim) AS claimed, CASE WHEN claim IS NOT NULL AND claim <= coalesce(late, claim) THEN claim ELSE late END AS look FROM c),
+j AS (SELECT o.*, h.missing, h.gap, h.support, h.doubt, CASE WHEN claimed THEN h.says ELSE 'UNVERIFIABLE' END AS status, coalesce(look, left_at, ends) AS decided,
+  list_transform(CASE WHEN len(h.missing) > 0 THEN h.missing ELSE ['helmet', 'safety_vest'] END, lambda i: CASE i WHEN 'helmet' THEN 'hard hat' ELSE 'hi-vis vest' END) AS called FROM o LEFT JOIN h ON h.session = o.session AND h.worker = o.worker AND h.t = o.look),
+n AS (SELECT *, row_number() OVER (PARTITION BY session, worker ORDER BY entered) AS n FROM j),
+f AS (SELECT session, worker, n, true AS kept, CASE WHEN status <> 'UNVERIFIABLE' THEN entered END AS last FROM n WHERE n = 1
+ UNION ALL SELECT session, worker, n, ok, CASE WHEN ok AND status <> 'UNVERIFIABLE' THEN entered ELSE last END FROM (SELECT n.*, f.last, coalesce(n.entered - f.last >= 60, true) AS ok FROM f JOIN n ON n.session = f.session AND n.worker = f.worker AND n.n = f.n + 1)),
+w AS (SELECT n.*, CASE status WHEN 'POTENTIAL_VIOLATION' THEN 'no ' || array_to_string(called, ' and ') || ' seen' WHEN 'COMPLIANT' THEN array_to_string(called, ' and ') || ' seen'
+  ELSE CASE WHEN look IS NOT NULL AND doubt <> '' THEN 'could not be told in time (' || doubt || ')' WHEN look IS NOT NULL THEN 'too little support for a claim' WHEN left_at IS NULL THEN 'the footage ended' WHEN reason = 'LOST' THEN 'lost from view before it could be judged' ELSE 'left before it could be judged' END END AS why
+  FROM n JOIN f ON f.session = n.session AND f.worker = n.worker AND f.n = n.n AND f.kept)
+SELECT session, worker, status, round(entered, 6) AS t, CASE status WHEN 'POTENTIAL_VIOLATION' THEN round(gap, 3) WHEN 'COMPLIANT' THEN round(support, 3) ELSE 0.0 END AS confidence,
+ '{{"entered_video_time_s":' || to_json(round(entered, 3)) || CASE WHEN look IS NULL THEN '' ELSE ',"missing":' || to_json(missing) END || ',"waited_seconds":' || to_json(round(decided - entered, 3)) || ',"why":' || to_json(why) || '}}' AS evidence, round(decided, 6) AS decided FROM w"""
+
+
+# --------------------------------------------------------------------------- oracle of zone visits
+def _json(**fields: str) -> str:
+    """An object of the fields that are not null, keys in order."""
+    parts = [f"""coalesce('"{k}":' || to_json({v})::VARCHAR || ',', '')""" for k, v in sorted(fields.items())]
+    return f"'{{' || rtrim({' || '.join(parts)}, ',') || '}}'"
+
+
+#: A worker's own frames are walked one by one (``st``): spells, what is settled, the way out; what absence means is looked up among the session's frames.
+ZONE_VISITS = f"""{PRESENCE}, ses AS (SELECT DISTINCT session, t FROM pres), gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY session ORDER BY t) AS gap FROM ses),
+tol AS (SELECT session, t, greatest(0.5, coalesce(2.5 * median(gap) OVER (PARTITION BY session ORDER BY t ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 0)) AS tol FROM gaps), fin AS (SELECT session, max(t) AS ends FROM ses GROUP BY session),
+own AS (SELECT p.session, worker, p.t, coalesce(zone, '') AS place, p.t - lag(p.t) OVER w AS gap, tol, row_number() OVER w AS n FROM pres p JOIN tol ON tol.session = p.session AND tol.t = p.t WINDOW w AS (PARTITION BY p.session, worker ORDER BY p.t)),
+st AS (SELECT session, worker, n, t, 1 AS presence, t AS first, true AS fresh, place, t AS spell, false AS sure, '' AS home, CAST(NULL AS DOUBLE) AS since, false AS sighted, CASE WHEN place = '' THEN t END AS way, false AS moved, '' AS was, CAST(NULL AS DOUBLE) AS was_since, false AS was_sighted, CAST(NULL AS DOUBLE) AS out, true AS unwatched FROM own WHERE n = 1
+UNION ALL SELECT session, worker, n, t, presence, first, fresh, place, spell, sure OR settles, CASE WHEN moved THEN place ELSE home END, CASE WHEN moved THEN spell ELSE since END, CASE WHEN moved THEN fresh AND spell <= first + 1e-9 ELSE sighted END, way, moved, home, since, sighted, coalesce(way, spell), unwatched
+FROM (SELECT *, settles AND place <> home AS moved FROM (SELECT *, NOT sure AND t - spell >= CASE WHEN place = '' THEN 1.0 ELSE 0.7 END - 1e-9 AS settles
+FROM (SELECT session, worker, n, t, place, presence, first, fresh, spell, sure, home, since, sighted, unwatched, CASE WHEN place = '' THEN least(coalesce(way, spell), spell) ELSE way END AS way
+FROM (SELECT o.session, o.worker, o.n, o.t, o.place, s.presence + CAST(o.gap > 8 + 1e-9 AS INT) AS presence, CASE WHEN o.gap > 8 + 1e-9 THEN o.t ELSE s.first END AS first, CASE WHEN o.gap > 8 + 1e-9 THEN s.home <> '' OR o.gap > 60 ELSE s.fresh END AS fresh,
+  CASE WHEN o.gap > 8 + 1e-9 OR o.gap > o.tol OR o.place <> s.place THEN o.t ELSE s.spell END AS spell, NOT (o.gap > 8 + 1e-9 OR o.gap > o.tol OR o.place <> s.place) AND s.sure AS sure,
+  CASE WHEN o.gap > 8 + 1e-9 THEN '' ELSE s.home END AS home, CASE WHEN o.gap <= 8 + 1e-9 THEN s.since END AS since, o.gap <= 8 + 1e-9 AND s.sighted AS sighted, o.gap > o.tol AS unwatched,
+  CASE WHEN o.gap > 8 + 1e-9 OR o.gap > o.tol OR o.place = s.home OR s.moved THEN NULL ELSE s.way END AS way
+  FROM st s JOIN own o ON o.session = s.session AND o.worker = s.worker AND o.n = s.n + 1))))),
+nx AS (SELECT st.*, lead(t) OVER (PARTITION BY st.session, worker ORDER BY n) AS back, ends FROM st JOIN fin ON fin.session = st.session),
+ab AS (SELECT *, t + 5 + 1e-9 AS g, t + 8 + 1e-9 AS e, coalesce(back, ends) - t AS away FROM nx WHERE home <> '' AND coalesce(back, ends) - t > 5 + 1e-9),
+al AS (SELECT ab.*, a.t AS declared FROM ab ASOF LEFT JOIN ses a ON a.session = ab.session AND a.t >= ab.g), ae AS (SELECT al.*, b.t AS ended FROM al ASOF LEFT JOIN ses b ON b.session = al.session AND b.t >= al.e),
+mv AS (SELECT session, worker, presence, t AS told, place AS zone, since AS entered, sighted, lead(out) OVER w AS left_at, lead(t) OVER w AS left_told FROM st WHERE moved WINDOW w AS (PARTITION BY session, worker, presence ORDER BY n)),
+pe AS (SELECT session, worker, presence, max(t) AS last, bool_or(coalesce(back, ends) - t > 8 + 1e-9) FILTER (back IS NULL OR back - t > 8 + 1e-9) AS lost FROM nx GROUP BY ALL),
+sy AS (SELECT mv.*, last, lost, CASE WHEN left_told IS NOT NULL THEN left_at WHEN lost THEN last ELSE greatest(last, entered) END AS until FROM mv JOIN pe USING (session, worker, presence) WHERE zone <> ''),
+mk AS (SELECT sy.*, kind, entered + at_s AS due FROM sy, (VALUES ('DWELL_WARNING', 4.0), ('DWELL_EXCEEDED', 5.0)) m(kind, at_s) WHERE zone = 'click' AND entered + at_s <= until + 1e-9),
+mb AS (SELECT mk.*, b.t AS back, b.unwatched AND due > b.t - b.gap + 1e-9 AS unseen FROM mk ASOF LEFT JOIN (SELECT own.*, own.gap IS NULL OR own.gap > own.tol AS unwatched FROM own) b ON b.session = mk.session AND b.worker = mk.worker AND b.t >= mk.due - 1e-9),
+ev AS (
+ SELECT session, worker, presence, told AS heard, 5 AS rank, 'ENTERED_ZONE' AS event_type, zone AS zone_id, entered AS t, {_json(first_sighting="CASE WHEN sighted THEN true END")} AS details FROM mv WHERE zone <> ''
+ UNION ALL SELECT session, worker, presence, t, 4, 'EXITED_ZONE', was, out, {_json(reason="'LEFT'", dwell_s="round(greatest(out - was_since, 0), 3)", first_sighting="CASE WHEN was_sighted THEN true END")} FROM st WHERE moved AND was <> ''
+ UNION ALL SELECT session, worker, presence, declared, 1, 'LOST_IN_ZONE', home, t, {_json(last_seen_s="round(t, 3)", declared_at_s="round(declared, 3)")} FROM ae
+ UNION ALL SELECT session, worker, presence, back, 2, 'REAPPEARED', home, back, {_json(gap_s="round(away, 3)", last_seen_s="round(t, 3)")} FROM ae WHERE back IS NOT NULL AND away <= 8 + 1e-9
+ UNION ALL SELECT session, worker, presence, ended, 4, 'EXITED_ZONE', home, t, {_json(reason="'LOST'", unverifiable="true", dwell_s="round(greatest(t - since, 0), 3)", last_seen_s="round(t, 3)", declared_at_s="round(ended, 3)")} FROM ae WHERE away > 8 + 1e-9
+ UNION ALL SELECT session, worker, presence, 'infinity', 4, 'EXITED_ZONE', zone, until, {_json(reason="'SESSION_END'", unverifiable="true", dwell_s="round(until - entered, 3)", last_seen_s="round(until, 3)")} FROM sy WHERE left_told IS NULL AND NOT coalesce(lost, false)
+ DWELL),
+un AS (SELECT *, lag([event_type, zone_id, details]) OVER (PARTITION BY session, worker, presence ORDER BY heard, rank, t, event_type, details) IS DISTINCT FROM [event_type, zone_id, details] AS other FROM ev),
+events_ AS (SELECT session, worker, event_type, zone_id, round(t, 6) AS t, details FROM un WHERE other)"""
+DWELL = f""" UNION ALL SELECT session, worker, presence, CASE WHEN unseen THEN back ELSE due END, 3, kind, zone, CASE WHEN unseen THEN back ELSE due END,
+ {_json(limit_s="5.0::DOUBLE", warn_fraction="CASE WHEN kind = 'DWELL_WARNING' THEN 0.8::DOUBLE END", crossed_unobserved="CASE WHEN unseen THEN true END")} FROM mb"""
+_WALK = f"WITH RECURSIVE telemetry AS ({domain.VIEWS['telemetry']}), "
+ORACLE_SQL["zone_events"] = _WALK + ZONE_VISITS.replace("\n DWELL)", "\n" + DWELL + ")") + " SELECT * FROM events_"
+ORACLE_SQL["zone_stays"] = _WALK + ZONE_VISITS.replace("\n DWELL)", ")") + """,
+k AS (SELECT *, lag(event_type) OVER w AS before, lag(t) OVER w AS began FROM events_ WHERE event_type IN ('ENTERED_ZONE', 'EXITED_ZONE') WINDOW w AS (PARTITION BY session, worker ORDER BY t, event_type DESC))
+SELECT session, worker, zone_id, CASE WHEN before = 'ENTERED_ZONE' THEN began END AS entered, t AS "left", details ->> 'reason' AS reason, details ->> 'reason' = 'LEFT' AND (details ->> 'first_sighting') IS NULL AS whole FROM k WHERE event_type = 'EXITED_ZONE'"""

@@ -4,7 +4,7 @@ A spell is a stretch of one worker's frames in one place without an unwatched ga
 (is settled) once it has lasted the confirm time of its kind. A settled spell elsewhere than
 the one settled before is a move, dated back to the first frame of the spell or, if the
 worker was outside on the way, to the first of those frames. A gap over the time to live
-cuts a worker's frames into presences; what was open ends there as lost. Everything else
+cuts a worker's frames into presences, whatever the frame rate; what was open ends there as lost. Everything else
 (losses within a presence, returns, limits crossed, workers inside but out of sight) follows
 from moves and gaps. Windows are per worker; absence is read from the session's frame times
 by as-of look-ups, so that frames are never multiplied by workers.
@@ -53,7 +53,7 @@ def placed(frames: DataFrame, times: DataFrame, config: Config | None = None) ->
     place = F.when(F.col("zone") == TRANSIT, OUTSIDE).otherwise(F.coalesce("zone", F.lit(OUTSIDE)))
     rows = frames.select(*WHO, "t", place.alias("place")).join(times, ["session", "t"])
     gap = F.col("t") - F.lag("t").over(w)
-    rows = rows.withColumn("gap", gap).withColumn("unwatched", F.coalesce(F.col("gap") > F.col("tolerance"), F.lit(True)))
+    rows = rows.withColumn("gap", gap).withColumn("unwatched", F.coalesce(F.col("gap") > F.least("tolerance", F.lit(c.lost_ttl_s + EPS)), F.lit(True)))
     rows = rows.withColumn("presence", _running(w, F.sum(F.coalesce(F.col("gap") > c.lost_ttl_s + EPS, F.lit(False)).cast("int"))))
     rows = rows.withColumn("spell", _running(w, F.sum((F.col("unwatched") | (F.lag("place").over(w) != F.col("place"))).cast("int"))))
     s = Window.partitionBy(*WHO, "spell").orderBy("t")
