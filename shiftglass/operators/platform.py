@@ -10,7 +10,7 @@ LIMITS = {"FREE": (1, 1, 3, 7), "GROWTH": (10, 5, 25, 90), "ENTERPRISE": (None,
 REASONS = {"camera_error": (100, 3), "failed_session": (80, 2), "no_zones": (70, 2), "no_cameras": (40, 1), "no_members": (30, 1)}
 #: Orders an overview can be shown in.
 SORTS = {
-    "name": ["name", "org_id"], "newest": ["-created_on", "org_id"], "oldest": ["created_on", "org_id"], "cameras": ["-cameras", "org_id"], "seats": ["-seats", "org_id"], "plan": ["plan", "org_id"], "health": ["-score", "org_id"],
+    "name": ["name", "org_id"], "newest": ["-created_on", "org_id"], "oldest": ["created_on", "org_id"], "cameras": ["-cameras", "org_id"], "members": ["-members", "org_id"], "zones": ["-zones", "org_id"], "health": ["-score", "org_id"],
 }
 
 
@@ -18,6 +18,18 @@ def sort(rows: DataFrame, key: str) -> DataFrame:
     return rows.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in SORTS[key]])
 
 
+def first_page(rows: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` organisations in every order: (sort, place, org_id). Each order keeps its best in every task before they meet."""
+    out = None
+    for key, columns in SORTS.items():
+        order = F.struct(*[(-F.col(c[1:]).cast("double") if c[1:] != "created_on" else -F.unix_date("created_on")).alias(c[1:]) if c.startswith("-") else F.col(c) for c in columns])
+        best = sort(rows, key).limit(n).select("org_id", order.alias("key"))
+        placed = best.agg(F.array_sort(F.collect_list(F.struct("key", "org_id"))).alias("rows")).select(F.posexplode("rows").alias("place", "r"))
+        page = placed.select(F.lit(key).alias("sort"), (F.col("place") + 1).cast("long").alias("place"), "r.org_id")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 def effective_plan(today: str) -> Column:
     """The plan in force: FREE once the term has ended."""
     return F.when(F.col("term_ends_on") <= F.lit(today).cast("date"), "FREE").otherwise(F.col("plan"))

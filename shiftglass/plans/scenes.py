@@ -266,6 +266,7 @@ QUERIES = {
     "signup_series": lambda s, p: platform.signups(O(s, p), "2024-01-20", "2024-03-15"),
     "platform_totals": lambda s, p: platform.totals(O(s, p)),
     "platform_overview": _overview,
+    "platform_first_pages": lambda s, p: platform.first_page(O(s, p).where("NOT deleted").join(platform.attention(O(s, p)).select("org_id", "score"), "org_id", "left").withColumn("score", F.coalesce("score", F.lit(0)))),
     "platform_search": lambda s, p: platform.sort(platform.search(O(s, p), " 00 ", "attention"), "newest").select("org_id", "name", "created_on"),
     "action_histogram": lambda s, p: platform.histogram(D(s, p), "rule_type"),
     "outcome_scores": lambda s, p: evaluation.outcomes(judged(s, p)),
@@ -431,3 +432,7 @@ t AS (SELECT frame, cls, n, [pred] AS preds, [truth] AS truths FROM o WHERE n =
  FROM t JOIN o ON o.frame = t.frame AND o.cls = t.cls AND o.n = t.n + 1),
 f AS (SELECT frame, cls, arg_max(preds, n) AS p, arg_max(truths, n) AS q FROM t GROUP BY frame, cls)
 SELECT frame AS image, cls, unnest(p) AS pred, unnest(q) AS truth FROM f"""
+ORACLE_SQL["platform_first_pages"] = sql(f"WITH {ATT}, o AS (SELECT organisations.* , coalesce(att.score, 0) AS score FROM organisations LEFT JOIN att USING (org_id) WHERE NOT organisations.deleted) " + " UNION ALL ".join(
+    f"SELECT '{k}' AS sort, row_number() OVER (ORDER BY {c}, org_id) AS place, org_id FROM o QUALIFY place <= 20"
+    for k, c in {"name": "name", "newest": "created_on DESC", "oldest": "created_on", "cameras": "cameras DESC", "members": "members DESC", "zones": "zones DESC", "health": "score DESC"}.items()
+), "organisations")
