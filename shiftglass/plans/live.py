@@ -9,6 +9,7 @@ from ..sources import domain
 from ..sources.domain import sql
 from ..streaming import episodes, equipment, zone_visits
 from ..streaming.machine import run_batch
+from . import rollups
 
 T, D = domain.telemetry, domain.decisions
 
@@ -80,6 +81,27 @@ def sampled(s, p):
     return run_batch(rows, episodes.Sampler(), ["track_id"], ["t", "sample_id"], "track_id long, sample_id long, t double").select("track_id", "sample_id")
 
 
+def broken(s, p):
+    """Minute buckets of which some break an invariant each: a start within a minute, more postures than samples, too few people, a score or a stay too high."""
+    m = F.minute("bucket_start")
+    hit = lambda k, value, c: F.when(m % k == 0, value).otherwise(F.col(c))
+    b = buckets.minute_buckets(T(s, p))
+    return b.select(
+        "org_id", "camera_id", "zone_id", F.when(m % 11 == 3, F.col("bucket_start") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("bucket_start")).alias("bucket_start"),
+        hit(13, F.lit(0), "occupancy_max").alias("occupancy_max"), "occupancy_avg", "occupancy_min", hit(7, F.col("sample_frames") + 1, "sitting_frames").alias("sitting_frames"), "standing_frames", "walking_frames", "sample_frames",
+        hit(17, F.lit(100.5), "avg_activity_score").alias("avg_activity_score"), hit(19, F.lit(100_000), "total_dwell_seconds").alias("total_dwell_seconds"),
+    )
+
+
+ROLES_OF = sorted({r for roles in governance.CAPABILITIES for r in roles})
+
+
+def allowed(s, p):
+    """How many members of every organisation (customers of a nation) may do what, by their role; some have a role nobody knows."""
+    members = domain.read(s, p, "customer").select(F.col("c_nationkey").alias("org_id"), domain.one_of((*ROLES_OF, "GUEST"), F.col("c_custkey") % (len(ROLES_OF) + 1)).alias("role"))
+    return members.join(F.broadcast(governance.capabilities(s)), "role").groupBy("org_id", "capability").agg(F.count("*").alias("n"))  # a row a capability and role
+
+
 QUERIES = {
     "zone_events": lambda s, p: zone_visits.zone_events(presence(s, p), limits={"click": {5.0: 0.8}}),
     "zone_stays": lambda s, p: zone_visits.stays(zone_visits.zone_events(presence(s, p))),
@@ -89,21 +111,25 @@ QUERIES = {
     "ppe_continuous_decisions": continuous,
     "sampled_telemetry": sampled,
     "invalid_decisions": lambda s, p: governance.invalid_decisions(D(s, p).withColumn("confidence", F.col("confidence") + F.when(F.col("id") % 50 == 2, 0.6).otherwise(0.0))).groupBy("broken").agg(F.count("*").alias("n")),
-    "invalid_buckets": lambda s, p: governance.invalid_buckets(buckets.minute_buckets(T(s, p))).agg(F.count("*").alias("n")),
+    "invalid_buckets": lambda s, p: governance.invalid_buckets(broken(s, p)).select("org_id", "camera_id", "zone_id", "bucket_start"),
     "reviewed_decisions": lambda s, p: governance.review(D(s, p), D(s, p).where("id % 40 = 1").select("id", F.lit("CONFIRMED").alias("state"), F.lit("CORRECT").alias("reason")), "2024-01-01")[0].groupBy("review_state", "review_reason").agg(F.count("*").alias("n"), F.count("reviewed_at").alias("reviewed")),
     "refused_reviews": lambda s, p: governance.review(D(s, p), D(s, p).where("id % 40 = 1").select((F.col("id") * 3).alias("id"), F.when(F.col("id") % 3 == 0, "PENDING").otherwise("DISMISSED").alias("state"), F.lit("OTHER").alias("reason")), "2024-01-01")[1],
     "unique_slugs": lambda s, p: governance.unique_slugs(domain.read(s, p, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "slug"),
-    "capabilities": lambda s, p: governance.capabilities(s),
+    "capabilities": allowed,
 }
 
 ROLES = " UNION ALL ".join(f"SELECT '{c}' AS capability, '{r}' AS role" for roles, held in governance.CAPABILITIES.items() for c in held for r in roles)
 ORACLE_SQL = {
     "invalid_decisions": sql("SELECT broken, count(*) AS n FROM (SELECT CASE WHEN c < 0 OR c > 1 THEN 'confidence' WHEN status = 'UNVERIFIABLE' AND c <> 0 THEN 'unverifiable confidence' WHEN status = 'COMPLIANT' AND review_state <> 'NOT_REQUIRED' THEN 'compliant review' END AS broken FROM (SELECT *, confidence + CASE WHEN id % 50 = 2 THEN 0.6 ELSE 0 END AS c FROM decisions)) WHERE broken IS NOT NULL GROUP BY 1", "decisions"),
-    "invalid_buckets": "SELECT CAST(0 AS BIGINT) AS n",
+    "invalid_buckets": domain.sql(f"""WITH {rollups.BUCKETS_SQL}, b AS (SELECT *, minute(bucket_start) AS m FROM buckets),
+c AS (SELECT * REPLACE (CASE WHEN m % 11 = 3 THEN bucket_start + INTERVAL 1 SECOND ELSE bucket_start END AS bucket_start, CASE WHEN m % 13 = 0 THEN 0 ELSE occupancy_max END AS occupancy_max, CASE WHEN m % 7 = 0 THEN sample_frames + 1 ELSE sitting_frames END AS sitting_frames,
+ CASE WHEN m % 17 = 0 THEN 100.5 ELSE avg_activity_score END AS avg_activity_score, CASE WHEN m % 19 = 0 THEN 100000 ELSE total_dwell_seconds END AS total_dwell_seconds) FROM b)
+SELECT org_id, camera_id, zone_id, bucket_start FROM c WHERE second(bucket_start) <> 0 OR occupancy_min > occupancy_max OR occupancy_avg > occupancy_max OR sitting_frames + standing_frames + walking_frames > sample_frames
+ OR avg_activity_score NOT BETWEEN 0 AND 100 OR total_dwell_seconds > 60 * greatest(occupancy_max, 1)""", "telemetry"),
     "reviewed_decisions": sql("WITH r AS (SELECT *, id % 40 = 1 AND status <> 'COMPLIANT' AS hit FROM decisions) SELECT CASE WHEN hit THEN 'CONFIRMED' ELSE review_state END AS review_state, CASE WHEN hit THEN 'CORRECT' ELSE review_reason END AS review_reason, count(*) AS n, count(*) FILTER (hit) AS reviewed FROM r GROUP BY 1, 2", "decisions"),
     "refused_reviews": sql("SELECT * FROM (SELECT v.id, state, CASE WHEN state = 'PENDING' THEN 'not a verdict' WHEN d.id IS NULL THEN 'not found' WHEN d.status = 'COMPLIANT' THEN 'nothing to review' END AS why FROM (SELECT id * 3 AS id, CASE WHEN id % 3 = 0 THEN 'PENDING' ELSE 'DISMISSED' END AS state FROM decisions WHERE id % 40 = 1) v LEFT JOIN decisions d ON v.id = d.id) WHERE why IS NOT NULL", "decisions"),
     "unique_slugs": "WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM s) SELECT p_partkey, CASE WHEN n > 1 THEN s || '-' || (n - 1) ELSE s END AS slug FROM n",
-    "capabilities": ROLES,
+    "capabilities": f"WITH c(capability, role) AS ({ROLES}), m AS (SELECT c_nationkey AS org_id, list_extract({[*ROLES_OF, 'GUEST']}, CAST(c_custkey % {len(ROLES_OF) + 1} + 1 AS BIGINT)) AS role FROM customer) SELECT org_id, capability, count(*) AS n FROM m JOIN c USING (role) GROUP BY ALL",
     "sampled_telemetry": f"""WITH RECURSIVE telemetry AS ({domain.VIEWS["telemetry"]}), r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ts, sample_id) AS n FROM telemetry),
 w AS (SELECT track_id, n, sample_id, true AS kept, ts AS at, posture_state AS posture FROM r WHERE n = 1
 UNION ALL SELECT track_id, n, sample_id, kept, CASE WHEN kept THEN ts ELSE last END, CASE WHEN kept THEN posture_state ELSE posture END
