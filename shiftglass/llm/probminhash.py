@@ -280,8 +280,15 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     needed = dealt.select("key").distinct().join(reps.select("key", "rep_id"), "key")
     whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("t"))
     texts = scratch.keep(whole.alias("w").join(needed.alias("n"), (F.col("w.key") == F.col("n.key")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("w.key", "t", F.octet_length("t").alias("size")).dropDuplicates(["key"]))
-    links = scratch.keep(_verified(star, texts, threshold))
+    # first one leader a text, then the others of those still apart: a group's links are as many as its texts, not that times its bands
+    nearest = scratch.keep(star.groupBy("a").agg(F.min("b").alias("b")))
+    links = scratch.keep(_verified(nearest, texts, threshold))
     roots = components(links, scratch)
+    others = scratch.keep(_apart(star.join(nearest, ["a", "b"], "left_anti"), roots))
+    found = scratch.keep(_verified(others, texts, threshold))
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        roots = components(links, scratch)
     small = dealt.where(F.col("n").between(3, SMALL_BUCKET)).groupBy("bucket").agg(F.collect_list("key").alias("keys"))
     inner = small.select("keys", F.explode("keys").alias("x")).select("x", F.explode("keys").alias("y")).where("x < y").select(F.col("y").alias("a"), F.col("x").alias("b"))
     large = dealt.where(F.col("n") > SMALL_BUCKET)
