@@ -211,7 +211,7 @@ ev AS (
  UNION ALL SELECT session, worker, presence, declared, 1, 'LOST_IN_ZONE', home, t, {_json(last_seen_s="round(t, 3)", declared_at_s="round(declared, 3)")} FROM ae
  UNION ALL SELECT session, worker, presence, back, 2, 'REAPPEARED', home, back, {_json(gap_s="round(away, 3)", last_seen_s="round(t, 3)")} FROM ae WHERE back IS NOT NULL AND away <= 8 + 1e-9
  UNION ALL SELECT session, worker, presence, ended, 4, 'EXITED_ZONE', home, t, {_json(reason="'LOST'", unverifiable="true", dwell_s="round(greatest(t - since, 0), 3)", last_seen_s="round(t, 3)", declared_at_s="round(ended, 3)")} FROM ae WHERE away > 8 + 1e-9
- UNION ALL SELECT session, worker, presence, 'infinity', 4, 'EXITED_ZONE', zone, until, {_json(reason="'SESSION_END'", unverifiable="true", dwell_s="round(until - entered, 3)", last_seen_s="round(until, 3)")} FROM sy WHERE left_told IS NULL AND NOT coalesce(lost, false)
+ UNION ALL SELECT session, worker, presence, CAST('infinity' AS DOUBLE), 4, 'EXITED_ZONE', zone, until, {_json(reason="'SESSION_END'", unverifiable="true", dwell_s="round(until - entered, 3)", last_seen_s="round(until, 3)")} FROM sy WHERE left_told IS NULL AND NOT coalesce(lost, false)
  DWELL),
 un AS (SELECT *, lag([event_type, zone_id, details]) OVER (PARTITION BY session, worker, presence ORDER BY heard, rank, t, event_type, details) IS DISTINCT FROM [event_type, zone_id, details] AS other FROM ev),
 events_ AS (SELECT session, worker, event_type, zone_id, round(t, 6) AS t, details FROM un WHERE other)"""
