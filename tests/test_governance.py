@@ -49,7 +49,7 @@ def test_posture_expressions(spark):
     points = {5: (0, 0), 6: (2, 0), 11: (0, 10), 12: (2, 10)}
     kp = F.array(*[F.struct(F.lit(float(points.get(i, (0, 0))[0])).alias("x"), F.lit(float(points.get(i, (0, 0))[1])).alias("y"), F.lit(0.9 if i in points else 0.1).alias("conf")) for i in range(17)])
     box = F.array(*[F.lit(float(v)) for v in (0, 0, 30, 10)])
-    r = one(spark, g.torso_angle(kp).alias("angle"), g.midpoint(kp, 13, 14).alias("none"), g.midpoint(kp, 5, 6).alias("mid"), g.iou(box, box).alias("same"))
+    r = one(spark, g.torso_angle(kp).alias("angle"), g.skeleton(kp)["knee"].alias("none"), g.skeleton(kp)["shoulder"].alias("mid"), g.iou(box, box).alias("same"))
     assert r["angle"] < 10 and r["none"] is None and r["mid"]["x"] == 1.0 and r["same"] == 1.0
 
 
