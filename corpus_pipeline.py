@@ -14,6 +14,8 @@ from shiftglass.llm.common import Scratch, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SCORE = 0.5
+#: Words whose ids a packing task remembers: its workers share their memory with what the stages before left in them.
+WORDS_AT_ONCE = 400_000
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are their end id alone; texts over 4096 ids are cut into pieces.
     Pieces of one length are interchangeable: ties are ordered by the row's hash.
     """
-    return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), most_words=WORDS_AT_ONCE))
 
 
 STAGES = [

@@ -23,7 +23,7 @@ from .common import Scratch, slices, widened
 CAPACITY = 4096
 END_ID = 1
 QUANTUM = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 ENCODE_AT_ONCE = 4096
 #: Closing punctuation that the tokenizer parts from the letters before it.
 CLOSING = b".,!?;:"
@@ -31,13 +31,13 @@ RANK_GROUP = 100_000
 
 
 # --------------------------------------------------------------------------- pieces
-def word_encoder(path: str):
+def word_encoder(path: str, most_words: int = CACHE_WORDS):
     """A function from texts to the little-endian 32-bit ids of their tokens.
 
     The tokenizer lower-cases, never joins text across ASCII white space, and parts letters
     from what follows them. So each word (in lower case unless it may hold a special
     token) is encoded once and remembered, closing punctuation apart; words of letters are
-    encoded many at a time. The memory is emptied at ``CACHE_WORDS`` words.
+    encoded many at a time. The memory is emptied at ``most_words`` words (some 200 bytes each).
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -68,7 +68,7 @@ def word_encoder(path: str):
         raws = [t.encode("utf-8", "replace") for t in texts]
         lists = [(r if b"<|" in r else r.lower()).split() for r in raws]
         new = set().union(*lists).difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
+        if len(cache) + len(new) > most_words:
             cache.clear()
             new = set().union(*lists)
         parted = {}
@@ -105,7 +105,7 @@ def plain(word: bytes) -> bool:
     return t.isalpha() and max(t) < "\u0250" and t == t.lower()
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, with_ids: bool = False, most_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: ``keep``, piece, start, length, ids_crc32 and, if asked, ids.
 
     A document is its token ids and an end id; null text counts as empty. Documents over
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        encode = word_encoder(tokenizer)
+        encode = word_encoder(tokenizer, most_words)
         for b in slices(batches, "__text", 1 << 20):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(encode([t or "" for t in b.column("__text").to_pylist()])):
