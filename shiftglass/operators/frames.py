@@ -58,10 +58,14 @@ def close_ups(people: DataFrame, most: int = 10) -> DataFrame:
 
 def worn(people: DataFrame, items: DataFrame) -> DataFrame:
     """Each item goes to at most one person: of those in whose head or torso region it is, the one
-    whose target point is nearest (then the first); a person keeps the best confidence per kind."""
+    whose target point is nearest (then the first); a person keeps the best confidence per kind.
+
+    ``items``: frame, item, cls, item_box, item_conf[, cx, cy]. Where the centre is given it is not
+    taken from the box again: the box's rounded edges move it by the last digit, which decides near ties.
+    """
     p, i = F.col("bbox"), F.col("item_box")
     h = F.greatest(F.lit(1.0), p[3] - p[1])
-    cx, cy = g.centre(i)
+    cx, cy = (F.col("cx"), F.col("cy")) if {"cx", "cy"} <= set(items.columns) else g.centre(i)
     head = (cx >= p[0]) & (cx <= p[2]) & (cy >= p[1] - HEAD_SLACK * h) & (cy <= p[1] + HEAD_BOTTOM * h)
     torso = (cy >= p[1] + VEST_TOP * h) & (cy <= p[1] + VEST_BOTTOM * h) & (g.containment(i, p) >= HELD)
     target = F.when(F.col("cls") == "helmet", TARGET["helmet"]).otherwise(TARGET["safety_vest"])
