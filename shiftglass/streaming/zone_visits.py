@@ -19,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Config
+from ..operators import tasks
 from ..operators.frames import median_of
+from ..sources.sinks import kept_table
 from ..vocabulary import TRANSIT
 
 EPS = 1e-9
@@ -51,7 +53,7 @@ def placed(frames: DataFrame, times: DataFrame, config: Config | None = None) ->
     c = config or Config()
     w = Window.partitionBy(*WHO).orderBy("t")
     place = F.when(F.col("zone") == TRANSIT, OUTSIDE).otherwise(F.coalesce("zone", F.lit(OUTSIDE)))
-    rows = frames.select(*WHO, "t", place.alias("place")).join(times, ["session", "t"])
+    rows = tasks.dealt(frames.select(*WHO, "t", place.alias("place")).join(times, ["session", "t"]), *WHO, n=frames.count())
     gap = F.col("t") - F.lag("t").over(w)
     rows = rows.withColumn("gap", gap).withColumn("unwatched", F.coalesce(F.col("gap") > F.least("tolerance", F.lit(c.lost_ttl_s + EPS)), F.lit(True)))
     rows = rows.withColumn("presence", _running(w, F.sum(F.coalesce(F.col("gap") > c.lost_ttl_s + EPS, F.lit(False)).cast("int"))))
@@ -124,12 +126,13 @@ def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[s
     """``zone_events`` with when and rank: at what time an event is told (infinity: at the end) and its order there.
 
     ``reasons`` (session, why) says why a session ended, where it is not ``reason``; ``tracked``
-    is what ``track`` gives for the same frames.
+    is what ``track`` gives for the same frames. What several kinds of events rest on is stored,
+    so that no plan holds it more than once.
     """
     c, seconds = config or Config(), lambda x: F.round(x, 3)
-    times, rows = tracked or track(frames, c)
-    known = presences(rows, times, c)
-    stays_ = visits(rows, known)
+    times, rows = tracked or track(kept_table(frames.select(*WHO, "t", "zone")), c, keep=kept_table)
+    known = kept_table(presences(rows, times, c))
+    stays_ = kept_table(visits(rows, known))
     event = lambda kind, zone, t, details: (F.lit(kind).alias("event_type"), zone.alias("zone_id"), F.round(t, 6).alias("t"), details.alias("details"))
     col = F.col
 
@@ -143,7 +146,7 @@ def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[s
     outer = known.where(col("until") - col("last") > min(c.lost_grace_s, c.lost_ttl_s) + EPS).select(*WHO, "presence", "last", "home", F.lit(None).cast("double").alias("back"), "since", "lost")
     gaps = inner.withColumn("lost", F.lit(False)).unionByName(outer).where(col("home") != OUTSIDE)
     gaps = gaps.withColumn("grace", col("last") + c.lost_grace_s).withColumn("ttl", col("last") + c.lost_ttl_s)
-    gaps = _next_time(_next_time(gaps, times, "grace", "declared"), times, "ttl", "ended")
+    gaps = kept_table(_next_time(_next_time(gaps, times, "grace", "declared"), times, "ttl", "ended"))
     lost = gaps.select(*WHO, "presence", col("declared").alias("when"), F.lit(1).alias("rank"), *event("LOST_IN_ZONE", col("home"), col("last"), told(last_seen_s=seconds(col("last")), declared_at_s=seconds(col("declared")))))
     back = gaps.where("back IS NOT NULL").select(*WHO, "presence", col("back").alias("when"), F.lit(2).alias("rank"), *event("REAPPEARED", col("home"), col("back"), told(gap_s=seconds(col("back") - col("last")), last_seen_s=seconds(col("last")))))
     gone = gaps.where("lost").select(
