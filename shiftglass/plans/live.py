@@ -4,37 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import buckets, frames, governance, records
+from ..operators import buckets, frames, governance, records, tasks
 from ..sources import domain
 from ..sources.domain import sql
+from ..sources.sinks import kept_table
 from ..streaming import episodes, equipment, zone_visits
 from ..streaming.machine import run_batch
 from . import rollups
 
 T, D = domain.telemetry, domain.decisions
+FRAMES_A_SAMPLE = 13
 
 
 def presence(s, p):
     """Frames twice a second while a sample lasts: sessions are camera hours, no zone where the type is error."""
     start = F.unix_micros("ts") % 3_600_000_000 / 1e6
     steps = F.sequence(F.lit(0), F.least(F.floor(F.col("activity_score") / 4), F.lit(24)).cast("int"))
-    rows = T(s, p).select(
-        F.concat_ws("/", "camera_id", F.date_format("ts", "yyyyMMddHH")).alias("session"), F.concat(F.lit("trk-"), "track_id").alias("worker"), F.when(F.col("zone_id") != "error", F.col("zone_id")).alias("zone"), F.floor(start * 2).alias("half"), F.explode(steps).alias("k")
+    samples = T(s, p)
+    rows = samples.select(
+        F.concat_ws("/", "camera_id", F.date_format("ts", "yyyyMMddHH")).alias("session"), F.concat(F.lit("trk-"), "track_id").alias("worker"), F.when(F.col("zone_id") != "error", F.col("zone_id")).alias("zone"), F.floor(start * 2).alias("half"), steps.alias("steps")
     )
+    # samples are dealt, not their frames: all that is asked of a worker follows without a shuffle
+    rows = tasks.dealt(rows, "session", "worker", n=samples.count() * FRAMES_A_SAMPLE).withColumn("k", F.explode("steps"))
     return rows.groupBy("session", "worker", ((F.col("half") + F.col("k")) / 2).alias("t")).agg(F.min("zone").alias("zone"))
 
 
 def occupancy(s, p):
-    frames_ = presence(s, p)
+    frames_ = kept_table(presence(s, p))
     heads = frames_.where("zone IS NOT NULL").groupBy("session", "zone", "t").agg(F.count("*").alias("seen"), F.count_if(F.substring("worker", -1, 1) != "7").alias("clear"))
-    heads = heads.join(zone_visits.hidden(frames_), ["session", "zone", "t"], "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
-    return episodes.occupancy(heads, ["session", "zone"], least=2)
+    heads = heads.join(zone_visits.hidden(frames_, tracked=zone_visits.track(frames_, keep=kept_table)), ["session", "zone", "t"], "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
+    return episodes.occupancy(kept_table(heads), ["session", "zone"], least=2)
 
 
-def bodies(s, p):
+def bodies(s, p, here=None):
     """Tracked bodies: walking until they lie down three seconds in, some bent or with weak keypoints, some up again."""
     w = Window.partitionBy("session", "worker").orderBy("t")
-    rows = presence(s, p).withColumn("n", F.row_number().over(w)).withColumn("kind", F.substring("worker", -1, 1).cast("int"))
+    rows = (here or presence(s, p)).withColumn("n", F.row_number().over(w)).withColumn("kind", F.substring("worker", -1, 1).cast("int"))
     lying = (F.col("n") > 6) & ~((F.col("kind") == 3) & (F.col("n") % 19 > 15))
     return rows.select(
         "session", "worker", "t", F.when(lying, 100.0).otherwise(F.col("n") * 40.0).alias("cx"), F.lit(200.0).alias("cy"), F.lit(150.0).alias("size"),
@@ -47,10 +52,10 @@ def man_down(s, p):
     return episodes.man_down(bodies(s, p), ["session", "worker"])
 
 
-def looks(s, p):
+def looks(s, p, here=None):
     """Two items looked at in every frame; what is seen changes by worker and every few seconds."""
     phase, kind = F.floor(F.col("t") / 4), F.substring("worker", -1, 1).cast("int")
-    rows = presence(s, p).select("session", "worker", "t", F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.lit(k).alias("k")) for k, n in enumerate(("helmet", "safety_vest"))])).alias("i")).select("session", "worker", "t", "i.*")
+    rows = (here or presence(s, p)).select("session", "worker", "t", F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.lit(k).alias("k")) for k, n in enumerate(("helmet", "safety_vest"))])).alias("i")).select("session", "worker", "t", "i.*")
     turn = F.pmod(phase + kind * (F.col("k") + 1), F.lit(7))
     return rows.select(
         "session", "worker", "t", "item", F.when(turn < 3, "PRESENT").when((turn == 3) | (kind == 4), "ABSENT").otherwise("UNVERIFIABLE").alias("state"),

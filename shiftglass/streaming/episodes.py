@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Config
+from ..operators import tasks
 from ..operators.frames import median_of
 from ..sources.sinks import kept_table
 from .machine import Machine
@@ -100,12 +101,13 @@ def occupancy(heads: DataFrame, keys: list[str], least: int | None = None, most:
         return part.groupBy(*one, "since", "judged").agg(share.alias("share"), F.rint(median_of(F.collect_list("seen"))).cast("int").alias("people"), F.max("hidden_so_far").alias("hidden"))
 
     so_far = F.max("hidden").over(e.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    second = second.withColumn("hidden_so_far", so_far)
-    early = read(second.where("t <= judged"))
+    # stored, as what follows reads it more than once
+    second = kept_table(second.withColumn("hidden_so_far", so_far))
+    early = kept_table(read(second.where("t <= judged")))
     unclear = early.where(F.col("share") < c.occupancy_clear)
     late = read(second.where("t > judged AND t <= again").withColumn("since", F.col("judged")).withColumn("judged", F.col("again")))
     late = late.join(unclear.select(*one), one, "left_semi")
-    flags = _spaced(early.where(F.col("share") >= c.occupancy_clear).unionByName(late.where(F.col("share") >= c.occupancy_clear)), by, "judged", c.realert_after_s)
+    flags = _spaced(kept_table(early.where(F.col("share") >= c.occupancy_clear).unionByName(late.where(F.col("share") >= c.occupancy_clear))), by, "judged", c.realert_after_s)
     evidence = {"people_seen": F.col("people"), "seconds": F.round(F.col("judged") - F.col("since"), 1), "clear_fraction": F.round("share", 3), "hidden_people": F.col("hidden"), "min_people": F.lit(least).cast("int"), "max_people": F.lit(most).cast("int")}
     return flags.select(*keys, *_judged(FLAG, F.col("since"), F.col("share"), outcome=F.col("kind"), **evidence), _at(F.col("judged"))).unionByName(unclear.select(*keys, *_judged(UNSURE, F.col("since"), F.lit(0.0), outcome=F.lit("CROWDED"), **evidence), _at(F.col("judged"))))
 
@@ -155,6 +157,9 @@ def man_down(bodies: DataFrame, keys: list[str], seconds: float | None = None, c
     rows = rows.withColumn("flagged", F.min(F.when(clear, F.col("t"))).over(e)).withColumn("unsure", F.min(F.when(judges & (F.col("t") - F.col("since") >= 2 * seconds), F.col("t"))).over(e))
     told_first = F.col("flagged") <= F.coalesce(F.col("unsure"), F.col("flagged"))
     rows = rows.withColumn("unsure", F.when(~F.coalesce(told_first, F.lit(False)), F.col("unsure"))).withColumn("flagged", F.when(told_first, F.col("flagged")))
+    # the frames of the episodes of which something is said; stored, as that reads them three times
+    rows = kept_table(rows.select(*one, "t", "lies", "angle", "since", "n", "down", "flagged", "unsure").where("flagged IS NOT NULL OR unsure IS NOT NULL"))
+    rows = tasks.dealt(rows, *keys)
     later = rows.where("t > unsure").withColumn("since", F.col("unsure")).withColumn("n", so_far()).withColumn("down", so_far(F.col("lies") == "DOWN"))
     later = later.withColumn("flagged", F.min(F.when(clear, F.col("t"))).over(e))
 
