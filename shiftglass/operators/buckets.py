@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rounding import rounded
+from . import tasks
 
 KEY = ["org_id", "camera_id", "zone_id", "bucket_start"]
 SETTLE_SECONDS = 120
@@ -33,7 +34,8 @@ def minute_buckets(samples: DataFrame) -> DataFrame:
     samples only, and rows without a score leave the mean alone (0 if there is none).
     """
     # the one shuffle, by bucket: it serves all groupings below, which hold the bucket's key
-    rows = samples.where(F.col("ts").isNotNull()).withColumn("bucket_start", F.date_trunc("minute", "ts")).repartition(*KEY)
+    rows = samples.where(F.col("ts").isNotNull()).withColumn("bucket_start", F.date_trunc("minute", "ts"))
+    rows = tasks.dealt(rows, *KEY)
     fine = rows.groupBy(*KEY, F.second("ts").alias("s"), "track_id").agg(
         F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"),
         *[F.count_if(F.col("posture_state") == p).alias(p.lower()) for p in ("SITTING", "STANDING", "WALKING")],
