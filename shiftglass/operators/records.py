@@ -11,8 +11,11 @@ UUID_SHAPE = "^.{8}-.{4}-.{4}-.{4}-.{12}$"
 # --------------------------------------------------------------------------- tenancy and filters
 def tenant(rows: DataFrame, caller_orgs: DataFrame, deleted_orgs: DataFrame | None = None, key: str = "org_id") -> DataFrame:
     """Rows of the caller's organisations, deleted ones left out; rows without one belong to nobody."""
-    out = rows.join(caller_orgs.select(key), key, "left_semi")
-    return out if deleted_orgs is None else out.join(deleted_orgs.select(key), key, "left_anti")
+    own = caller_orgs.select(key).distinct()
+    if deleted_orgs is not None:
+        own = own.join(deleted_orgs.select(key), key, "left_anti")
+    # a caller has few organisations, an organisation many rows: these stay where they are
+    return rows.join(F.broadcast(own), key, "left_semi")
 
 
 def where_equal(rows: DataFrame, **values) -> DataFrame:
