@@ -66,9 +66,12 @@ def looks(s, p, here=None):
 def stayed(s, p):
     """Stays in a zone as (session, worker, zone_id, entered, left, reason, ends): unbroken stretches of presence there."""
     w = Window.partitionBy("session", "worker").orderBy("t")
-    rows = presence(s, p).withColumn("new", ~F.coalesce(F.lag("zone").over(w).eqNullSafe(F.col("zone")) & (F.col("t") - F.lag("t").over(w) <= 0.5), F.lit(False)))
-    rows = rows.withColumn("stay", F.sum(F.col("new").cast("int")).over(w)).withColumn("ends", F.max("t").over(Window.partitionBy("session")))
-    stays = rows.where("zone IS NOT NULL").groupBy("session", "worker", "stay").agg(F.first("zone").alias("zone_id"), F.min("t").alias("entered"), F.max("t").alias("last"), F.first("ends").alias("ends"))
+    here = presence(s, p)
+    rows = here.withColumn("new", ~F.coalesce(F.lag("zone").over(w).eqNullSafe(F.col("zone")) & (F.col("t") - F.lag("t").over(w) <= 0.5), F.lit(False)))
+    rows = rows.withColumn("stay", F.sum(F.col("new").cast("int")).over(w))
+    # a session is a camera's hour: their ends are few, while a window over sessions would shuffle every frame
+    ends = here.groupBy("session").agg(F.max("t").alias("ends"))
+    stays = rows.where("zone IS NOT NULL").groupBy("session", "worker", "stay").agg(F.first("zone").alias("zone_id"), F.min("t").alias("entered"), F.max("t").alias("last")).join(F.broadcast(ends), "session")
     return stays.select("session", "worker", "zone_id", "entered", F.when(F.col("last") < F.col("ends"), F.col("last") + 0.5).alias("left"), F.when(F.floor("entered") % 2 == 0, "LOST").otherwise("LEFT").alias("reason"), "ends")
 
 

@@ -88,13 +88,15 @@ def entry_decisions(visits: DataFrame, looks: DataFrame, keys: list[str], floor:
     )
     rows = rows.withColumn("why", why)
     # whether an entry is judged depends on the claims before it: a fold over a worker's entries
-    order = F.array_sort(F.collect_list(F.struct("entered", (F.col("status") != UNSURE).alias("claims"))))
+    order = F.array_sort(F.collect_list(F.struct("entered", (F.col("status") != UNSURE).alias("claims"), *[c for c in rows.columns if c not in (*keys, "entered")])))
     none = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
     heard = lambda a, x: a["last"].isNull() | (x["entered"] - a["last"] >= c.realert_after_s)
-    fold = F.aggregate(order, none, lambda a, x: F.when(heard(a, x), F.struct(F.when(x["claims"], x["entered"]).otherwise(a["last"]).alias("last"), F.concat(a["kept"], F.array(x["entered"])).alias("kept"))).otherwise(a))
-    kept = rows.groupBy(*keys).agg(fold["kept"].alias("kept")).select(*keys, F.explode("kept").alias("entered"))
+    fold = F.aggregate("order", none, lambda a, x: F.when(heard(a, x), F.struct(F.when(x["claims"], x["entered"]).otherwise(a["last"]).alias("last"), F.concat(a["kept"], F.array(x["entered"])).alias("kept"))).otherwise(a))
+    # the rows come along: a join with what is kept would work all of this out again
+    told_of = rows.groupBy(*keys).agg(order.alias("order")).withColumn("kept", fold["kept"])
+    rows = told_of.select(*keys, F.explode(F.filter("order", lambda x: F.array_contains("kept", x["entered"]))).alias("r")).select(*keys, "r.*").drop("claims")
     evidence = {"why": F.col("why"), "missing": F.col("look.missing"), "entered_video_time_s": F.round("entered", 3), "waited_seconds": F.round(F.col("decided") - F.col("entered"), 3)}
-    judged = rows.join(kept, [*keys, "entered"], "left_semi").select("*", *_judged(UNSURE, F.col("entered"), F.when(F.col("status") == UNSURE, F.lit(0.0)).otherwise(F.col("look.support")), **evidence)[1:])
+    judged = rows.select("*", *_judged(UNSURE, F.col("entered"), F.when(F.col("status") == UNSURE, F.lit(0.0)).otherwise(F.col("look.support")), **evidence)[1:])
     return judged.select(*keys, "status", "t", "confidence", "evidence", F.round("decided", 6).alias("decided"))
 
 
@@ -120,10 +122,11 @@ def continuous(looks: DataFrame, keys: list[str], grace_s: float | None = None,
     due = rows.where(F.col("t") - F.col("since") >= grace_s - EPS)
     first = due.groupBy(*keys, "episode", "streak", "since").agg(F.min("t").alias("at"), F.min_by("support", "t").alias("support"))
     # which streaks are flagged depends on the flags before: a fold over the few streaks that are due
-    order = F.array_sort(F.collect_list(F.struct("at", "since", "episode")))
+    order = F.array_sort(F.collect_list(F.struct("at", "since", "episode", "support")))
     none = F.struct(F.lit(None).cast("double").alias("last"), F.lit(-1).cast("long").alias("episode"), F.array().cast("array<double>").alias("kept"))
     take = lambda a, x: (x["episode"] != a["episode"]) & (a["last"].isNull() | (x["since"] - a["last"] >= c.realert_after_s))
-    fold = F.aggregate(order, none, lambda a, x: F.when(take(a, x), F.struct(x["at"].cast("double").alias("last"), x["episode"].cast("long").alias("episode"), F.concat(a["kept"], F.array(x["at"].cast("double"))).alias("kept"))).otherwise(a))
-    kept = first.groupBy(*keys).agg(fold["kept"].alias("kept"))
-    flags = first.join(kept, keys).where(F.array_contains("kept", F.col("at")))
+    fold = F.aggregate("order", none, lambda a, x: F.when(take(a, x), F.struct(x["at"].cast("double").alias("last"), x["episode"].cast("long").alias("episode"), F.concat(a["kept"], F.array(x["at"].cast("double"))).alias("kept"))).otherwise(a))
+    # the streaks come along: a join with what is kept would work all of this out again
+    kept = first.groupBy(*keys).agg(order.alias("order")).withColumn("kept", fold["kept"])
+    flags = kept.select(*keys, F.explode(F.filter("order", lambda x: F.array_contains("kept", x["at"]))).alias("r")).select(*keys, "r.*")
     return flags.select(*keys, *_judged(FLAG, F.col("since"), F.col("support"), run_seconds=F.round(F.col("at") - F.col("since"), 3), decided_video_time_s=F.round("at", 3)), _at(F.col("at")))
