@@ -9,10 +9,11 @@ sampling; after a burn-in, every sweep's state of both levels is a draw, and the
 probabilities of the draws are averaged.
 
 Nothing is keyed by word in the shuffles, so that no word can be hot: documents are held
-in batches of tokens, a batch sends each of its distinct bigrams once, with its own count,
-to hash ranges of bigrams. A range holds each bigram of the corpus once. Those of one customer
+in batches of tokens, whose words are numbered in the order of their hashes first; then a
+batch sends each of its distinct bigrams once, with its own count, to hash ranges of bigrams. A range holds each bigram of the corpus once. Those of one customer
 have one table for good; a sweep reads and rewrites the others only, and exchanges tables
-with hash ranges of words, which know each range's words from its first report. In the end
+with hash ranges of words, which know each range's words from its first report. Of a draw
+the words' totals are stored once, not for every range. In the end
 every range adds up the draws and answers the batches in the order asked. All draws derive
 from the bigrams' places, so that reruns repeat them.
 """
@@ -163,7 +164,7 @@ BATCH = "batch long, tokens long, ids binary, known binary, sizes binary, learn
 
 
 def batches(docs: DataFrame, text: str, doc_id: str, learn: str, batch_tokens: int) -> DataFrame:
-    """Rows of about ``batch_tokens`` tokens: sorted distinct words and each token's place among them."""
+    """Rows of about ``batch_tokens`` tokens: distinct words, the most frequent first, and each token's place among them, in planes."""
     picked = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(learn).alias("l"), F.col(text).alias("t"))
 
     def run(source):
@@ -171,8 +172,9 @@ def batches(docs: DataFrame, text: str, doc_id: str, learn: str, batch_tokens: i
 
         def batch():
             ids, known, sizes, learn, h = (np.concatenate(x) for x in zip(*held))
-            words, text = np.unique(h, return_inverse=True)
-            row = [base + number, len(h), pack(ids), pack(known), pack(sizes), pack(learn), pack(words), pack(text.astype(np.int32))]
+            words, text, n = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            row = [base + number, len(h), pack(ids), pack(known), pack(sizes), pack(learn), pack(words[order]), planes(turned(order)[text].astype(np.int32))]
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[x.split()[0] for x in BATCH.split(", ")])
 
         for b in slices(source, "t", 2 << 20):
@@ -196,7 +198,9 @@ class Batch:
 
     def __init__(self, t: pa.Table, ranges: int):
         get = lambda name, kind: np.frombuffer(t.column(name)[0].as_py(), kind)
-        self.words, self.text, self.sizes = get("words", np.uint64), get("text", np.int32), get("sizes", np.int64)
+        words, self.sizes = get("words", np.uint64), get("sizes", np.int64)
+        order = np.argsort(words)
+        self.words, self.text = words[order], turned(order)[level(t.column("text")[0].as_py(), np.int32)].astype(np.int32)
         self.learn, self.ids, self.known = get("learn", bool), get("ids", np.int64), get("known", bool)
         ends = np.cumsum(self.sizes)
         self.starts = ends - self.sizes
@@ -225,9 +229,9 @@ def bounds(ranges: int) -> np.ndarray:
     return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
 
 
-def cuts(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of sorted 64-bit keys that equal ranges hold, none empty."""
-    at = np.searchsorted(keys, bounds(ranges))
+def cuts(keys: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys, none empty; ``firsts``: the ranges' first keys, but the first."""
+    at = np.searchsorted(keys, firsts)
     return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip([0, *at], [*at, len(keys)])) if b > a]
 
 
@@ -257,25 +261,52 @@ def table_of(schema: str, rows: list[tuple]) -> pa.Table:
 
 def joined(t: pa.Table, name: str, kind) -> np.ndarray:
     """The arrays of a column's rows as one."""
-    return np.concatenate([counts(r.as_py()) if kind is np.uint32 else np.frombuffer(r.as_py(), kind) for r in t.column(name)]) if len(t) else np.zeros(0, kind)
+    return np.concatenate([unsqueezed(r.as_py(), kind) for r in t.column(name)]) if len(t) else np.zeros(0, kind)
+
+
+def turned(order: np.ndarray) -> np.ndarray:
+    """Where a permutation puts 0, 1, ..."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers plane by plane, all first bytes, then all second ones, ...: small ones leave planes of zeros, which compress to nothing."""
+    return pack(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
+def level(raw: bytes, kind) -> np.ndarray:
+    """``planes`` turned back."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers of 4 bytes packed: how many, then their planes, compressed."""
+    return len(x).to_bytes(8, "little") + pa.compress(planes(x), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, kind) -> np.ndarray:
+    return level(pa.decompress(raw[8:], 4 * int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
 def count32(*arrays: np.ndarray) -> tuple[bytes, ...]:
-    """Counts, most of them small, packed: their number, then 4 bytes each, compressed."""
-    return tuple(len(a).to_bytes(8, "little") + pa.compress(pack(a.astype(np.uint32)), codec="zstd", asbytes=True) for a in arrays)
+    """Counts, most of them small, packed."""
+    return tuple(squeezed(a.astype(np.uint32)) for a in arrays)
 
 
 def counts(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), np.uint32)
+    return unsqueezed(raw, np.uint32)
 
 
 # --------------------------------------------------------------------------- ranges of bigrams and of words
 ASK = "part int, batch long, words binary, left binary, right binary, n binary"
 HELD = "kind int, part int, batch long, left binary, right binary, c binary, t binary, at binary, down binary, sent binary, place binary, word_part int, keys binary"
 FULL, PLACE, MANY, REPORT = range(4)
-SEEN = "batch long, part int, seen binary, a long, b long"
-STATE = "part int, word_part int, customers binary, tables binary, sent binary, own binary, place binary, s long, o long, ones long, twos long"
+SEEN = "batch long, part int, seen binary, place binary, a long, b long, words long"
+WORDS = "part int, word_part int, place binary, customers binary"
+STATE = "part int, word_part int, tables binary, sent binary, own binary, s long, o long, ones long, twos long"
+DRAW = "part int, word_part int, draw int, tables binary, sent binary, own binary"
 
 
 def held_table(rows: list[dict]) -> pa.Table:
@@ -283,9 +314,9 @@ def held_table(rows: list[dict]) -> pa.Table:
     return table_of(HELD, [tuple(r.get(n) for n in names) for r in rows])
 
 
-def gather(t: pa.Table, word_ranges: int) -> pa.Table:
-    """One range's bigrams out of all batches' requests, each batch's places among them, those of many customers, and the first report."""
-    words = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")]
+def gather(t: pa.Table) -> pa.Table:
+    """One range's bigrams and words out of all batches' requests, and each batch's places among the bigrams."""
+    words = [risen(x.as_py()) for x in t.column("words")]
     n = [counts(x.as_py()) for x in t.column("n")]
     every = np.unique(np.concatenate(words))
     code = []
@@ -293,14 +324,25 @@ def gather(t: pa.Table, word_ranges: int) -> pa.Table:
         own = np.searchsorted(every, w)
         code.append(own[risen(left.as_py())] * len(every) + own[wide(right.as_py(), len(k))])
     code, at = np.unique(np.concatenate(code), return_inverse=True)
-    c = np.bincount(at, np.concatenate(n), len(code)).astype(np.int64)
-    part, left, right, one, many = t.column("part")[0].as_py(), code // len(every), code % len(every), c == 1, np.flatnonzero(c > 1)
-    cut, count = cuts(every, word_ranges), lambda side: np.bincount(side[one], minlength=len(every))
-    groups = Many(part, many, left[many], right[many], c[many], np.ones(len(many), np.int64), count(left), count(right), cut)
-    customers = np.bincount(left, c, len(every))
-    rows = [{"kind": FULL, "part": part, **dict(zip(("left", "right", "c"), count32(left, right, c)))}]
+    c, part = np.bincount(at, np.concatenate(n), len(code)).astype(np.int64), t.column("part")[0].as_py()
+    rows = [{"kind": FULL, "part": part, "keys": rising(every), **dict(zip(("left", "right", "c"), count32(code // len(every), code % len(every), c)))}]
     rows += [{"kind": PLACE, "part": part, "batch": b, "place": rising(at[e - len(k) : e])} for b, k, e in zip(t.column("batch").to_pylist(), n, np.cumsum([len(k) for k in n]))]
-    return held_table(rows + groups.rows([{"keys": pack(every[a:b]), "c": count32(customers[a:b])[0]} for _, a, b in cut]))
+    return held_table(rows)
+
+
+def opening(starts: np.ndarray):
+    """A range's bigrams of many customers, a table each, and its first report, which tells its words."""
+
+    def run(t: pa.Table) -> pa.Table:
+        left, right, c = (joined(t, x, np.uint32).astype(np.int64) for x in ("left", "right", "c"))
+        every, part = risen(t.column("keys")[0].as_py()), t.column("part")[0].as_py()
+        one, many = c == 1, np.flatnonzero(c > 1)
+        cut, count = cuts(every, starts[1:-1]), lambda side: np.bincount(side[one], minlength=len(every))
+        groups = Many(part, many, left[many], right[many], c[many], np.ones(len(many), np.int64), count(left), count(right), cut)
+        customers = np.bincount(left, c, len(every))
+        return held_table(groups.rows([{"keys": rising(every[a:b] - starts[p]), "c": count32(customers[a:b])[0]} for p, a, b in cut]))
+
+    return run
 
 
 class Many:
@@ -346,46 +388,58 @@ class Totals:
         return (c - d * t + (THETA + d * self.tables[left]) * parent[right]) / (THETA + customers[left])
 
 
-def add_words(salt: int, v: int, d: float, tables: float):
+def contexts(starts: np.ndarray):
+    """Each range's places among the words of one word range, and these words' customers as contexts, out of all first reports."""
+
+    def run(t: pa.Table) -> pa.Table:
+        number = t.column("word_part")[0].as_py()
+        places = [risen(x.as_py()) for x in t.column("keys")]
+        customers = np.bincount(np.concatenate(places), joined(t, "c", np.uint32), starts[number + 1] - starts[number])
+        return table_of(WORDS, [(part, number, k.as_py(), *count32(customers[i])) for part, k, i in zip(t.column("part").to_pylist(), t.column("keys"), places)])
+
+    return run
+
+
+def add_words(salt: int, v: int, d: float, tables: float, starts: np.ndarray):
     """Adds up what all ranges report of the words of one word range, and seats the parent restaurant.
 
-    The first report tells the words. What is kept of it are each range's places among the
-    sorted words and, in the row without a part, the parent's tables of all of them.
+    The row without a part has the totals of all words of the word range, the others those of a range's words.
     """
 
-    def run(t: pa.Table, known: pa.Table | None = None) -> pa.Table:
-        number, own = (t if len(t) else known).column("word_part")[0].as_py(), None
-        if known is None:
-            told = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
-            words, at = np.unique(np.concatenate(told), return_inverse=True)
-            n, ends = len(words), np.cumsum([len(x) for x in told])
-            places = [at[e - len(x) : e] for x, e in zip(told, ends)]
-            customers = np.bincount(at, joined(t, "c", np.uint32), n)
-            before = np.zeros(n)
-        else:
-            own = t.filter(pc.is_null(t.column("part")))
-            t = t.filter(pc.is_valid(t.column("part")))
-            by_part = {p: counts(x.as_py()) for p, x in zip(known.column("part").to_pylist(), known.column("place"))}
-            places = [by_part[p] for p in t.column("part").to_pylist()]
-            before = joined(own, "sent", np.uint32).astype(np.float64)
-            n, at = len(before), np.concatenate(places)
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        number = (t if len(t) else known).column("word_part")[0].as_py()
+        n, own = int(starts[number + 1] - starts[number]), t.filter(pc.is_null(t.column("part")))
+        t = t.filter(pc.is_valid(t.column("part")))
+        by_part = {p: risen(x.as_py()) for p, x in zip(known.column("part").to_pylist(), known.column("place"))}
+        places = [by_part[p] for p in t.column("part").to_pylist()]
+        before = joined(own, "sent", np.uint32).astype(np.float64) if len(own) else np.zeros(n)
+        at = np.concatenate(places)
         down, sent = (np.bincount(at, joined(t, x, np.uint32), n).astype(np.int64) for x in ("down", "sent"))
         own = seat(sent, np.maximum(tables - before, 0), np.full(n, 1 / (v + 1)), np.arange(n, dtype=np.uint64) + U(number << 36), d, THETA, salt)
-        out = [(None, number, None, None, None, *count32(own), None, int(sent.sum()), int(own.sum()), int((sent == 1).sum()), int((sent == 2).sum()))]
-        for part, i in zip(t.column("part").to_pylist(), places):
-            first = count32(customers[i], i) if known is None else (None, None)
-            out.append((part, number, first[0], *count32(down[i], sent[i], own[i]), first[1], *[None] * 4))
+        out = [(None, number, *count32(down, sent, own), int(sent.sum()), int(own.sum()), int((sent == 1).sum()), int((sent == 2).sum()))]
+        out += [(part, number, *count32(down[i], sent[i], own[i]), *[None] * 4) for part, i in zip(t.column("part").to_pylist(), places)]
         return table_of(STATE, out)
 
     return run
 
 
+def told(own: pa.Table, known: pa.Table) -> pa.Table:
+    """The totals of one word range's words in some draws, for every range that has of them."""
+    out = []
+    for i, number, draw in zip(range(len(own)), own.column("word_part").to_pylist(), own.column("draw").to_pylist()):
+        totals = [counts(own.column(x)[i].as_py()) for x in ("tables", "sent", "own")]
+        for part, place in zip(known.column("part").to_pylist(), known.column("place")):
+            at = risen(place.as_py())
+            out.append((part, number, draw, *count32(*(x[at] for x in totals))))
+    return table_of(DRAW, out)
+
+
 # --------------------------------------------------------------------------- the model
 class Model:
     """Counts and seatings of the batches of one table, scored in ``score``."""
 
     def __init__(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn: str = "learn", batch_tokens: int = BATCH_TOKENS):
-        self.spark, self.scratch, self.tables = docs.sparkSession, Scratch(docs.sparkSession, "hpylm"), []
+        self.spark, self.scratch, self.tables, self.draws = docs.sparkSession, Scratch(docs.sparkSession, "hpylm"), [], []
         # bucketed by batch: the answers are shuffled to the batches, never the batches themselves
         found = batches(docs, text, doc_id, learn, batch_tokens)
         self.store = self.saved(found, max(8 * docs.rdd.getNumPartitions(), 8), "batch")
@@ -409,60 +463,63 @@ class Model:
         self.tables.remove(table)
 
     def count_words(self) -> None:
-        """N and V of the training tokens, and every batch's answer how often its words occur in them."""
+        """N and V of the training tokens, and every batch's answer how often its words occur in them and which numbers they have."""
         k = self.word_ranges
 
         def ask(rows):
             for b in rows:
                 for i in range(b.num_rows):
                     x, batch = Batch(pa.Table.from_batches([b.slice(i, 1)]), 1), b.column("batch")[i].as_py()
-                    yield from table_of(ASK, [(p, batch, pack(x.words[lo:hi]), None, None, count32(x.learnt[lo:hi])[0]) for p, lo, hi in cuts(x.words, k)]).to_batches()
+                    yield from table_of(ASK, [(p, batch, pack(x.words[lo:hi]), None, None, count32(x.learnt[lo:hi])[0]) for p, lo, hi in cuts(x.words, bounds(k))]).to_batches()
 
         def add(t: pa.Table) -> pa.Table:
             keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")]
             words, at = np.unique(np.concatenate(keys), return_inverse=True)
             seen, out = np.bincount(at, joined(t, "n", np.uint32), len(words)).astype(np.int64), []
             for batch, part, x, e in zip(t.column("batch").to_pylist(), t.column("part").to_pylist(), keys, np.cumsum([len(x) for x in keys])):
-                out.append((batch, part, count32(seen[at[e - len(x) : e]])[0], *((int(seen.sum()), int((seen > 0).sum())) if not out else [None] * 2)))
+                mine = at[e - len(x) : e]
+                out.append((batch, part, *count32(seen[mine]), rising(mine), *((int(seen.sum()), int((seen > 0).sum()), len(words)) if not out else [None] * 3)))
             return table_of(SEEN, out)
 
         self.seen = self.scratch.keep(self.store.mapInArrow(ask, ASK).groupBy("part").applyInArrow(add, SEEN))
         n = self.seen.agg(F.sum("a"), F.sum("b")).first()
         self.n, self.v = n[0] or 0, n[1] or 0
+        sizes = np.zeros(k, np.int64)
+        for r in self.seen.where("words IS NOT NULL").select("part", "words").collect():  # a row for each range of words
+            sizes[r["part"]] = r["words"]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
 
     def count_bigrams(self) -> None:
-        ranges, k = self.ranges, self.word_ranges
-
-        def ask(rows):
-            for b in rows:
-                for i in range(b.num_rows):
-                    x, batch, out = Batch(pa.Table.from_batches([b.slice(i, 1)]), ranges), b.column("batch")[i].as_py(), []
-                    for p, lo, hi in x.parts:
-                        mine, at = np.unique(np.concatenate([x.left[lo:hi], x.right[lo:hi]]), return_inverse=True)
-                        out.append((p, batch, pack(x.words[mine]), rising(at[: hi - lo]), narrow(at[hi - lo :]), count32(x.count[lo:hi])[0]))
-                    yield from table_of(ASK, out).to_batches()
-
-        found = self.saved(self.store.mapInArrow(ask, ASK).groupBy("part").applyInArrow(lambda t: gather(t, k), HELD), 2 * ranges, "part")
-        self.full = found.where(F.col("kind").isin(FULL, PLACE)).select("kind", "part", "batch", "left", "right", "c", "place")
-        self.words_told = found.where(F.col("kind") == REPORT).select("part", "word_part", "keys")
-        self.held = found.where(F.col("kind").isin(MANY, REPORT))
-        self.many = found.where(F.col("kind") == MANY).select("part", "at")
-        ones = self.full.where(F.col("kind") == FULL).select("c").mapInArrow(tally, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
+        ranges, starts = self.ranges, self.starts
+
+        def ask(t: pa.Table, seen: pa.Table) -> pa.Table:
+            x, batch, seen, out = Batch(t, ranges), t.column("batch")[0].as_py(), seen.sort_by("part"), []
+            numbers = np.concatenate([starts[p] + risen(x.as_py()) for p, x in zip(seen.column("part").to_pylist(), seen.column("place"))])
+            for p, lo, hi in x.parts:
+                mine, at = np.unique(np.concatenate([x.left[lo:hi], x.right[lo:hi]]), return_inverse=True)
+                out.append((p, batch, rising(numbers[mine]), rising(at[: hi - lo]), narrow(at[hi - lo :]), count32(x.count[lo:hi])[0]))
+            return table_of(ASK, out)
+
+        asked = self.store.groupBy("batch").cogroup(self.seen.select("batch", "part", "place").groupBy("batch")).applyInArrow(ask, ASK)
+        self.full = self.saved(asked.groupBy("part").applyInArrow(gather, HELD), 2 * ranges, "part").select("kind", "part", "batch", "left", "right", "c", "place", "keys")
+        full = self.full.where(F.col("kind") == FULL)
+        ones = full.select("c").mapInArrow(tally, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
         self.d = discount(ones[0], ones[1])
+        freed(self.spark)
+        self.held = self.saved(full.groupBy("part").applyInArrow(opening(starts), HELD), 2 * ranges, "part")
+        reports = self.held.where(F.col("kind") == REPORT).select("word_part", "part", "keys", "c")
+        self.words = self.saved(reports.groupBy("word_part").applyInArrow(contexts(starts), WORDS), 2 * self.word_ranges, "word_part")
+        self.first = self.words.select("part", "word_part", "customers")
+        self.words_told = self.words.select("part", "word_part", "place").mapInArrow(lambda rows: numbers_of(rows, starts), "part int, word_part int, keys binary")
 
     def state(self, step: int) -> tuple[DataFrame, dict]:
         """The words' totals for every range, the parent re-seated."""
         last = self.sums[-1] if self.sums else {"d": 0.5, "o": float(self.v)}
-        add = add_words(step << 33, self.v, last["d"], last["o"])
-        asked = self.held.where(F.col("kind") == REPORT).select("word_part", "part", "keys", "c", "down", "sent")
-        if not self.sums:
-            state = self.saved(asked.groupBy("word_part").applyInArrow(lambda t: add(t), STATE), 2 * self.word_ranges, "word_part")
-            self.words = state.where("part IS NOT NULL").select("word_part", "part", "place")
-        else:
-            held = self.own.select("word_part", F.col("part"), F.col("own").alias("sent"))
-            both = asked.drop("keys", "c").unionByName(held, allowMissingColumns=True)
-            state = self.scratch.keep(both.groupBy("word_part").cogroup(self.words.groupBy("word_part")).applyInArrow(lambda t, known: add(t, known), STATE))
-        self.own = state.where("part IS NULL")
+        add = add_words(step << 33, self.v, last["d"], last["o"], self.starts)
+        asked = self.held.where(F.col("kind") == REPORT).select("word_part", "part", "down", "sent")
+        if self.sums:
+            asked = asked.unionByName(self.own.select("word_part", "part", F.col("own").alias("sent")), allowMissingColumns=True)
+        state = self.scratch.keep(asked.groupBy("word_part").cogroup(self.words.groupBy("word_part")).applyInArrow(lambda t, known: add(t, known), STATE))
         s, o, n1, n2 = (x or 0 for x in state.agg(*(F.sum(c) for c in ("s", "o", "ones", "twos"))).first())
         self.sums.append({"s": s, "o": o, "d": self.sums[0]["d"] if self.sums else discount(n1, n2)})
         # the parent's tables were seated with the discount of the first state from the second on
@@ -485,24 +542,28 @@ class Model:
         for step in range(1, burn_in + draws + 1):
             state, sums = self.state(step)
             if passed is not None:
-                self.scratch.drop(passed)  # the states of the burn-in but the first are read by the next one only
-            passed = state if 1 < step <= burn_in else None
-            answers = state.where("part IS NOT NULL").select("part", "word_part", "customers", "tables", "sent", "own")
-            if step == 1:
-                self.first = answers.select("part", "word_part", "customers")
+                self.scratch.drop(passed)
+            draw = F.lit(step - burn_in - 1).alias("draw")
+            self.own = passed = self.scratch.keep(state.where("part IS NULL").select("part", "word_part", draw, "tables", "sent", "own"))
             if step > burn_in:
-                at = F.lit(len(self.kept)).alias("draw")
-                mine = self.scratch.keep(self.groups().select("part", "t"))
-                self.kept.append((sums, answers.drop("customers").select("*", at), mine.select("part", at, "t")))
+                mine = self.scratch.keep(self.groups().select("part", draw, *(["at"] if not self.kept else []), "t"))
+                if not self.kept:
+                    self.many = mine.select("part", "at")
+                self.kept.append((sums, self.totals(self.own), mine.select("part", "draw", "t")))
+                self.draws += [self.own, mine]
+                passed = None  # the words' totals of a draw are kept
+            old = self.held
             if step < burn_in + draws:
-                old, run = self.held, sweep(self.d, sums, self.v, step << 33)
+                answers, run = state.where("part IS NOT NULL").select("part", "word_part", "tables", "sent", "own"), sweep(self.d, sums, self.v, step << 33)
                 self.held = self.saved(self.groups().groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, HELD), 2 * self.ranges, "part")
-                if step > 1:
-                    self.forget(old)
-            elif step > 1:
-                self.forget(self.held)  # what the last draw holds of it is kept apart
+            self.forget(old)  # what the draws hold of it is kept apart
+            self.scratch.drop(state)
             freed(self.spark)
 
+    def totals(self, own: DataFrame) -> DataFrame:
+        """The words' totals in some draws for every range."""
+        return own.groupBy("word_part").cogroup(self.words.groupBy("word_part")).applyInArrow(told, DRAW)
+
     def score(self) -> DataFrame:
         """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row.
 
@@ -524,7 +585,7 @@ class Model:
                 t[many] = joined(mine.filter(pc.is_valid(mine.column("t"))), "t", np.uint32)
                 p = p + Totals(mine.filter(pc.is_valid(mine.column("tables"))), s, v).predict(left, right, c, t, customers, d) / len(sums)
             logs, part = np.log10(p).astype(np.float32), full.column("part")[0].as_py()
-            return table_of("batch long, part int, logs binary", [(b, part, pack(logs[risen(x.as_py())])) for b, x in zip(places.column("batch").to_pylist(), places.column("place"))])
+            return table_of("batch long, part int, logs binary", [(b, part, squeezed(logs[risen(x.as_py())])) for b, x in zip(places.column("batch").to_pylist(), places.column("place"))])
 
         def run(t: pa.Table, c: pa.Table) -> pa.Table:
             x = Batch(t, ranges)
@@ -541,8 +602,10 @@ class Model:
             })
 
         states = self.first.unionByName(self.many, allowMissingColumns=True)
-        for _, totals, groups in self.kept:
-            states = states.unionByName(totals, allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)
+        if self.kept:
+            owns, groups = self.draws[::2], [x for _, _, x in self.kept]
+            for more in (self.totals(functools.reduce(DataFrame.unionByName, owns)), *groups):
+                states = states.unionByName(more, allowMissingColumns=True)
         answers = self.full.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(answer, "batch long, part int, logs binary")
         both = answers.unionByName(self.seen.select("batch", "part", "seen"), allowMissingColumns=True)
         return self.store.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(run, schema)
@@ -551,7 +614,7 @@ class Model:
         """Drops the model's tables; nothing can be scored afterwards."""
         for table in list(self.tables):
             self.forget(table)
-        self.scratch.drop(self.seen)
+        self.scratch.drop(self.seen, *self.draws)
 
 
 def discount(n1, n2) -> float:
@@ -569,6 +632,13 @@ def sweep(d: float, sums: dict, v: int, salt: int):
     return run
 
 
+def numbers_of(rows, starts: np.ndarray):
+    """Each range's words by their numbers in the corpus, 8 bytes each."""
+    for b in rows:
+        for i, p in enumerate(b.column("word_part").to_pylist()):
+            yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], b.column(1)[i : i + 1], pa.array([pack(starts[p] + risen(b.column("place")[i].as_py()))], pa.binary())], names=["part", "word_part", "keys"])
+
+
 def perplexity(scored: DataFrame) -> DataFrame:
     """Perplexity of the texts learnt from and of the others, over all their tokens."""
     return scored.groupBy("learn").agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"), F.sum("n_tokens").alias("n_tokens"))
