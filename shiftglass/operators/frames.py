@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import crops, geometry as g
@@ -91,14 +93,94 @@ def zone_counts(people: DataFrame, zones: DataFrame) -> DataFrame:
 def match_truth(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """Greedy one-to-one matches per image and class: surest prediction first, each truth once.
 
-    A fold over one image's sorted pairs inside an expression: the order decides.
+    Both sides come sorted out of one window, truths first; the boxes of many images are compared, and their pairs decided, side by side.
     """
-    pairs = predicted.join(truth, ["image", "cls"]).withColumn("v", g.iou(F.col("pred_box"), F.col("true_box"))).where(F.col("v") >= least)
-    ordered = pairs.groupBy("image", "cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("c"), "pred", (-F.col("v")).alias("o"), "truth"))).alias("s"))
-    empty = F.from_json(F.lit("[]"), "array<struct<pred:bigint,truth:bigint>>")
-    taken = lambda acc, x: F.exists(acc, lambda m: (m["pred"] == x["pred"]) | (m["truth"] == x["truth"]))
-    step = lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(F.struct(x["pred"].cast("long").alias("pred"), x["truth"].cast("long").alias("truth")))))
-    return ordered.select("image", "cls", F.explode(F.aggregate("s", empty, step)).alias("m")).select("image", "cls", "m.pred", "m.truth")
+
+    def rows(df, side, conf, name, box):
+        corners = [F.col(box)[i].cast("double").alias(f"b{i}") for i in range(4)]
+        return df.select("image", "cls", F.lit(side).alias("side"), conf.cast("double").alias("c"), F.col(name).cast("long").alias("id"), *corners).na.drop(subset=["image", "cls", "b0", "b1", "b2", "b3"])
+
+    order = Window.partitionBy("image", "cls").orderBy("side", "c", "id")
+    both = rows(truth, 0, F.lit(None), "truth", "true_box").unionByName(rows(predicted, 1, -F.col("conf"), "pred", "pred_box"))
+    placed = both.select("image", "cls", "side", "id", "b0", "b1", "b2", "b3", F.row_number().over(order).alias("n"), F.dense_rank().over(order).alias("place"))
+    schema = placed.select("image", "cls", F.col("id").alias("pred"), F.col("id").alias("truth")).schema
+    kinds = {f.name: f.dataType for f in predicted.select("image", "cls").schema}
+
+    def matched(batches):
+        return _matched(batches, least)
+
+    found = placed.mapInArrow(matched, schema)
+    return found.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds], "pred", "truth")
+
+
+PAIRS = 1 << 20
+
+
+def _matched(batches, least: float):
+    """The matches of sorted rows, numbered from 1 in their group; groups are kept whole."""
+    held = []
+    for b in batches:
+        starts = np.flatnonzero(np.asarray(b.column("n")) == 1)
+        if len(starts):
+            yield from _taken([*held, b.slice(0, starts[-1])], least)
+            held, b = [], b.slice(starts[-1])
+        held.append(b)
+    yield from _taken(held, least)
+
+
+def _met(boxes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``geometry.iou`` of the boxes ``p`` and ``q``; as there, NaN is the largest number."""
+    a, b = boxes[:, p], boxes[:, q]
+    side = lambda i: np.maximum(0.0, np.fmin(a[i + 2], b[i + 2]) - np.maximum(a[i], b[i]))
+    inter, area = side(0) * side(1), (boxes[2] - boxes[0]) * (boxes[3] - boxes[1])
+    union = area[p] + area[q] - inter
+    return np.divide(inter, union, out=np.zeros(len(p)), where=~(union <= 0))
+
+
+def _taken(batches, least: float):
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    get = lambda name: t.column(name).to_numpy()
+    boxes, place, guess = np.stack([get(f"b{i}") for i in range(4)]), get("place"), get("side") == 1
+    starts = np.flatnonzero(get("n") == 1)
+    group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(guess)]))
+    truths = np.bincount(group[~guess], minlength=len(starts))
+    guesses = np.flatnonzero(guess)
+    # every guess with all truths of its group, so many pairs at a time; a group's truths are its first rows
+    many = truths[group[guesses]]
+    ends, p, q, v = np.cumsum(many), [], [], []
+    for lo in range(0, int(many.sum()), PAIRS):
+        at = np.arange(lo, min(lo + PAIRS, int(ends[-1])))
+        g = np.searchsorted(ends, at, side="right")
+        i, j = guesses[g], starts[group[guesses[g]]] + at - (ends - many)[g]
+        met = _met(boxes, i, j)
+        near = ~(met < least)
+        p.append(i[near]), q.append(j[near]), v.append(met[near])
+    if not p:
+        return
+    p, q, v = map(np.concatenate, (p, q, v))
+    order = np.lexsort((q, -v, place[p], group[p]))
+    p, q = p[order], q[order]
+
+    def numbers(rows):
+        """A number for each id of a group; null is equal to nothing."""
+        null = t.column("id").is_null().to_numpy()[rows]
+        value = np.unique(t.column("id").fill_null(0).to_numpy()[rows], return_inverse=True)[1]
+        return np.unique(np.where(null, -1 - np.arange(len(rows)), group[rows] * len(rows) + value), return_inverse=True)[1]
+
+    a, b = numbers(p), numbers(q)
+    rest, chosen = np.arange(len(a)), np.zeros(len(a), bool)
+    first_a, first_b, done_a, done_b = (np.zeros(len(a), kind) for kind in (np.int64, np.int64, bool, bool))
+    while len(rest):  # a pair that comes first on both its sides is taken whatever the others are
+        back = rest[::-1]
+        first_a[a[back]], first_b[b[back]] = back, back
+        won = rest[(first_a[a[rest]] == rest) & (first_b[b[rest]] == rest)]
+        chosen[won] = done_a[a[won]] = done_b[b[won]] = True
+        rest = rest[~(done_a[a[rest]] | done_b[b[rest]])]
+    p, q = p[chosen], q[chosen]
+    yield from pa.table([t.column("image").take(p), t.column("cls").take(p), t.column("id").take(p), t.column("id").take(q)], names=["image", "cls", "pred", "truth"]).to_batches()
 
 
 def found_close_up(people: DataFrame, found: DataFrame, width: int, height: int, below: float = crops.SMALL) -> DataFrame:
