@@ -8,8 +8,8 @@ than the last register's first cannot matter, so they are not drawn.
 Equal texts are one class from the start. Bands of registers deal class representatives
 into buckets; candidates are verified by the exact similarity of their whole texts, and
 linked classes are joined into components. Buckets are never expanded into all pairs at
-once: first every member meets its bucket's leader, then, for members still apart, small
-buckets try their other pairs and large ones two further leaders. Large buckets that still
+once: first every member meets one leader, then, for members still apart, all their leaders,
+the other pairs of small buckets and two further leaders of large ones. Large buckets that still
 hold several components are searched whole, in blocks: members outside the bucket's largest
 component meet all others, by a bound on the similarity first.
 """
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, U, Scratch, flat, hot_join, mix, powers, ranges, run_hashes, slices, word_hashes
+from .common import BASE, HOT_KEYS, U, Scratch, flat, hot_join, mix, pack, powers, ranges, run_hashes, slices, word_hashes
 
 SHINGLE = 5
 REGISTERS = 64
@@ -124,12 +124,35 @@ def _banded(docs: DataFrame, text: str, doc_id: str, m: int, rows: int) -> DataF
     return picked.mapInArrow(run, "id long, key binary, has boolean, bands array<long>")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (a, b) as stars: every vertex that is not its component's smallest, and that smallest vertex."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    out = np.flatnonzero(root != np.arange(len(names)))
+    return names[out], names[root[out]]
+
+
+def _stars(source):
+    """The edges (a, b) of all batches of a task as stars, of keys of 16 bytes."""
+    ends = [[flat(b.column(c))[0].view("S16") for c in "ab"] for b in source if b.num_rows]
+    if ends:
+        found = forest(*(np.concatenate(x) for x in zip(*ends)))
+        yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(pack(x))]).cast(pa.binary()) for x in found], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are as similar as asked, with their similarity."""
-    # a leader's text is copied for every SHARE of its pairs, so that no task gets them all
-    leaders = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SHARE).cast("int"))
-    dealt = hot_join(pairs, leaders, ["b"], "n", pairs.count(), ["a"]).withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
-    copied = texts.join(leaders, F.col("key") == F.col("b")).select("b", F.col("t").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    """The links (a, b), as stars, of the pairs whose texts are as similar as asked."""
+    # a hot leader's text is copied for every SHARE of its pairs, so that no task gets them all; fewer than HOT_KEYS leaders are hot
+    most = max(SHARE, pairs.count() // HOT_KEYS)
+    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > most).select("b", F.ceil(F.col("n") / SHARE).cast("int").alias("copies")))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"), F.lit(0)).alias("copy"))
+    copied = texts.select(F.col("key").alias("b"), F.col("t").alias("tb")).join(hot, "b", "left").select("b", "tb", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     both = dealt.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(copied, ["b", "copy"]).select("a", "b", "ta", "tb")
 
     def run(source):
@@ -147,31 +170,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         for b in source:
             a_, b_ = b.column("a").to_pylist(), b.column("b").to_pylist()
             sims = [similarity(parsed(x, tx.as_py()), parsed(y, ty.as_py())) for x, y, tx, ty in zip(a_, b_, b.column("ta"), b.column("tb"))]
-            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
-            yield out.filter(pa.array([x >= threshold for x in sims], pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array([x >= threshold for x in sims], pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+    return both.mapInArrow(lambda source: _stars(run(source)), "a binary, b binary")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, root): every vertex of ``edges`` (a, b) with the smallest key of its component.
+    """(key, root): the vertices of ``edges`` (a, b), a > b, that are not their component's smallest key, with that key.
 
-    Each round takes the smallest root among a vertex and its neighbours, then the root's root.
+    Each round edges are dealt by their larger end and every task makes stars of its own;
+    then a star's centre gives way to its own smallest neighbour, until none has one. Tasks
+    that make edges make stars of them before (``_stars``), so that no larger end is hot.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch.keep(both.distinct())
-    roots = scratch.keep(both.groupBy(F.col("a").alias("key")).agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n")))
-    total, n = both.count(), roots.count()
     while True:
-        facts = roots.select(F.col("key").alias("b"), "root", "n")
-        near = hot_join(both, facts, ["b"], "n", total, ["a"]).groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "key").select("key", "n", "root", F.least("root", "near").alias("new"))
-        heads = step.groupBy("new").agg(F.count("*").alias("held")).join(roots.select(F.col("key").alias("new"), F.col("root").alias("far")), "new")
-        jump = hot_join(step, heads, ["new"], "held", n, ["key"]).select("key", "n", "root", F.least("new", "far").alias("new"))
-        new = scratch.keep(jump)
-        if new.where("new <> root").isEmpty():
-            return roots.drop("n")
-        roots = new.select("key", "n", F.col("new").alias("root"))
+        stars = scratch.keep(edges.repartition("a").mapInArrow(_stars, "a binary, b binary"))
+        up = stars.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("up"), F.max("b").alias("last"))
+        held = stars.groupBy("b").agg(F.count("*").alias("n"))
+        middle = scratch.keep(up.join(held, "b", "left").where("n IS NOT NULL OR up <> last").select("b", "up", F.coalesce("n", F.lit(0)).alias("n")))
+        if middle.isEmpty():
+            return stars.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("root"))
+        edges = hot_join(stars, middle, ["b"], "n", stars.count(), ["a"]).select("a", F.coalesce("up", "b").alias("b"))
 
 
 def bounded(left: list, right: list, threshold: float) -> np.ndarray:
@@ -207,13 +225,13 @@ def bounded(left: list, right: list, threshold: float) -> np.ndarray:
 
 
 def _rest(large: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b, similarity) that join all components that any pair of one of the large buckets joins."""
+    """Links (a, b) that join all components that any pair of one of the large buckets joins."""
     placed = large.select("bucket", "key").join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     sized = scratch.keep(placed.join(mixed, "bucket").join(texts.select("key", "size"), "key").withColumn("minor", F.expr("root <> most")).drop("most"))
     if sized.isEmpty():
-        return sized.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+        return sized.select(F.col("key").alias("a"), F.col("key").alias("b"))
     blocks = lambda rows: F.greatest(F.ceil(F.count_if(rows) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(rows, F.col("size"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
     counts = sized.groupBy("bucket").agg(blocks(F.col("minor")).alias("minors"), blocks(~F.col("minor")).alias("majors"))
     own = F.pmod(F.xxhash64("key", "bucket"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
@@ -244,19 +262,13 @@ def _rest(large: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float
         for x, y in bounded(*([sets[i] for i in side] for side in sides), threshold) if all(map(len, sides)) else ():
             i, j = sides[0][x], sides[1][y]
             u, v = top(root[i]), top(root[j])
-            if u != v and (found := similarity(sets[i], sets[j])) >= threshold:
+            if u != v and similarity(sets[i], sets[j]) >= threshold:
                 parent[max(u, v)] = min(u, v)
-                out.append((max(key[i], key[j]), min(key[i], key[j]), found))
-        a, b, f = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(f, pa.float64())})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
-
+                out.append((max(key[i], key[j]), min(key[i], key[j])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    left, right = roots.select(F.col("key").alias("a"), F.col("root").alias("ra")), roots.select(F.col("key").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
@@ -280,28 +292,26 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     needed = dealt.select("key").distinct().join(reps.select("key", "rep_id"), "key")
     whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("t"))
     texts = scratch.keep(whole.alias("w").join(needed.alias("n"), (F.col("w.key") == F.col("n.key")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("w.key", "t", F.octet_length("t").alias("size")).dropDuplicates(["key"]))
-    # first one leader a text, then the others of those still apart: a group's links are as many as its texts, not that times its bands
+    # first one leader a text, then all other pairs of those still apart: a group's links are as many as its texts, not that times its bands
     nearest = scratch.keep(star.groupBy("a").agg(F.min("b").alias("b")))
-    links = scratch.keep(_verified(nearest, texts, threshold))
-    roots = components(links, scratch)
-    others = scratch.keep(_apart(star.join(nearest, ["a", "b"], "left_anti"), roots))
-    found = scratch.keep(_verified(others, texts, threshold))
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        roots = components(links, scratch)
-    small = dealt.where(F.col("n").between(3, SMALL_BUCKET)).groupBy("bucket").agg(F.collect_list("key").alias("keys"))
-    inner = small.select("keys", F.explode("keys").alias("x")).select("x", F.explode("keys").alias("y")).where("x < y").select(F.col("y").alias("a"), F.col("x").alias("b"))
-    large = dealt.where(F.col("n") > SMALL_BUCKET)
-    for i in range(LEADERS):
-        inner = inner.unionByName(large.where(f"key <> l{i}").select(*ordered("key", f"l{i}")))
-    more = scratch.keep(_apart(inner.distinct().join(star, ["a", "b"], "left_anti"), roots))
-    late = scratch.keep(_verified(more, texts, threshold))
-    if not late.isEmpty():
-        links = links.unionByName(late)
-        roots = components(links, scratch)
+    roots = components(_verified(nearest, texts, threshold), scratch)
+    # a bucket of one component is done; what else a bucket's members meet is told apart by roots before it becomes pairs
+    leads = ["lead", *(f"l{i}" for i in range(LEADERS))]
+    placed = dealt.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = [F.max(F.when(F.col("key") == F.col(x), F.col("root"))).alias(f"{x}_root") for x in leads]
+    mixed = placed.groupBy("bucket").agg(F.first("n").alias("held"), F.min("root").alias("least"), F.max("root").alias("most"), *own).where("least <> most").drop("least", "most")
+    undone = scratch.keep(hot_join(placed, mixed, ["bucket"], "held", dealt.count(), ["key"]).where("held IS NOT NULL"))
+    small = undone.where(F.col("n").between(3, SMALL_BUCKET)).groupBy("bucket").agg(F.collect_list(F.struct("key", "root")).alias("all"))
+    inner = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.key < y.key AND x.root <> y.root").select(F.col("y.key").alias("a"), F.col("x.key").alias("b"))
+    large = undone.where(F.col("n") > SMALL_BUCKET)
+    for x in leads:
+        inner = inner.unionByName((undone if x == "lead" else large).where(f"key <> {x} AND root <> {x}_root").select(*ordered("key", x)))
+    more = scratch.keep(inner.distinct().join(nearest, ["a", "b"], "left_anti"))
+    edges = lambda: roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
+    roots = components(edges().unionByName(_verified(more, texts, threshold)), scratch)
     rest = scratch.keep(_rest(large, roots, texts, threshold, scratch))
     if not rest.isEmpty():
-        roots = components(links.unionByName(rest), scratch)
+        roots = components(edges().unionByName(rest.mapInArrow(_stars, "a binary, b binary")), scratch)
     found = reps.join(roots, "key", "left").select("key", "rep_id", F.coalesce("root", "key").alias("root"))
     heads = found.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "key")).alias("head"))
     table = found.join(heads, "root").select("key", "class_id", "rep_id", (F.col("key") == F.col("head.key")).alias("heads"))
