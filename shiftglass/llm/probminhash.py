@@ -297,7 +297,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     roots = components(_verified(nearest, texts, threshold), scratch)
     # a bucket of one component is done; what else a bucket's members meet is told apart by roots before it becomes pairs
     leads = ["lead", *(f"l{i}" for i in range(LEADERS))]
-    placed = dealt.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = scratch.keep(dealt.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     own = [F.max(F.when(F.col("key") == F.col(x), F.col("root"))).alias(f"{x}_root") for x in leads]
     mixed = placed.groupBy("bucket").agg(F.first("n").alias("held"), F.min("root").alias("least"), F.max("root").alias("most"), *own).where("least <> most").drop("least", "most")
     undone = scratch.keep(hot_join(placed, mixed, ["bucket"], "held", dealt.count(), ["key"]).where("held IS NOT NULL"))
