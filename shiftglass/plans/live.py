@@ -25,8 +25,11 @@ def presence(s, p):
         F.concat_ws("/", "camera_id", F.date_format("ts", "yyyyMMddHH")).alias("session"), F.concat(F.lit("trk-"), "track_id").alias("worker"), F.when(F.col("zone_id") != "error", F.col("zone_id")).alias("zone"), F.floor(start * 2).alias("half"), steps.alias("steps")
     )
     # samples are dealt, not their frames: all that is asked of a worker follows without a shuffle
-    rows = tasks.dealt(rows, "session", "worker", n=samples.count() * FRAMES_A_SAMPLE).withColumn("k", F.explode("steps"))
-    return rows.groupBy("session", "worker", ((F.col("half") + F.col("k")) / 2).alias("t")).agg(F.min("zone").alias("zone"))
+    rows = tasks.dealt(rows, "session", "worker", n=samples.count() * FRAMES_A_SAMPLE).sortWithinPartitions("session", "worker", "half").withColumn("k", F.explode("steps"))
+    # the first zone of each time, by the sort that windows over a worker's times need anyway; frames of sorted samples are nearly sorted
+    w = Window.partitionBy("session", "worker").orderBy("t", F.col("zone").asc_nulls_last())
+    frames_ = rows.select("session", "worker", ((F.col("half") + F.col("k")) / 2).alias("t"), "zone")
+    return frames_.withColumn("__again", F.lag(F.lit(True)).over(w) & F.lag("t").over(w).eqNullSafe(F.col("t"))).where("NOT coalesce(__again, false)").drop("__again")
 
 
 def occupancy(s, p):

@@ -57,14 +57,14 @@ def zone_sets(frames: DataFrame) -> DataFrame:
     return frames.withColumn("in_zone", both).drop("zone", "home").withColumnRenamed("in_zone", "zone")
 
 
-def heads(seen: DataFrame, tracked: tuple[DataFrame, DataFrame]) -> DataFrame:
+def heads(seen: DataFrame, tracked: zone_visits.Track) -> DataFrame:
     """Head counts for the occupancy rules: session, zone, t, seen, clear, hidden. A zone in use is counted in every frame of its session.
 
     ``seen``: session, worker, t, zone, clear (whether the person can be counted with
     certainty); ``tracked``: the same frames by ``zone_visits.track``.
     """
-    times, rows = tracked
-    home = rows.select("session", "worker", "t", F.when(F.col("home") != zone_visits.OUTSIDE, F.col("home")).alias("home"))
+    times, frames, rows = tracked
+    home = zone_visits.at_home(frames, rows).select("session", "worker", "t", F.when(F.col("home") != zone_visits.OUTSIDE, F.col("home")).alias("home"))
     inside = zone_sets(seen.join(home, ["session", "worker", "t"]))
     counted = inside.groupBy("session", "zone", "t").agg(F.count("*").alias("seen"), F.count_if("clear").alias("clear"))
     away = zone_visits.hidden(seen, tracked=tracked)
@@ -149,8 +149,9 @@ def _heard(told: DataFrame, moments: DataFrame, parts: DataFrame) -> DataFrame:
     """Zone records with the frame they are told with, whether that is a replay, their visit, and whether they are spoken."""
     # the first frame at or after the time of an event: one sort of both
     both = told.withColumnRenamed("session", "part").withColumn("s", F.col("when") - 1e-6).unionByName(moments.select("part", F.col("t").alias("s"), F.struct("n", "replay", "t").alias("f")), allowMissingColumns=True)
-    w = Window.partitionBy("part").orderBy("s", F.col("f").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("f", F.first("f", ignorenulls=True).over(w)).where("event_type IS NOT NULL").withColumn("at_end", F.col("when") == float("inf"))
+    # backwards, as a window up to the last row is worked out anew for every row
+    w = Window.partitionBy("part").orderBy(F.desc("s"), F.col("f").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("f", F.last("f", ignorenulls=True).over(w)).where("event_type IS NOT NULL").withColumn("at_end", F.col("when") == float("inf"))
     found = found.join(parts.select("part", "next", "fresh"), "part")
     found = found.withColumn("n", F.when(F.col("at_end"), F.col("next")).otherwise(F.col("f.n"))).withColumn("replay", ~F.col("at_end") & F.coalesce(F.col("f.replay"), F.lit(False)))
     mine = Window.partitionBy("part", "worker").orderBy("when", "rank", "t", "event_type").rowsBetween(Window.unboundedPreceding, 0)

@@ -16,11 +16,12 @@ appends what is new (see ``live``).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Config
 from ..operators import tasks
-from ..operators.frames import median_of
 from ..sources.sinks import kept_table
 from ..vocabulary import TRANSIT
 
@@ -37,73 +38,120 @@ def clock(frames: DataFrame, config: Config | None = None) -> DataFrame:
     """
     c = config or Config()
     w = Window.partitionBy("session").orderBy("t")
-    gaps = frames.select("session", "t").distinct().withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("v", F.collect_list("gap").over(w.rowsBetween(-8, 0)))
-    return gaps.select("session", "t", F.greatest(F.lit(c.gap_tolerance_s), F.coalesce(2.5 * median_of(F.col("v")), F.lit(0.0))).alias("tolerance"))
+    gaps = frames.select("session", "t").distinct().withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("v", F.sort_array(F.collect_list("gap").over(w.rowsBetween(-8, 0))))
+    n = F.size("v")
+    middle = F.when(n > 0, (F.element_at("v", F.floor((n + 1) / 2).cast("int")) + F.element_at("v", F.floor(n / 2).cast("int") + 1)) / 2)
+    return gaps.select("session", "t", F.greatest(F.lit(c.gap_tolerance_s), F.coalesce(2.5 * middle, F.lit(0.0))).alias("tolerance"))
 
 
 def _running(w, f: Column) -> Column:
     return f.over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def placed(frames: DataFrame, times: DataFrame, config: Config | None = None) -> DataFrame:
-    """A worker's frames with gap, presence, spell (place, start, ``way``: when the way there began) and what is settled after each.
+def _confirm(c: Config) -> Column:
+    return F.when(F.col("place") == OUTSIDE, c.exit_confirm_s).otherwise(c.enter_confirm_s) - EPS
+
+
+def stretched(frames: DataFrame, config: Config | None = None) -> DataFrame:
+    """A worker's frames with prior (the frame before), the first frame of their stretch and whether it ``bridges``.
 
-    ``move`` marks the frame at which a move counts; ``home`` and ``since`` are the zone settled in and from when.
+    A stretch is frames in one place with no gap that could mean anything; one that bridges follows
+    such a gap in the same place, so that it may go on with the spell before.
     """
     c = config or Config()
     w = Window.partitionBy(*WHO).orderBy("t")
     place = F.when(F.col("zone") == TRANSIT, OUTSIDE).otherwise(F.coalesce("zone", F.lit(OUTSIDE)))
-    rows = tasks.dealt(frames.select(*WHO, "t", place.alias("place")).join(times, ["session", "t"]), *WHO, n=frames.count())
-    gap = F.col("t") - F.lag("t").over(w)
-    rows = rows.withColumn("gap", gap).withColumn("unwatched", F.coalesce(F.col("gap") > F.least("tolerance", F.lit(c.lost_ttl_s + EPS)), F.lit(True)))
-    rows = rows.withColumn("presence", _running(w, F.sum(F.coalesce(F.col("gap") > c.lost_ttl_s + EPS, F.lit(False)).cast("int"))))
-    rows = rows.withColumn("spell", _running(w, F.sum((F.col("unwatched") | (F.lag("place").over(w) != F.col("place"))).cast("int"))))
-    s = Window.partitionBy(*WHO, "spell").orderBy("t")
-    rows = rows.withColumn("start", F.first("t").over(s))
-    settled = F.col("t") - F.col("start") >= F.when(F.col("place") == OUTSIDE, c.exit_confirm_s).otherwise(c.enter_confirm_s) - EPS
-    rows = rows.withColumn("settles", settled & ~F.coalesce(F.lag(settled).over(s), F.lit(False)))
-    p = Window.partitionBy(*WHO, "presence").orderBy("t")
-    last = lambda x: F.last(F.when(F.col("settles"), x), True).over(p.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", F.coalesce(last(F.col("place")), F.lit(OUTSIDE))).withColumn("move", F.col("settles") & (F.col("place") != F.col("before")))
-    # the way to a move: frames elsewhere since the settled zone was left, unbroken
-    breaks = F.col("unwatched") | (F.col("place") == F.col("before")) | F.coalesce(F.lag("move").over(p), F.lit(True))
-    rows = rows.withColumn("trip", _running(p, F.sum(breaks.cast("int"))))
-    trip = Window.partitionBy(*WHO, "presence", "trip").orderBy("t")
+    rows = frames.where("session IS NOT NULL AND t IS NOT NULL").select(*WHO, "t", place.alias("place")).withColumn("prior", F.lag("t").over(w)).withColumn("__same", F.lag("place").over(w) == F.col("place"))
+    far = F.col("t") - F.col("prior") > min(c.gap_tolerance_s, c.lost_grace_s, c.lost_ttl_s)
+    begins = F.coalesce(far | ~F.col("__same"), F.lit(True))
+    of = lambda x: _running(w, F.last(F.when(begins, x), True))
+    return rows.select(*WHO, "t", "place", "prior", of(F.col("t")).alias("first"), of(F.coalesce("__same", F.lit(False))).alias("bridges"))
+
+
+def _stretches(frames: DataFrame, c: Config) -> DataFrame:
+    """Stretches: place, first and last frame, prior (the frame before) and sure (the first frame by which the stretch alone counts).
+
+    One that bridges may count from earlier on, so the frames up to the first by which it counts alone come as stretches of their own.
+    """
+    confirm = _confirm(c)
+    whole = frames.groupBy(*WHO, "place", "first").agg(
+        F.max("t").alias("last"), F.max(F.when(F.col("t") == F.col("first"), F.col("prior"))).alias("prior"), F.min(F.when(F.col("t") - F.col("first") >= confirm, F.col("t"))).alias("sure"),
+    )
+    early = frames.where(F.col("bridges") & (F.col("t") > F.col("first")) & (F.col("prior") - F.col("first") < confirm))
+    return whole.unionByName(early.select(*WHO, "place", F.col("t").alias("first"), F.col("t").alias("last"), "prior", F.lit(None).cast("double").alias("sure")))
+
+
+def placed(frames: DataFrame, times: DataFrame, config: Config | None = None, keep=None) -> DataFrame:
+    """A worker's stretches (of ``stretched`` frames) with presence, spell (place, start, ``way``: when the way there began) and what is settled after each.
+
+    ``move`` marks the stretch in which a move counts, from the frame ``told`` on; ``home`` and ``since`` are the zone settled in and
+    from when, ``home_before`` and ``since_before`` those before the stretch; ``opens`` and ``fresh`` belong to the presence, whose last stretch ``closes``.
+    """
+    c, keep = config or Config(), keep or (lambda df: df)
+    last_of = lambda cond, *x: F.last(F.when(cond, F.struct(*x)), True)
+    parts = keep(_stretches(frames, c)).withColumn("gap", F.col("first") - F.col("prior"))
+    # only a gap between the least tolerance and a loss asks for the tolerance of its time
+    asks = F.coalesce((F.col("gap") > c.gap_tolerance_s) & (F.col("gap") <= c.lost_ttl_s + EPS), F.lit(False))
+    asked = parts.where(asks).join(times.select("session", F.col("t").alias("first"), "tolerance"), ["session", "first"], "left").withColumn("unwatched", F.coalesce(F.col("gap") > F.col("tolerance"), F.lit(False))).drop("tolerance")
+    rows = parts.where(~asks).withColumn("unwatched", F.coalesce(F.col("gap") > c.lost_ttl_s + EPS, F.lit(True))).unionByName(asked)
+    rows = tasks.dealt(rows, *WHO, n=parts.count()).withColumn("cut", F.coalesce(F.col("gap") > c.lost_ttl_s + EPS, F.lit(False)))
+    w = Window.partitionBy(*WHO).orderBy("first")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__from", F.lag("place").over(w)).withColumn("next", F.lead("first").over(w)).withColumn("closes", F.coalesce(F.lead("cut").over(w), F.lit(True)))
+    rows = rows.withColumn("presence", _running(w, F.sum(F.col("cut").cast("int")))).withColumn("last", _running(w, F.max("last")))
+    rows = rows.withColumn("start", _running(w, F.last(F.when(F.col("unwatched") | (F.col("__from") != F.col("place")), F.col("first")), True)))
+    rows = rows.withColumn("told", F.when(F.col("first") - F.col("start") >= _confirm(c), F.col("first")).when(F.col("first") == F.col("start"), F.col("sure")))
+    # what was settled before, in this presence
+    rows = rows.withColumn("__settled", last_of(F.col("told").isNotNull(), "presence", "place", "start").over(before))
+    known = F.coalesce(F.col("__settled.presence") == F.col("presence"), F.lit(False))
+    rows = rows.withColumn("home_before", F.when(known, F.col("__settled.place")).otherwise(F.lit(OUTSIDE)))
+    settles = F.col("told").isNotNull() & ~(known & (F.col("__settled.start") == F.col("start")))
+    rows = rows.withColumn("settles", settles).withColumn("move", F.col("settles") & (F.col("place") != F.col("home_before"))).withColumn("home", F.when(F.col("settles"), F.col("place")).otherwise(F.col("home_before")))
+    rows = rows.withColumn("__moved", last_of(F.col("move"), "presence", "start").over(before)).withColumn("__after", F.lag("move").over(w)).withColumn("__home", F.lag("home").over(w))
+    rows = rows.withColumn("since_before", F.when(F.col("__moved.presence") == F.col("presence"), F.col("__moved.start"))).withColumn("since", F.when(F.col("move"), F.col("start")).otherwise(F.col("since_before")))
+    # nothing is known of who was settled inside when last seen, or has been away for long
+    opens = F.col("cut") | F.col("prior").isNull()
+    fresh = F.coalesce((F.col("__home") != OUTSIDE) | (F.col("gap") > c.forget_after_s), F.lit(True))
+    # the way to a move: stretches elsewhere since the settled zone was left, unbroken
+    breaks = F.col("unwatched") | (F.col("place") == F.col("home_before")) | F.coalesce(F.col("__after"), F.lit(True))
+    rows = rows.withColumn("trip", _running(w, F.sum(breaks.cast("int")))).withColumn("__opened", _running(w, last_of(opens, F.col("first").alias("at"), fresh.alias("fresh"))))
+    trip = Window.partitionBy(*WHO, "trip").orderBy("first")
     rows = rows.withColumn("way", F.coalesce(_running(trip, F.min(F.when(F.col("place") == OUTSIDE, F.col("start")))), F.col("start")))
-    moved = lambda x: _running(p, F.last(F.when(F.col("move"), x), True))
-    return rows.withColumn("home", F.coalesce(moved(F.col("place")), F.lit(OUTSIDE))).withColumn("since", moved(F.col("start")))
+    return rows.select(
+        *WHO, "presence", "place", "first", "last", "prior", "gap", "unwatched", "start", "told", "move", "way", "home", "since", "home_before", "since_before", "next", "closes",
+        opens.alias("begins"), F.col("__opened.at").alias("opens"), F.col("__opened.fresh").alias("fresh"),
+    )
 
 
 def presences(rows: DataFrame, times: DataFrame, config: Config | None = None) -> DataFrame:
     """First and last frame of every presence, the place settled in at its end, whether it is cut by a loss, and whether it is ``fresh``:
     nothing was known of the worker when it began."""
     c = config or Config()
-    ends = times.groupBy("session").agg(F.max("t").alias("ends"))
-    found = rows.groupBy(*WHO, "presence").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max_by("home", "t").alias("home"), F.max_by("since", "t").alias("since"), F.max_by(F.when(F.col("place") == F.col("home"), F.col("t")).otherwise(F.col("way")), "t").alias("told_until"))
-    w = Window.partitionBy(*WHO).orderBy("presence")
-    idle = F.col("first") - F.lag("last").over(w) > c.forget_after_s
-    fresh = F.coalesce((F.lag("home").over(w) != OUTSIDE) | idle, F.lit(True))
-    return found.join(ends, "session").withColumn("until", F.coalesce(F.lead("first").over(w), F.col("ends"))).withColumn("fresh", fresh).withColumn("lost", F.col("until") - F.col("last") > c.lost_ttl_s + EPS)
+    ends = kept_table(times.groupBy("session").agg(F.max("t").alias("ends")))
+    found = rows.where("closes").select(*WHO, "presence", F.col("opens").alias("first"), "last", "home", "since", F.when(F.col("place") == F.col("home"), F.col("last")).otherwise(F.col("way")).alias("told_until"), "next", "fresh")
+    return found.join(ends, "session").withColumn("until", F.coalesce("next", "ends")).withColumn("lost", F.col("until") - F.col("last") > c.lost_ttl_s + EPS).drop("next")
 
 
 def visits(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Stays: zone, entered, when each was told, exit (null while open) with reason, and whether the worker was first seen inside."""
-    w = Window.partitionBy(*WHO, "presence").orderBy("told")
-    moves = rows.where("move").select(*WHO, "presence", "place", "start", "way", F.col("t").alias("told"))
-    moves = moves.withColumn("left", F.lead("way").over(w)).withColumn("left_told", F.lead("told").over(w)).where(F.col("place") != OUTSIDE)
-    both = moves.join(known.select(*WHO, "presence", "first", "last", "told_until", "fresh", "lost"), [*WHO, "presence"])
+    moves = rows.where("move AND worker IS NOT NULL").select(*WHO, "presence", "place", "start", "way", "told", (F.col("fresh") & (F.col("start") <= F.col("opens") + EPS)).alias("first_sighting"))
+    # a presence's end comes after its moves: no join
+    w = Window.partitionBy(*WHO, "presence").orderBy(F.col("told").asc_nulls_last())
+    both = moves.unionByName(known.select(*WHO, "presence", F.struct("last", "told_until", "lost").alias("end")), allowMissingColumns=True)
+    both = both.withColumn("left", F.lead("way").over(w)).withColumn("left_told", F.lead("told").over(w)).withColumn("end", F.lead("end").over(w)).where(F.col("place") != OUTSIDE)
     return both.select(
-        *WHO, "presence", F.col("place").alias("zone_id"), F.col("start").alias("entered"), "told", (F.col("fresh") & (F.col("start") <= F.col("first") + EPS)).alias("first_sighting"),
-        F.when(F.col("left_told").isNotNull(), F.col("left")).when(F.col("lost"), F.col("last")).alias("left"), "left_told",
-        F.when(F.col("left_told").isNotNull(), "LEFT").when(F.col("lost"), "LOST").alias("reason"), "last", "told_until",
+        *WHO, "presence", F.col("place").alias("zone_id"), F.col("start").alias("entered"), "told", "first_sighting",
+        F.when(F.col("left_told").isNotNull(), F.col("left")).when(F.col("end.lost"), F.col("end.last")).alias("left"), "left_told",
+        F.when(F.col("left_told").isNotNull(), "LEFT").when(F.col("end.lost"), "LOST").alias("reason"), F.col("end.last").alias("last"), F.col("end.told_until").alias("told_until"),
     )
 
 
-def _next_time(asked: DataFrame, times: DataFrame, after: str, name: str, keys: list[str] = ["session"]) -> DataFrame:  # noqa: B006
-    """``asked`` with the first frame time of its session later than ``after``: one sort of both, no range join."""
-    both = asked.withColumn("__at", F.col(after) + EPS).withColumn("__asks", F.lit(True)).unionByName(times.select(*keys, F.col("t").alias("__at"), F.col("t").alias("__t")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at", F.desc_nulls_last("__asks")).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn(name, F.first("__t", True).over(w)).where("__asks").drop("__at", "__asks", "__t")
+def _next_time(asked: DataFrame, times: DataFrame, after: str, name: str, keys: list[str] = ["session"], of: str = "t") -> DataFrame:  # noqa: B006
+    """``asked`` with the first frame time (or its column ``of``) of its session later than ``after``: one sort of both, no range join."""
+    both = asked.withColumn("__at", F.col(after) + EPS).withColumn("__asks", F.lit(True)).unionByName(times.select(*keys, F.col("t").alias("__at"), F.col(of).alias("__t")), allowMissingColumns=True)
+    # backwards, as a window up to the last row is worked out anew for every row
+    w = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.asc_nulls_first("__asks")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.last("__t", True).over(w)).where("__asks").drop("__at", "__asks", "__t")
 
 
 def told(**fields) -> Column:
@@ -122,7 +170,7 @@ def zone_events(frames: DataFrame, config: Config | None = None, limits: dict[st
 
 
 def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[str, dict[float, float]] | None = None, close: bool = True, reason: str = "SESSION_END",
-                 reasons: DataFrame | None = None, tracked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                 reasons: DataFrame | None = None, tracked: Track | None = None) -> DataFrame:
     """``zone_events`` with when and rank: at what time an event is told (infinity: at the end) and its order there.
 
     ``reasons`` (session, why) says why a session ended, where it is not ``reason``; ``tracked``
@@ -130,7 +178,7 @@ def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[s
     so that no plan holds it more than once.
     """
     c, seconds = config or Config(), lambda x: F.round(x, 3)
-    times, rows = tracked or track(kept_table(frames.select(*WHO, "t", "zone")), c, keep=kept_table)
+    times, _, rows = tracked or track(frames.select(*WHO, "t", "zone"), c, keep=kept_table)
     known = kept_table(presences(rows, times, c))
     stays_ = kept_table(visits(rows, known))
     event = lambda kind, zone, t, details: (F.lit(kind).alias("event_type"), zone.alias("zone_id"), F.round(t, 6).alias("t"), details.alias("details"))
@@ -141,8 +189,7 @@ def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[s
     left = stays_.where("reason = 'LEFT'").select(*WHO, "presence", col("left_told").alias("when"), F.lit(4).alias("rank"), *event("EXITED_ZONE", col("zone_id"), col("left"), told(reason=col("reason"), dwell_s=stay, first_sighting=F.when(col("first_sighting"), True))))
 
     # out of sight: gaps within a presence, and what follows its last frame
-    w = Window.partitionBy(*WHO, "presence").orderBy("t")
-    inner = rows.select(*WHO, "presence", F.lag("t").over(w).alias("last"), F.lag("home").over(w).alias("home"), col("t").alias("back"), F.lag("since").over(w).alias("since")).where(col("back") - col("last") > c.lost_grace_s + EPS)
+    inner = rows.where(~col("begins") & (col("gap") > c.lost_grace_s + EPS)).select(*WHO, "presence", col("prior").alias("last"), col("home_before").alias("home"), col("first").alias("back"), col("since_before").alias("since"))
     outer = known.where(col("until") - col("last") > min(c.lost_grace_s, c.lost_ttl_s) + EPS).select(*WHO, "presence", "last", "home", F.lit(None).cast("double").alias("back"), "since", "lost")
     gaps = inner.withColumn("lost", F.lit(False)).unionByName(outer).where(col("home") != OUTSIDE)
     gaps = gaps.withColumn("grace", col("last") + c.lost_grace_s).withColumn("ttl", col("last") + c.lost_ttl_s)
@@ -169,10 +216,11 @@ def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[s
         until = F.when(col("reason").isNotNull(), col("left")).otherwise(end if close else col("told_until"))
         marked = stays_.join(F.broadcast(spark.createDataFrame(marks, "zone_id string, limit_s double, kind string, share double, after double")), "zone_id")
         crossed = marked.withColumn("at", col("entered") + col("after")).where(col("at") <= until + EPS).select(*WHO, "presence", "zone_id", "kind", "limit_s", "share", "at")
-        seen = rows.select(*WHO, "t", "unwatched", (col("t") - col("gap")).alias("p"))
-        crossed = _next_time(crossed.withColumn("just", col("at") - 2 * EPS), seen, "just", "back", WHO).join(seen.select(*WHO, col("t").alias("back"), "unwatched", "p"), [*WHO, "back"], "left")
-        unseen = F.coalesce(col("unwatched") & (col("at") > col("p") + EPS), F.lit(False))
-        at = F.when(unseen, col("back")).otherwise(col("at"))
+        # not seen is a limit that lies in an unwatched gap: the first such gap that ends after it
+        ended = rows.where(col("unwatched") & col("prior").isNotNull()).select(*WHO, col("first").alias("t"), F.struct(col("first").alias("t"), col("prior").alias("p")).alias("of"))
+        crossed = _next_time(crossed.withColumn("just", col("at") - 2 * EPS), ended, "just", "back", WHO, "of")
+        unseen = F.coalesce((col("at") > col("back.p") + EPS) & (col("back.p") < col("just") + EPS), F.lit(False))
+        at = F.when(unseen, col("back.t")).otherwise(col("at"))
         found.append(crossed.select(*WHO, "presence", at.alias("when"), F.lit(3).alias("rank"), col("kind").alias("event_type"), "zone_id", F.round(at, 6).alias("t"), told(limit_s=col("limit_s"), warn_fraction=F.when(col("kind") == "DWELL_WARNING", col("share")), crossed_unobserved=F.when(unseen, True)).alias("details")))
     every = found[0]
     for x in found[1:]:
@@ -182,16 +230,25 @@ def zone_records(frames: DataFrame, config: Config | None = None, limits: dict[s
     return every.withColumn("same", F.coalesce(F.lag(this).over(order) == this, F.lit(False))).where("NOT same").select(*WHO, "when", "rank", "event_type", "zone_id", "t", "details")
 
 
-def hidden(frames: DataFrame, config: Config | None = None, tracked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def at_home(frames: DataFrame, rows: DataFrame) -> DataFrame:
+    """``frames`` (WHO, t) with the zone their worker is settled in (OUTSIDE for none) and their presence: one sort of frames and changes."""
+    opened = rows.where("begins").select(*WHO, F.col("first").alias("t"), F.lit(0).alias("rank"), F.struct(F.lit(OUTSIDE).alias("home"), "presence").alias("of"))
+    moved = rows.where("move").select(*WHO, F.col("told").alias("t"), F.lit(1).alias("rank"), F.struct(F.col("place").alias("home"), "presence").alias("of"))
+    w = Window.partitionBy(*WHO).orderBy("t", "rank")
+    both = frames.select(*WHO, "t", F.lit(2).alias("rank")).unionByName(opened, allowMissingColumns=True).unionByName(moved)
+    return both.withColumn("of", _running(w, F.last("of", True))).where("rank = 2").select(*WHO, "t", "of.home", "of.presence")
+
+
+def hidden(frames: DataFrame, config: Config | None = None, tracked: Track | None = None) -> DataFrame:
     """session, zone, t, hidden: how many workers are settled inside a zone but not seen in a frame.
 
     A gap lasts eight seconds at most before the visit ends, so frames and gaps meet by whole seconds.
     """
     c = config or Config()
-    times, rows = tracked or track(frames, c)
+    times, seen, rows = tracked or track(frames, c)
     w = Window.partitionBy(*WHO, "presence").orderBy("t")
     ends = times.groupBy("session").agg(F.max("t").alias("ends"))
-    gaps = rows.select(*WHO, "home", F.col("t").alias("p"), F.lead("t").over(w).alias("q")).where(F.col("home") != OUTSIDE).join(ends, "session")
+    gaps = at_home(seen, rows).select(*WHO, "home", F.col("t").alias("p"), F.lead("t").over(w).alias("q")).where(F.col("home") != OUTSIDE).join(ends, "session")
     gaps = gaps.withColumn("q", F.coalesce(F.col("q"), F.least(F.col("ends"), F.col("p") + c.lost_ttl_s) + 2 * EPS)).where("q > p")
     second = lambda x: F.floor(x).cast("long")
     slots = gaps.withColumn("slot", F.explode(F.sequence(second(F.col("p")), second(F.col("q")))))
@@ -199,12 +256,21 @@ def hidden(frames: DataFrame, config: Config | None = None, tracked: tuple[DataF
     return met.groupBy("session", F.col("home").alias("zone"), "t").agg(F.count("*").alias("hidden"))
 
 
-def track(frames: DataFrame, config: Config | None = None, times: DataFrame | None = None, keep=None) -> tuple[DataFrame, DataFrame]:
-    """The ``clock`` of the frames and the frames ``placed``. ``times`` (session, t) are all frames' times, where some show nobody;
-    ``keep`` stores both, for those who read them more than once."""
+class Track(NamedTuple):
+    """The ``clock`` of the frames, the ``stretched`` frames and the stretches ``placed``."""
+
+    times: DataFrame
+    frames: DataFrame
+    rows: DataFrame
+
+
+def track(frames: DataFrame, config: Config | None = None, times: DataFrame | None = None, keep=None) -> Track:
+    """What is known of the frames. ``times`` (session, t) are all frames' times, where some show nobody;
+    ``keep`` stores what is read more than once."""
     c, keep = config or Config(), keep or (lambda df: df)
-    clocked = keep(clock(frames if times is None else times, c))
-    return clocked, keep(placed(frames, clocked, c))
+    seen = keep(stretched(frames, c))
+    clocked = keep(clock(seen if times is None else times, c))
+    return Track(clocked, seen, keep(placed(seen, clocked, c, keep)))
 
 
 def stays(events: DataFrame) -> DataFrame:
