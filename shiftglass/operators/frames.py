@@ -328,8 +328,9 @@ def exit_decisions(leaves: DataFrame, arrivals: DataFrame, seen: DataFrame, key:
     t = F.unix_micros("at")
     settles = arrivals.where((F.col("zone") == exit_zone) | ~F.coalesce(F.col("zone_type").isin("APPROACH", "PPE_CHECKPOINT"), F.lit(False)))
     both = leaves.select(key, "id", t.alias("t"), "home", F.lit(0).alias("kind")).unionByName(settles.select(key, t.alias("t"), "zone", F.lit(1).alias("kind")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("t", "kind", "zone").rowsBetween(1, Window.unboundedFollowing)
-    after = F.first(F.when(F.col("kind") == 1, F.struct("t", "zone")), ignorenulls=True).over(w)
+    # backwards, as a window up to the last row is worked out anew for every row
+    w = Window.partitionBy(key).orderBy(F.desc("t"), F.desc("kind"), F.desc("zone")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(F.col("kind") == 1, F.struct("t", "zone")), ignorenulls=True).over(w)
     open_ = both.withColumn("next", after).where("kind = 0").withColumn("due", F.col("t") + us(within_s + wait_s))
     marks = open_.select(key, "id", F.col("due").alias("s"), F.lit(1).alias("asks")).unionByName(seen.select(key, t.alias("s"), F.lit(0).alias("asks")), allowMissingColumns=True)
     last = F.last(F.when(F.col("asks") == 0, F.col("s")), ignorenulls=True).over(Window.partitionBy(key).orderBy("s", "asks").rowsBetween(Window.unboundedPreceding, 0))
@@ -371,8 +372,9 @@ def last_before(entries: DataFrame, passes: DataFrame, key: str, within_s: float
 def first_after(leaves: DataFrame, arrivals: DataFrame, key: str, within_s: float) -> DataFrame:
     """Forward as-of join: every leave with the next arrival of its key within ``within_s``, else null."""
     both = leaves.select(key, "id", F.unix_micros("at").alias("t"), F.lit(0).alias("kind")).unionByName(arrivals.select(key, F.lit(None).cast("long").alias("id"), F.unix_micros("at").alias("t"), F.lit(1).alias("kind")))
-    w = Window.partitionBy(key).orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
-    seen = F.first(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(w)
+    # backwards, as a window up to the last row is worked out anew for every row
+    w = Window.partitionBy(key).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(w)
     rows = both.withColumn("next", seen).where("kind = 0")
     return rows.select(key, "id", F.when(F.col("next") - F.col("t") <= int(within_s * 1_000_000), F.timestamp_micros("next")).alias("arrived_at"))
 
