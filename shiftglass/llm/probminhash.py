@@ -34,6 +34,7 @@ LEADERS = 2
 SHARE = 256
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 512 << 10
 VOCABULARY = 8192
 
 
@@ -113,15 +114,17 @@ def _banded(docs: DataFrame, text: str, doc_id: str, m: int, rows: int) -> DataF
     """id, key (of the text), has (shingles) and a hash per band of every row."""
     picked = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("t"))
 
-    def run(source):
-        for b in slices(source, "t", 2 << 20):
-            names, has = signatures(*shingles(*flat(b.column("t"))), b.num_rows, m)
-            up, _ = powers(rows)
-            bands = mix((names.reshape(b.num_rows, m // rows, rows) * up).sum(2, dtype=np.uint64)).view(np.int64)
-            offs = pa.array(np.arange(b.num_rows + 1) * (m // rows), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(has), pa.ListArray.from_arrays(offs, pa.array(bands.reshape(-1)))], names=["id", "key", "has", "bands"])
+    return picked.mapInArrow(lambda source: _signed(source, m, rows), "id long, key binary, has boolean, bands array<long>")
+
 
-    return picked.mapInArrow(run, "id long, key binary, has boolean, bands array<long>")
+def _signed(source, m: int = REGISTERS, rows: int = ROWS):
+    """Batches of id, key and t with has and bands instead of t; its arrays are many times as large as the text in hand."""
+    for b in slices(source, "t", SLICE_BYTES):
+        names, has = signatures(*shingles(*flat(b.column("t"))), b.num_rows, m)
+        up, _ = powers(rows)
+        bands = mix((names.reshape(b.num_rows, m // rows, rows) * up).sum(2, dtype=np.uint64)).view(np.int64)
+        offs = pa.array(np.arange(b.num_rows + 1) * (m // rows), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(has), pa.ListArray.from_arrays(offs, pa.array(bands.reshape(-1)))], names=["id", "key", "has", "bands"])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +274,17 @@ def _rest(large: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
+def _bucketed(members: DataFrame, buckets: DataFrame, n: str, total: int) -> DataFrame:
+    """The ``members`` whose bucket is one of ``buckets`` (stored, with ``n`` members each, of ``total``), with its columns.
+
+    Hot buckets, fewer than ``HOT_KEYS``, are broadcast to their own members; only these go through that join.
+    """
+    hot = [r["bucket"] for r in buckets.where(F.col(n) * HOT_KEYS > total).select("bucket").collect()]
+    own = F.col("bucket").isin(hot) if hot else F.lit(False)
+    cold = members.where(~own).join(buckets.where(~own), "bucket", "left").where(F.col(n).isNotNull())
+    return cold.unionByName(members.where(own).join(F.broadcast(buckets.where(own)), "bucket")) if hot else cold
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """id, key, class_id and rep of every row: near-duplicate classes of whole documents.
 
@@ -286,7 +300,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     members = reps.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
     pick = [F.min_by("key", F.xxhash64("key", "bucket", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lead"), *pick).where("n > 1")
-    dealt = scratch.keep(hot_join(members, scratch.keep(buckets), ["bucket"], "n", members.count(), ["key"]).where("n IS NOT NULL"))
+    dealt = scratch.keep(_bucketed(members, scratch.keep(buckets), "n", members.count()))
     ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     star = scratch.keep(dealt.where("key <> lead").select(*ordered("key", "lead")).distinct())
     needed = dealt.select("key").distinct().join(reps.select("key", "rep_id"), "key")
@@ -300,7 +314,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     placed = scratch.keep(dealt.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     own = [F.max(F.when(F.col("key") == F.col(x), F.col("root"))).alias(f"{x}_root") for x in leads]
     mixed = placed.groupBy("bucket").agg(F.first("n").alias("held"), F.min("root").alias("least"), F.max("root").alias("most"), *own).where("least <> most").drop("least", "most")
-    undone = scratch.keep(hot_join(placed, mixed, ["bucket"], "held", dealt.count(), ["key"]).where("held IS NOT NULL"))
+    undone = scratch.keep(_bucketed(placed, scratch.keep(mixed), "held", placed.count()))
     small = undone.where(F.col("n").between(3, SMALL_BUCKET)).groupBy("bucket").agg(F.collect_list(F.struct("key", "root")).alias("all"))
     inner = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.key < y.key AND x.root <> y.root").select(F.col("y.key").alias("a"), F.col("x.key").alias("b"))
     large = undone.where(F.col("n") > SMALL_BUCKET)
